@@ -196,3 +196,90 @@ def q09(spark, sf):
     tb.write_csv(src, path)
     back = tb.read_reviews_csv(spark, path)
     return back
+
+
+# q10 T12 --------------------------------------------------------------------
+@query("q10_tokens")
+def q10(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"),
+                                tx.tokenize(tx.nlp_clean_string("text")).alias("toks"))
+    return d.select("review_id", F.array_join("toks", " ").alias("tokens"),
+                    F.size("toks").cast("bigint").alias("n_tokens"))
+
+
+# q11 J3 U1 ------------------------------------------------------------------
+@query("q11_stopword_filter")
+def q11(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    toks = tk.explode_tokens(d, "review_id", tx.tokenize(tx.nlp_clean_string("text")))
+    kept = tk.remove_stopwords_exploded(toks, tk.stopword_table(spark, ("general", "nlp_domain")))
+    return kept.select("review_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+# q12 T14 T16 ----------------------------------------------------------------
+@query("q12_suffix_lemma")
+def q12(spark, sf):
+    from ..functions import lemma as lm
+    from ..functions.text import is_alpha, serving_clean_string, split_ws
+    stop = F.array(*[F.lit(s) for s in dims.stopwords("frozen")])
+    toks = F.filter(split_ws(serving_clean_string("text")),
+                    lambda t: is_alpha(t) & ~F.array_contains(stop, t) & (F.length(t) > 2))
+    vocab = _docs(spark, sf).select(F.explode(toks).alias("token")).distinct()
+    # the 47-branch CASE runs once per distinct token, not once per occurrence
+    return vocab.select("token", lm.suffix_lemma(F.col("token")).alias("lemma"))
+
+
+# q13 T13 T15 J8 -------------------------------------------------------------
+@query("q13_dict_lemma_pipeline")
+def q13(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    out = tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
+                          tk.stopword_table(spark, ("general", "nlp_domain")))
+    return out.select("review_id", "cleaned_review",
+                      tx.word_count("cleaned_review").cast("bigint").alias("cleaned_word_count"),
+                      F.length("cleaned_review").cast("bigint").alias("cleaned_char_count"))
+
+
+# q14 O3 M5 W6 ---------------------------------------------------------------
+@query("q14_top_bigrams_by_class")
+def q14(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select("doc_id", "text").join(
+        _labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    toks = F.filter(tx.split_ws(tx.clean_letters("text")), lambda t: F.length(t) >= 2)
+    d = d.select("satisfied", toks.alias("toks"))   # a column, so the n-gram lambda does not re-clean
+    counts = tk.term_counts(d, ["satisfied"], tk.ngrams(F.col("toks"), 2))
+    top = tk.top_k_per_group(counts, ["satisfied"], "term", "n", 15)
+    return top.select("satisfied", F.col("term").alias("bigram"), F.col("n").cast("bigint").alias("n"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+# q15 A13 O4 -----------------------------------------------------------------
+@query("q15_word_freq_by_class")
+def q15(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select("doc_id", "text").join(
+        _labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    toks = tx.drop_stopwords(tx.split_ws(tx.clean_letters("text")), dims.stopwords("wordfreq"))
+    d = d.select("satisfied", toks.alias("toks"))
+    counts = tk.term_counts(d, ["satisfied"], F.concat("toks", tk.ngrams(F.col("toks"), 2)))
+    top = tk.top_k_per_group(counts, ["satisfied"], "term", "n", 150)
+    return top.select("satisfied", "term", F.col("n").cast("bigint").alias("n"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+# q16 A14 U3 -----------------------------------------------------------------
+@query("q16_vocabulary")
+def q16(spark, sf):
+    d = _docs(spark, sf).select("lang", "text")
+    before = d.select("lang", F.explode(tx.split_ws(F.lower("text"))).alias("w"))
+    after = d.select("lang", F.explode(tx.tokenize(tx.nlp_clean_string("text"))).alias("w"))
+    vb = before.distinct().groupBy("lang").agg(F.count("*").alias("vocab_before"))   # U3
+    va = after.distinct().groupBy("lang").agg(F.count("*").alias("vocab_after"))
+    out = vb.join(va, "lang", "left")
+    return out.select("lang", F.col("vocab_before").cast("bigint").alias("vocab_before"),
+                      F.coalesce("vocab_after", F.lit(0)).cast("bigint").alias("vocab_after"),
+                      F.round((1 - F.coalesce("vocab_after", F.lit(0)) / F.col("vocab_before")) * 100, 2)
+                      .alias("reduction_pct"))

@@ -144,3 +144,115 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 ORACLE["q09_csv_round_trip"] = f"""
 SELECT doc_id AS review_id, {FIRST_LINE} AS title, text AS reviews FROM documents
 """
+
+
+# token helpers --------------------------------------------------------------
+from .. import dims  # noqa: E402
+from ..operators.tokens import LEMMA_DICTIONARY  # noqa: E402
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(ws) -> str:
+    return "[" + ", ".join(sql_str(w) for w in ws) + "]"
+
+
+def split_ws(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^\\s]+')"
+
+
+def nlp_clean(x: str) -> str:
+    y = f"lower({x})"
+    y = f"regexp_replace({y}, 'https?://[^\\s]+', '', 'g')"
+    y = f"regexp_replace({y}, 'www\\.[^\\s]+', '', 'g')"
+    y = f"regexp_replace({y}, '[^\\s]+@[^\\s]+\\.[^\\s]+', '', 'g')"
+    return remove_punct(strip(y))
+
+
+def tokenize(x: str, min_len: int = 2) -> str:
+    return f"[t for t in {split_ws(x)} if regexp_full_match(t, '\\p{{L}}+') and length(t) >= {min_len}]"
+
+
+def serving_clean(x: str) -> str:
+    y = f"lower({x})"
+    y = f"regexp_replace({y}, 'https?://[^\\s]+|www\\.[^\\s]+|[^\\s]+@[^\\s]+', '', 'g')"
+    y = f"translate({y}, '{PUNCT_SQL}', '')"
+    return squeeze(y)
+
+
+def lemma_case(w: str) -> str:
+    parts = [f"CASE WHEN length({w}) <= 4 THEN {w}"]
+    for suf, rep in dims.LEMMA_RULES:
+        parts.append(f"WHEN suffix({w}, {sql_str(suf)}) AND length({w}) - {len(suf)} + {len(rep)} >= 3 "
+                     f"THEN left({w}, length({w}) - {len(suf)}) || {sql_str(rep)}")
+    parts.append(f"ELSE {w} END")
+    return " ".join(parts)
+
+
+def dict_lemma(w: str) -> str:
+    whens = " ".join(f"WHEN {sql_str(a)} THEN {sql_str(b)}" for a, b in LEMMA_DICTIONARY)
+    return f"CASE {w} {whens} ELSE ({lemma_case(w)}) END"
+
+
+def bigrams(l: str) -> str:
+    return f"[{l}[i] || ' ' || {l}[i + 1] for i in range(1, len({l}))]"
+
+
+NLP_STOP = dims.stopwords("nlp")
+
+ORACLE["q10_tokens"] = f"""
+WITH d AS (SELECT doc_id AS review_id, {tokenize(nlp_clean('text'))} AS toks FROM documents)
+SELECT review_id, array_to_string(toks, ' ') AS tokens, len(toks)::BIGINT AS n_tokens FROM d
+"""
+
+ORACLE["q11_stopword_filter"] = f"""
+WITH d AS (SELECT doc_id AS review_id, {tokenize(nlp_clean('text'))} AS toks FROM documents),
+e AS (SELECT review_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token FROM d)
+SELECT review_id, pos::BIGINT AS pos, token FROM e WHERE NOT list_contains({sql_list(NLP_STOP)}, token)
+"""
+
+ORACLE["q12_suffix_lemma"] = f"""
+WITH d AS (SELECT {split_ws(serving_clean('text'))} AS ws FROM documents),
+v AS (SELECT DISTINCT unnest([t for t in ws if regexp_full_match(t, '\\p{{L}}+')
+        AND NOT list_contains({sql_list(dims.stopwords('frozen'))}, t) AND length(t) > 2]) AS token FROM d)
+SELECT token, {lemma_case('token')} AS lemma FROM v
+"""
+
+ORACLE["q13_dict_lemma_pipeline"] = f"""
+WITH d AS (SELECT doc_id AS review_id, {tokenize(nlp_clean('text'))} AS toks FROM documents),
+s AS (SELECT review_id, [t for t in toks if NOT list_contains({sql_list(NLP_STOP)}, t)] AS toks FROM d),
+l AS (SELECT review_id, [x for x in [{dict_lemma('t')} for t in toks]
+                        if regexp_full_match(x, '\\p{{L}}+') AND length(x) > 1] AS lem FROM s),
+o AS (SELECT review_id, array_to_string(lem, ' ') AS cleaned_review FROM l)
+SELECT review_id, cleaned_review, {words('cleaned_review')}::BIGINT AS cleaned_word_count,
+       length(cleaned_review)::BIGINT AS cleaned_char_count FROM o
+"""
+
+ORACLE["q14_top_bigrams_by_class"] = f"""
+WITH d AS (SELECT l.quality AS satisfied, [t for t in {split_ws(clean_letters('d.text'))} if length(t) >= 2] AS toks
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+g AS (SELECT satisfied, unnest({bigrams('toks')}) AS term FROM d),
+c AS (SELECT satisfied, term, count(*) AS n FROM g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY satisfied ORDER BY n DESC, term ASC) AS rank FROM c)
+SELECT satisfied, term AS bigram, n::BIGINT AS n, rank::BIGINT AS rank FROM r WHERE rank <= 15
+"""
+
+ORACLE["q15_word_freq_by_class"] = f"""
+WITH d AS (SELECT l.quality AS satisfied,
+             [t for t in {split_ws(clean_letters('d.text'))} if NOT list_contains({sql_list(dims.stopwords('wordfreq'))}, t)] AS toks
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+g AS (SELECT satisfied, unnest(list_concat(toks, {bigrams('toks')})) AS term FROM d),
+c AS (SELECT satisfied, term, count(*) AS n FROM g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY satisfied ORDER BY n DESC, term ASC) AS rank FROM c)
+SELECT satisfied, term, n::BIGINT AS n, rank::BIGINT AS rank FROM r WHERE rank <= 150
+"""
+
+ORACLE["q16_vocabulary"] = f"""
+WITH b AS (SELECT lang, count(DISTINCT w) AS vb FROM (SELECT lang, unnest({split_ws('lower(text)')}) AS w FROM documents) GROUP BY lang),
+a AS (SELECT lang, count(DISTINCT w) AS va FROM (SELECT lang, unnest({tokenize(nlp_clean('text'))}) AS w FROM documents) GROUP BY lang)
+SELECT b.lang, vb::BIGINT AS vocab_before, coalesce(va, 0)::BIGINT AS vocab_after,
+       round((1 - coalesce(va, 0) / vb) * 100, 2) AS reduction_pct
+FROM b LEFT JOIN a ON a.lang = b.lang
+"""
