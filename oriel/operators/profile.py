@@ -69,7 +69,7 @@ def value_counts_filled(df: DataFrame, col: str, categories: DataFrame) -> DataF
     """Counts for a fixed category list (0 for absent), % of total and balance
     (min count / max count).  ``categories`` has one column named ``col``."""
     counts = df.groupBy(col).count()
-    full = categories.join(F.broadcast(counts) if False else counts, col, "left") \
+    full = F.broadcast(categories).join(counts, col, "left") \
         .select(col, F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
     w = Window.partitionBy()  # categories are a handful of rows
     return full.select(
@@ -91,17 +91,79 @@ def group_stats(df: DataFrame, by: str, cols: list[str], dp: int = 1, exact: boo
 
 
 # A7 -------------------------------------------------------------------------
-def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
-    """Equal-width bins between min and max; the last bin is closed."""
+def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """Equal-width bins between min and max; the last bin is closed.  The
+    bounds are scalar subqueries (one tiny job), not a join."""
     x = F.col(col).cast("double")
-    keys = [by] if by else []
     bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    w = (F.col("hi") - F.col("lo")) / bins
-    b = df.select(*keys, x.alias("x")).crossJoin(F.broadcast(bounds))  # one-row side
-    b = b.select(*keys, "lo", "hi", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1))).cast("int").alias("bin"))
-    out = b.groupBy(*keys, "bin", "lo", "hi").agg(F.count("*").alias("n"))
-    return out.select(*keys, "bin",
-                      F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins, 6).alias("bin_lo"),
-                      F.round(F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins, 6).alias("bin_hi"),
+    lo = bounds.select("lo").scalar()
+    hi = bounds.select("hi").scalar()
+    width = (hi - lo) / bins
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
+    out = df.select(b.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return out.select("bin",
+                      F.round(lo + F.col("bin") * width, 6).alias("bin_lo"),
+                      F.round(lo + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
                       F.col("n").cast("bigint").alias("n"))
+
+
+# A8 / J9 ----------------------------------------------------------------------
+def kde(df: DataFrame, col: str, by: str, points: int = 1000, bins: int = 1024) -> DataFrame:
+    """Gaussian density per group on ``points`` grid points from
+    min - range/2 to max + range/2, Scott bandwidth std * n^(-1/5).
+
+    The sample is first reduced to at most ``bins`` equal-width bin centres
+    with counts per group (partial aggregation, shuffle of bin counts only);
+    those bounded arrays are broadcast per group and every grid point sums
+    its kernel over them in the JVM: no grid x sample join."""
+    x = F.col(col).cast("double")
+    stats = df.groupBy(by).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
+                               F.min(x).alias("lo"), F.max(x).alias("hi"))
+    stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)),
+                               "w": (F.col("hi") - F.col("lo")) / bins})
+    sb = F.broadcast(stats)  # one row per group
+    j = F.when(F.col("w") == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")), F.lit(bins - 1)))
+    binned = (df.select(by, x.alias("x")).where(F.col("x").isNotNull()).join(sb, by)
+              .select(by, j.alias("j")).groupBy(by, "j").agg(F.count("*").alias("c")))
+    # at most `bins` entries per group: a bounded array, not a collected group
+    arrays = binned.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("j", "c"))).alias("bins"))
+    g = stats.join(F.broadcast(arrays), by)
+    rng = F.col("hi") - F.col("lo")
+    grid = g.select(by, "n", "h", "lo", "hi", "w", "bins",
+                    F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = grid.withColumn("gx", F.col("lo") - rng / 2 + F.col("i") * (2 * rng) / (points - 1))
+    s = F.aggregate("bins", F.lit(0.0), lambda acc, b: acc + b["c"] * F.exp(
+        -F.pow((F.col("gx") - (F.col("lo") + (b["j"] + 0.5) * F.col("w"))) / F.col("h"), 2) / 2))
+    dens = s / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    return grid.select(by, F.col("i").cast("bigint").alias("i"), F.round("gx", 4).alias("x"),
+                       F.round(dens * 1e6, 4).alias("density_e6"))
+
+
+# A9 -------------------------------------------------------------------------
+def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
+    """Quartiles, 1.5 IQR whiskers (most extreme values inside the fences)
+    and outlier counts per group."""
+    x = F.col(col).cast("double")
+    q = df.groupBy(by).agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"),
+                           F.percentile(x, 0.75).alias("q3"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    lo_f = F.col("q1") - 1.5 * F.col("iqr")
+    hi_f = F.col("q3") + 1.5 * F.col("iqr")
+    j = df.select(by, x.alias("v")).join(F.broadcast(q), by)   # one row per group
+    agg = j.groupBy(by, "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(F.col("v") >= lo_f, F.col("v"))).alias("whisker_lo"),
+        F.max(F.when(F.col("v") <= hi_f, F.col("v"))).alias("whisker_hi"),
+        F.count_if((F.col("v") < lo_f) | (F.col("v") > hi_f)).alias("n_outliers"))
+    return agg.select(by, *[F.round(c, 3).alias(c) for c in ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]],
+                      F.col("n_outliers").cast("bigint").alias("n_outliers"))
+
+
+# A11 / A12 --------------------------------------------------------------------
+def corr_pairs(df: DataFrame, cols: list[str], dp: int = 6) -> DataFrame:
+    """Pearson correlation of every pair (lower triangle) in one aggregate pass."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
+    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
+    long = wide.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, corr)")
+    return long.select("col_a", "col_b", F.round("corr", dp).alias("corr"))

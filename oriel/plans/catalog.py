@@ -283,3 +283,147 @@ def q16(spark, sf):
                       F.coalesce("vocab_after", F.lit(0)).cast("bigint").alias("vocab_after"),
                       F.round((1 - F.coalesce("vocab_after", F.lit(0)) / F.col("vocab_before")) * 100, 2)
                       .alias("reduction_pct"))
+
+
+# profiling inputs -------------------------------------------------------------
+def _features(spark, sf, labelled: bool = False):
+    from ..operators.features import review_features
+    d = _docs(spark, sf).select("doc_id", "text", "n_chars")
+    if labelled:
+        d = d.join(_labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied"), "toxic"), "doc_id")
+    keep = ["doc_id", "n_chars"] + (["satisfied", "toxic"] if labelled else [])
+    return review_features(d, "text", keep)
+
+
+DESCRIBE_COLS = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio", "n_chars"]
+CORR_COLS = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio",
+             "n_chars", "satisfied", "toxic"]
+
+
+# q17 A2 ---------------------------------------------------------------------
+@query("q17_describe")
+def q17(spark, sf):
+    from ..operators.profile import describe
+    return describe(_features(spark, sf), DESCRIBE_COLS, dp=3)
+
+
+# q18 A4 A5 W7 ---------------------------------------------------------------
+@query("q18_value_counts_filled")
+def q18(spark, sf):
+    from ..operators.profile import value_counts_filled
+    lab = _labels(spark, sf)
+    cats = spark.createDataFrame([(0,), (1,)], "category int")
+    parts = [value_counts_filled(lab.select(F.col(c).alias("category")), "category", cats)
+             .select(F.lit(c).alias("column_name"), "*") for c in ("quality", "toxic")]
+    return parts[0].unionByName(parts[1])
+
+
+# q19 A6 A10 -----------------------------------------------------------------
+@query("q19_group_stats")
+def q19(spark, sf):
+    from ..operators.profile import group_stats
+    d = _docs(spark, sf).join(_labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    d = d.select("satisfied", F.length("text").alias("review_length"),
+                 tx.word_count("text").alias("review_word_count"),
+                 F.length(tx.first_line("text")).alias("title_length"))
+    out = group_stats(d, "satisfied", ["review_length", "review_word_count", "title_length"], dp=1)
+    return out.withColumn("n", F.col("n").cast("bigint"))
+
+
+# q20 A7 ---------------------------------------------------------------------
+@query("q20_histogram")
+def q20(spark, sf):
+    from ..operators.profile import histogram
+    return histogram(_docs(spark, sf), "n_chars", 50)
+
+
+# q21 A8 J9 ------------------------------------------------------------------
+@query("q21_kde")
+def q21(spark, sf):
+    from ..operators.profile import kde
+    d = _docs(spark, sf).select("doc_id", "n_chars").join(
+        _labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    return kde(d, "n_chars", "satisfied", points=1000, bins=1024)
+
+
+# q22 A9 ---------------------------------------------------------------------
+@query("q22_box_stats")
+def q22(spark, sf):
+    from ..operators.profile import box_stats
+    d = _docs(spark, sf).join(_labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    return box_stats(d.select("satisfied", F.length("text").alias("review_length")), "review_length", "satisfied")
+
+
+# q23 A11 --------------------------------------------------------------------
+@query("q23_corr_matrix")
+def q23(spark, sf):
+    from ..operators.profile import corr_pairs
+    return corr_pairs(_features(spark, sf, labelled=True), CORR_COLS)
+
+
+# q24 A12 O1 -----------------------------------------------------------------
+@query("q24_target_corr")
+def q24(spark, sf):
+    from pyspark.sql import Window
+    f = _features(spark, sf, labelled=True)
+    cols = [c for c in CORR_COLS if c != "satisfied"]
+    wide = f.agg(*[F.corr(F.col(c).cast("double"), F.col("satisfied").cast("double")).alias(c) for c in cols])
+    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
+    long = wide.selectExpr(f"stack({len(cols)}, {stack}) as (feature, corr)")
+    long = long.select("feature", F.round("corr", 6).alias("corr"))
+    # 7 rows: a global ordering window is fine here
+    return long.withColumn("rank", F.row_number().over(Window.orderBy("corr", "feature")).cast("bigint"))
+
+
+# q25 A15 --------------------------------------------------------------------
+@query("q25_text_comparison")
+def q25(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    clean = tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
+                            tk.stopword_table(spark, ("general", "nlp_domain")))
+
+    def stage(df, col, name, vocab_words):
+        s = df.select(F.length(col).alias("c"), tx.word_count(col).alias("w"))
+        stats = s.agg(F.round(F.avg("c"), 2).alias("mean_chars"), F.round(F.avg("w"), 2).alias("mean_words"),
+                      F.round(F.avg(F.col("c") / F.greatest(F.col("w"), F.lit(1))), 3).alias("mean_word_length"),
+                      F.min("w").cast("bigint").alias("min_words"), F.max("w").cast("bigint").alias("max_words"),
+                      F.sum("w").alias("total_words"))
+        voc = df.select(F.explode(vocab_words).alias("v")).distinct().agg(F.count("*"))
+        return stats.select(F.lit(name).alias("stage"), "*", voc.scalar().alias("vocab"))
+
+    a = stage(d, "text", "original", tx.split_ws(F.lower("text")))
+    b = stage(clean, "cleaned_review", "cleaned", tx.split_ws("cleaned_review"))
+    both = a.unionByName(b)
+    orig_total = a.select("total_words").scalar()
+    return both.select(
+        "stage", "mean_chars", "mean_words", "mean_word_length", "min_words", "max_words",
+        F.col("vocab").cast("bigint").alias("vocab"),
+        F.round(F.col("total_words") * 100.0 / orig_total, 2).alias("words_vs_original_pct"))
+
+
+# q26 A16 --------------------------------------------------------------------
+@query("q26_word_reduction")
+def q26(spark, sf):
+    from ..functions.lemma import serving_tokens
+    d = _docs(spark, sf).join(_labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
+    d = d.select("satisfied", tx.word_count("text").alias("before"), F.size(serving_tokens("text")).alias("after"))
+    red = F.try_divide((F.col("before") - F.col("after")) * 100.0, F.col("before"))
+    d = d.select("satisfied", red.alias("reduction_pct"))
+    return d.groupBy("satisfied").agg(
+        F.count("*").cast("bigint").alias("n"),
+        F.round(F.avg("reduction_pct"), 2).alias("mean_reduction_pct"),
+        F.round(F.min("reduction_pct"), 2).alias("min_reduction_pct"),
+        F.round(F.max("reduction_pct"), 2).alias("max_reduction_pct"))
+
+
+# q27 O7 A26 -----------------------------------------------------------------
+@query("q27_seeded_sample")
+def q27(spark, sf):
+    from ..operators.profile import null_indicators
+    d = _docs_left_labels(spark, sf).select(
+        F.col("doc_id").alias("review_id"), "lang", "quality", "toxic",
+        tx.seeded_order_key("doc_id", 42).alias("sample_key"))
+    # the sample size is the feature: TakeOrderedAndProject keeps 200 rows per partition
+    s = d.orderBy("sample_key").limit(200)
+    return null_indicators(s, ["quality", "toxic"])

@@ -256,3 +256,132 @@ SELECT b.lang, vb::BIGINT AS vocab_before, coalesce(va, 0)::BIGINT AS vocab_afte
        round((1 - coalesce(va, 0) / vb) * 100, 2) AS reduction_pct
 FROM b LEFT JOIN a ON a.lang = b.lang
 """
+
+
+# profiling -------------------------------------------------------------------
+FEAT = f"""feat AS (
+  SELECT doc_id, n_chars, length(tp)::BIGINT AS char_count, {words('tp')}::BIGINT AS word_count,
+         (length(text) - length(replace(text, '!', '')))::BIGINT AS exclamation_count,
+         (length(text) - length(replace(text, '?', '')))::BIGINT AS question_count,
+         len(regexp_extract_all(text, '\\p{{Lu}}')) / greatest(length(text), 1) AS uppercase_ratio,
+         length(tp) / nullif({words('tp')}, 0) AS avg_word_length
+  FROM (SELECT doc_id, n_chars, text, {clean_letters('text')} AS tp FROM documents))"""
+
+_DESC = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio", "n_chars"]
+ORACLE["q17_describe"] = f"WITH {FEAT}\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count({c})::BIGINT AS count, round(avg({c}::DOUBLE), 3) AS mean,
+       round(stddev_samp({c}::DOUBLE), 3) AS std, round(min({c})::DOUBLE, 3) AS min,
+       round(quantile_cont({c}::DOUBLE, 0.25), 3) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 3) AS q50,
+       round(quantile_cont({c}::DOUBLE, 0.75), 3) AS q75, round(max({c})::DOUBLE, 3) AS max FROM feat"""
+    for c in _DESC)
+
+ORACLE["q18_value_counts_filled"] = """
+WITH cats AS (SELECT unnest([0, 1]) AS category),
+cn AS (SELECT unnest(['quality', 'toxic']) AS column_name),
+c AS (SELECT 'quality' AS column_name, quality AS category, count(*) AS n FROM labels GROUP BY ALL
+      UNION ALL SELECT 'toxic', toxic, count(*) FROM labels GROUP BY ALL),
+f AS (SELECT cn.column_name, cats.category, coalesce(c.n, 0) AS n FROM cn CROSS JOIN cats
+      LEFT JOIN c ON c.column_name = cn.column_name AND c.category = cats.category)
+SELECT column_name, category, n::BIGINT AS n,
+       round(n * 100.0 / sum(n) OVER (PARTITION BY column_name), 2) AS pct,
+       round(min(n) OVER (PARTITION BY column_name) / max(n) OVER (PARTITION BY column_name), 2) AS balance
+FROM f
+"""
+
+ORACLE["q19_group_stats"] = f"""
+WITH t AS (SELECT l.quality AS satisfied, length(d.text)::DOUBLE AS review_length,
+                  {words('d.text')}::DOUBLE AS review_word_count, length(split_part(d.text, chr(10), 1))::DOUBLE AS title_length
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT satisfied, count(*)::BIGINT AS n, """ + ", ".join(
+    f"round(avg({c}), 1) AS {c}_mean, round(quantile_cont({c}, 0.5), 1) AS {c}_median, "
+    f"round(stddev_samp({c}), 1) AS {c}_std, round(min({c}), 1) AS {c}_min, round(max({c}), 1) AS {c}_max"
+    for c in ["review_length", "review_word_count", "title_length"]) + " FROM t GROUP BY satisfied"
+
+ORACLE["q20_histogram"] = """
+WITH b AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM documents),
+x AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((n_chars - lo) / ((hi - lo) / 50)), 49) END::INTEGER AS bin, lo, hi
+      FROM documents, b)
+SELECT bin, round(lo + bin * ((hi - lo) / 50), 6) AS bin_lo, round(lo + (bin + 1) * ((hi - lo) / 50), 6) AS bin_hi,
+       count(*)::BIGINT AS n
+FROM x GROUP BY bin, lo, hi
+"""
+
+ORACLE["q21_kde"] = """
+WITH t AS (SELECT l.quality AS satisfied, d.n_chars::DOUBLE AS x FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT satisfied, count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM t GROUP BY satisfied),
+s2 AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 1024 AS w FROM s),
+b AS (SELECT t.satisfied, CASE WHEN w = 0 THEN 0 ELSE least(floor((x - lo) / w), 1023) END AS j, count(*) AS c
+      FROM t JOIN s2 ON t.satisfied = s2.satisfied GROUP BY ALL),
+g AS (SELECT satisfied, i, lo - (hi - lo) / 2 + i * (2 * (hi - lo)) / 999 AS gx FROM s2, range(0, 1000) r(i))
+SELECT g.satisfied, g.i::BIGINT AS i, round(g.gx, 4) AS x,
+       round(sum(b.c * exp(-pow((g.gx - (s2.lo + (b.j + 0.5) * s2.w)) / s2.h, 2) / 2))
+             / (s2.n * s2.h * sqrt(2 * pi())) * 1e6, 4) AS density_e6
+FROM g JOIN b ON g.satisfied = b.satisfied JOIN s2 ON g.satisfied = s2.satisfied
+GROUP BY g.satisfied, g.i, g.gx, s2.n, s2.h
+"""
+
+ORACLE["q22_box_stats"] = """
+WITH t AS (SELECT l.quality AS satisfied, length(d.text)::DOUBLE AS v FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+q AS (SELECT satisfied, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM t GROUP BY satisfied),
+q2 AS (SELECT *, q3 - q1 AS iqr FROM q)
+SELECT t.satisfied, round(q1, 3) AS q1, round(median, 3) AS median, round(q3, 3) AS q3, round(iqr, 3) AS iqr,
+       round(min(v) FILTER (WHERE v >= q1 - 1.5 * iqr), 3) AS whisker_lo,
+       round(max(v) FILTER (WHERE v <= q3 + 1.5 * iqr), 3) AS whisker_hi,
+       count(*) FILTER (WHERE v < q1 - 1.5 * iqr OR v > q3 + 1.5 * iqr)::BIGINT AS n_outliers
+FROM t JOIN q2 ON t.satisfied = q2.satisfied GROUP BY t.satisfied, q1, median, q3, iqr
+"""
+
+_CORR = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio",
+         "n_chars", "satisfied", "toxic"]
+FEAT_L = f"""{FEAT},
+featl AS (SELECT f.*, l.quality AS satisfied, l.toxic FROM feat f JOIN labels l ON f.doc_id = l.doc_id)"""
+ORACLE["q23_corr_matrix"] = f"WITH {FEAT_L}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS corr FROM featl"
+    for i, a in enumerate(_CORR) for b in _CORR[:i])
+
+ORACLE["q24_target_corr"] = f"WITH {FEAT_L},\nc AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature, round(corr({a}::DOUBLE, satisfied::DOUBLE), 6) AS corr FROM featl"
+    for a in _CORR if a != "satisfied") + """)
+SELECT feature, corr, row_number() OVER (ORDER BY corr, feature)::BIGINT AS rank FROM c
+"""
+
+_NLP_CTE = f"""d0 AS (SELECT doc_id AS review_id, text, {tokenize(nlp_clean('text'))} AS toks FROM documents),
+s0 AS (SELECT review_id, [t for t in toks if NOT list_contains({sql_list(NLP_STOP)}, t)] AS toks FROM d0),
+l0 AS (SELECT review_id, [x for x in [{dict_lemma('t')} for t in toks]
+                        if regexp_full_match(x, '\\p{{L}}+') AND length(x) > 1] AS lem FROM s0),
+clean AS (SELECT review_id, array_to_string(lem, ' ') AS cleaned_review FROM l0)"""
+
+ORACLE["q25_text_comparison"] = f"""
+WITH {_NLP_CTE},
+st AS (
+  SELECT 'original' AS stage, length(text) AS c, {words('text')} AS w FROM documents
+  UNION ALL SELECT 'cleaned', length(cleaned_review), {words('cleaned_review')} FROM clean),
+agg AS (SELECT stage, round(avg(c), 2) AS mean_chars, round(avg(w), 2) AS mean_words,
+               round(avg(c / greatest(w, 1)), 3) AS mean_word_length, min(w)::BIGINT AS min_words,
+               max(w)::BIGINT AS max_words, sum(w) AS total_words FROM st GROUP BY stage),
+voc AS (
+  SELECT 'original' AS stage, count(DISTINCT v) AS vocab FROM (SELECT unnest({split_ws('lower(text)')}) AS v FROM documents)
+  UNION ALL SELECT 'cleaned', count(DISTINCT v) FROM (SELECT unnest({split_ws('cleaned_review')}) AS v FROM clean))
+SELECT a.stage, mean_chars, mean_words, mean_word_length, min_words, max_words, vocab::BIGINT AS vocab,
+       round(total_words * 100.0 / (SELECT total_words FROM agg WHERE stage = 'original'), 2) AS words_vs_original_pct
+FROM agg a JOIN voc v ON a.stage = v.stage
+"""
+
+ORACLE["q26_word_reduction"] = f"""
+WITH t AS (SELECT l.quality AS satisfied, {words('d.text')} AS before,
+                  len([t for t in {split_ws(serving_clean('d.text'))} if regexp_full_match(t, '\\p{{L}}+')
+                       AND NOT list_contains({sql_list(dims.stopwords('frozen'))}, t) AND length(t) > 2]) AS after
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+r AS (SELECT satisfied, (before - after) * 100.0 / nullif(before, 0) AS reduction_pct FROM t)
+SELECT satisfied, count(*)::BIGINT AS n, round(avg(reduction_pct), 2) AS mean_reduction_pct,
+       round(min(reduction_pct), 2) AS min_reduction_pct, round(max(reduction_pct), 2) AS max_reduction_pct
+FROM r GROUP BY satisfied
+"""
+
+ORACLE["q27_seeded_sample"] = """
+SELECT d.doc_id AS review_id, d.lang, md5(d.doc_id::VARCHAR || '|42') AS sample_key,
+       (l.quality IS NULL)::INTEGER AS quality_is_null, (l.toxic IS NULL)::INTEGER AS toxic_is_null
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+ORDER BY sample_key LIMIT 200
+"""
