@@ -427,3 +427,133 @@ def q27(spark, sf):
     # the sample size is the feature: TakeOrderedAndProject keeps 200 rows per partition
     s = d.orderBy("sample_key").limit(200)
     return null_indicators(s, ["quality", "toxic"])
+
+
+# sentiment queries -----------------------------------------------------------
+# Query lexicon: words frequent in the driver's English documents with
+# arbitrary valences (the driver text is invented, so a real lexicon would
+# hardly hit).  The same lists are used by the oracle SQL.
+QUERY_LEXICON = [
+    ("the", 1.2), ("of", -1.6), ("and", 0.7), ("to", -0.4), ("in", 0.9), ("is", -1.1),
+    ("that", 2.0), ("for", -2.3), ("it", 1.5), ("was", -0.8), ("on", 0.6), ("with", -1.9),
+    ("be", 0.3), ("are", 1.1), ("from", -1.3), ("rewh", 2.6), ("th", -2.7), ("er", 1.8),
+    ("ha", -0.9), ("re", 0.4), ("he", -0.6), ("en", 1.0), ("es", -1.4), ("ti", 0.2),
+    ("ed", -2.1), ("ing", 1.7), ("nt", -0.3), ("ly", 2.2), ("tion", -1.5), ("orre", 3.1),
+]
+QUERY_BOOSTERS = [("by", 0.293), ("this", 0.293), ("at", -0.293), ("or", -0.293), ("an", 0.293), ("to", 0.293)]
+QUERY_NEGATIONS = ["a", "nd", "ou", "st"]
+QUERY_CONTRAST = "as"
+
+
+def _scored(spark, sf, text_expr=None, lang="en"):
+    from ..operators.sentiment import lexicon_scores
+    d = _docs(spark, sf).where(F.col("lang") == lang)
+    d = d.select(F.col("doc_id").alias("review_id"),
+                 (text_expr if text_expr is not None else F.col("text")).alias("t"))
+    return lexicon_scores(d, "review_id", "t", dims.lexicon_df(spark, QUERY_LEXICON),
+                          dims.booster_df(spark, QUERY_BOOSTERS), QUERY_NEGATIONS, QUERY_CONTRAST)
+
+
+# q28 N1 N2 W5 ---------------------------------------------------------------
+@query("q28_lexicon_sentiment")
+def q28(spark, sf):
+    return _scored(spark, sf)
+
+
+def _two_scorers(spark, sf):
+    """Scorer A: lexicon on the review text; scorer B (a stand-in for a batch
+    classifier, P8): label and confidence from the lexicon on title + review."""
+    a = _scored(spark, sf)
+    b = _scored(spark, sf, tx.combine_title_review(tx.first_line("text"), F.col("text")))
+    b = b.select("review_id",
+                 F.when(F.col("compound") >= 0, "POSITIVE").otherwise("NEGATIVE").alias("raw_label"),
+                 F.abs("compound").alias("confidence"))
+    j = a.join(b, "review_id")
+    return j.select(
+        "review_id",
+        lb.three_class("compound").alias("lexicon_label"),            # P7
+        F.col("compound").alias("lexicon_score"),
+        "raw_label", "confidence",
+        F.round(lb.classifier_signed_score("raw_label", "confidence"), 4).alias("model_score"),   # P8
+        lb.classifier_label("raw_label", "confidence").alias("model_label"),
+    )
+
+
+# q29 P8–P12 T26 -------------------------------------------------------------
+@query("q29_sentiment_labels")
+def q29(spark, sf):
+    j = _two_scorers(spark, sf)
+    return j.select(
+        "*",
+        F.col("lexicon_label").alias("sentiment_label"),                # P12
+        F.col("lexicon_score").alias("sentiment_score"),
+        F.round(tx.score_to_percent("lexicon_score"), 3).alias("score_pct"),   # T26
+        lb.label_to_binary("lexicon_label").alias("lexicon_bin"),      # P9
+        lb.label_to_binary("model_label", conservative=True).alias("model_bin_cons"),
+        lb.agrees("lexicon_label", "model_label").alias("agree"),      # P10
+    )
+
+
+LABEL_ORDER = ["Negative", "Neutral", "Positive"]
+
+
+def _label_grid(spark):
+    return spark.createDataFrame([(a, b) for a in LABEL_ORDER for b in LABEL_ORDER],
+                                 "lexicon_label string, model_label string")
+
+
+# q30 A20 A17 ----------------------------------------------------------------
+@query("q30_model_agreement")
+def q30(spark, sf):
+    j = _two_scorers(spark, sf)
+    counts = j.groupBy("lexicon_label", "model_label").agg(F.count("*").alias("n"))
+    full = F.broadcast(_label_grid(spark)).join(counts, ["lexicon_label", "model_label"], "left") \
+        .select("lexicon_label", "model_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    tot = j.agg(F.count("*").alias("total"),
+                F.avg(lb.agrees("lexicon_label", "model_label").cast("double")).alias("rate"),
+                F.count_if(~lb.agrees("lexicon_label", "model_label")).alias("dis"))
+    return full.select(
+        "*",
+        F.round(F.col("n") * 100.0 / tot.select("total").scalar(), 2).alias("pct"),
+        F.round(tot.select("rate").scalar(), 4).alias("agreement_rate"),
+        tot.select("dis").scalar().cast("bigint").alias("disagreements"))
+
+
+# q31 A19 --------------------------------------------------------------------
+@query("q31_disagreement_crosstab")
+def q31(spark, sf):
+    j = _two_scorers(spark, sf).where(F.col("lexicon_label") != F.col("model_label"))
+    p = j.groupBy("lexicon_label").pivot("model_label", LABEL_ORDER).count().na.fill(0)
+    return p.select("lexicon_label", *[F.col(c).cast("bigint").alias(c) for c in LABEL_ORDER])
+
+
+# q32 A21 --------------------------------------------------------------------
+@query("q32_accuracy_coverage")
+def q32(spark, sf):
+    j = _two_scorers(spark, sf).join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"),
+                                     "review_id")
+    long = j.select("quality", F.expr("stack(2, 'lexicon', lexicon_label, 'model', model_label) as (scorer, label)"))
+    long = long.withColumn("b", lb.label_to_binary("label"))
+    covered = F.col("b") != -1
+    return long.groupBy("scorer").agg(
+        F.count("*").cast("bigint").alias("n"),
+        F.count_if(covered).cast("bigint").alias("covered"),
+        F.round(F.avg(F.when(covered, (F.col("b") == F.col("quality")).cast("double"))), 4).alias("accuracy"),
+        F.round(F.avg(covered.cast("double")) * 100, 2).alias("coverage_pct"))
+
+
+# q33 A22 U2 N4 --------------------------------------------------------------
+@query("q33_label_mix_by_class")
+def q33(spark, sf):
+    j = _two_scorers(spark, sf).join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"),
+                                     "review_id")
+    a = j.select(F.lit("lexicon").alias("scorer"), F.col("quality").alias("actual"), F.col("lexicon_label").alias("label"))
+    b = j.select(F.lit("model").alias("scorer"), F.col("quality").alias("actual"), F.col("model_label").alias("label"))
+    counts = a.unionByName(b).groupBy("scorer", "actual", "label").agg(F.count("*").alias("n"))   # U2
+    grid = spark.createDataFrame([(s, c, lab) for s in ("lexicon", "model") for c in (0, 1) for lab in LABEL_ORDER],
+                                 "scorer string, actual int, label string")
+    full = F.broadcast(grid).join(counts, ["scorer", "actual", "label"], "left") \
+        .select("scorer", "actual", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("scorer", "actual")   # 12-row grid
+    return full.withColumn("pct_of_class", F.round(F.try_divide(F.col("n") * 100.0, F.sum("n").over(w)), 2))

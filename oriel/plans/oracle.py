@@ -385,3 +385,147 @@ SELECT d.doc_id AS review_id, d.lang, md5(d.doc_id::VARCHAR || '|42') AS sample_
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ORDER BY sample_key LIMIT 200
 """
+
+
+# sentiment -------------------------------------------------------------------
+from .catalog import QUERY_BOOSTERS, QUERY_CONTRAST, QUERY_LEXICON, QUERY_NEGATIONS  # noqa: E402
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(sql_str(v) if isinstance(v, str) else repr(float(v)) for v in r) + ")" for r in rows)
+
+
+STRIP_P = "regexp_replace(t, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
+UP = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
+
+
+def sentiment_sql(text_expr: str = "text") -> str:
+    """CTE chain ending in `scores(review_id, neg, neu, pos, compound)` over English documents."""
+    steps = []
+    for k, decay in zip((1, 2, 3), (1.0, 0.95, 0.9)):
+        bs = f"(CASE WHEN v < 0 THEN -b{k} ELSE b{k} END)"
+        s = (f"(CASE WHEN b{k} IS NULL THEN 0.0 ELSE (CASE WHEN up{k} AND cap_diff THEN "
+             f"(CASE WHEN v > 0 THEN {bs} + 0.733 ELSE {bs} - 0.733 END) ELSE {bs} END) * {decay} END)")
+        usable = f"(w{k} IS NOT NULL AND val{k} IS NULL)"
+        steps.append(f"""v{k}a AS (SELECT * REPLACE (CASE WHEN {usable} THEN v + {s} ELSE v END AS v) FROM v{k - 1 if k > 1 else 0}),
+v{k} AS (SELECT * REPLACE (CASE WHEN {usable} AND (list_contains({sql_list(QUERY_NEGATIONS)}, w{k}) OR contains(w{k}, 'n''t'))
+                         THEN v * -0.74 ELSE v END AS v) FROM v{k}a)""")
+    steps_sql = ",\n".join(steps)
+    joins = "\n".join(f"LEFT JOIN wt t{k} ON t{k}.token = e.w{k}" for k in (1, 2, 3))
+    return f"""lex(token, valence) AS (VALUES {_values(QUERY_LEXICON)}),
+bst(token, delta) AS (VALUES {_values(QUERY_BOOSTERS)}),
+wt AS (SELECT coalesce(l.token, b.token) AS token, l.valence, b.delta FROM lex l FULL OUTER JOIN bst b ON l.token = b.token),
+sd AS (SELECT doc_id AS review_id, {text_expr} AS text FROM documents WHERE lang = 'en'),
+sd1 AS (SELECT review_id, text, [CASE WHEN length({STRIP_P}) > 2 THEN {STRIP_P} ELSE t END
+                                  for t in regexp_extract_all(text, '[^\\s]+')] AS ws,
+               length(text) - length(replace(text, '?', '')) AS qn FROM sd),
+dd AS (SELECT review_id, ws, len(ws) AS n_words,
+              len([t for t in ws if {UP.format('t')}]) AS n_caps,
+              coalesce(list_position([lower(t) for t in ws], {sql_str(QUERY_CONTRAST)}), 0) - 1 AS but_pos,
+              least(length(text) - length(replace(text, '!', '')), 4) * 0.292
+              + (CASE WHEN qn > 1 THEN (CASE WHEN qn <= 3 THEN qn * 0.18 ELSE 0.96 END) ELSE 0.0 END) AS amp
+       FROM sd1),
+ex AS (SELECT review_id, (n_caps > 0 AND n_caps < n_words) AS cap_diff, but_pos,
+              generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS raw FROM dd),
+e AS (SELECT *, lower(raw) AS w, {UP.format('raw')} AS up0,
+             lower(lag(raw, 1) OVER win) AS w1, lower(lag(raw, 2) OVER win) AS w2, lower(lag(raw, 3) OVER win) AS w3,
+             {UP.format('lag(raw, 1) OVER win')} AS up1, {UP.format('lag(raw, 2) OVER win')} AS up2,
+             {UP.format('lag(raw, 3) OVER win')} AS up3
+      FROM ex WINDOW win AS (PARTITION BY review_id ORDER BY pos)),
+h AS (SELECT e.*, t0.valence AS val0, t1.valence AS val1, t1.delta AS b1, t2.valence AS val2, t2.delta AS b2,
+             t3.valence AS val3, t3.delta AS b3
+      FROM e JOIN wt t0 ON t0.token = e.w AND t0.valence IS NOT NULL AND t0.delta IS NULL
+      {joins}),
+v0 AS (SELECT *, CASE WHEN up0 AND cap_diff THEN (CASE WHEN val0 > 0 THEN val0 + 0.733 ELSE val0 - 0.733 END)
+                 ELSE val0 END AS v FROM h),
+{steps_sql},
+sv AS (SELECT review_id, v * (CASE WHEN but_pos >= 0 AND pos < but_pos THEN 0.5
+                                  WHEN but_pos >= 0 AND pos > but_pos THEN 1.5 ELSE 1.0 END) AS s FROM v3),
+ag AS (SELECT review_id, sum(s) AS sum_s, coalesce(sum(CASE WHEN s > 0 THEN s + 1 END), 0.0) AS pos_sum,
+              coalesce(sum(CASE WHEN s < 0 THEN s - 1 END), 0.0) AS neg_sum, count(*) FILTER (WHERE s <> 0) AS nz
+       FROM sv GROUP BY review_id),
+g AS (SELECT dd.review_id, dd.n_words, dd.amp, coalesce(ag.sum_s, 0.0) AS sum_s, coalesce(ag.pos_sum, 0.0) AS pos_sum,
+             coalesce(ag.neg_sum, 0.0) AS neg_sum, coalesce(ag.nz, 0) AS nz
+      FROM dd LEFT JOIN ag ON dd.review_id = ag.review_id),
+g2 AS (SELECT review_id, n_words,
+              CASE WHEN sum_s > 0 THEN sum_s + amp WHEN sum_s < 0 THEN sum_s - amp ELSE sum_s END AS x,
+              CASE WHEN pos_sum > abs(neg_sum) THEN pos_sum + amp ELSE pos_sum END AS p,
+              CASE WHEN pos_sum < abs(neg_sum) THEN neg_sum - amp ELSE neg_sum END AS q,
+              (n_words - nz)::DOUBLE AS u FROM g),
+scores AS (SELECT review_id,
+       CASE WHEN n_words = 0 THEN 0.0 ELSE round_even(abs(q / (p + abs(q) + u)), 3) END AS neg,
+       CASE WHEN n_words = 0 THEN 0.0 ELSE round_even(abs(u / (p + abs(q) + u)), 3) END AS neu,
+       CASE WHEN n_words = 0 THEN 0.0 ELSE round_even(abs(p / (p + abs(q) + u)), 3) END AS pos,
+       CASE WHEN n_words = 0 THEN 0.0 ELSE round_even(least(greatest(x / sqrt(x * x + 15), -1.0), 1.0), 4) END AS compound
+       FROM g2)"""
+
+
+ORACLE["q28_lexicon_sentiment"] = f"WITH {sentiment_sql()}\nSELECT * FROM scores"
+
+_TWO = f"""WITH {sentiment_sql()},
+{sentiment_sql("split_part(text, chr(10), 1) || '. ' || text").replace('scores AS', 'scores_b AS').replace('lex(token', 'lexb(token').replace('FROM lex ', 'FROM lexb ').replace('bst(token', 'bstb(token').replace('FULL OUTER JOIN bst ', 'FULL OUTER JOIN bstb ').replace('wt AS', 'wtb AS').replace('JOIN wt ', 'JOIN wtb ').replace('sd AS', 'sdb AS').replace('FROM sd)', 'FROM sdb)').replace('sd1 AS', 'sd1b AS').replace('FROM sd1)', 'FROM sd1b)').replace('dd AS', 'ddb AS').replace('FROM dd', 'FROM ddb').replace('dd.', 'ddb.').replace('ex AS', 'exb AS').replace('FROM ex ', 'FROM exb ').replace('e AS (', 'eb AS (').replace('FROM e JOIN', 'FROM eb e JOIN').replace('h AS', 'hb AS').replace('FROM h)', 'FROM hb)').replace('v0 AS', 'v0b AS').replace('FROM v0)', 'FROM v0b)').replace('v1a AS', 'v1ab AS').replace('FROM v1a)', 'FROM v1ab)').replace('v1 AS', 'v1b AS').replace('FROM v1)', 'FROM v1b)').replace('v2a AS', 'v2ab AS').replace('FROM v2a)', 'FROM v2ab)').replace('v2 AS', 'v2b AS').replace('FROM v2)', 'FROM v2b)').replace('v3a AS', 'v3ab AS').replace('FROM v3a)', 'FROM v3ab)').replace('v3 AS', 'v3b AS').replace('FROM v3)', 'FROM v3b)').replace('sv AS', 'svb AS').replace('FROM sv ', 'FROM svb ').replace('ag AS', 'agb AS').replace('JOIN ag ', 'JOIN agb ag ').replace('g AS (', 'gb AS (').replace('FROM g)', 'FROM gb)').replace('g2 AS', 'g2b AS').replace('FROM g2)', 'FROM g2b)')},
+two AS (
+  SELECT a.review_id,
+         CASE WHEN a.compound >= 0.05 THEN 'Positive' WHEN a.compound <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS lexicon_label,
+         a.compound AS lexicon_score,
+         CASE WHEN b.compound >= 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS raw_label,
+         abs(b.compound) AS confidence
+  FROM scores a JOIN scores_b b ON a.review_id = b.review_id),
+two2 AS (
+  SELECT *, round(CASE WHEN raw_label = 'NEGATIVE' THEN -confidence ELSE confidence END, 4) AS model_score,
+         CASE WHEN confidence < 0.85 THEN 'Neutral' WHEN raw_label = 'POSITIVE' THEN 'Positive'
+              WHEN raw_label = 'NEGATIVE' THEN 'Negative' ELSE 'Neutral' END AS model_label
+  FROM two)"""
+
+ORACLE["q29_sentiment_labels"] = _TWO + """
+SELECT *, lexicon_label AS sentiment_label, lexicon_score AS sentiment_score,
+       round((lexicon_score + 1.0) / 2.0 * 100.0, 3) AS score_pct,
+       CASE lexicon_label WHEN 'Positive' THEN 1 WHEN 'Negative' THEN 0 ELSE -1 END AS lexicon_bin,
+       CASE model_label WHEN 'Positive' THEN 1 WHEN 'Negative' THEN 0 ELSE 0 END AS model_bin_cons,
+       lexicon_label = model_label AS agree
+FROM two2
+"""
+
+_GRID = "SELECT a.l AS lexicon_label, b.l AS model_label FROM (SELECT unnest(['Negative','Neutral','Positive']) AS l) a, (SELECT unnest(['Negative','Neutral','Positive']) AS l) b"
+ORACLE["q30_model_agreement"] = _TWO + f""",
+c AS (SELECT lexicon_label, model_label, count(*) AS n FROM two2 GROUP BY ALL),
+f AS (SELECT g.lexicon_label, g.model_label, coalesce(c.n, 0) AS n FROM ({_GRID}) g
+      LEFT JOIN c ON c.lexicon_label = g.lexicon_label AND c.model_label = g.model_label)
+SELECT lexicon_label, model_label, n::BIGINT AS n,
+       round(n * 100.0 / (SELECT count(*) FROM two2), 2) AS pct,
+       round((SELECT avg((lexicon_label = model_label)::DOUBLE) FROM two2), 4) AS agreement_rate,
+       (SELECT count(*) FILTER (WHERE lexicon_label <> model_label) FROM two2)::BIGINT AS disagreements
+FROM f
+"""
+
+ORACLE["q31_disagreement_crosstab"] = _TWO + """
+SELECT lexicon_label,
+       count(*) FILTER (WHERE model_label = 'Negative')::BIGINT AS "Negative",
+       count(*) FILTER (WHERE model_label = 'Neutral')::BIGINT AS "Neutral",
+       count(*) FILTER (WHERE model_label = 'Positive')::BIGINT AS "Positive"
+FROM two2 WHERE lexicon_label <> model_label GROUP BY lexicon_label
+"""
+
+ORACLE["q32_accuracy_coverage"] = _TWO + """,
+j AS (SELECT t.*, l.quality FROM two2 t JOIN labels l ON l.doc_id = t.review_id),
+lg AS (SELECT 'lexicon' AS scorer, lexicon_label AS label, quality FROM j UNION ALL SELECT 'model', model_label, quality FROM j),
+b AS (SELECT scorer, quality, CASE label WHEN 'Positive' THEN 1 WHEN 'Negative' THEN 0 ELSE -1 END AS b FROM lg)
+SELECT scorer, count(*)::BIGINT AS n, count(*) FILTER (WHERE b <> -1)::BIGINT AS covered,
+       round(avg(CASE WHEN b <> -1 THEN (b = quality)::DOUBLE END), 4) AS accuracy,
+       round(avg((b <> -1)::DOUBLE) * 100, 2) AS coverage_pct
+FROM b GROUP BY scorer
+"""
+
+ORACLE["q33_label_mix_by_class"] = _TWO + """,
+j AS (SELECT t.*, l.quality FROM two2 t JOIN labels l ON l.doc_id = t.review_id),
+lg AS (SELECT 'lexicon' AS scorer, quality AS actual, lexicon_label AS label FROM j
+       UNION ALL SELECT 'model', quality, model_label FROM j),
+c AS (SELECT scorer, actual, label, count(*) AS n FROM lg GROUP BY ALL),
+grid AS (SELECT s.s AS scorer, a.a AS actual, l.l AS label FROM (SELECT unnest(['lexicon','model']) AS s) s,
+         (SELECT unnest([0, 1]) AS a) a, (SELECT unnest(['Negative','Neutral','Positive']) AS l) l),
+f AS (SELECT g.scorer, g.actual, g.label, coalesce(c.n, 0) AS n FROM grid g
+      LEFT JOIN c ON c.scorer = g.scorer AND c.actual = g.actual AND c.label = g.label)
+SELECT scorer, actual, label, n::BIGINT AS n,
+       round(n * 100.0 / nullif(sum(n) OVER (PARTITION BY scorer, actual), 0), 2) AS pct_of_class
+FROM f
+"""
