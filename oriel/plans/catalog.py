@@ -447,7 +447,9 @@ QUERY_CONTRAST = "as"
 
 def _scored(spark, sf, text_expr=None, lang="en"):
     from ..operators.sentiment import lexicon_scores
-    d = _docs(spark, sf).where(F.col("lang") == lang)
+    d = _docs(spark, sf)
+    if lang:
+        d = d.where(F.col("lang") == lang)
     d = d.select(F.col("doc_id").alias("review_id"),
                  (text_expr if text_expr is not None else F.col("text")).alias("t"))
     return lexicon_scores(d, "review_id", "t", dims.lexicon_df(spark, QUERY_LEXICON),
@@ -557,3 +559,80 @@ def q33(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("scorer", "actual")   # 12-row grid
     return full.withColumn("pct_of_class", F.round(F.try_divide(F.col("n") * 100.0, F.sum("n").over(w)), 2))
+
+
+# topics and recommendations ---------------------------------------------------
+@query("q34_detect_topic")
+def q34(spark, sf):
+    from ..operators.topics import detect_topic
+    docs = _docs(spark, sf).select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
+                                   F.lit(0).cast("bigint").alias("turn"), "text")
+    conv = tb.table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        F.lit("conv").alias("src"), F.col("conv_id").alias("id"), "turn", "text")
+    u = docs.unionByName(conv)
+    return u.select("src", "id", "turn", detect_topic("text", "lambda").alias("topic"),
+                    detect_topic("text", "app").alias("topic_app"))
+
+
+@query("q35_topic_rollup")
+def q35(spark, sf):
+    from pyspark.sql import Window
+    from ..operators.topics import detect_topic
+    c = _docs(spark, sf).select(detect_topic("text").alias("topic")).groupBy("topic").agg(
+        F.count("*").cast("bigint").alias("n"))
+    # at most 11 topic rows: the global ranking window is bounded
+    r = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "topic")).cast("bigint"))
+    return r.where(F.col("rank") <= 10)
+
+
+def _scored_topics(spark, sf):
+    from ..operators.topics import detect_topic
+    s = _scored(spark, sf, lang=None)
+    t = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), detect_topic("text").alias("topic"), "text")
+    return t.join(s.select("review_id", F.col("compound").alias("sentiment_score")), "review_id")
+
+
+@query("q36_recommend")
+def q36(spark, sf):
+    from ..operators.recommend import recommend
+    d = _scored_topics(spark, sf).withColumn("satisfied", lb.satisfied_from_compound("sentiment_score"))
+    r = recommend(d, spark, "topic", "sentiment_score", "satisfied")
+    return r.select("review_id", "topic", "sentiment_score", "predicted_satisfaction",
+                    "action", "priority", "owner", "kpi")
+
+
+@query("q37_recommend_report")
+def q37(spark, sf):
+    from ..operators.recommend import first_per_group, priority_rank, recommend, round_robin_topics
+    s = _scored(spark, sf, lang=None)
+    neg = s.where(lb.three_class("compound") == "Negative").select(
+        "review_id", F.col("compound").alias("sentiment_score"), F.lit(0).alias("satisfied"))
+    topics = [t for t, _ in dims.TOPIC_PRIORITY]
+    rr = round_robin_topics(neg, spark, "review_id", topics)
+    rec = recommend(rr, spark, "topic", "sentiment_score", "satisfied").withColumn("prio_rank", priority_rank("priority"))
+    rec = first_per_group(rec, "topic", ["prio_rank", "review_id"])
+    return rec.select("review_id", "topic", "sentiment_score", "predicted_satisfaction", "action", "priority",
+                      "owner", "kpi", F.col("prio_rank").cast("int").alias("prio_rank"), "is_topic_sample") \
+        .orderBy("prio_rank", "review_id")
+
+
+@query("q38_prompt_table")
+def q38(spark, sf):
+    from ..operators.recommend import prompt_text
+    d = _scored_topics(spark, sf)
+    d = d.select("review_id", "text", "topic", "sentiment_score",
+                 lb.three_class("sentiment_score").alias("label"),
+                 lb.satisfaction_text(lb.satisfied_from_compound("sentiment_score")).alias("satisfaction"),
+                 F.abs("sentiment_score").alias("confidence"))
+    return d.select("review_id", prompt_text("text", "label", "sentiment_score", "satisfaction", "topic",
+                                             "confidence").alias("prompt"))
+
+
+@query("q39_canned_reply")
+def q39(spark, sf):
+    from ..operators.recommend import canned_reply, fallback_text, recommend
+    d = _scored_topics(spark, sf).withColumn("satisfied", lb.satisfied_from_compound("sentiment_score"))
+    r = recommend(d, spark, "topic", "sentiment_score", "satisfied")
+    c = canned_reply(r, spark, "topic", "sentiment_score", "predicted_satisfaction")
+    return c.select("review_id", "topic", "reply", fallback_text("action").alias("fallback_text"),
+                    F.lit("fallback").alias("genai_source"))

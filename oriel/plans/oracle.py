@@ -399,7 +399,7 @@ STRIP_P = "regexp_replace(t, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
 UP = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def sentiment_sql(text_expr: str = "text") -> str:
+def sentiment_sql(text_expr: str = "text", where: str = "lang = 'en'") -> str:
     """CTE chain ending in `scores(review_id, neg, neu, pos, compound)` over English documents."""
     steps = []
     for k, decay in zip((1, 2, 3), (1.0, 0.95, 0.9)):
@@ -415,7 +415,7 @@ v{k} AS (SELECT * REPLACE (CASE WHEN {usable} AND (list_contains({sql_list(QUERY
     return f"""lex(token, valence) AS (VALUES {_values(QUERY_LEXICON)}),
 bst(token, delta) AS (VALUES {_values(QUERY_BOOSTERS)}),
 wt AS (SELECT coalesce(l.token, b.token) AS token, l.valence, b.delta FROM lex l FULL OUTER JOIN bst b ON l.token = b.token),
-sd AS (SELECT doc_id AS review_id, {text_expr} AS text FROM documents WHERE lang = 'en'),
+sd AS (SELECT doc_id AS review_id, {text_expr} AS text FROM documents WHERE {where}),
 sd1 AS (SELECT review_id, text, [CASE WHEN length({STRIP_P}) > 2 THEN {STRIP_P} ELSE t END
                                   for t in regexp_extract_all(text, '[^\\s]+')] AS ws,
                length(text) - length(replace(text, '?', '')) AS qn FROM sd),
@@ -529,3 +529,87 @@ SELECT scorer, actual, label, n::BIGINT AS n,
        round(n * 100.0 / nullif(sum(n) OVER (PARTITION BY scorer, actual), 0), 2) AS pct_of_class
 FROM f
 """
+
+
+# topics / recommendations -------------------------------------------------------
+from ..operators.recommend import PROMPT_TEMPLATE  # noqa: E402
+
+
+def topic_case(x: str, variant: str = "lambda") -> str:
+    whens = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower({x}), {sql_str(k)})" for k in kws) + f" THEN {sql_str(t)}"
+        for t, kws in dims.TOPIC_KEYWORDS[variant])
+    return f"CASE {whens} ELSE {sql_str(dims.DEFAULT_TOPIC)} END"
+
+
+ORACLE["q34_detect_topic"] = f"""
+SELECT 'doc' AS src, doc_id AS id, 0::BIGINT AS turn, {topic_case('text')} AS topic, {topic_case('text', 'app')} AS topic_app
+FROM documents
+UNION ALL
+SELECT 'conv', conv_id, turn, {topic_case('text')}, {topic_case('text', 'app')} FROM conversations WHERE role = 'user'
+"""
+
+ORACLE["q35_topic_rollup"] = f"""
+WITH c AS (SELECT {topic_case('text')} AS topic, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT topic, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, topic)::BIGINT AS rank FROM c)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+_prio = dict(dims.TOPIC_PRIORITY)
+_REC_ROWS = [(t, a, _prio[t], k, o) for t, (a, o, k) in dims.RECOMMENDATION_TEXT.items()]
+_DA, _DO, _DK = dims.DEFAULT_RECOMMENDATION_TEXT
+REC_CTE = f"rec(topic, action, priority, kpi, owner) AS (VALUES {_values(_REC_ROWS)})"
+REPLY_CTE = f"rep(topic, reply) AS (VALUES {_values(list(dims.REPLY_TEXT.items()))})"
+
+
+def escalate_sql(p: str, s: str) -> str:
+    p1 = f"(CASE WHEN {s} < -0.6 AND {p} = 'MEDIUM' THEN 'HIGH' ELSE {p} END)"
+    return f"(CASE WHEN {s} < -0.8 AND {p1} = 'HIGH' THEN 'CRITICAL' ELSE {p1} END)"
+
+
+_ALL = sentiment_sql(where="TRUE")
+SCORED_TOPICS = f"""{_ALL},
+st AS (SELECT d.doc_id AS review_id, d.text, {topic_case('d.text')} AS topic, s.compound AS sentiment_score
+       FROM documents d JOIN scores s ON s.review_id = d.doc_id),
+{REC_CTE},
+recd AS (SELECT st.*, coalesce(rec.action, {sql_str(_DA)}) AS action, coalesce(rec.owner, {sql_str(_DO)}) AS owner,
+                coalesce(rec.kpi, {sql_str(_DK)}) AS kpi,
+                {escalate_sql("coalesce(rec.priority, 'MEDIUM')", 'st.sentiment_score')} AS priority,
+                CASE WHEN st.sentiment_score >= 0.05 THEN 'Satisfied' ELSE 'Not Satisfied' END AS predicted_satisfaction
+         FROM st LEFT JOIN rec ON rec.topic = st.topic)"""
+
+ORACLE["q36_recommend"] = f"""WITH {SCORED_TOPICS}
+SELECT review_id, topic, round_even(sentiment_score, 4) AS sentiment_score, predicted_satisfaction, action, priority, owner, kpi FROM recd
+"""
+
+_TOPIC_LIST = sql_list([t for t, _ in dims.TOPIC_PRIORITY])
+ORACLE["q37_recommend_report"] = f"""WITH {_ALL},
+{REC_CTE},
+neg AS (SELECT review_id, compound AS sentiment_score, row_number() OVER (ORDER BY review_id) - 1 AS idx
+        FROM scores WHERE compound <= -0.05),
+rr AS (SELECT *, {_TOPIC_LIST}[(idx % 10) + 1] AS topic FROM neg),
+r2 AS (SELECT rr.review_id, rr.topic, round_even(rr.sentiment_score, 4) AS sentiment_score, 'Not Satisfied' AS predicted_satisfaction,
+              coalesce(rec.action, {sql_str(_DA)}) AS action, {escalate_sql("coalesce(rec.priority, 'MEDIUM')", 'rr.sentiment_score')} AS priority,
+              coalesce(rec.owner, {sql_str(_DO)}) AS owner, coalesce(rec.kpi, {sql_str(_DK)}) AS kpi
+       FROM rr LEFT JOIN rec ON rec.topic = rr.topic),
+r3 AS (SELECT *, (CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 9 END)::INTEGER AS prio_rank FROM r2)
+SELECT *, row_number() OVER (PARTITION BY topic ORDER BY prio_rank, review_id) = 1 AS is_topic_sample FROM r3
+"""
+
+_PT = PROMPT_TEMPLATE.replace("'", "''")
+ORACLE["q38_prompt_table"] = f"""WITH {SCORED_TOPICS}
+SELECT review_id, printf('{_PT}', substr(text, 1, 1000),
+       CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative' ELSE 'Neutral' END,
+       sentiment_score, predicted_satisfaction, topic, abs(sentiment_score) * 100) AS prompt
+FROM recd
+"""
+
+ORACLE["q39_canned_reply"] = f"""WITH {SCORED_TOPICS},
+{REPLY_CTE}
+SELECT r.review_id, r.topic,
+       coalesce(rep.reply, {sql_str(dims.DEFAULT_REPLY_TEXT)})
+       || CASE WHEN r.sentiment_score < -0.7 AND r.predicted_satisfaction = 'Not Satisfied' THEN {sql_str(dims.URGENT_REPLY_SUFFIX)} ELSE '' END AS reply,
+       {sql_str(dims.FALLBACK_PREFIX)} || r.action || {sql_str(dims.FALLBACK_SUFFIX)} AS fallback_text,
+       'fallback' AS genai_source
+FROM recd r LEFT JOIN rep ON rep.topic = r.topic
+"""
