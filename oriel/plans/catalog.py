@@ -636,3 +636,37 @@ def q39(spark, sf):
     c = canned_reply(r, spark, "topic", "sentiment_score", "predicted_satisfaction")
     return c.select("review_id", "topic", "reply", fallback_text("action").alias("fallback_text"),
                     F.lit("fallback").alias("genai_source"))
+
+
+# split, folds, evaluation -------------------------------------------------------
+@query("q40_stratified_split")
+def q40(spark, sf):
+    from ..operators.split import stratified_split
+    s = stratified_split(_labels(spark, sf).select("doc_id", "quality"), "doc_id", "quality")
+    return s.select("doc_id", "quality", F.col("rn").cast("bigint").alias("rn"), "split")
+
+
+@query("q41_folds")
+def q41(spark, sf):
+    from ..operators.split import stratified_folds, stratified_split
+    s = stratified_split(_labels(spark, sf).select("doc_id", "quality"), "doc_id", "quality")
+    train = s.where(F.col("split") == "train").select("doc_id", "quality")
+    return stratified_folds(train, "doc_id", "quality", k=5).select("doc_id", "quality", "fold")
+
+
+def _rule_predictions(spark, sf):
+    s = _scored(spark, sf, lang=None)
+    return s.join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"), "review_id").select(
+        "review_id", "quality", "compound", lb.satisfied_from_compound("compound").alias("pred"))
+
+
+@query("q42_classification_report")
+def q42(spark, sf):
+    from ..operators.evaluate import classification_report
+    return classification_report(_rule_predictions(spark, sf), "quality", "pred")
+
+
+@query("q43_roc_auc")
+def q43(spark, sf):
+    from ..operators.evaluate import roc_points
+    return roc_points(_rule_predictions(spark, sf), "compound", "quality")

@@ -613,3 +613,56 @@ SELECT r.review_id, r.topic,
        'fallback' AS genai_source
 FROM recd r LEFT JOIN rep ON rep.topic = r.topic
 """
+
+
+# split / evaluation ---------------------------------------------------------------
+ORACLE["q40_stratified_split"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42')) AS rn,
+                  count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT doc_id, quality, rn::BIGINT AS rn, CASE WHEN rn * 5 <= n * 4 THEN 'train' ELSE 'test' END AS split FROM r
+"""
+
+ORACLE["q41_folds"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42')) AS rn,
+                  count(*) OVER (PARTITION BY quality) AS n FROM labels),
+t AS (SELECT doc_id, quality FROM r WHERE rn * 5 <= n * 4),
+f AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42')) AS rn FROM t)
+SELECT doc_id, quality, ((rn - 1) % 5)::INTEGER AS fold FROM f
+"""
+
+RULE_PRED = f"""{_ALL},
+rp AS (SELECT s.review_id, l.quality, s.compound, (s.compound >= 0.05)::INTEGER AS pred
+       FROM scores s JOIN labels l ON l.doc_id = s.review_id)"""
+
+ORACLE["q42_classification_report"] = f"""WITH {RULE_PRED},
+cls AS (SELECT quality AS c FROM rp UNION SELECT pred FROM rp),
+per AS (SELECT c::VARCHAR AS label,
+               count(*) FILTER (WHERE quality = c AND pred = c) AS tp,
+               count(*) FILTER (WHERE quality = c) AS support,
+               count(*) FILTER (WHERE pred = c) AS n_pred
+        FROM cls, rp GROUP BY c),
+per2 AS (SELECT *, coalesce(tp / nullif(n_pred, 0), 0.0) AS p, coalesce(tp / nullif(support, 0), 0.0) AS r FROM per),
+per3 AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f FROM per2),
+tot AS (SELECT sum(support) AS total, sum(tp) AS tp, avg(p) AS mp, avg(r) AS mr, avg(f) AS mf,
+               sum(p * support) AS wp, sum(r * support) AS wr, sum(f * support) AS wf FROM per3)
+SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support::BIGINT AS support FROM per3
+UNION ALL SELECT 'accuracy', NULL, NULL, round(tp / total, 4), total::BIGINT FROM tot
+UNION ALL SELECT 'macro avg', round(mp, 4), round(mr, 4), round(mf, 4), total::BIGINT FROM tot
+UNION ALL SELECT 'weighted avg', round(wp / total, 4), round(wr / total, 4), round(wf / total, 4), total::BIGINT FROM tot
+"""
+
+ORACLE["q43_roc_auc"] = f"""WITH {RULE_PRED},
+rg AS (SELECT compound AS threshold, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality <> 1) AS q
+      FROM rp GROUP BY compound),
+rc AS (SELECT *, sum(p) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
+                sum(q) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp FROM rg),
+t AS (SELECT sum(p) AS tot_p, sum(q) AS tot_n FROM rg),
+c2 AS (SELECT c.*, tp / nullif(t.tot_p, 0) AS tpr, fp / nullif(t.tot_n, 0) AS fpr, t.tot_p, t.tot_n FROM rc c, t),
+a AS (SELECT sum(p * ((tot_n - fp) + 0.5 * q)) / nullif(tot_p * tot_n, 0) AS auc FROM c2 GROUP BY tot_p, tot_n),
+b AS (SELECT threshold FROM c2 ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1)
+SELECT threshold::DOUBLE AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(a.auc, 6) AS auc,
+       threshold = (SELECT threshold FROM b) AS is_best
+FROM c2, a
+"""
