@@ -670,3 +670,48 @@ def q42(spark, sf):
 def q43(spark, sf):
     from ..operators.evaluate import roc_points
     return roc_points(_rule_predictions(spark, sf), "compound", "quality")
+
+
+# request edge, prediction log, trend ---------------------------------------------
+def _query_scoring(spark):
+    from ..operators.score import Scoring
+    return Scoring(spark, dims.lexicon_df(spark, QUERY_LEXICON), dims.booster_df(spark, QUERY_BOOSTERS),
+                   QUERY_NEGATIONS, QUERY_CONTRAST)
+
+
+def _requests(spark, sf):
+    from ..sources.requests import build_requests
+    c = tb.table(spark, sf, "conversations").where(F.col("role").isin("user", "system"))
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
+                 F.when(F.col("role") == "system", "blank")
+                 .when(F.col("turn") % 2 == 0, "gateway").otherwise("direct").alias("shape"))
+    return build_requests(c, "request_id", "text", "shape")
+
+
+@query("q44_request_parse_respond")
+def q44(spark, sf):
+    from ..sources.requests import respond
+    return respond(_requests(spark, sf), "request_id", "payload", _query_scoring(spark))
+
+
+@query("q45_prediction_log")
+def q45(spark, sf):
+    from ..operators.score import score_reviews
+    from ..sources.predlog import append_log, log_rows
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    rows = log_rows(score_reviews(d, "review_id", "text", _query_scoring(spark)), "review_id", "text")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"predlog-{uuid.uuid4().hex}")
+    append_log(rows, path)
+    back = spark.read.parquet(path)
+    return back.select("prediction_id", "review_snippet", "sentiment_label", "sentiment_score",
+                       "predicted_satisfaction", "confidence", "detected_topic", "priority")
+
+
+@query("q46_topic_trend")
+def q46(spark, sf):
+    from ..streaming.trend import daily_trend
+    from ..operators.score import score_reviews
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    s = score_reviews(d, "review_id", "text", _query_scoring(spark))
+    ev = tb.table(spark, sf, "events").select(F.col("event_id").alias("review_id"), "ts")
+    return daily_trend(s.join(ev, "review_id"), "ts")

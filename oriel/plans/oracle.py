@@ -399,7 +399,7 @@ STRIP_P = "regexp_replace(t, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
 UP = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def sentiment_sql(text_expr: str = "text", where: str = "lang = 'en'") -> str:
+def sentiment_sql(text_expr: str = "text", where: str = "lang = 'en'", src_sql: str | None = None) -> str:
     """CTE chain ending in `scores(review_id, neg, neu, pos, compound)` over English documents."""
     steps = []
     for k, decay in zip((1, 2, 3), (1.0, 0.95, 0.9)):
@@ -415,7 +415,7 @@ v{k} AS (SELECT * REPLACE (CASE WHEN {usable} AND (list_contains({sql_list(QUERY
     return f"""lex(token, valence) AS (VALUES {_values(QUERY_LEXICON)}),
 bst(token, delta) AS (VALUES {_values(QUERY_BOOSTERS)}),
 wt AS (SELECT coalesce(l.token, b.token) AS token, l.valence, b.delta FROM lex l FULL OUTER JOIN bst b ON l.token = b.token),
-sd AS (SELECT doc_id AS review_id, {text_expr} AS text FROM documents WHERE {where}),
+sd AS ({src_sql or f"SELECT doc_id AS review_id, {text_expr} AS text FROM documents WHERE {where}"}),
 sd1 AS (SELECT review_id, text, [CASE WHEN length({STRIP_P}) > 2 THEN {STRIP_P} ELSE t END
                                   for t in regexp_extract_all(text, '[^\\s]+')] AS ws,
                length(text) - length(replace(text, '?', '')) AS qn FROM sd),
@@ -666,3 +666,61 @@ SELECT threshold::DOUBLE AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fp
        threshold = (SELECT threshold FROM b) AS is_best
 FROM c2, a
 """
+
+
+# request edge / log / trend ------------------------------------------------------
+from ..sources.requests import MISSING_REVIEW  # noqa: E402
+
+REQ_SRC = ("SELECT conv_id * 1000 + turn AS review_id, " + strip("text") + " AS text FROM conversations "
+           "WHERE role = 'user' AND length(" + strip("text") + ") > 0")
+
+
+def scored_recs(src_sql: str) -> str:
+    return f"""{sentiment_sql(src_sql=src_sql)},
+st AS (SELECT s.review_id, sd.text, {topic_case('sd.text')} AS topic, s.compound AS sentiment_score,
+              s.neg, s.neu, s.pos FROM scores s JOIN sd ON sd.review_id = s.review_id),
+{REC_CTE},
+recd AS (SELECT st.*, coalesce(rec.action, {sql_str(_DA)}) AS action, coalesce(rec.owner, {sql_str(_DO)}) AS owner,
+                coalesce(rec.kpi, {sql_str(_DK)}) AS kpi,
+                {escalate_sql("coalesce(rec.priority, 'MEDIUM')", 'st.sentiment_score')} AS priority,
+                CASE WHEN st.sentiment_score >= 0.05 THEN 'Satisfied' ELSE 'Not Satisfied' END AS predicted_satisfaction,
+                CASE WHEN st.sentiment_score >= 0.05 THEN 'Positive' WHEN st.sentiment_score <= -0.05 THEN 'Negative'
+                     ELSE 'Neutral' END AS sentiment_label,
+                round_even(abs(st.sentiment_score), 4) AS confidence
+         FROM st LEFT JOIN rec ON rec.topic = st.topic)"""
+
+
+def _j(k, v, num=False):
+    return f"'\"{k}\":' || " + (f"printf('%.4f', {v} + 0.0)" if num else f"to_json({v})")
+
+
+_core = " || ',' || ".join([_j("sentiment_label", "sentiment_label"), _j("sentiment_score", "sentiment_score", True),
+                            _j("predicted_satisfaction", "predicted_satisfaction"), _j("confidence", "confidence", True),
+                            _j("detected_topic", "topic")])
+_rec = "'\"recommendation\":{' || " + " || ',' || ".join(_j(k, k) for k in ["action", "priority", "owner", "kpi"]) + " || '}'"
+_ai = (f"',' || " + _j("ai_recommendation", f"{sql_str(dims.FALLBACK_PREFIX)} || action || {sql_str(dims.FALLBACK_SUFFIX)}")
+       + " || ',\"genai_source\":\"fallback\"'")
+ORACLE["q44_request_parse_respond"] = f"""WITH {scored_recs(REQ_SRC)},
+req AS (SELECT conv_id * 1000 + turn AS request_id, role, turn FROM conversations WHERE role IN ('user', 'system'))
+SELECT r.request_id, 200 AS status_code,
+       '{{' || {_core} || ',' || {_rec} || CASE WHEN r.turn % 2 = 0 THEN {_ai} ELSE '' END || '}}' AS body
+FROM req r JOIN recd ON recd.review_id = r.request_id WHERE r.role = 'user'
+UNION ALL
+SELECT r.request_id, 400, '{{"error":"{MISSING_REVIEW}"}}' FROM req r
+WHERE r.role = 'system' OR (r.role = 'user' AND r.request_id NOT IN (SELECT review_id FROM recd))
+"""
+
+DOC_SRC = "SELECT doc_id AS review_id, text FROM documents"
+ORACLE["q45_prediction_log"] = f"""WITH {scored_recs(DOC_SRC)}
+SELECT md5(review_id::VARCHAR || '|' || text) AS prediction_id, substr(text, 1, 200) AS review_snippet,
+       sentiment_label, round_even(sentiment_score, 4) AS sentiment_score, predicted_satisfaction, confidence,
+       topic AS detected_topic, priority
+FROM recd
+"""
+
+ORACLE["q46_topic_trend"] = f"""WITH {scored_recs(DOC_SRC)}
+SELECT strftime(date_trunc('day', e.ts), '%Y-%m-%d') AS day, r.topic AS detected_topic, r.priority,
+       count(*)::BIGINT AS n, round(avg(round_even(r.sentiment_score, 4)), 4) AS mean_score
+FROM recd r JOIN events e ON e.event_id = r.review_id
+GROUP BY ALL
+"""
