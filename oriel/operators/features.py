@@ -8,7 +8,7 @@ aggregate Catalyst can plan (and an SQL oracle can check); the ML forms in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -38,8 +38,7 @@ def review_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def term_frequencies(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(id, term, tf) — partial aggregation on the map side (a document's
     terms stay in one partition after the explode)."""
-    return (df.select(id_col, F.explode(terms).alias("term"))
-            .groupBy(id_col, "term").agg(F.count("*").alias("tf")))
+    return tk.explode_terms(df, [id_col], terms).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(tf: DataFrame, id_col: str, n_docs: Column, max_features: int | None,
@@ -65,8 +64,9 @@ def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: Column, sublinea
     tfw = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     w = j.select(id_col, "term", (tfw * idf).alias("w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    # one exchange on the document id for the L2 norm (no aggregate + join back)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 
 
 def vectorizer_terms(c, ngram_max: int = 2, stop: list[str] | None = None) -> Column:

@@ -25,8 +25,10 @@ def explode_tokens(df: DataFrame, id_col: str, tokens: Column, keep: list[str] |
     """(id, pos, token) with 0-based positions; ``outer`` keeps one null row
     for documents without tokens so re-assembly needs no join back."""
     keep = keep or []
-    fn = F.posexplode_outer if outer else F.posexplode
-    return df.select(id_col, *keep, fn(tokens).alias("pos", "token"))
+    # posexplode_outer + filter: Catalyst infers no size(tokens) > 0 filter,
+    # which would evaluate the (expensive) token expression a second time
+    e = df.select(id_col, *keep, F.posexplode_outer(tokens).alias("pos", "token"))
+    return e if outer else e.where(F.col("token").isNotNull())
 
 
 def stopword_table(spark, variants=("general", "nlp_domain")) -> DataFrame:
@@ -55,12 +57,17 @@ def reassemble(tokens: DataFrame, id_col: str, value: str = "token", sep: str =
 def ngrams(tokens: Column, n: int = 2) -> Column:
     """In-array n-grams joined by a space (empty when fewer than n tokens).
 
-    Pass a column reference: an expression here would be re-evaluated inside
-    the lambda for every position."""
-    size = F.size(tokens)
-    idx = F.sequence(F.lit(0), F.greatest(size - n, F.lit(-1)))
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    Built from n shifted slices zipped together, so the lambda only sees the
+    zipped struct: the token array is evaluated a fixed number of times, never
+    once per position (an inlined expression inside a positional lambda would
+    make the cost quadratic)."""
+    m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    if n == 1:
+        return tokens
+    if n == 2:
+        return F.zip_with(F.slice(tokens, 1, m), F.slice(tokens, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    z = F.arrays_zip(*[F.slice(tokens, i + 1, m) for i in range(n)])
+    return F.transform(z, lambda s: F.concat_ws(" ", *[s[str(i)] for i in range(n)]))
 
 
 def vectorizer_tokens(c) -> Column:
@@ -120,6 +127,10 @@ def top_k_per_group(counts: DataFrame, group: list[str], term: str, n: str, k: i
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def explode_terms(df: DataFrame, keep: list[str], terms: Column) -> DataFrame:
+    """explode without the inferred size() filter (see explode_tokens)."""
+    return df.select(*keep, F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_counts(df: DataFrame, group: list[str], terms: Column) -> DataFrame:
-    return (df.select(*group, F.explode(terms).alias("term"))
-            .groupBy(*group, "term").agg(F.count("*").alias("n")))
+    return explode_terms(df, group, terms).groupBy(*group, "term").agg(F.count("*").alias("n"))

@@ -715,3 +715,57 @@ def q46(spark, sf):
     s = score_reviews(d, "review_id", "text", _query_scoring(spark))
     ev = tb.table(spark, sf, "events").select(F.col("event_id").alias("review_id"), "ts")
     return daily_trend(s.join(ev, "review_id"), "ts")
+
+
+# features -------------------------------------------------------------------------
+def _vec_terms(df, text_col, stop=None):
+    from ..operators import tokens as tk
+    toks = tk.vectorizer_tokens(tx.clean_letters(text_col))
+    if stop:
+        toks = tx.drop_stopwords(toks, stop)
+    d = df.select("review_id", toks.alias("toks"))
+    return d.select("review_id", F.concat("toks", tk.ngrams(F.col("toks"), 2)).alias("terms"))
+
+
+@query("q47_tfidf")
+def q47(spark, sf):
+    from ..operators.features import term_frequencies, tfidf, vocabulary
+    d = _docs(spark, sf).where(F.col("lang") == "en").select(F.col("doc_id").alias("review_id"), "text")
+    t = _vec_terms(d, "text")
+    n_docs = d.agg(F.count("*")).scalar()
+    tf = term_frequencies(t, "review_id", F.col("terms"))
+    voc = vocabulary(tf, "review_id", n_docs, 5000, min_df=3, max_df=0.95)
+    w = tfidf(tf, voc, "review_id", n_docs, sublinear=True)
+    return w.select("review_id", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query("q48_count_vectors")
+def q48(spark, sf):
+    from ..operators.features import term_frequencies, vocabulary
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    t = _vec_terms(d, "text", stop=dims.stopwords("general"))
+    n_docs = d.agg(F.count("*")).scalar()
+    tf = term_frequencies(t, "review_id", F.col("terms"))
+    voc = vocabulary(tf, "review_id", n_docs, 3000, min_df=3)
+    return tf.join(F.broadcast(voc.select("term")), "term").select(
+        "review_id", "term", F.col("tf").cast("bigint").alias("n"))
+
+
+SCALED_COLS = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio"]
+
+
+@query("q49_scaled_features")
+def q49(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.split import stratified_split
+    f = _features(spark, sf, labelled=True).na.fill(0.0, ["avg_word_length"])
+    sp = stratified_split(_labels(spark, sf).select("doc_id", "quality"), "doc_id", "quality")
+    j = f.join(sp.select("doc_id", "split"), "doc_id")                         # J7
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=SCALED_COLS, outputCol="raw"),      # M7
+                            StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True)])  # M6
+    model = pipe.fit(j.where(F.col("split") == "train"))                       # fit on train only (C12)
+    z = model.transform(j).withColumn("za", vector_to_array("z"))
+    return z.select(F.col("doc_id").alias("review_id"), "split",
+                    *[F.round(F.col("za")[i], 6).alias(f"z_{c}") for i, c in enumerate(SCALED_COLS)])

@@ -724,3 +724,40 @@ SELECT strftime(date_trunc('day', e.ts), '%Y-%m-%d') AS day, r.topic AS detected
 FROM recd r JOIN events e ON e.event_id = r.review_id
 GROUP BY ALL
 """
+
+
+# features --------------------------------------------------------------------------
+def vec_terms_cte(where: str = "TRUE", stop=None) -> str:
+    toks = f"[t for t in {split_ws(clean_letters('text'))} if length(t) >= 2]"
+    if stop:
+        toks = f"[t for t in {toks} if NOT list_contains({sql_list(stop)}, t)]"
+    return f"""vd AS (SELECT doc_id AS review_id, {toks} AS toks FROM documents WHERE {where}),
+nd AS (SELECT count(*) AS n FROM vd),
+tm AS (SELECT review_id, unnest(list_concat(toks, {bigrams('toks')})) AS term FROM vd),
+tf AS (SELECT review_id, term, count(*) AS tf FROM tm GROUP BY ALL),
+stt AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term)"""
+
+
+ORACLE["q47_tfidf"] = f"""WITH {vec_terms_cte("lang = 'en'")},
+v AS (SELECT term, df FROM stt, nd WHERE df >= 3 AND df <= floor(n * 0.95) ORDER BY total DESC, term ASC LIMIT 5000),
+w AS (SELECT tf.review_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w
+      FROM tf JOIN v ON v.term = tf.term, nd)
+SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS tfidf FROM w
+"""
+
+ORACLE["q48_count_vectors"] = f"""WITH {vec_terms_cte(stop=dims.stopwords('general'))},
+v AS (SELECT term FROM stt WHERE df >= 3 ORDER BY total DESC, term ASC LIMIT 3000)
+SELECT tf.review_id, tf.term, tf.tf::BIGINT AS n FROM tf JOIN v ON v.term = tf.term
+"""
+
+_SC = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio"]
+ORACLE["q49_scaled_features"] = f"""WITH {FEAT_L},
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42')) AS rn,
+             count(*) OVER (PARTITION BY quality) AS n FROM labels),
+sp AS (SELECT doc_id, CASE WHEN rn * 5 <= n * 4 THEN 'train' ELSE 'test' END AS split FROM r),
+j AS (SELECT f.doc_id, sp.split, char_count::DOUBLE AS char_count, word_count::DOUBLE AS word_count,
+             coalesce(avg_word_length, 0.0) AS avg_word_length, exclamation_count::DOUBLE AS exclamation_count,
+             uppercase_ratio FROM featl f JOIN sp ON sp.doc_id = f.doc_id),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _SC)} FROM j WHERE split = 'train')
+SELECT doc_id AS review_id, split, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS z_{c}" for c in _SC)} FROM j, st
+"""
