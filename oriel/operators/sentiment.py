@@ -83,16 +83,25 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     e = d.select("__id", "n_words", "cap_diff", "but_pos", "amp", "ws",
                  F.posexplode_outer("ws").alias("pos", "cur"))
     wt = bounded_broadcast(word_table(lexicon, boosters))
-    w0 = wt.select(F.col("token").alias("__k0"), F.col("valence").alias("val0"), F.col("delta").alias("b0"))
-    e = e.join(w0, e["cur"]["w"] == w0["__k0"], "left")
+    base_cols = ["__id", "n_words", "cap_diff", "but_pos", "amp", "ws", "pos", "cur"]
+
+    def look_up(frame, key: Column, k: int, extra: list[str]) -> DataFrame:
+        # the same aliased table every time: one broadcast exchange, reused
+        t = wt.alias(f"t{k}")
+        j = frame.join(t, key == F.col(f"t{k}.token"), "left")
+        return j.select(*base_cols, *extra, F.col(f"t{k}.valence").alias(f"val{k}"),
+                        F.col(f"t{k}.delta").alias(f"b{k}"))
+
+    e = look_up(e, F.col("cur")["w"], 0, [])
     hit = F.col("val0").isNotNull() & F.col("b0").isNull()
     # keep lexicon hits plus one placeholder row per document (its first word)
     e = e.where(hit | F.col("pos").isNull() | (F.col("pos") == 0)).withColumn("hit", hit)
+    extra = ["val0", "b0", "hit"]
     for k in (1, 2, 3):
-        prev = F.when(F.col("pos") >= k, F.element_at("ws", F.col("pos") - k + 1))
-        e = e.withColumn(f"p{k}", prev)
-        wk = wt.select(F.col("token").alias(f"__k{k}"), F.col("valence").alias(f"val{k}"), F.col("delta").alias(f"b{k}"))
-        e = e.join(wk, e[f"p{k}"]["w"] == wk[f"__k{k}"], "left")
+        e = e.withColumn(f"p{k}", F.when(F.col("pos") >= k, F.element_at("ws", F.col("pos") - k + 1)))
+        extra.append(f"p{k}")
+        e = look_up(e, F.col(f"p{k}")["w"], k, extra)
+        extra += [f"val{k}", f"b{k}"]
 
     v = F.col("val0")
     e = e.withColumn("v", F.when(F.col("cur")["up"] & F.col("cap_diff"),
