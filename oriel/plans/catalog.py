@@ -769,3 +769,72 @@ def q49(spark, sf):
     z = model.transform(j).withColumn("za", vector_to_array("z"))
     return z.select(F.col("doc_id").alias("review_id"), "split",
                     *[F.round(F.col("za")[i], 6).alias(f"z_{c}") for i, c in enumerate(SCALED_COLS)])
+
+
+# models, LDA, batch scorer plug-in, stream ------------------------------------------
+MODEL_NUMERIC = ["char_count", "word_count", "avg_word_length", "exclamation_count", "question_count",
+                 "uppercase_ratio", "neg", "neu", "pos", "compound"]
+
+
+def _model_data(spark, sf):
+    from ..operators.features import review_features
+    from ..operators.split import stratified_folds, stratified_split
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    f = review_features(d, "text", ["review_id", "text"]).na.fill(0.0, ["avg_word_length"])
+    s = _scored(spark, sf, lang=None)
+    lab = _labels(spark, sf).select(F.col("doc_id").alias("review_id"), F.col("quality").alias("label"))
+    sp = stratified_split(lab, "review_id", "label")
+    folds = stratified_folds(sp.where(F.col("split") == "train").select("review_id", "label"), "review_id", "label")
+    sp = sp.join(folds.select("review_id", "fold"), "review_id", "left")
+    return f.join(s, "review_id").join(sp.select("review_id", "label", "split", "fold"), "review_id")
+
+
+@query("q50_train_compare")
+def q50(spark, sf):
+    from ..operators.train import train_compare
+    save = os.path.join(ensure_checkpoint_dir(spark), f"models-{uuid.uuid4().hex}")
+    comp, _, _ = train_compare(_model_data(spark, sf), "text_processed", MODEL_NUMERIC, size="small",
+                               k_folds=5, vocab_size=5000, min_df=3.0, max_df=0.95, save_dir=save)
+    return comp
+
+
+@query("q51_lda_topics")
+def q51(spark, sf):
+    from ..operators.lda import lda_topics
+    s = _scored(spark, sf, lang=None).where(lb.three_class("compound") == "Negative")     # L1
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), tx.clean_letters("text").alias("cleaned_review"))
+    neg = d.join(s.select("review_id"), "review_id").na.drop(subset=["cleaned_review"])  # P13
+    return lda_topics(neg, "cleaned_review", k=10, max_iter=10, vocab_size=3000, min_df=3.0, seed=42)
+
+
+def length_parity_scorer():
+    """Stand-in for a pre-trained text classifier (N3): loaded once per task,
+    scores a list of texts; label by length parity, confidence from length."""
+    def score(texts):
+        return (["POSITIVE" if len(t) % 2 == 0 else "NEGATIVE" for t in texts],
+                [round((len(t) % 100) / 100.0, 4) for t in texts])
+    return score
+
+
+@query("q52_batch_model_score")
+def q52(spark, sf):
+    from ..operators.sentiment import score_batches
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    s = score_batches(d, "text", length_parity_scorer, batch_size=32, max_chars=1500)
+    return s.select("review_id", "raw_label", "confidence",
+                    F.round(lb.classifier_signed_score("raw_label", "confidence"), 4).alias("model_score"),
+                    lb.classifier_label("raw_label", "confidence").alias("model_label"))
+
+
+@query("q53_stream_score")
+def q53(spark, sf):
+    from ..streaming.score_stream import start_scoring_stream
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    # the arriving files: the documents table cut into several files
+    _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text").repartition(4, "review_id") \
+        .write.parquet(f"{base}/incoming")
+    q = start_scoring_stream(spark, f"{base}/incoming", f"{base}/log", f"{base}/checkpoint", _query_scoring(spark))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/log").select(
+        "prediction_id", "review_snippet", "sentiment_label", "sentiment_score", "predicted_satisfaction",
+        "confidence", "detected_topic", "priority")

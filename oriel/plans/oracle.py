@@ -761,3 +761,18 @@ j AS (SELECT f.doc_id, sp.split, char_count::DOUBLE AS char_count, word_count::D
 st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _SC)} FROM j WHERE split = 'train')
 SELECT doc_id AS review_id, split, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS z_{c}" for c in _SC)} FROM j, st
 """
+
+
+# batch plug-in scorer and stream ------------------------------------------------
+ORACLE["q52_batch_model_score"] = """
+WITH c AS (SELECT doc_id AS review_id, substr(coalesce(text, ''), 1, 1500) AS t FROM documents),
+s AS (SELECT review_id, CASE WHEN length(t) % 2 = 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS raw_label,
+             round((length(t) % 100) / 100.0, 4) AS confidence FROM c)
+SELECT review_id, raw_label, confidence,
+       round(CASE WHEN raw_label = 'NEGATIVE' THEN -confidence ELSE confidence END, 4) AS model_score,
+       CASE WHEN confidence < 0.85 THEN 'Neutral' WHEN raw_label = 'POSITIVE' THEN 'Positive'
+            WHEN raw_label = 'NEGATIVE' THEN 'Negative' ELSE 'Neutral' END AS model_label
+FROM s
+"""
+
+ORACLE["q53_stream_score"] = ORACLE["q45_prediction_log"]
