@@ -31,10 +31,9 @@ def serving_tokens(c, stop: list[str] | None = None) -> Column:
     """Serving cleaner tokens: alphabetic, not a stopword, longer than 2,
     then suffix-lemmatised."""
     stop = stop if stop is not None else dims.stopwords("frozen")
-    sw = F.array(*[F.lit(s) for s in stop])
     toks = F.filter(
         split_ws(serving_clean_string(c)),
-        lambda t: is_alpha(t) & ~F.array_contains(sw, t) & (F.length(t) > 2),
+        lambda t: is_alpha(t) & ~t.isin(*stop) & (F.length(t) > 2),
     )
     return lemmatize_array(toks)
 

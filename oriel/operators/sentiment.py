@@ -62,7 +62,6 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
                    negations: list[str] | None = None, contrast: str = "but") -> DataFrame:
     """(id, neg, neu, pos, compound) for every row of ``df``."""
     negations = negations if negations is not None else dims.STARTER_NEGATIONS
-    neg_arr = F.array(*[F.lit(w.lower()) for w in negations])
     C = dims.CAPS_INCREMENT
 
     d = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
@@ -115,7 +114,7 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
         s = F.when(p["up"] & F.col("cap_diff"), F.when(v > 0, s + C).otherwise(s - C)).otherwise(s)
         s = F.when(b.isNotNull(), s * decay).otherwise(F.lit(0.0))
         e = e.withColumn("v", F.when(usable, v + s).otherwise(v))
-        negated = usable & (F.array_contains(neg_arr, p["w"]) | p["w"].contains("n't"))
+        negated = usable & (p["w"].isin(*[w.lower() for w in negations]) | p["w"].contains("n't"))
         e = e.withColumn("v", F.when(negated, F.col("v") * dims.NEGATION_SCALAR).otherwise(F.col("v")))
 
     bp = F.col("but_pos")

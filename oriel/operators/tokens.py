@@ -103,17 +103,40 @@ def lemma_dictionary_df(spark, rows=None) -> DataFrame:
     return spark.createDataFrame(rows if rows is not None else LEMMA_DICTIONARY, "token string, lemma string")
 
 
+INLINE_DICT_LIMIT = 64        # map look-ups inside transform are linear: keep inlined dictionaries small
+INLINE_STOP_LIMIT = 10_000    # stopword tests become a hashed InSet: cheap at any bounded size
+
+
 def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
                  stop: DataFrame) -> DataFrame:
     """Lower → URLs/e-mails → punctuation → alphabetic tokens (2+) →
-    stopwords (anti-join) → dictionary lemmas → joined string."""
-    toks = explode_tokens(df, id_col, tx.tokenize(tx.nlp_clean_string(text_col)), outer=True)
+    stopwords → dictionary lemmas (fallback suffix rules) → joined string.
+
+    Small (size-checked) stopword lists and dictionaries are inlined: the
+    whole pipeline is then per-row array work with no shuffle (stopwords as a
+    hashed InSet).  Larger ones take the exploded form: broadcast joins on
+    the token table and a re-assembly grouped by document id."""
+    n_stop = stop.limit(INLINE_STOP_LIMIT + 1).count()
+    n_dict = lemma_dict.limit(INLINE_DICT_LIMIT + 1).count()
+    toks = tx.tokenize(tx.nlp_clean_string(text_col))
+    if n_stop <= INLINE_STOP_LIMIT and n_dict <= INLINE_DICT_LIMIT:
+        words = [r[0] for r in stop.select("token").collect()]          # bounded by the check above
+        pairs = [(r[0], r[1]) for r in lemma_dict.select("token", "lemma").collect()]
+        kept = df.select(id_col, F.filter(toks, lambda t: ~t.isin(*words)).alias("__k"))
+        if pairs:
+            m = F.create_map(*[F.lit(x) for p in pairs for x in p])
+            lemma = lambda t: F.coalesce(F.element_at(m, t), lm.suffix_lemma(t))
+        else:
+            lemma = lm.suffix_lemma
+        lem = F.filter(F.transform("__k", lemma), lambda x: tx.is_alpha(x) & (F.length(x) > 1))
+        return kept.select(id_col, F.array_join(lem, " ").alias("cleaned_review"))
+    ex = explode_tokens(df, id_col, toks, outer=True)
     # stopword rows become null placeholders (not dropped) so every document
     # keeps at least one row and re-assembly needs no join back
     sw = bounded_broadcast(stop.select(F.col("token").alias("__sw"), F.lit(True).alias("__is_sw")))
-    toks = toks.join(sw, toks["token"] == sw["__sw"], "left") \
+    ex = ex.join(sw, ex["token"] == sw["__sw"], "left") \
         .select(id_col, "pos", F.when(F.col("__is_sw").isNull(), F.col("token")).alias("token"))
-    lem = dictionary_lemmas(toks, lemma_dict)
+    lem = dictionary_lemmas(ex, lemma_dict)
     out = reassemble(lem, id_col, "lemma")
     return out.select(id_col, F.col("lemma").alias("cleaned_review"))
 

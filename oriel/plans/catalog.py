@@ -222,9 +222,9 @@ def q11(spark, sf):
 def q12(spark, sf):
     from ..functions import lemma as lm
     from ..functions.text import is_alpha, serving_clean_string, split_ws
-    stop = F.array(*[F.lit(s) for s in dims.stopwords("frozen")])
+    stop = dims.stopwords("frozen")
     toks = F.filter(split_ws(serving_clean_string("text")),
-                    lambda t: is_alpha(t) & ~F.array_contains(stop, t) & (F.length(t) > 2))
+                    lambda t: is_alpha(t) & ~t.isin(*stop) & (F.length(t) > 2))
     vocab = _docs(spark, sf).select(F.explode(toks).alias("token")).distinct()
     # the 47-branch CASE runs once per distinct token, not once per occurrence
     return vocab.select("token", lm.suffix_lemma(F.col("token")).alias("lemma"))

@@ -66,3 +66,15 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
 
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions
+    than the cluster can use (CPU-heavy per-row text work on a small or
+    single-row-group file would otherwise run in one task).  On big inputs
+    the scan already has many more partitions and this is a no-op: nothing
+    extra is shuffled.  Partitioning by the id also lines up later joins and
+    aggregations on that id."""
+    n = min_partitions or int(df.sparkSession.conf.get(
+        "oriel.text.minPartitions", str(2 * df.sparkSession.sparkContext.defaultParallelism)))
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df

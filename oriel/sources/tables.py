@@ -26,8 +26,16 @@ RAW_REVIEW_SCHEMA = T.StructType([
 ])
 
 
+# text tables carry CPU-heavy per-row work: spread them by id when the scan is narrow
+TEXT_TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in TEXT_TABLE_KEYS:
+        from ..session import spread
+        df = spread(df, TEXT_TABLE_KEYS[name])
+    return df
 
 
 def reviews(spark: SparkSession, sf_dir: str, title_chars: int | None = None) -> DataFrame:
