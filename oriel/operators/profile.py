@@ -44,15 +44,22 @@ def null_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # A2 -------------------------------------------------------------------------
-def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per column; one row per column."""
+def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True, grid_dp: int | None = 4) -> DataFrame:
+    """count, mean, std (n-1), min, 25/50/75 %, max per column; one row per column.
+
+    Exact quartiles keep one buffer entry per distinct value; on a value grid
+    of ``grid_dp`` decimals that buffer stays bounded for high-cardinality
+    doubles (a ratio in [0, 1] has at most 10^grid_dp + 1 values), while the
+    output at ``dp`` < ``grid_dp`` decimals is unchanged in practice.
+    ``grid_dp=None`` uses the raw values; ``exact=False`` percentile_approx."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        xq = F.round(x, grid_dp) if grid_dp is not None else x
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _q(x, 0.25, exact).alias(f"{c}__q25"), _q(x, 0.5, exact).alias(f"{c}__q50"),
-                 _q(x, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
+                 _q(xq, 0.25, exact).alias(f"{c}__q25"), _q(xq, 0.5, exact).alias(f"{c}__q50"),
+                 _q(xq, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     parts = []

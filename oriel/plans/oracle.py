@@ -271,8 +271,8 @@ _DESC = ["char_count", "word_count", "avg_word_length", "exclamation_count", "up
 ORACLE["q17_describe"] = f"WITH {FEAT}\n" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count({c})::BIGINT AS count, round(avg({c}::DOUBLE), 3) AS mean,
        round(stddev_samp({c}::DOUBLE), 3) AS std, round(min({c})::DOUBLE, 3) AS min,
-       round(quantile_cont({c}::DOUBLE, 0.25), 3) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 3) AS q50,
-       round(quantile_cont({c}::DOUBLE, 0.75), 3) AS q75, round(max({c})::DOUBLE, 3) AS max FROM feat"""
+       round(quantile_cont(round({c}::DOUBLE, 4), 0.25), 3) AS q25, round(quantile_cont(round({c}::DOUBLE, 4), 0.5), 3) AS q50,
+       round(quantile_cont(round({c}::DOUBLE, 4), 0.75), 3) AS q75, round(max({c})::DOUBLE, 3) AS max FROM feat"""
     for c in _DESC)
 
 ORACLE["q18_value_counts_filled"] = """
