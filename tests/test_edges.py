@@ -36,3 +36,23 @@ def test_log_replay_is_idempotent(spark):
     log = spark.read.parquet(path)
     assert log.count() == 2
     assert log.select(F.countDistinct("prediction_id")).first()[0] == 2
+
+
+def test_trend_stream_equals_batch(spark, sf):
+    from oriel.plans.catalog import _query_scoring
+    from oriel.sources.tables import table
+    from oriel.streaming.trend import daily_trend, start_trend_stream
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("review_id"), "ts")
+    scored = score_reviews(d, "review_id", "text", _query_scoring(spark)).join(ev, "review_id")
+    rows = predlog.log_rows(scored, "review_id", "text", ts=F.col("ts").cast("timestamp"))
+    base = tempfile.mkdtemp(prefix="oriel-trend-")
+    # log files arrive in time order, one file per day range
+    rows.repartitionByRange(4, "ts").write.parquet(os.path.join(base, "log"))
+    logged = spark.read.parquet(os.path.join(base, "log"))
+    q = start_trend_stream(spark, os.path.join(base, "log"), os.path.join(base, "trend"),
+                           os.path.join(base, "ckpt"), logged.schema)
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "trend")).collect())
+    want = sorted(tuple(r) for r in daily_trend(logged, "ts").collect())
+    assert got == want and len(got) > 0
