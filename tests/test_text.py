@@ -65,3 +65,19 @@ def test_ngrams(spark):
     assert got == [["a b", "b c"], [], []]
     got3 = [r[0] for r in df.select(ngrams(F.col("t"), 3)).collect()]
     assert got3 == [["a b c"], [], []]
+
+
+def test_sql_functions_match_columns(spark):
+    from oriel.functions.sql import register_sql_functions
+    from oriel.operators import recommend as rc
+    from oriel.operators import topics as tp
+    register_sql_functions(spark)
+    rows = [("MEDIUM", -0.85, "The crew were rude and the flight was delayed", "cancellations"),
+            ("HIGH", -0.7, "Lovely view", "seriously"), ("LOW", 0.3, "my bag", "rating"), ("x", 0.05, "", "awful")]
+    df = spark.createDataFrame(rows, "p string, s double, t string, w string")
+    df.createOrReplaceTempView("sqlfn_cases")
+    a = spark.sql("SELECT oriel_escalate(p, s), oriel_three_class(s), oriel_satisfied(s), oriel_detect_topic(t), "
+                  "oriel_suffix_lemma(w), oriel_priority_rank(p) FROM sqlfn_cases").collect()
+    b = df.select(rc.escalate("p", "s"), lb.three_class("s"), lb.satisfied_from_compound("s"),
+                  tp.detect_topic("t"), lm.suffix_lemma(F.col("w")), rc.priority_rank("p")).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
