@@ -720,7 +720,7 @@ FROM recd
 
 ORACLE["q46_topic_trend"] = f"""WITH {scored_recs(DOC_SRC)}
 SELECT strftime(date_trunc('day', e.ts), '%Y-%m-%d') AS day, r.topic AS detected_topic, r.priority,
-       count(*)::BIGINT AS n, round(avg(round_even(r.sentiment_score, 4)), 4) AS mean_score
+       count(*)::BIGINT AS n, sum(round_even(r.sentiment_score, 4)::DECIMAL(18,4))::DOUBLE / count(*) AS mean_score
 FROM recd r JOIN events e ON e.event_id = r.review_id
 GROUP BY ALL
 """

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 def daily_trend(scored: DataFrame, ts_col: str = "ts", watermark: str | None = None) -> DataFrame:
     df = scored.withWatermark(ts_col, watermark) if watermark else scored
+    # scores have 4 decimals: an exact decimal sum divided once gives the same
+    # double in any engine (rounding a computed mean can split ties)
     g = df.groupBy(F.window(ts_col, "1 day").alias("w"), "detected_topic", "priority").agg(
-        F.count("*").alias("n"), F.avg("sentiment_score").alias("mean_score"))
+        F.count("*").alias("n"), F.sum(F.col("sentiment_score").cast("decimal(18,4)")).alias("s"))
     return g.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "detected_topic", "priority",
-                    F.col("n").cast("bigint").alias("n"), F.round("mean_score", 4).alias("mean_score"))
+                    F.col("n").cast("bigint").alias("n"), (F.col("s").cast("double") / F.col("n")).alias("mean_score"))
 
 
 def start_trend_stream(spark, log_path: str, out_path: str, checkpoint: str, schema, ts_col: str = "ts",
