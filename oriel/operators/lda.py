@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from .topics import name_topic
+from .train import count_vectorizer
 
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 10, max_iter: int = 30, vocab_size: int = 3000,
@@ -29,7 +30,7 @@ def lda_topics(docs: DataFrame, text_col: str, k: int = 10, max_iter: int = 30,
         StopWordsRemover(inputCol="__tok", outputCol="__tok_s", stopWords=stop),
         NGram(n=2, inputCol="__tok_s", outputCol="__bi"),
         SQLTransformer(statement="SELECT *, concat(__tok_s, __bi) AS __terms FROM __THIS__"),
-        CountVectorizer(inputCol="__terms", outputCol="features", vocabSize=vocab_size, minDF=min_df),
+        count_vectorizer("__terms", "features", vocab_size, min_df, 1.0),
     ]).fit(docs)
     dtm = bow.transform(docs).select("features").persist()
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features").fit(dtm)

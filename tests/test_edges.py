@@ -56,3 +56,28 @@ def test_trend_stream_equals_batch(spark, sf):
     got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "trend")).collect())
     want = sorted(tuple(r) for r in daily_trend(logged, "ts").collect())
     assert got == want and len(got) > 0
+
+
+def test_score_with_fitted_model(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+
+    from oriel.operators.train import feature_pipeline
+    from oriel.plans.catalog import MODEL_NUMERIC
+    good = ["great crew and good food", "lovely seat, friendly staff", "excellent service, on time"]
+    bad = ["terrible delay and rude staff", "lost bag, awful service", "cancelled flight, no refund"]
+    rows = [(i, t, 1) for i, t in enumerate(good * 4)] + [(100 + i, t, 0) for i, t in enumerate(bad * 4)]
+    df = spark.createDataFrame(rows, "review_id long, text string, label int")
+    cfg = Scoring(spark)
+    s = score_reviews(df.select("review_id", "text"), "review_id", "text", cfg)
+    from oriel.operators.score import model_features
+    train = model_features(s.withColumn("compound", F.col("sentiment_score")), "review_id", "text") \
+        .join(df.select("review_id", "label"), "review_id").withColumn("label", F.col("label").cast("double"))
+    fm = feature_pipeline("text_processed", MODEL_NUMERIC, vocab_size=100, min_df=1.0, max_df=1.0).fit(train)
+    lr = LogisticRegression(maxIter=20).fit(fm.transform(train))
+    cfg.model = PipelineModel(stages=fm.stages + [lr])
+    out = score_reviews(df.select("review_id", "text"), "review_id", "text", cfg).collect()
+    assert len(out) == len(rows)
+    assert all(r["confidence"] >= 0.5 for r in out)
+    acc = sum((r["predicted_satisfaction"] == "Satisfied") == (r["review_id"] < 100) for r in out) / len(out)
+    assert acc >= 0.9
