@@ -83,3 +83,14 @@ def select_existing(df: DataFrame, cols: list[str], required: list[str] | None =
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     return df.select([c for c in cols if c in df.columns])
+
+
+# P16 ------------------------------------------------------------------------
+def head_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
+    """First n rows in a stable order (TakeOrderedAndProject: n rows per partition, then merged)."""
+    return df.orderBy(order_col).limit(n)
+
+
+def rows_at(df: DataFrame, id_col: str, ids: list) -> DataFrame:
+    """Rows picked by id (a before/after sample); the id list is pushed to the scan."""
+    return df.where(F.col(id_col).isin(list(ids)))

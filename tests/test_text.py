@@ -81,3 +81,12 @@ def test_sql_functions_match_columns(spark):
     b = df.select(rc.escalate("p", "s"), lb.three_class("s"), lb.satisfied_from_compound("s"),
                   tp.detect_topic("t"), lm.suffix_lemma(F.col("w")), rc.priority_rank("p")).collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_head_rows_and_rows_at(spark):
+    from oriel.sources.tables import head_rows, rows_at
+    df = spark.range(100).withColumnRenamed("id", "review_id")
+    assert [r[0] for r in head_rows(df, "review_id", 3).collect()] == [0, 1, 2]
+    assert sorted(r[0] for r in rows_at(df, "review_id", [7, 42]).collect()) == [7, 42]
+    ids = df.select(tx.random_id().alias("u")).distinct().count()
+    assert ids == 100
