@@ -529,7 +529,7 @@ def q31(spark, sf):
     return p.select("lexicon_label", *[F.col(c).cast("bigint").alias(c) for c in LABEL_ORDER])
 
 
-# q32 A21 --------------------------------------------------------------------
+# q32 A21 N4 ------------------------------------------------------------------
 @query("q32_accuracy_coverage")
 def q32(spark, sf):
     j = _two_scorers(spark, sf).join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"),
@@ -537,11 +537,27 @@ def q32(spark, sf):
     long = j.select("quality", F.expr("stack(2, 'lexicon', lexicon_label, 'model', model_label) as (scorer, label)"))
     long = long.withColumn("b", lb.label_to_binary("label"))
     covered = F.col("b") != -1
-    return long.groupBy("scorer").agg(
+    base = long.groupBy("scorer").agg(
         F.count("*").cast("bigint").alias("n"),
         F.count_if(covered).cast("bigint").alias("covered"),
         F.round(F.avg(F.when(covered, (F.col("b") == F.col("quality")).cast("double"))), 4).alias("accuracy"),
         F.round(F.avg(covered.cast("double")) * 100, 2).alias("coverage_pct"))
+    # Support-weighted F1 on covered rows, from the confusion cells
+    cells = long.where(covered).groupBy("scorer", "quality", "b").agg(F.count("*").alias("c"))
+    by_actual = cells.groupBy("scorer", F.col("quality").alias("cls")).agg(
+        F.sum("c").alias("support"), F.sum(F.when(F.col("quality") == F.col("b"), F.col("c")).otherwise(0)).alias("tp"))
+    by_pred = cells.groupBy("scorer", F.col("b").alias("cls")).agg(F.sum("c").alias("npred"))
+    st = by_actual.join(by_pred, ["scorer", "cls"], "full").na.fill(0, ["support", "tp", "npred"])
+    p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
+    st = st.select("scorer", "support", p.alias("p"), r.alias("r"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))
+    wf = st.groupBy("scorer").agg(F.round(F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")), 4)
+                                  .alias("weighted_f1"))
+    out = base.join(wf, "scorer", "left")
+    from pyspark.sql import Window
+    best = F.max("weighted_f1").over(Window.partitionBy())   # one row per scorer
+    return out.withColumn("is_winner", F.col("weighted_f1") == best)
 
 
 # q33 A22 U2 N4 --------------------------------------------------------------

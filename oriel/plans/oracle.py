@@ -509,11 +509,23 @@ FROM two2 WHERE lexicon_label <> model_label GROUP BY lexicon_label
 ORACLE["q32_accuracy_coverage"] = _TWO + """,
 j AS (SELECT t.*, l.quality FROM two2 t JOIN labels l ON l.doc_id = t.review_id),
 lg AS (SELECT 'lexicon' AS scorer, lexicon_label AS label, quality FROM j UNION ALL SELECT 'model', model_label, quality FROM j),
-b AS (SELECT scorer, quality, CASE label WHEN 'Positive' THEN 1 WHEN 'Negative' THEN 0 ELSE -1 END AS b FROM lg)
-SELECT scorer, count(*)::BIGINT AS n, count(*) FILTER (WHERE b <> -1)::BIGINT AS covered,
-       round(avg(CASE WHEN b <> -1 THEN (b = quality)::DOUBLE END), 4) AS accuracy,
-       round(avg((b <> -1)::DOUBLE) * 100, 2) AS coverage_pct
-FROM b GROUP BY scorer
+b AS (SELECT scorer, quality, CASE label WHEN 'Positive' THEN 1 WHEN 'Negative' THEN 0 ELSE -1 END AS b FROM lg),
+base AS (SELECT scorer, count(*)::BIGINT AS n, count(*) FILTER (WHERE b <> -1)::BIGINT AS covered,
+                round(avg(CASE WHEN b <> -1 THEN (b = quality)::DOUBLE END), 4) AS accuracy,
+                round(avg((b <> -1)::DOUBLE) * 100, 2) AS coverage_pct
+         FROM b GROUP BY scorer),
+cov AS (SELECT * FROM b WHERE b <> -1),
+cls AS (SELECT scorer, quality AS c FROM cov UNION SELECT scorer, b FROM cov),
+pc AS (SELECT cls.scorer, cls.c,
+              count(*) FILTER (WHERE cov.quality = cls.c AND cov.b = cls.c) AS tp,
+              count(*) FILTER (WHERE cov.quality = cls.c) AS support,
+              count(*) FILTER (WHERE cov.b = cls.c) AS npred
+       FROM cls JOIN cov ON cov.scorer = cls.scorer GROUP BY cls.scorer, cls.c),
+pc2 AS (SELECT *, coalesce(tp / nullif(npred, 0), 0.0) AS p, coalesce(tp / nullif(support, 0), 0.0) AS r FROM pc),
+wf AS (SELECT scorer, round(sum(coalesce(2 * p * r / nullif(p + r, 0), 0.0) * support) / nullif(sum(support), 0), 4) AS weighted_f1
+       FROM pc2 GROUP BY scorer),
+o AS (SELECT base.*, wf.weighted_f1 FROM base LEFT JOIN wf ON wf.scorer = base.scorer)
+SELECT *, weighted_f1 = max(weighted_f1) OVER () AS is_winner FROM o
 """
 
 ORACLE["q33_label_mix_by_class"] = _TWO + """,
