@@ -18,6 +18,23 @@ NUMERIC_FEATURES = ["char_count", "word_count", "avg_word_length", "exclamation_
                     "question_count", "uppercase_ratio"]
 
 
+def review_feature_columns(text_col: str) -> list[Column]:
+    """The same features as expressions on the raw text (for carrying)."""
+    tp = tx.clean_letters(text_col)
+    words = tx.word_count(tp)
+    return [tp.alias("text_processed"),
+            F.length(tp).cast("bigint").alias("char_count"),
+            words.cast("bigint").alias("word_count"),
+            F.coalesce(tx.safe_ratio(F.length(tp), words), F.lit(0.0)).alias("avg_word_length"),
+            tx.count_char(text_col, "!").cast("bigint").alias("exclamation_count"),
+            tx.count_char(text_col, "?").cast("bigint").alias("question_count"),
+            tx.uppercase_ratio(text_col).alias("uppercase_ratio")]
+
+
+FEATURE_COLUMNS = ["text_processed", "char_count", "word_count", "avg_word_length", "exclamation_count",
+                   "question_count", "uppercase_ratio"]
+
+
 def review_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """char/word counts on the letters-only text, punctuation counts and
     upper-case ratio on the raw text (T11, T1, T2, T17–T19)."""

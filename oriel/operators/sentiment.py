@@ -59,30 +59,36 @@ def word_table(lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
 
 
 def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, boosters: DataFrame,
-                   negations: list[str] | None = None, contrast: str = "but") -> DataFrame:
-    """(id, neg, neu, pos, compound) for every row of ``df``."""
+                   negations: list[str] | None = None, contrast: str = "but",
+                   carry: list[str] | None = None) -> DataFrame:
+    """(id, neg, neu, pos, compound, *carry) for every row of ``df``.
+
+    ``carry`` columns (per-document values such as a topic or a snippet) ride
+    through the per-document aggregation, so callers need no join back to the
+    document table (which would shuffle the text a second time)."""
+    carry = list(carry or [])
     negations = negations if negations is not None else dims.STARTER_NEGATIONS
     C = dims.CAPS_INCREMENT
 
-    d = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    d = d.select("__id", "__t", F.transform(scorer_words(F.col("__t")),
+    d = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *carry)
+    d = d.select("__id", "__t", *carry, F.transform(scorer_words(F.col("__t")),
                                           lambda w: F.struct(F.lower(w).alias("w"), is_all_caps(w).alias("up"))
                                           ).alias("ws"))
     n_caps = F.size(F.filter("ws", lambda s: s["up"]))
     bang = F.least(tx.count_char("__t", "!"), F.lit(dims.EXCLAMATION_MAX)) * dims.EXCLAMATION_INCREMENT
     qn = tx.count_char("__t", "?")
     ques = F.when(qn > 1, F.when(qn <= 3, qn * dims.QUESTION_INCREMENT).otherwise(dims.QUESTION_MANY)).otherwise(0.0)
-    d = d.select("__id", "ws",
+    d = d.select("__id", "ws", *carry,
                  F.size("ws").alias("n_words"),
                  ((n_caps > 0) & (n_caps < F.size("ws"))).alias("cap_diff"),
                  (F.array_position(F.transform("ws", lambda s: s["w"]), contrast) - 1).alias("but_pos"),
                  (bang + ques).alias("amp"))
 
     # one row per word; documents without words keep one null row
-    e = d.select("__id", "n_words", "cap_diff", "but_pos", "amp", "ws",
+    e = d.select("__id", "n_words", "cap_diff", "but_pos", "amp", "ws", *carry,
                  F.posexplode_outer("ws").alias("pos", "cur"))
     wt = bounded_broadcast(word_table(lexicon, boosters))
-    base_cols = ["__id", "n_words", "cap_diff", "but_pos", "amp", "ws", "pos", "cur"]
+    base_cols = ["__id", "n_words", "cap_diff", "but_pos", "amp", "ws", "pos", "cur", *carry]
 
     def look_up(frame, key: Column, k: int, extra: list[str]) -> DataFrame:
         # the same aliased table every time: one broadcast exchange, reused
@@ -120,18 +126,20 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     bp = F.col("but_pos")
     factor = (F.when((bp >= 0) & (F.col("pos") < bp), dims.BUT_BEFORE)
               .when((bp >= 0) & (F.col("pos") > bp), dims.BUT_AFTER).otherwise(1.0))
-    e = e.select("__id", "n_words", "amp", F.when(F.col("hit"), F.col("v") * factor).alias("s"))
+    e = e.select("__id", "n_words", "amp", *carry, F.when(F.col("hit"), F.col("v") * factor).alias("s"))
 
     g = e.groupBy("__id").agg(
         F.first("n_words").alias("n_words"), F.first("amp").alias("amp"),
+        *[F.first(c).alias(c) for c in carry],
         F.coalesce(F.sum("s"), F.lit(0.0)).alias("sum_s"),
         F.coalesce(F.sum(F.when(F.col("s") > 0, F.col("s") + 1)), F.lit(0.0)).alias("pos_sum"),
         F.coalesce(F.sum(F.when(F.col("s") < 0, F.col("s") - 1)), F.lit(0.0)).alias("neg_sum"),
         F.count_if(F.col("s").isNotNull() & (F.col("s") != 0)).alias("nz"))
-    return finish_scores(g).withColumnRenamed("__id", id_col)
+    return finish_scores(g, carry).withColumnRenamed("__id", id_col)
 
 
-def finish_scores(g: DataFrame) -> DataFrame:
+def finish_scores(g: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    carry = list(carry or [])
     x, amp = F.col("sum_s"), F.col("amp")
     x = F.when(x > 0, x + amp).when(x < 0, x - amp).otherwise(x)
     comp = x / F.sqrt(x * x + dims.COMPOUND_ALPHA)
@@ -140,7 +148,7 @@ def finish_scores(g: DataFrame) -> DataFrame:
     ps2 = F.when(ps > F.abs(ns), ps + amp).otherwise(ps)
     ns2 = F.when(ps < F.abs(ns), ns - amp).otherwise(ns)
     neu = (F.col("n_words") - F.col("nz")).cast("double")
-    g = g.select("__id", "n_words", ps2.alias("p"), ns2.alias("q"), neu.alias("u"), comp.alias("c"))
+    g = g.select("__id", "n_words", *carry, ps2.alias("p"), ns2.alias("q"), neu.alias("u"), comp.alias("c"))
     total = F.col("p") + F.abs(F.col("q")) + F.col("u")
     empty = F.col("n_words") == 0
     return g.select(
@@ -148,7 +156,8 @@ def finish_scores(g: DataFrame) -> DataFrame:
         F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("q") / total), 3)).alias("neg"),
         F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("u") / total), 3)).alias("neu"),
         F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("p") / total), 3)).alias("pos"),
-        F.when(empty, 0.0).otherwise(F.bround(F.col("c"), 4)).alias("compound"))
+        F.when(empty, 0.0).otherwise(F.bround(F.col("c"), 4)).alias("compound"),
+        *carry)
 
 
 # N3 -------------------------------------------------------------------------

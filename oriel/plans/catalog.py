@@ -715,7 +715,7 @@ def q45(spark, sf):
     from ..operators.score import score_reviews
     from ..sources.predlog import append_log, log_rows
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
-    rows = log_rows(score_reviews(d, "review_id", "text", _query_scoring(spark)), "review_id", "text")
+    rows = log_rows(score_reviews(d, "review_id", "text", _query_scoring(spark)))
     path = os.path.join(ensure_checkpoint_dir(spark), f"predlog-{uuid.uuid4().hex}")
     append_log(rows, path)
     back = spark.read.parquet(path)

@@ -13,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 
 LOG_COLUMNS = ["prediction_id", "ts", "review_snippet", "sentiment_label", "sentiment_score",
                "predicted_satisfaction", "confidence", "detected_topic", "priority"]
 
 
-def log_rows(scored: DataFrame, id_col: str, text_col: str, ts=None) -> DataFrame:
+def log_rows(scored: DataFrame, ts=None) -> DataFrame:
+    """Log rows from ``score_reviews`` output (which carries prediction_id and snippet)."""
     return scored.select(
-        tx.stable_id(id_col, text_col).alias("prediction_id"),
+        "prediction_id",
         (ts if ts is not None else F.current_timestamp()).alias("ts"),
-        F.substring(text_col, 1, 200).alias("review_snippet"),
+        "review_snippet",
         "sentiment_label", F.col("sentiment_score").cast("double"), "predicted_satisfaction",
         F.col("confidence").cast("double"), "detected_topic", "priority",
     ).withColumn("log_date", F.to_date("ts"))

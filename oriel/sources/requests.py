@@ -33,7 +33,7 @@ def respond(df: DataFrame, id_col: str, payload_col: str, cfg: Scoring) -> DataF
     req = parse_requests(df, id_col, payload_col)
     ok = req.where(F.length("review") > 0)
     bad = req.where(F.length("review") == 0)
-    scored = score_reviews(ok, id_col, "review", cfg).join(ok.select(id_col, "include_genai"), id_col)
+    scored = score_reviews(ok, id_col, "review", cfg, keep=["include_genai"])
     dec = "decimal(6,4)"
     rec = F.struct("action", "priority", "owner", "kpi").alias("recommendation")
     core = [F.col("sentiment_label"), F.col("sentiment_score").cast(dec).alias("sentiment_score"),

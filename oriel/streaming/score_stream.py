@@ -31,7 +31,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, log_path: str, ch
 
     def process(batch, batch_id):
         scored = score_reviews(batch, "review_id", "text", cfg)
-        append_log(log_rows(scored, "review_id", "text"), log_path, batch_id)
+        append_log(log_rows(scored), log_path, batch_id)
 
     w = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

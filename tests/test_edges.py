@@ -28,7 +28,7 @@ def test_request_parse_and_respond(spark):
 
 def test_log_replay_is_idempotent(spark):
     df = spark.createDataFrame([(1, "good food"), (2, "terrible delay")], "review_id long, text string")
-    rows = predlog.log_rows(score_reviews(df, "review_id", "text", Scoring(spark)), "review_id", "text")
+    rows = predlog.log_rows(score_reviews(df, "review_id", "text", Scoring(spark)))
     path = os.path.join(tempfile.mkdtemp(prefix="oriel-log-"), "log")
     predlog.append_log(rows, path, batch_id=0)
     predlog.append_log(rows, path, batch_id=0)          # replay of the same batch
@@ -45,7 +45,7 @@ def test_trend_stream_equals_batch(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
     ev = table(spark, sf, "events").select(F.col("event_id").alias("review_id"), "ts")
     scored = score_reviews(d, "review_id", "text", _query_scoring(spark)).join(ev, "review_id")
-    rows = predlog.log_rows(scored, "review_id", "text", ts=F.col("ts").cast("timestamp"))
+    rows = predlog.log_rows(scored, ts=F.col("ts").cast("timestamp"))
     base = tempfile.mkdtemp(prefix="oriel-trend-")
     # log files arrive in time order, one file per day range
     rows.repartitionByRange(4, "ts").write.parquet(os.path.join(base, "log"))
@@ -71,8 +71,8 @@ def test_score_with_fitted_model(spark):
     cfg = Scoring(spark)
     s = score_reviews(df.select("review_id", "text"), "review_id", "text", cfg)
     from oriel.operators.score import model_features
-    train = model_features(s.withColumn("compound", F.col("sentiment_score")), "review_id", "text") \
-        .join(df.select("review_id", "label"), "review_id").withColumn("label", F.col("label").cast("double"))
+    train = model_features(s.withColumn("compound", F.col("sentiment_score")).join(df, "review_id"), "review_id", "text") \
+        .withColumn("label", F.col("label").cast("double"))
     fm = feature_pipeline("text_processed", MODEL_NUMERIC, vocab_size=100, min_df=1.0, max_df=1.0).fit(train)
     lr = LogisticRegression(maxIter=20).fit(fm.transform(train))
     cfg.model = PipelineModel(stages=fm.stages + [lr])
