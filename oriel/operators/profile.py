@@ -9,8 +9,6 @@ values → counts (bounded for integer-valued lengths); pass ``exact=False`` for
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +60,12 @@ def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True, gr
                  _q(xq, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    parts = []
-    for c in cols:
-        parts.append(wide.select(
-            F.lit(c).alias("column_name"),
-            F.col(f"{c}__count").cast("bigint").alias("count"),
-            *[F.round(F.col(f"{c}__{s}").cast("double"), dp).alias(s) for s in stats[1:]]))
-    return reduce(DataFrame.unionByName, parts)
+    # one aggregate pass, unpivoted with stack (a union of selects would
+    # plan the whole aggregation once per column)
+    cells = ", ".join(f"'{c}', " + ", ".join(f"CAST(`{c}__{st}` AS DOUBLE)" for st in stats) for c in cols)
+    long = wide.selectExpr(f"stack({len(cols)}, {cells}) as (column_name, {', '.join(stats)})")
+    return long.select("column_name", F.col("count").cast("bigint").alias("count"),
+                       *[F.round(st, dp).alias(st) for st in stats[1:]])
 
 
 # A4 / A5 / W7 ---------------------------------------------------------------
