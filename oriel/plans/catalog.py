@@ -511,14 +511,17 @@ def q30(spark, sf):
     counts = j.groupBy("lexicon_label", "model_label").agg(F.count("*").alias("n"))
     full = F.broadcast(_label_grid(spark)).join(counts, ["lexicon_label", "model_label"], "left") \
         .select("lexicon_label", "model_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    tot = j.agg(F.count("*").alias("total"),
-                F.avg(lb.agrees("lexicon_label", "model_label").cast("double")).alias("rate"),
-                F.count_if(~lb.agrees("lexicon_label", "model_label")).alias("dis"))
+    # totals from the 9-row grid (a bounded window), not from scalar
+    # subqueries that would re-run both scorers
+    from pyspark.sql import Window
+    w = Window.partitionBy()
+    total = F.sum("n").over(w)
+    agree = F.sum(F.when(F.col("lexicon_label") == F.col("model_label"), F.col("n")).otherwise(0)).over(w)
     return full.select(
         "*",
-        F.round(F.col("n") * 100.0 / tot.select("total").scalar(), 2).alias("pct"),
-        F.round(tot.select("rate").scalar(), 4).alias("agreement_rate"),
-        tot.select("dis").scalar().cast("bigint").alias("disagreements"))
+        F.round(F.col("n") * 100.0 / total, 2).alias("pct"),
+        F.round(agree.cast("double") / total, 4).alias("agreement_rate"),
+        (total - agree).cast("bigint").alias("disagreements"))
 
 
 # q31 A19 --------------------------------------------------------------------
