@@ -383,23 +383,23 @@ def q25(spark, sf):
     clean = tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
                             tk.stopword_table(spark, ("general", "nlp_domain")))
 
-    def stage(df, col, name, vocab_words):
-        s = df.select(F.length(col).alias("c"), tx.word_count(col).alias("w"))
-        stats = s.agg(F.round(F.avg("c"), 2).alias("mean_chars"), F.round(F.avg("w"), 2).alias("mean_words"),
-                      F.round(F.avg(F.col("c") / F.greatest(F.col("w"), F.lit(1))), 3).alias("mean_word_length"),
-                      F.min("w").cast("bigint").alias("min_words"), F.max("w").cast("bigint").alias("max_words"),
-                      F.sum("w").alias("total_words"))
-        voc = df.select(F.explode(vocab_words).alias("v")).distinct().agg(F.count("*"))
-        return stats.select(F.lit(name).alias("stage"), "*", voc.scalar().alias("vocab"))
-
-    a = stage(d, "text", "original", tx.split_ws(F.lower("text")))
-    b = stage(clean, "cleaned_review", "cleaned", tx.split_ws("cleaned_review"))
-    both = a.unionByName(b)
-    orig_total = a.select("total_words").scalar()
-    return both.select(
-        "stage", "mean_chars", "mean_words", "mean_word_length", "min_words", "max_words",
-        F.col("vocab").cast("bigint").alias("vocab"),
-        F.round(F.col("total_words") * 100.0 / orig_total, 2).alias("words_vs_original_pct"))
+    per_doc = (d.select(F.lit("original").alias("stage"), F.length("text").alias("c"), tx.word_count("text").alias("w"))
+               .unionByName(clean.select(F.lit("cleaned").alias("stage"), F.length("cleaned_review").alias("c"),
+                                         tx.word_count("cleaned_review").alias("w"))))
+    stats = per_doc.groupBy("stage").agg(
+        F.round(F.avg("c"), 2).alias("mean_chars"), F.round(F.avg("w"), 2).alias("mean_words"),
+        F.round(F.avg(F.col("c") / F.greatest(F.col("w"), F.lit(1))), 3).alias("mean_word_length"),
+        F.min("w").cast("bigint").alias("min_words"), F.max("w").cast("bigint").alias("max_words"),
+        F.sum("w").alias("total_words"))
+    words = (d.select(F.lit("original").alias("stage"), F.explode(tx.split_ws(F.lower("text"))).alias("v"))
+             .unionByName(clean.select(F.lit("cleaned").alias("stage"),
+                                       F.explode(tx.split_ws("cleaned_review")).alias("v"))))
+    vocab = words.distinct().groupBy("stage").agg(F.count("*").cast("bigint").alias("vocab"))   # U3
+    both = stats.join(vocab, "stage")      # two rows each
+    from pyspark.sql import Window
+    orig_total = F.max(F.when(F.col("stage") == "original", F.col("total_words"))).over(Window.partitionBy())
+    return both.select("stage", "mean_chars", "mean_words", "mean_word_length", "min_words", "max_words", "vocab",
+                       F.round(F.col("total_words") * 100.0 / orig_total, 2).alias("words_vs_original_pct"))
 
 
 # q26 A16 --------------------------------------------------------------------
