@@ -52,10 +52,13 @@ def scorer_words(text: Column) -> Column:
 
 
 def word_table(lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
-    """(token, valence, delta): one bounded table for all look-ups."""
-    lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double"))
-    bst = boosters.select(F.lower("token").alias("token"), F.col("delta").cast("double"))
-    return lex.join(bst, "token", "full")
+    """(token, valence, delta): one bounded table for all look-ups, one row
+    per token (a repeated token in a user lexicon cannot double a hit)."""
+    lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double"),
+                         F.lit(None).cast("double").alias("delta"))
+    bst = boosters.select(F.lower("token").alias("token"), F.lit(None).cast("double").alias("valence"),
+                          F.col("delta").cast("double"))
+    return lex.unionByName(bst).groupBy("token").agg(F.max("valence").alias("valence"), F.max("delta").alias("delta"))
 
 
 def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, boosters: DataFrame,
