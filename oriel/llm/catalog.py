@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from oriel.llm.bpe import op1_bpe
+from oriel.llm.langid import op7_language
+from oriel.llm.linededup import OP4_SQL, op4_line_dedup
+from oriel.llm.quality import op2_quality
+from oriel.llm.secrets import op6_secrets
+from oriel.llm.sharding import op8_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_secrets": op6_secrets,
+    "op7_language": op7_language,
+    "op8_sharding": op8_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
