@@ -4,17 +4,19 @@ Encoding never runs the merges per occurrence:
 
 1. Documents are cut into pre-tokens.  A block (consecutive documents of one
    task, bounded by ``block_chars``) numbers its distinct words; every
-   document keeps the word number at each position.  Both go to one scratch
-   table: the positions, and the block's distinct words dealt into parts by a
-   hash of the word.
-2. The distinct words are shuffled by part.  All copies of a word meet in one
-   task, which runs the merges on it once and answers every block.
+   document keeps the word number at each position.  One shuffle deals both:
+   the positions by block, the block's distinct words by a hash of the word.
+2. All copies of a word meet in one task, which runs the merges on it once and
+   answers every block.
 3. The ids go back to their block and every document is reassembled by
-   position.
+   position, in the tasks where the positions already are (the plan reuses the
+   first shuffle).
 
 A frequent word crosses the shuffle once per block, not once per occurrence,
 so no key is hot.  Memory is bounded by a block, or by the distinct words of a
 task.  A single document longer than ``block_chars`` is a block of its own.
+The input has to yield the same rows in the same order when it is read again,
+as a table scan does: a lost task is then redone with the same numbers.
 
 Decoding joins the (bounded, checked) token-byte table on the map side.
 
@@ -38,9 +40,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import materialize, shuffle_partitions
+from oriel.llm.common import shuffle_partitions
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 #: Vocabularies above this size are refused for the map-side join.
 MAX_VOCAB = 2_000_000
 
@@ -98,27 +100,24 @@ def _pretokenizer(pattern: str, parts: int, block_chars: int):
                 by_part[zlib.crc32(raw) % parts].append((raw, r))
             for lo in range(0, len(rows), 2000):
                 some = rows[lo:lo + 2000]
-                carried = pa.concat_arrays([c for c, _ in some])
                 n = len(some)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()),
-                    carried, pa.array([_planes(rank[c]) for _, c in some], pa.binary()),
-                    pa.array([None] * n, pa.binary())], names=NAMES)
+                    pa.array([block] * n, pa.string()), pa.nulls(n, pa.string()), pa.concat_arrays([c for c, _ in some]),
+                    pa.array([_planes(rank[c]) for _, c in some], pa.binary()), pa.nulls(n, pa.binary())], names=NAMES)
             zc = zstandard.ZstdCompressor(level=6)
             out = defaultdict(list)
             for part in sorted(by_part):
                 own = sorted(by_part[part])
                 lens = np.array([len(w) for w, _ in own], dtype="<u4")
-                out["part"].append(part)
+                out["target"].append(f"part {part}")
                 out["codes"].append(_planes(np.array([r for _, r in own], dtype="<u4")))
                 out["words"].append(zc.compress(len(own).to_bytes(4, "little") + lens.tobytes()
                                                 + b"".join(w for w, _ in own)))
             if out:
-                n = len(out["part"])
+                n = len(out["target"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * n, pa.string()), pa.array([1] * n, pa.int32()), pa.array(out["part"], pa.int32()),
-                    pa.nulls(n, carry_type), pa.array(out["codes"], pa.binary()), pa.array(out["words"], pa.binary())],
-                    names=NAMES)
+                    pa.array(out["target"], pa.string()), pa.array([block] * n, pa.string()), pa.nulls(n, carry_type),
+                    pa.array(out["codes"], pa.binary()), pa.array(out["words"], pa.binary())], names=NAMES)
 
         def fresh():
             return [], defaultdict(itertools.count().__next__), 0
@@ -140,7 +139,8 @@ def _pretokenizer(pattern: str, parts: int, block_chars: int):
     return run
 
 
-NAMES = ["block", "kind", "part", "carry", "codes", "words"]
+#: target: a block (positions) or a part (words, with the block they answer to)
+NAMES = ["target", "block", "carry", "codes", "words"]
 
 
 def _merger(ranks_b, pattern: str):
@@ -151,7 +151,8 @@ def _merger(ranks_b, pattern: str):
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             ids_out, n_out = [], []
-            for blob in batch.column(2):
+            batch = batch.filter(batch.column(4).is_valid())
+            for blob in batch.column(4):
                 raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
                 n = int.from_bytes(raw[:4], "little")
                 ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
@@ -167,14 +168,16 @@ def _merger(ranks_b, pattern: str):
                 ids_out.append(_planes(np.array(flat, dtype="<u4")))
                 n_out.append(_planes(np.array(counts, dtype="<u4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_out, pa.binary()), pa.array(ids_out, pa.binary())],
-                names=["block", "codes", "counts", "ids"])
+                [batch.column(1), batch.column(3), pa.array(n_out, pa.binary()), pa.array(ids_out, pa.binary())],
+                names=["target", "codes", "counts", "ids"])
 
     return run
 
 
 def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Cogroup body of step 3: one block's documents and the ids of its words."""
+    """Cogroup body of step 3: one block's documents and the ids of its words
+    (of a part, nothing)."""
+    docs = docs.filter(docs["words"].is_null())
     number, counts, ids = ([np.zeros(0, np.uint32)] for _ in range(3))
     for c, n, i in zip(words["codes"], words["counts"], words["ids"], strict=True):
         number.append(_unplanes(c.as_py()))
@@ -212,18 +215,15 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     carry = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
     src = df.select(carry.alias("carry"), F.col(f"`{text_col}`").alias("text"))
     carry_type = src.schema["carry"].dataType
-    wide = T.StructType([T.StructField("block", T.StringType()), T.StructField("kind", T.IntegerType()),
-                         T.StructField("part", T.IntegerType()), T.StructField("carry", carry_type),
-                         T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())])
-    table = materialize(src.mapInArrow(_pretokenizer(pattern, parts, block_chars), wide), "bpe",
-                        partition_by="kind", codec="uncompressed")
+    wide = T.StructType([T.StructField("target", T.StringType()), T.StructField("block", T.StringType()),
+                         T.StructField("carry", carry_type), T.StructField("codes", T.BinaryType()),
+                         T.StructField("words", T.BinaryType())])
+    dealt = (src.mapInArrow(_pretokenizer(pattern, parts, block_chars), wide)
+             .repartition(shuffle_partitions(spark), "target"))
     ranks_b = spark.sparkContext.broadcast(ranks)
-    back = (table.where("kind = 1").select("block", "part", "codes", "words")
-            .repartition(shuffle_partitions(spark), "part").select("block", "codes", "words")
-            .mapInArrow(_merger(ranks_b, pattern), "block string, codes binary, counts binary, ids binary"))
-    docs = table.where("kind = 0").select("block", "carry", "codes")
+    back = dealt.mapInArrow(_merger(ranks_b, pattern), "target string, codes binary, counts binary, ids binary")
     result = T.StructType([T.StructField("carry", carry_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    joined = docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+    joined = dealt.groupBy("target").cogroup(back.groupBy("target")).applyInArrow(
         lambda left, right: _reassemble(left, right), result)
     return joined.select(*[F.col("carry").getField(c).alias(c) for c in others], F.col("ids").alias(out))
 
@@ -242,12 +242,10 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: st
         for batch in batches:
             row = batch.column(0)
             lists = row.field(at)
-            flat = lists.flatten().to_pylist()
-            offsets = (np.asarray(lists.offsets) - lists.offsets[0].as_py()).tolist()
             got = []
-            for i in range(len(row)):
+            for ids in lists:
                 try:
-                    got.append(b"".join(map(table.__getitem__, flat[offsets[i]:offsets[i + 1]])))
+                    got.append(b"".join([table[i] for i in ids.values.to_numpy().tolist()]) if ids.is_valid else None)
                 except KeyError:
                     got.append(None)
             yield pa.RecordBatch.from_arrays([row, pa.array(got, pa.binary())], names=["row", "out"])
