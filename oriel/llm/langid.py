@@ -39,6 +39,7 @@ RHO = 0.25
 MAX_PER_LANG = 1500
 WORD = 62  # languages in one mask
 MAX_SLOTS = 1 << 22
+FULL = 0.95
 
 
 def letter_table() -> np.ndarray:
@@ -89,7 +90,8 @@ class Filters:
                 mask &= self.table[w, i][at[i]]
             for b in range(min(WORD, len(self.langs) - w * WORD)):
                 rate[w * WORD + b] = np.count_nonzero(mask & np.int64(1 << b))
-        rate = np.maximum((rate / len(h) - self.false) / (1 - self.false), 0)
+        # a filter that is all but full says nothing
+        rate = np.where(self.false < FULL, np.maximum((rate / len(h) - self.false) / np.maximum(1 - self.false, 1e-9), 0), 0.0)
         best = int(np.argmax(rate))
         return self.langs[best], float(rate[best] / rate.sum()) if rate[best] > 0 else 0.0
 
@@ -148,7 +150,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         table[r["w"], r["k"], r["s"]] = r["m"]
     fill = np.array([[np.count_nonzero(table[i // WORD, k] & np.int64(1 << (i % WORD))) / slots for k in range(K)]
                      for i in range(len(langs))])
-    return Filters(langs, table, np.minimum(fill.prod(axis=1), 0.99), letters.value)
+    return Filters(langs, table, fill.prod(axis=1), letters.value)
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
