@@ -40,6 +40,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = 66
 SMOOTH = 0.5
+PRIOR = 5.0
 THRESHOLD = 10.0
 
 
@@ -84,9 +85,10 @@ def samples_from_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .select("value", "random"))
 
 
-def train(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
-    """128 x 128 log-likelihood ratios of character steps.  Only pair counts
-    (at most 2 * 128 * 128 rows) come to the driver."""
+def train(samples: DataFrame, smooth: float = SMOOTH, prior: float = PRIOR) -> list[float]:
+    """128 x 128 log-likelihood ratios of character steps.  A step's
+    probability falls back on how common its second character is.  Only pair
+    counts (at most 2 * 128 * 128 rows) come to the driver."""
     steps = (samples.where(F.col("value").isNotNull()).select("random", _codes(F.col("value")).alias("c"))
              .where(F.size("c") > 1)
              .select("random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1),
@@ -96,8 +98,13 @@ def train(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     n = {True: [0] * (128 * 128), False: [0] * (128 * 128)}
     for r in steps.collect():
         n[r["random"]][r["step"]] = r["count"]
-    from_ = {k: [sum(v[a * 128:a * 128 + 128]) for a in range(128)] for k, v in n.items()}
-    p = lambda k, s: (n[k][s] + smooth) / (from_[k][s // 128] + smooth * ALPHABET)
+    first = {k: [sum(v[a * 128:a * 128 + 128]) for a in range(128)] for k, v in n.items()}
+    second = {k: [sum(v[b::128]) for b in range(128)] for k, v in n.items()}
+
+    def p(k: bool, s: int) -> float:
+        common = (second[k][s % 128] + smooth) / (sum(second[k]) + smooth * ALPHABET)
+        return (n[k][s] + prior * common) / (first[k][s // 128] + prior)
+
     return [math.log(p(True, s) / p(False, s)) for s in range(128 * 128)]
 
 
