@@ -51,3 +51,17 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
         "\u0001",
         F.when(df[id_col].isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), df[id_col].cast("string"))),
         F.when(df[text_col].isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), df[text_col]))).cast("binary"))
+
+
+HASH_RANGE = 1 << 31
+
+
+def id_hash(col: str) -> Column:
+    """Hash of an id in [0, HASH_RANGE)."""
+    return F.pmod(F.xxhash64(col), F.lit(HASH_RANGE))
+
+
+def hash_cut(wanted: int, rows: int) -> int:
+    """A bound below which the ``wanted`` smallest of ``rows`` id hashes lie,
+    with four times as many to spare."""
+    return HASH_RANGE if rows <= 5 * wanted else HASH_RANGE * 5 * wanted // rows

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import crc_mod, read_table
+from oriel.llm.common import crc_mod, hash_cut, id_hash, read_table
 
 N = 4
 K = 2
@@ -100,12 +100,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           max_per_lang: int = MAX_PER_LANG) -> Filters:
     spark = docs.sparkSession
     letters = spark.sparkContext.broadcast(letter_table())
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("key"))
     named = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(lang_col).alias("lang"))
-    sample = (named.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_per_lang)
+    rows = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # one row per language
+    cut = F.element_at(F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, hash_cut(max_per_lang, n))]),
+                       F.col("lang")) if rows else F.lit(0)
+    # only the hashes that can be among the smallest reach the ranking
+    rank = Window.partitionBy("lang").orderBy("h", "id", "key")
+    sample = (named.withColumn("h", id_hash("id")).where(F.col("h") < cut)
+              .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_per_lang)
               .select("id", "key", "lang").distinct())
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # one row per language
+    langs = sorted(rows)
     number = {lang: i for i, lang in enumerate(langs)}
     # the sample has at most max_per_lang rows a language
     picked = (docs.select(F.col(id_col).alias("id2"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang2"))
