@@ -234,8 +234,3 @@ def serving_clean_string(c) -> Column:
 def random_id() -> Column:
     """T22 random form: a UUID per row (non-deterministic; use ``stable_id`` for replays)."""
     return F.uuid()
-
-
-def utc_now_iso() -> Column:
-    """UTC time as ISO text (the session time zone is UTC in ``local_session``)."""
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -18,23 +18,6 @@ NUMERIC_FEATURES = ["char_count", "word_count", "avg_word_length", "exclamation_
                     "question_count", "uppercase_ratio"]
 
 
-def review_feature_columns(text_col: str) -> list[Column]:
-    """The same features as expressions on the raw text (for carrying)."""
-    tp = tx.clean_letters(text_col)
-    words = tx.word_count(tp)
-    return [tp.alias("text_processed"),
-            F.length(tp).cast("bigint").alias("char_count"),
-            words.cast("bigint").alias("word_count"),
-            F.coalesce(tx.safe_ratio(F.length(tp), words), F.lit(0.0)).alias("avg_word_length"),
-            tx.count_char(text_col, "!").cast("bigint").alias("exclamation_count"),
-            tx.count_char(text_col, "?").cast("bigint").alias("question_count"),
-            tx.uppercase_ratio(text_col).alias("uppercase_ratio")]
-
-
-FEATURE_COLUMNS = ["text_processed", "char_count", "word_count", "avg_word_length", "exclamation_count",
-                   "question_count", "uppercase_ratio"]
-
-
 def review_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """char/word counts on the letters-only text, punctuation counts and
     upper-case ratio on the raw text (T11, T1, T2, T17–T19)."""
@@ -75,21 +58,12 @@ def vocabulary(tf: DataFrame, id_col: str, n_docs: Column, max_features: int | N
 
 def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str, n_docs: Column, sublinear: bool = True) -> DataFrame:
     """scikit-learn style weights: tf' = 1+ln(tf) (sublinear), idf = ln((1+n)/(1+df)) + 1,
-    then L2 normalisation per document.  ``vocab`` is bounded by max_features,
-    so it is broadcast."""
-    j = tf.join(F.broadcast(vocab.select("term", "df")), "term")
+    then L2 normalisation per document.  The vocabulary's size decides how it
+    is joined."""
+    j = tf.join(vocab.select("term", "df"), "term")
     tfw = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     w = j.select(id_col, "term", (tfw * idf).alias("w"))
     # one exchange on the document id for the L2 norm (no aggregate + join back)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
-
-
-def vectorizer_terms(c, ngram_max: int = 2, stop: list[str] | None = None) -> Column:
-    """Default vectoriser analyser: lower-case tokens of 2+ word characters,
-    optional stopwords removed before n-grams, 1..ngram_max grams."""
-    toks = tk.vectorizer_tokens(c)
-    if stop:
-        toks = tx.drop_stopwords(toks, stop)
-    return toks

@@ -42,22 +42,18 @@ def null_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # A2 -------------------------------------------------------------------------
-def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True, grid_dp: int | None = 4) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 %, max per column; one row per column.
 
-    Exact quartiles keep one buffer entry per distinct value; on a value grid
-    of ``grid_dp`` decimals that buffer stays bounded for high-cardinality
-    doubles (a ratio in [0, 1] has at most 10^grid_dp + 1 values), while the
-    output at ``dp`` < ``grid_dp`` decimals is unchanged in practice.
-    ``grid_dp=None`` uses the raw values; ``exact=False`` percentile_approx."""
+    Exact quartiles keep one buffer entry per distinct value;
+    ``exact=False`` asks for percentile_approx instead."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        xq = F.round(x, grid_dp) if grid_dp is not None else x
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _q(xq, 0.25, exact).alias(f"{c}__q25"), _q(xq, 0.5, exact).alias(f"{c}__q50"),
-                 _q(xq, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
+                 _q(x, 0.25, exact).alias(f"{c}__q25"), _q(x, 0.5, exact).alias(f"{c}__q50"),
+                 _q(x, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     # one aggregate pass, unpivoted with stack (a union of selects would
@@ -73,7 +69,7 @@ def value_counts_filled(df: DataFrame, col: str, categories: DataFrame) -> DataF
     """Counts for a fixed category list (0 for absent), % of total and balance
     (min count / max count).  ``categories`` has one column named ``col``."""
     counts = df.groupBy(col).count()
-    full = F.broadcast(categories).join(counts, col, "left") \
+    full = categories.join(counts, col, "left") \
         .select(col, F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
     w = Window.partitionBy()  # categories are a handful of rows
     return full.select(
@@ -112,36 +108,31 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 # A8 / J9 ----------------------------------------------------------------------
-def kde(df: DataFrame, col: str, by: str, points: int = 1000, bins: int = 1024) -> DataFrame:
+def kde(df: DataFrame, col: str, by: str, points: int = 1000, bins: int | None = None) -> DataFrame:
     """Gaussian density per group on ``points`` grid points from
     min - range/2 to max + range/2, Scott bandwidth std * n^(-1/5).
 
-    The sample is first reduced to at most ``bins`` equal-width bin centres
-    with counts per group (partial aggregation, shuffle of bin counts only);
-    those bounded arrays are broadcast per group and every grid point sums
-    its kernel over them in the JVM: no grid x sample join."""
+    Equal values are counted first, so the kernel is summed over distinct
+    values; every task adds up its own values for all grid points (partial
+    aggregation: ``points`` rows per group and task reach the shuffle).
+    ``bins`` asks for an approximation over that many equal-width bin centres."""
     x = F.col(col).cast("double")
     stats = df.groupBy(by).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
                                F.min(x).alias("lo"), F.max(x).alias("hi"))
-    stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)),
-                               "w": (F.col("hi") - F.col("lo")) / bins})
-    sb = F.broadcast(stats)  # one row per group
-    j = F.when(F.col("w") == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")), F.lit(bins - 1)))
-    binned = (df.select(by, x.alias("x")).where(F.col("x").isNotNull()).join(sb, by)
-              .select(by, j.alias("j")).groupBy(by, "j").agg(F.count("*").alias("c")))
-    # at most `bins` entries per group: a bounded array, not a collected group
-    arrays = binned.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("j", "c"))).alias("bins"))
-    g = stats.join(F.broadcast(arrays), by)
-    rng = F.col("hi") - F.col("lo")
-    grid = g.select(by, "n", "h", "lo", "hi", "w", "bins",
-                    F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    grid = grid.withColumn("gx", F.col("lo") - rng / 2 + F.col("i") * (2 * rng) / (points - 1))
-    s = F.aggregate("bins", F.lit(0.0), lambda acc, b: acc + b["c"] * F.exp(
-        -F.pow((F.col("gx") - (F.col("lo") + (b["j"] + 0.5) * F.col("w"))) / F.col("h"), 2) / 2))
-    dens = s / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
-    return grid.select(by, F.col("i").cast("bigint").alias("i"), F.round("gx", 4).alias("x"),
-                       F.round(dens * 1e6, 4).alias("density_e6"))
+    stats = stats.withColumns({"h": F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)), "rng": F.col("hi") - F.col("lo")})
+    values = df.select(by, x.alias("v")).where(F.col("v").isNotNull())
+    if bins:
+        w = F.col("rng") / bins
+        j = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / w), F.lit(bins - 1)))
+        values = values.join(stats.select(by, "lo", "rng"), by).select(by, (F.col("lo") + (j + 0.5) * w).alias("v"))
+    counted = values.groupBy(by, "v").agg(F.count("*").alias("c")).join(stats, by)
+    at = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    gx = F.col("lo") - F.col("rng") / 2 + F.col("i") * (2 * F.col("rng")) / (points - 1)
+    kernel = F.col("c") * F.exp(-F.pow((gx - F.col("v")) / F.col("h"), 2) / 2)
+    out = at.groupBy(by, "i").agg(F.sum(kernel).alias("s"), F.first("n").alias("n"), F.first("h").alias("h"), F.first(gx).alias("x"))
+    dens = F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    return out.select(by, F.col("i").cast("bigint").alias("i"), F.round("x", 4).alias("x"),
+                      F.round(dens * 1e6, 4).alias("density_e6"))
 
 
 # A9 -------------------------------------------------------------------------
@@ -154,7 +145,7 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    j = df.select(by, x.alias("v")).join(F.broadcast(q), by)   # one row per group
+    j = df.select(by, x.alias("v")).join(q, by)   # one row per group
     agg = j.groupBy(by, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(F.col("v") >= lo_f, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= hi_f, F.col("v"))).alias("whisker_hi"),

@@ -21,11 +21,11 @@ here — an own specification, not a copy of any package:
 
 Plan: per-document context (neighbour words, caps flags, contrast position,
 emphasis) is computed in-array — no shuffle, no window.  Only lexicon hits
-are kept after one broadcast join with the (bounded) word table; neighbour
-look-ups are three more broadcast joins on those hits; the per-document sums
-are a groupBy whose partial aggregation collapses each document map-side
-(a document's rows never leave its partition before that), so the shuffle
-carries about one row per document.
+are kept after one join with the word table; neighbour look-ups are three more
+joins on those hits (small word tables are broadcast by their size); the
+per-document sums are a hash aggregation by row number whose partial step
+collapses each document map-side, so the shuffle carries about one row per
+document.  Rows stay rows: repeated ids are never merged.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as tx
-from ..session import bounded_broadcast
 
 PUNCT_EDGES = r"^\p{Punct}+|\p{Punct}+$"   # ASCII punctuation (no (?U) on purpose)
 
@@ -64,103 +63,100 @@ def word_table(lexicon: DataFrame, boosters: DataFrame) -> DataFrame:
 def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, boosters: DataFrame,
                    negations: list[str] | None = None, contrast: str = "but",
                    carry: list[str] | None = None) -> DataFrame:
-    """(id, neg, neu, pos, compound, *carry) for every row of ``df``.
+    """(id, neg, neu, pos, compound, *carry), one row per row of ``df``.
 
-    ``carry`` columns (per-document values such as a topic or a snippet) ride
-    through the per-document aggregation, so callers need no join back to the
-    document table (which would shuffle the text a second time)."""
+    ``carry`` columns (small per-row values such as a topic or a snippet) are
+    grouping columns beside the row number, so callers need no join back and
+    the aggregation buffers hold numbers only."""
     carry = list(carry or [])
     negations = negations if negations is not None else dims.STARTER_NEGATIONS
     C = dims.CAPS_INCREMENT
-
-    d = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *carry)
-    d = d.select("__id", "__t", *carry, F.transform(scorer_words(F.col("__t")),
-                                          lambda w: F.struct(F.lower(w).alias("w"), is_all_caps(w).alias("up"))
-                                          ).alias("ws"))
-    n_caps = F.size(F.filter("ws", lambda s: s["up"]))
+    kept = [f"__c{i}" for i in range(len(carry))]
+    whole = ["__rid", "__id", *kept]
+
+    d = df.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t"),
+                  *[F.col(c).alias(k) for c, k in zip(carry, kept)])
+    d = d.select(*whole, "__t", F.transform(scorer_words(F.col("__t")),
+                                            lambda w: F.struct(F.lower(w).alias("w"), is_all_caps(w).alias("up"))).alias("__ws"))
+    n_caps = F.size(F.filter("__ws", lambda s: s["up"]))
     bang = F.least(tx.count_char("__t", "!"), F.lit(dims.EXCLAMATION_MAX)) * dims.EXCLAMATION_INCREMENT
     qn = tx.count_char("__t", "?")
     ques = F.when(qn > 1, F.when(qn <= 3, qn * dims.QUESTION_INCREMENT).otherwise(dims.QUESTION_MANY)).otherwise(0.0)
-    d = d.select("__id", "ws", *carry,
-                 F.size("ws").alias("n_words"),
-                 ((n_caps > 0) & (n_caps < F.size("ws"))).alias("cap_diff"),
-                 (F.array_position(F.transform("ws", lambda s: s["w"]), contrast) - 1).alias("but_pos"),
-                 (bang + ques).alias("amp"))
-
-    # one row per word; documents without words keep one null row
-    e = d.select("__id", "n_words", "cap_diff", "but_pos", "amp", "ws", *carry,
-                 F.posexplode_outer("ws").alias("pos", "cur"))
-    wt = bounded_broadcast(word_table(lexicon, boosters))
-    base_cols = ["__id", "n_words", "cap_diff", "but_pos", "amp", "ws", "pos", "cur", *carry]
+    d = d.select(*whole, "__ws",
+                 F.size("__ws").alias("__n"),
+                 ((n_caps > 0) & (n_caps < F.size("__ws"))).alias("__cap"),
+                 (F.array_position(F.transform("__ws", lambda s: s["w"]), contrast) - 1).alias("__but"),
+                 (bang + ques).alias("__amp"))
+
+    # one row per word with the three words before it; documents without words keep one null row
+    near = F.transform("__ws", lambda w, i: F.struct(w.alias("cur"), *[F.get("__ws", i - k).alias(f"p{k}") for k in (1, 2, 3)]))
+    base_cols = [*whole, "__n", "__cap", "__but", "__amp", "__pos", "__near"]
+    e = d.select(*whole, "__n", "__cap", "__but", "__amp", near.alias("__all"))
+    e = e.select(*base_cols[:-2], F.posexplode_outer("__all").alias("__pos", "__near"))
+    wt = word_table(lexicon, boosters)
 
     def look_up(frame, key: Column, k: int, extra: list[str]) -> DataFrame:
-        # the same aliased table every time: one broadcast exchange, reused
-        t = wt.alias(f"t{k}")
-        j = frame.join(t, key == F.col(f"t{k}.token"), "left")
-        return j.select(*base_cols, *extra, F.col(f"t{k}.valence").alias(f"val{k}"),
-                        F.col(f"t{k}.delta").alias(f"b{k}"))
-
-    e = look_up(e, F.col("cur")["w"], 0, [])
-    hit = F.col("val0").isNotNull() & F.col("b0").isNull()
+        # the same table every time: one exchange, reused
+        t = wt.select(F.col("token").alias(f"__tok{k}"), F.col("valence").alias(f"__val{k}"), F.col("delta").alias(f"__b{k}"))
+        return frame.join(t, key == F.col(f"__tok{k}"), "left").select(*base_cols, *extra, f"__val{k}", f"__b{k}")
+
+    e = look_up(e, F.col("__near")["cur"]["w"], 0, [])
+    hit = F.col("__val0").isNotNull() & F.col("__b0").isNull()
     # keep lexicon hits plus one placeholder row per document (its first word)
-    e = e.where(hit | F.col("pos").isNull() | (F.col("pos") == 0)).withColumn("hit", hit)
-    extra = ["val0", "b0", "hit"]
+    e = e.where(hit | F.col("__pos").isNull() | (F.col("__pos") == 0)).withColumn("__hit", hit)
+    extra = ["__val0", "__b0", "__hit"]
     for k in (1, 2, 3):
-        e = e.withColumn(f"p{k}", F.when(F.col("pos") >= k, F.element_at("ws", F.col("pos") - k + 1)))
-        extra.append(f"p{k}")
-        e = look_up(e, F.col(f"p{k}")["w"], k, extra)
-        extra += [f"val{k}", f"b{k}"]
-
-    v = F.col("val0")
-    e = e.withColumn("v", F.when(F.col("cur")["up"] & F.col("cap_diff"),
-                                 F.when(v > 0, v + C).otherwise(v - C)).otherwise(v))
+        e = look_up(e, F.col("__near")[f"p{k}"]["w"], k, extra)
+        extra += [f"__val{k}", f"__b{k}"]
+
+    v = F.col("__val0")
+    e = e.withColumn("__v", F.when(F.col("__near")["cur"]["up"] & F.col("__cap"),
+                                   F.when(v > 0, v + C).otherwise(v - C)).otherwise(v))
     for k, decay in zip((1, 2, 3), dims.BOOST_DECAY):
-        v = F.col("v")
-        p = F.col(f"p{k}")
-        usable = p.isNotNull() & F.col(f"val{k}").isNull()
-        b = F.col(f"b{k}")
+        v = F.col("__v")
+        p = F.col("__near")[f"p{k}"]
+        usable = p.isNotNull() & F.col(f"__val{k}").isNull()
+        b = F.col(f"__b{k}")
         s = F.when(v < 0, -b).otherwise(b)
-        s = F.when(p["up"] & F.col("cap_diff"), F.when(v > 0, s + C).otherwise(s - C)).otherwise(s)
+        s = F.when(p["up"] & F.col("__cap"), F.when(v > 0, s + C).otherwise(s - C)).otherwise(s)
         s = F.when(b.isNotNull(), s * decay).otherwise(F.lit(0.0))
-        e = e.withColumn("v", F.when(usable, v + s).otherwise(v))
+        e = e.withColumn("__v", F.when(usable, v + s).otherwise(v))
         negated = usable & (p["w"].isin(*[w.lower() for w in negations]) | p["w"].contains("n't"))
-        e = e.withColumn("v", F.when(negated, F.col("v") * dims.NEGATION_SCALAR).otherwise(F.col("v")))
+        e = e.withColumn("__v", F.when(negated, F.col("__v") * dims.NEGATION_SCALAR).otherwise(F.col("__v")))
 
-    bp = F.col("but_pos")
-    factor = (F.when((bp >= 0) & (F.col("pos") < bp), dims.BUT_BEFORE)
-              .when((bp >= 0) & (F.col("pos") > bp), dims.BUT_AFTER).otherwise(1.0))
-    e = e.select("__id", "n_words", "amp", *carry, F.when(F.col("hit"), F.col("v") * factor).alias("s"))
+    bp = F.col("__but")
+    factor = (F.when((bp >= 0) & (F.col("__pos") < bp), dims.BUT_BEFORE)
+              .when((bp >= 0) & (F.col("__pos") > bp), dims.BUT_AFTER).otherwise(1.0))
+    e = e.select(*whole, "__n", "__amp", F.when(F.col("__hit"), F.col("__v") * factor).alias("__s"))
 
-    g = e.groupBy("__id").agg(
-        F.first("n_words").alias("n_words"), F.first("amp").alias("amp"),
-        *[F.first(c).alias(c) for c in carry],
-        F.coalesce(F.sum("s"), F.lit(0.0)).alias("sum_s"),
-        F.coalesce(F.sum(F.when(F.col("s") > 0, F.col("s") + 1)), F.lit(0.0)).alias("pos_sum"),
-        F.coalesce(F.sum(F.when(F.col("s") < 0, F.col("s") - 1)), F.lit(0.0)).alias("neg_sum"),
-        F.count_if(F.col("s").isNotNull() & (F.col("s") != 0)).alias("nz"))
-    return finish_scores(g, carry).withColumnRenamed("__id", id_col)
+    s = F.col("__s")
+    g = e.groupBy(*whole).agg(
+        F.first("__n").alias("__n"), F.first("__amp").alias("__amp"),
+        F.coalesce(F.sum(s), F.lit(0.0)).alias("__sum"),
+        F.coalesce(F.sum(F.when(s > 0, s + 1)), F.lit(0.0)).alias("__up"),
+        F.coalesce(F.sum(F.when(s < 0, s - 1)), F.lit(0.0)).alias("__down"),
+        F.count_if(s.isNotNull() & (s != 0)).alias("__nz"))
+    return finish_scores(g, id_col, carry, kept)
 
 
-def finish_scores(g: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    carry = list(carry or [])
-    x, amp = F.col("sum_s"), F.col("amp")
+def finish_scores(g: DataFrame, id_col: str, carry: list[str], kept: list[str]) -> DataFrame:
+    x, amp = F.col("__sum"), F.col("__amp")
     x = F.when(x > 0, x + amp).when(x < 0, x - amp).otherwise(x)
     comp = x / F.sqrt(x * x + dims.COMPOUND_ALPHA)
     comp = F.least(F.greatest(comp, F.lit(-1.0)), F.lit(1.0))
-    ps, ns = F.col("pos_sum"), F.col("neg_sum")
-    ps2 = F.when(ps > F.abs(ns), ps + amp).otherwise(ps)
-    ns2 = F.when(ps < F.abs(ns), ns - amp).otherwise(ns)
-    neu = (F.col("n_words") - F.col("nz")).cast("double")
-    g = g.select("__id", "n_words", *carry, ps2.alias("p"), ns2.alias("q"), neu.alias("u"), comp.alias("c"))
-    total = F.col("p") + F.abs(F.col("q")) + F.col("u")
-    empty = F.col("n_words") == 0
+    up, down = F.col("__up"), F.col("__down")
+    g = g.select("__id", "__n", *kept, F.when(up > F.abs(down), up + amp).otherwise(up).alias("__p"),
+                 F.when(up < F.abs(down), down - amp).otherwise(down).alias("__q"),
+                 (F.col("__n") - F.col("__nz")).cast("double").alias("__u"), comp.alias("__comp"))
+    total = F.col("__p") + F.abs(F.col("__q")) + F.col("__u")
+    empty = F.col("__n") == 0
     return g.select(
-        "__id",
-        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("q") / total), 3)).alias("neg"),
-        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("u") / total), 3)).alias("neu"),
-        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("p") / total), 3)).alias("pos"),
-        F.when(empty, 0.0).otherwise(F.bround(F.col("c"), 4)).alias("compound"),
-        *carry)
+        F.col("__id").alias(id_col),
+        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("__q") / total), 3)).alias("neg"),
+        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("__u") / total), 3)).alias("neu"),
+        F.when(empty, 0.0).otherwise(F.bround(F.abs(F.col("__p") / total), 3)).alias("pos"),
+        F.when(empty, 0.0).otherwise(F.bround(F.col("__comp"), 4)).alias("compound"),
+        *[F.col(k).alias(c) for c, k in zip(carry, kept)])
 
 
 # N3 -------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 vocabulary and top-k term counts.
 
 In-array forms (``F.filter`` / ``F.transform``) need no shuffle and are used
-whenever the per-row logic is enough.  The exploded ``(review_id, pos, token)``
+where the per-row logic is enough.  The exploded ``(review_id, pos, token)``
 form is used where a table join is the point (stopwords, lemma dictionary).
 Re-assembly after an explode groups by the document id: Catalyst runs the
 ``collect_list`` partially on the map side, and since the explode keeps a
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import lemma as lm
 from ..functions import text as tx
-from ..session import bounded_broadcast
 
 
 def explode_tokens(df: DataFrame, id_col: str, tokens: Column, keep: list[str] | None = None,
@@ -42,9 +41,9 @@ def stopword_table(spark, variants=("general", "nlp_domain")) -> DataFrame:
 
 
 def remove_stopwords_exploded(tokens: DataFrame, stop: DataFrame) -> DataFrame:
-    """Left-anti join with a size-checked broadcast stopword table
+    """Left-anti join with the stopword table, planned by its size
     (duplicates and positions of the kept tokens stay)."""
-    return tokens.join(bounded_broadcast(stop), "token", "left_anti")
+    return tokens.join(stop, "token", "left_anti")
 
 
 def reassemble(tokens: DataFrame, id_col: str, value: str = "token", sep: str = " ") -> DataFrame:
@@ -76,14 +75,12 @@ def vectorizer_tokens(c) -> Column:
 
 
 # T13 / J8 -------------------------------------------------------------------
-def dictionary_lemmas(tokens: DataFrame, lemma_dict: DataFrame) -> DataFrame:
-    """Token -> lemma by a (token, lemma) table, fallback to suffix rules;
-    keep alphabetic lemmas of 2+ letters."""
-    j = tokens.join(bounded_broadcast(lemma_dict), "token", "left")
-    j = j.withColumn("lemma", F.coalesce(F.col("lemma"), lm.suffix_lemma(F.col("token"))))
-    keep = tx.is_alpha(F.col("lemma")) & (F.length("lemma") > 1)
-    # null tokens are the placeholders of empty documents (explode_outer)
-    return j.where(keep | F.col("token").isNull())
+def word_actions(lemma_dict: DataFrame, stop: DataFrame) -> DataFrame:
+    """(token, lemma, is_stop), one row per token: what the pipeline does with
+    listed words.  Of several lemmas for a token the smallest counts."""
+    rows = (lemma_dict.select("token", "lemma", F.lit(False).alias("is_stop"))
+            .unionByName(stop.select("token", F.lit(None).cast("string").alias("lemma"), F.lit(True).alias("is_stop"))))
+    return rows.groupBy("token").agg(F.min("lemma").alias("lemma"), F.max("is_stop").alias("is_stop"))
 
 
 LEMMA_DICTIONARY = [
@@ -100,11 +97,7 @@ LEMMA_DICTIONARY = [
 
 
 def lemma_dictionary_df(spark, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else LEMMA_DICTIONARY, "token string, lemma string")
-
-
-INLINE_DICT_LIMIT = 64        # map look-ups inside transform are linear: keep inlined dictionaries small
-INLINE_STOP_LIMIT = 10_000    # stopword tests become a hashed InSet: cheap at any bounded size
+    return dims.local_table(spark, rows if rows is not None else LEMMA_DICTIONARY, "token string, lemma string")
 
 
 def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
@@ -112,33 +105,23 @@ def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFram
     """Lower → URLs/e-mails → punctuation → alphabetic tokens (2+) →
     stopwords → dictionary lemmas (fallback suffix rules) → joined string.
 
-    Small (size-checked) stopword lists and dictionaries are inlined: the
-    whole pipeline is then per-row array work with no shuffle (stopwords as a
-    hashed InSet).  Larger ones take the exploded form: broadcast joins on
-    the token table and a re-assembly grouped by document id."""
-    n_stop = stop.limit(INLINE_STOP_LIMIT + 1).count()
-    n_dict = lemma_dict.limit(INLINE_DICT_LIMIT + 1).count()
+    One form for lists of any size: the exploded tokens meet one table of
+    listed words (stopwords and lemmas), and every row is put together again
+    by a row number made before the explode.  Rows stay rows: those without
+    tokens, those that lose all tokens, and those with repeated ids."""
     toks = tx.tokenize(tx.nlp_clean_string(text_col))
-    if n_stop <= INLINE_STOP_LIMIT and n_dict <= INLINE_DICT_LIMIT:
-        words = [r[0] for r in stop.select("token").collect()]          # bounded by the check above
-        pairs = [(r[0], r[1]) for r in lemma_dict.select("token", "lemma").collect()]
-        kept = df.select(id_col, F.filter(toks, lambda t: ~t.isin(*words)).alias("__k"))
-        if pairs:
-            m = F.create_map(*[F.lit(x) for p in pairs for x in p])
-            lemma = lambda t: F.coalesce(F.element_at(m, t), lm.suffix_lemma(t))
-        else:
-            lemma = lm.suffix_lemma
-        lem = F.filter(F.transform("__k", lemma), lambda x: tx.is_alpha(x) & (F.length(x) > 1))
-        return kept.select(id_col, F.array_join(lem, " ").alias("cleaned_review"))
-    ex = explode_tokens(df, id_col, toks, outer=True)
-    # stopword rows become null placeholders (not dropped) so every document
-    # keeps at least one row and re-assembly needs no join back
-    sw = bounded_broadcast(stop.select(F.col("token").alias("__sw"), F.lit(True).alias("__is_sw")))
-    ex = ex.join(sw, ex["token"] == sw["__sw"], "left") \
-        .select(id_col, "pos", F.when(F.col("__is_sw").isNull(), F.col("token")).alias("token"))
-    lem = dictionary_lemmas(ex, lemma_dict)
-    out = reassemble(lem, id_col, "lemma")
-    return out.select(id_col, F.col("lemma").alias("cleaned_review"))
+    cleaned = df.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("__id"), toks.alias("__toks"))
+    ex = cleaned.select("__rid", "__id", F.posexplode_outer("__toks").alias("__pos", "__token"))
+    acts = word_actions(lemma_dict, stop).select(F.col("token").alias("__token"), F.col("lemma").alias("__lemma"),
+                                                 F.col("is_stop").alias("__stop"))
+    j = ex.join(acts, "__token", "left").withColumn(
+        "__lemma", F.when(F.col("__stop").isNull() | ~F.col("__stop"),
+                          F.coalesce("__lemma", lm.suffix_lemma(F.col("__token")))))
+    keep = tx.is_alpha(F.col("__lemma")) & (F.length("__lemma") > 1)
+    words = F.array_sort(F.collect_list(F.when(keep, F.struct("__pos", "__lemma"))))
+    g = j.groupBy("__rid", "__id").agg(words.alias("__w"))
+    return g.select(F.col("__id").alias(id_col),
+                    F.array_join(F.transform("__w", lambda s: s["__lemma"]), " ").alias("cleaned_review"))
 
 
 # W6 / O3 / O4 ---------------------------------------------------------------

@@ -312,7 +312,7 @@ def q17(spark, sf):
 def q18(spark, sf):
     from ..operators.profile import value_counts_filled
     lab = _labels(spark, sf)
-    cats = spark.createDataFrame([(0,), (1,)], "category int")
+    cats = dims.local_table(spark, [(0,), (1,)], "category int")
     parts = [value_counts_filled(lab.select(F.col(c).alias("category")), "category", cats)
              .select(F.lit(c).alias("column_name"), "*") for c in ("quality", "toxic")]
     return parts[0].unionByName(parts[1])
@@ -343,7 +343,7 @@ def q21(spark, sf):
     from ..operators.profile import kde
     d = _docs(spark, sf).select("doc_id", "n_chars").join(
         _labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied")), "doc_id")
-    return kde(d, "n_chars", "satisfied", points=1000, bins=1024)
+    return kde(d, "n_chars", "satisfied", points=1000)
 
 
 # q22 A9 ---------------------------------------------------------------------
@@ -380,8 +380,10 @@ def q24(spark, sf):
 def q25(spark, sf):
     from ..operators import tokens as tk
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
-    clean = tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
-                            tk.stopword_table(spark, ("general", "nlp_domain")))
+    from ..session import cut_lineage
+    # written once: both the statistics and the vocabulary read it
+    clean = cut_lineage(tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
+                                        tk.stopword_table(spark, ("general", "nlp_domain"))))
 
     per_doc = (d.select(F.lit("original").alias("stage"), F.length("text").alias("c"), tx.word_count("text").alias("w"))
                .unionByName(clean.select(F.lit("cleaned").alias("stage"), F.length("cleaned_review").alias("c"),
@@ -445,12 +447,9 @@ QUERY_NEGATIONS = ["a", "nd", "ou", "st"]
 QUERY_CONTRAST = "as"
 
 
-def _scored(spark, sf, text_expr=None, lang="en"):
+def _scored(spark, sf, text_expr=None):
     from ..operators.sentiment import lexicon_scores
-    d = _docs(spark, sf)
-    if lang:
-        d = d.where(F.col("lang") == lang)
-    d = d.select(F.col("doc_id").alias("review_id"),
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"),
                  (text_expr if text_expr is not None else F.col("text")).alias("t"))
     return lexicon_scores(d, "review_id", "t", dims.lexicon_df(spark, QUERY_LEXICON),
                           dims.booster_df(spark, QUERY_BOOSTERS), QUERY_NEGATIONS, QUERY_CONTRAST)
@@ -500,8 +499,8 @@ LABEL_ORDER = ["Negative", "Neutral", "Positive"]
 
 
 def _label_grid(spark):
-    return spark.createDataFrame([(a, b) for a in LABEL_ORDER for b in LABEL_ORDER],
-                                 "lexicon_label string, model_label string")
+    return dims.local_table(spark, [(a, b) for a in LABEL_ORDER for b in LABEL_ORDER],
+                            "lexicon_label string, model_label string")
 
 
 # q30 A20 A17 ----------------------------------------------------------------
@@ -509,7 +508,7 @@ def _label_grid(spark):
 def q30(spark, sf):
     j = _two_scorers(spark, sf)
     counts = j.groupBy("lexicon_label", "model_label").agg(F.count("*").alias("n"))
-    full = F.broadcast(_label_grid(spark)).join(counts, ["lexicon_label", "model_label"], "left") \
+    full = _label_grid(spark).join(counts, ["lexicon_label", "model_label"], "left") \
         .select("lexicon_label", "model_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     # totals from the 9-row grid (a bounded window), not from scalar
     # subqueries that would re-run both scorers
@@ -571,9 +570,9 @@ def q33(spark, sf):
     a = j.select(F.lit("lexicon").alias("scorer"), F.col("quality").alias("actual"), F.col("lexicon_label").alias("label"))
     b = j.select(F.lit("model").alias("scorer"), F.col("quality").alias("actual"), F.col("model_label").alias("label"))
     counts = a.unionByName(b).groupBy("scorer", "actual", "label").agg(F.count("*").alias("n"))   # U2
-    grid = spark.createDataFrame([(s, c, lab) for s in ("lexicon", "model") for c in (0, 1) for lab in LABEL_ORDER],
-                                 "scorer string, actual int, label string")
-    full = F.broadcast(grid).join(counts, ["scorer", "actual", "label"], "left") \
+    grid = dims.local_table(spark, [(s, c, lab) for s in ("lexicon", "model") for c in (0, 1) for lab in LABEL_ORDER],
+                            "scorer string, actual int, label string")
+    full = grid.join(counts, ["scorer", "actual", "label"], "left") \
         .select("scorer", "actual", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     from pyspark.sql import Window
     w = Window.partitionBy("scorer", "actual")   # 12-row grid
@@ -586,7 +585,7 @@ def q34(spark, sf):
     from ..operators.topics import detect_topic
     docs = _docs(spark, sf).select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
                                    F.lit(0).cast("bigint").alias("turn"), "text")
-    conv = tb.table(spark, sf, "conversations").where(F.col("role") == "user").select(
+    conv = tb.table(spark, sf, "conversations").select(
         F.lit("conv").alias("src"), F.col("conv_id").alias("id"), "turn", "text")
     u = docs.unionByName(conv)
     return u.select("src", "id", "turn", detect_topic("text", "lambda").alias("topic"),
@@ -604,26 +603,24 @@ def q35(spark, sf):
     return r.where(F.col("rank") <= 10)
 
 
-def _scored_topics(spark, sf):
-    from ..operators.topics import detect_topic
-    s = _scored(spark, sf, lang=None)
-    t = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), detect_topic("text").alias("topic"), "text")
-    return t.join(s.select("review_id", F.col("compound").alias("sentiment_score")), "review_id")
+def _reviews(spark, sf, keep=()):
+    """E1 over all documents: one scan, one shuffle of small rows."""
+    from ..operators.score import score_reviews
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text",
+                                *([F.substring("text", 1, 1000).alias("prompt_review")] if "prompt_review" in keep else []))
+    return score_reviews(d, "review_id", "text", _query_scoring(spark), keep=list(keep))
 
 
 @query("q36_recommend")
 def q36(spark, sf):
-    from ..operators.recommend import recommend
-    d = _scored_topics(spark, sf).withColumn("satisfied", lb.satisfied_from_compound("sentiment_score"))
-    r = recommend(d, spark, "topic", "sentiment_score", "satisfied")
-    return r.select("review_id", "topic", "sentiment_score", "predicted_satisfaction",
-                    "action", "priority", "owner", "kpi")
+    return _reviews(spark, sf).select("review_id", F.col("detected_topic").alias("topic"), "sentiment_score",
+                                      "predicted_satisfaction", "action", "priority", "owner", "kpi")
 
 
 @query("q37_recommend_report")
 def q37(spark, sf):
     from ..operators.recommend import first_per_group, priority_rank, recommend, round_robin_topics
-    s = _scored(spark, sf, lang=None)
+    s = _scored(spark, sf)
     neg = s.where(lb.three_class("compound") == "Negative").select(
         "review_id", F.col("compound").alias("sentiment_score"), F.lit(0).alias("satisfied"))
     topics = [t for t, _ in dims.TOPIC_PRIORITY]
@@ -638,20 +635,15 @@ def q37(spark, sf):
 @query("q38_prompt_table")
 def q38(spark, sf):
     from ..operators.recommend import prompt_text
-    d = _scored_topics(spark, sf)
-    d = d.select("review_id", "text", "topic", "sentiment_score",
-                 lb.three_class("sentiment_score").alias("label"),
-                 lb.satisfaction_text(lb.satisfied_from_compound("sentiment_score")).alias("satisfaction"),
-                 F.abs("sentiment_score").alias("confidence"))
-    return d.select("review_id", prompt_text("text", "label", "sentiment_score", "satisfaction", "topic",
-                                             "confidence").alias("prompt"))
+    d = _reviews(spark, sf, ("prompt_review",))
+    return d.select("review_id", prompt_text("prompt_review", "sentiment_label", "sentiment_score", "predicted_satisfaction",
+                                             "detected_topic", "confidence").alias("prompt"))
 
 
 @query("q39_canned_reply")
 def q39(spark, sf):
-    from ..operators.recommend import canned_reply, fallback_text, recommend
-    d = _scored_topics(spark, sf).withColumn("satisfied", lb.satisfied_from_compound("sentiment_score"))
-    r = recommend(d, spark, "topic", "sentiment_score", "satisfied")
+    from ..operators.recommend import canned_reply, fallback_text
+    r = _reviews(spark, sf).withColumnRenamed("detected_topic", "topic")
     c = canned_reply(r, spark, "topic", "sentiment_score", "predicted_satisfaction")
     return c.select("review_id", "topic", "reply", fallback_text("action").alias("fallback_text"),
                     F.lit("fallback").alias("genai_source"))
@@ -674,7 +666,7 @@ def q41(spark, sf):
 
 
 def _rule_predictions(spark, sf):
-    s = _scored(spark, sf, lang=None)
+    s = _scored(spark, sf)
     return s.join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"), "review_id").select(
         "review_id", "quality", "compound", lb.satisfied_from_compound("compound").alias("pred"))
 
@@ -700,10 +692,13 @@ def _query_scoring(spark):
 
 def _requests(spark, sf):
     from ..sources.requests import build_requests
-    c = tb.table(spark, sf, "conversations").where(F.col("role").isin("user", "system"))
-    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
-                 F.when(F.col("role") == "system", "blank")
-                 .when(F.col("turn") % 2 == 0, "gateway").otherwise("direct").alias("shape"))
+    # every turn is a request; four of twelve come in the malformed shapes
+    rid = F.col("conv_id") * 1000 + F.col("turn")
+    k = rid % 12
+    c = tb.table(spark, sf, "conversations").select(
+        rid.alias("request_id"), "text",
+        F.when(k == 8, "object").when(k == 9, "broken").when(k == 10, "text").when(k == 11, "number")
+        .when(k % 2 == 0, "gateway").otherwise("direct").alias("shape"))
     return build_requests(c, "request_id", "text", "shape")
 
 
@@ -749,10 +744,12 @@ def _vec_terms(df, text_col, stop=None):
 @query("q47_tfidf")
 def q47(spark, sf):
     from ..operators.features import term_frequencies, tfidf, vocabulary
-    d = _docs(spark, sf).where(F.col("lang") == "en").select(F.col("doc_id").alias("review_id"), "text")
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    from ..session import cut_lineage
     t = _vec_terms(d, "text")
     n_docs = d.agg(F.count("*")).scalar()
-    tf = term_frequencies(t, "review_id", F.col("terms"))
+    # written once: the vocabulary and the weights read the same rows
+    tf = cut_lineage(term_frequencies(t, "review_id", F.col("terms")))
     voc = vocabulary(tf, "review_id", n_docs, 5000, min_df=3, max_df=0.95)
     w = tfidf(tf, voc, "review_id", n_docs, sublinear=True)
     return w.select("review_id", "term", F.round("tfidf", 6).alias("tfidf"))
@@ -762,11 +759,12 @@ def q47(spark, sf):
 def q48(spark, sf):
     from ..operators.features import term_frequencies, vocabulary
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    from ..session import cut_lineage
     t = _vec_terms(d, "text", stop=dims.stopwords("general"))
     n_docs = d.agg(F.count("*")).scalar()
-    tf = term_frequencies(t, "review_id", F.col("terms"))
+    tf = cut_lineage(term_frequencies(t, "review_id", F.col("terms")))
     voc = vocabulary(tf, "review_id", n_docs, 3000, min_df=3)
-    return tf.join(F.broadcast(voc.select("term")), "term").select(
+    return tf.join(voc.select("term"), "term").select(
         "review_id", "term", F.col("tf").cast("bigint").alias("n"))
 
 
@@ -800,7 +798,7 @@ def _model_data(spark, sf):
     from ..operators.split import stratified_folds, stratified_split
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
     f = review_features(d, "text", ["review_id", "text"]).na.fill(0.0, ["avg_word_length"])
-    s = _scored(spark, sf, lang=None)
+    s = _scored(spark, sf)
     lab = _labels(spark, sf).select(F.col("doc_id").alias("review_id"), F.col("quality").alias("label"))
     sp = stratified_split(lab, "review_id", "label")
     folds = stratified_folds(sp.where(F.col("split") == "train").select("review_id", "label"), "review_id", "label")
@@ -820,10 +818,11 @@ def q50(spark, sf):
 @query("q51_lda_topics")
 def q51(spark, sf):
     from ..operators.lda import lda_topics
-    s = _scored(spark, sf, lang=None).where(lb.three_class("compound") == "Negative")     # L1
+    from ..session import cut_lineage
+    s = _scored(spark, sf).where(lb.three_class("compound") == "Negative")     # L1
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), tx.clean_letters("text").alias("cleaned_review"))
     neg = d.join(s.select("review_id"), "review_id").na.drop(subset=["cleaned_review"])  # P13
-    return lda_topics(neg, "cleaned_review", k=10, max_iter=10, vocab_size=3000, min_df=3.0, seed=42)
+    return lda_topics(cut_lineage(neg), "cleaned_review", k=10, max_iter=30, vocab_size=3000, min_df=3.0, seed=42)
 
 
 def length_parity_scorer():
@@ -857,3 +856,133 @@ def q53(spark, sf):
     return spark.read.parquet(f"{base}/log").select(
         "prediction_id", "review_snippet", "sentiment_label", "sentiment_score", "predicted_satisfaction",
         "confidence", "detected_topic", "priority")
+
+
+# serving, and operators whose inputs are derived from the tables ---------------------
+def served_rule_model(path: str):
+    """A pipeline of fixed coefficients, saved and loaded again."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    from ..operators.score import load_model
+    logit = ("-0.2 + 1.5 * compound + 0.8 * pos - 1.1 * neg - 0.01 * exclamation_count + 0.5 * uppercase_ratio"
+             " + 0.0001 * word_count")
+    PipelineModel(stages=[
+        SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({logit}))) AS probability FROM __THIS__"),
+        SQLTransformer(statement="SELECT *, CAST(probability >= 0.5 AS DOUBLE) AS prediction FROM __THIS__"),
+    ]).write().overwrite().save(path)
+    return load_model(path)
+
+
+# q54 S4 E1 M9 -------------------------------------------------------------------
+@query("q54_model_serving")
+def q54(spark, sf):
+    from ..operators.score import score_reviews
+    cfg = _query_scoring(spark)
+    cfg.model = served_rule_model(os.path.join(ensure_checkpoint_dir(spark), f"served-{uuid.uuid4().hex}"))
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    return score_reviews(d, "review_id", "text", cfg).select(
+        "review_id", "predicted_satisfaction", "confidence", F.col("detected_topic").alias("topic"), "priority")
+
+
+# q55 A18 ------------------------------------------------------------------------
+@query("q55_confusion_row_pct")
+def q55(spark, sf):
+    from ..operators.evaluate import confusion_with_row_pct
+    return confusion_with_row_pct(_rule_predictions(spark, sf), "quality", "pred", [0, 1])
+
+
+# q56 J5 A24 L6 ------------------------------------------------------------------
+@query("q56_topic_names")
+def q56(spark, sf):
+    from ..operators import tokens as tk
+    from ..operators.topics import name_topic, rollup_by_name
+    # the 40 most frequent letter runs of three or more of each source stand for a topic's top words
+    d = _docs(spark, sf).where(F.col("source").isNotNull())
+    toks = F.filter(tx.split_ws(tx.clean_letters("text")), lambda t: F.length(t) >= 3)
+    top = tk.top_k_per_group(tk.term_counts(d, ["source"], toks), ["source"], "term", "n", 40)
+    words = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("w"))
+    table = words.select("source", F.array_join(F.transform("w", lambda s: s["term"]), " ").alias("Top_Words")).join(
+        d.groupBy("source").agg(F.count("*").alias("Count")), "source")
+    named = table.withColumn("Business_Name", F.coalesce(name_topic(F.col("Top_Words")), F.lit("Unnamed")))
+    return rollup_by_name(named)
+
+
+# q57 O4 -------------------------------------------------------------------------
+@query("q57_top_cleaned_words")
+def q57(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    clean = tk.nlp_pipeline(d, "review_id", "text", tk.lemma_dictionary_df(spark),
+                            tk.stopword_table(spark, ("general", "nlp_domain")))
+    counts = tk.term_counts(clean, [], tx.split_ws("cleaned_review"))
+    return counts.orderBy(F.desc("n"), "term").limit(20).select(F.col("term").alias("word"), F.col("n").cast("bigint").alias("n"))
+
+
+# q58 P16 ------------------------------------------------------------------------
+@query("q58_head_and_rows")
+def q58(spark, sf):
+    from ..sources.tables import head_rows, rows_at
+    d = tb.reviews(spark, sf).select("review_id", "title")
+    head = head_rows(d, "review_id", 5).select(F.lit("head").alias("part"), "*")
+    return head.unionByName(rows_at(d, "review_id", [0, 42, 150]).select(F.lit("picked").alias("part"), "*"))
+
+
+# q59 M3 -------------------------------------------------------------------------
+@query("q59_tfidf_min2")
+def q59(spark, sf):
+    from ..operators.features import term_frequencies, tfidf, vocabulary
+    from ..session import cut_lineage
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    n_docs = d.agg(F.count("*")).scalar()
+    tf = cut_lineage(term_frequencies(_vec_terms(d, "text"), "review_id", F.col("terms")))
+    w = tfidf(tf, vocabulary(tf, "review_id", n_docs, 5000, min_df=2), "review_id", n_docs, sublinear=True)
+    return w.select("review_id", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+# q60 O5 M14 ---------------------------------------------------------------------
+@query("q60_top_features")
+def q60(spark, sf):
+    from ..operators.features import term_frequencies
+    from ..operators.train import top_by_importance
+    lab = _labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality")
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text").join(lab, "review_id")
+    tf = term_frequencies(_vec_terms(d, "text"), "review_id", F.col("terms")).join(lab, "review_id")
+    # a linear term's coefficient: the difference of the classes' document counts
+    coef = tf.groupBy("term").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(-1)).alias("c"))
+    imp = coef.select(F.col("term").alias("idx"), F.col("term").alias("feature"), F.lit("term").alias("kind"),
+                      F.abs("c").cast("double").alias("importance"))
+    return top_by_importance(imp, 25).drop("idx")
+
+
+# q61 O7 -------------------------------------------------------------------------
+@query("q61_disagreement_sample")
+def q61(spark, sf):
+    j = _two_scorers(spark, sf).where(F.col("lexicon_label") != F.col("model_label"))
+    s = j.withColumn("sample_key", tx.seeded_order_key("review_id", 42))
+    # the sample size is the feature
+    return s.orderBy("sample_key").limit(8).select("review_id", "lexicon_label", "lexicon_score", "model_label", "model_score")
+
+
+# q62 M2 as vectors ----------------------------------------------------------------
+@query("q62_tfidf_vectors")
+def q62(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.train import feature_pipeline
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), tx.clean_letters("text").alias("t"))
+    model = feature_pipeline("t", [], vocab_size=5000, min_df=3.0, max_df=0.95).fit(d)
+    vocab = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    terms = dims.local_table(spark, list(enumerate(vocab)), "i int, term string")
+    cells = model.transform(d).select("review_id", F.posexplode(vector_to_array("text_vec")).alias("i", "x")).where("x <> 0")
+    return cells.join(terms, "i").select("review_id", "term", F.round("x", 6).alias("tfidf"))
+
+
+# q63 T13 T15 with a long dictionary --------------------------------------------------
+@query("q63_long_dictionary")
+def q63(spark, sf):
+    from ..operators import tokens as tk
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    # one lemma for each frequent word: its first four letters
+    words = tk.term_counts(d, [], tx.tokenize(tx.nlp_clean_string("text"))).where("n >= 20 AND length(term) > 4")
+    lemmas = words.select(F.col("term").alias("token"), F.substring("term", 1, 4).alias("lemma"))
+    out = tk.nlp_pipeline(d, "review_id", "text", lemmas, tk.stopword_table(spark, ("general", "nlp_domain")))
+    return out.select("review_id", F.md5("cleaned_review").alias("cleaned_md5"))

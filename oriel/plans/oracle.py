@@ -239,9 +239,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY satisfied ORDER BY n DESC, term
 SELECT satisfied, term AS bigram, n::BIGINT AS n, rank::BIGINT AS rank FROM r WHERE rank <= 15
 """
 
+# The list of the word-frequency profile, written out on its own.
+WORDFREQ_STOP = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+has had having do does did doing a an the and but if or because as until while of at by for with about against between
+through during before after above below to from up down in out on off over under again further then once here there when
+where why how all both each few more most other some such no nor not only own same so than too very s t can will just don
+should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren
+won wouldn flight ba british airways airline fly flew flying one would also us get got even much well told said really
+could still back two make made time take took going went go come came like know think thing way say see give want tell
+use find put try ask need let keep seem""".split()
+
 ORACLE["q15_word_freq_by_class"] = f"""
 WITH d AS (SELECT l.quality AS satisfied,
-             [t for t in {split_ws(clean_letters('d.text'))} if NOT list_contains({sql_list(dims.stopwords('wordfreq'))}, t)] AS toks
+             [t for t in {split_ws(clean_letters('d.text'))} if NOT list_contains({sql_list(WORDFREQ_STOP)}, t)] AS toks
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 g AS (SELECT satisfied, unnest(list_concat(toks, {bigrams('toks')})) AS term FROM d),
 c AS (SELECT satisfied, term, count(*) AS n FROM g GROUP BY ALL),
@@ -271,8 +283,8 @@ _DESC = ["char_count", "word_count", "avg_word_length", "exclamation_count", "up
 ORACLE["q17_describe"] = f"WITH {FEAT}\n" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count({c})::BIGINT AS count, round(avg({c}::DOUBLE), 3) AS mean,
        round(stddev_samp({c}::DOUBLE), 3) AS std, round(min({c})::DOUBLE, 3) AS min,
-       round(quantile_cont(round({c}::DOUBLE, 4), 0.25), 3) AS q25, round(quantile_cont(round({c}::DOUBLE, 4), 0.5), 3) AS q50,
-       round(quantile_cont(round({c}::DOUBLE, 4), 0.75), 3) AS q75, round(max({c})::DOUBLE, 3) AS max FROM feat"""
+       round(quantile_cont({c}::DOUBLE, 0.25), 3) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 3) AS q50,
+       round(quantile_cont({c}::DOUBLE, 0.75), 3) AS q75, round(max({c})::DOUBLE, 3) AS max FROM feat"""
     for c in _DESC)
 
 ORACLE["q18_value_counts_filled"] = """
@@ -308,16 +320,13 @@ FROM x GROUP BY bin, lo, hi
 
 ORACLE["q21_kde"] = """
 WITH t AS (SELECT l.quality AS satisfied, d.n_chars::DOUBLE AS x FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-s AS (SELECT satisfied, count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM t GROUP BY satisfied),
-s2 AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 1024 AS w FROM s),
-b AS (SELECT t.satisfied, CASE WHEN w = 0 THEN 0 ELSE least(floor((x - lo) / w), 1023) END AS j, count(*) AS c
-      FROM t JOIN s2 ON t.satisfied = s2.satisfied GROUP BY ALL),
-g AS (SELECT satisfied, i, lo - (hi - lo) / 2 + i * (2 * (hi - lo)) / 999 AS gx FROM s2, range(0, 1000) r(i))
+s AS (SELECT satisfied, count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h, min(x) AS lo, max(x) AS hi
+      FROM t GROUP BY satisfied),
+g AS (SELECT satisfied, n, h, i, lo - (hi - lo) / 2 + i * (2 * (hi - lo)) / 999 AS gx FROM s, range(0, 1000) r(i))
 SELECT g.satisfied, g.i::BIGINT AS i, round(g.gx, 4) AS x,
-       round(sum(b.c * exp(-pow((g.gx - (s2.lo + (b.j + 0.5) * s2.w)) / s2.h, 2) / 2))
-             / (s2.n * s2.h * sqrt(2 * pi())) * 1e6, 4) AS density_e6
-FROM g JOIN b ON g.satisfied = b.satisfied JOIN s2 ON g.satisfied = s2.satisfied
-GROUP BY g.satisfied, g.i, g.gx, s2.n, s2.h
+       round(sum(exp(-pow((g.gx - t.x) / g.h, 2) / 2)) / (g.n * g.h * sqrt(2 * pi())) * 1e6, 4) AS density_e6
+FROM g JOIN t ON g.satisfied = t.satisfied
+GROUP BY g.satisfied, g.i, g.gx, g.n, g.h
 """
 
 ORACLE["q22_box_stats"] = """
@@ -399,8 +408,8 @@ STRIP_P = "regexp_replace(t, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
 UP = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def sentiment_sql(text_expr: str = "text", where: str = "lang = 'en'", src_sql: str | None = None) -> str:
-    """CTE chain ending in `scores(review_id, neg, neu, pos, compound)` over English documents."""
+def sentiment_sql(text_expr: str = "text", where: str = "TRUE", src_sql: str | None = None) -> str:
+    """CTE chain ending in `scores(review_id, neg, neu, pos, compound)` over the documents."""
     steps = []
     for k, decay in zip((1, 2, 3), (1.0, 0.95, 0.9)):
         bs = f"(CASE WHEN v < 0 THEN -b{k} ELSE b{k} END)"
@@ -558,7 +567,7 @@ ORACLE["q34_detect_topic"] = f"""
 SELECT 'doc' AS src, doc_id AS id, 0::BIGINT AS turn, {topic_case('text')} AS topic, {topic_case('text', 'app')} AS topic_app
 FROM documents
 UNION ALL
-SELECT 'conv', conv_id, turn, {topic_case('text')}, {topic_case('text', 'app')} FROM conversations WHERE role = 'user'
+SELECT 'conv', conv_id, turn, {topic_case('text')}, {topic_case('text', 'app')} FROM conversations
 """
 
 ORACLE["q35_topic_rollup"] = f"""
@@ -684,7 +693,7 @@ FROM c2, a
 from ..sources.requests import MISSING_REVIEW  # noqa: E402
 
 REQ_SRC = ("SELECT conv_id * 1000 + turn AS review_id, " + strip("text") + " AS text FROM conversations "
-           "WHERE role = 'user' AND length(" + strip("text") + ") > 0")
+           "WHERE (conv_id * 1000 + turn) % 12 < 8 AND length(" + strip("text") + ") > 0")
 
 
 def scored_recs(src_sql: str) -> str:
@@ -713,13 +722,16 @@ _rec = "'\"recommendation\":{' || " + " || ',' || ".join(_j(k, k) for k in ["act
 _ai = (f"',' || " + _j("ai_recommendation", f"{sql_str(dims.FALLBACK_PREFIX)} || action || {sql_str(dims.FALLBACK_SUFFIX)}")
        + " || ',\"genai_source\":\"fallback\"'")
 ORACLE["q44_request_parse_respond"] = f"""WITH {scored_recs(REQ_SRC)},
-req AS (SELECT conv_id * 1000 + turn AS request_id, role, turn FROM conversations WHERE role IN ('user', 'system'))
+req AS (SELECT conv_id * 1000 + turn AS request_id, (conv_id * 1000 + turn) % 12 AS k, length(text) AS n FROM conversations)
 SELECT r.request_id, 200 AS status_code,
-       '{{' || {_core} || ',' || {_rec} || CASE WHEN r.turn % 2 = 0 THEN {_ai} ELSE '' END || '}}' AS body
-FROM req r JOIN recd ON recd.review_id = r.request_id WHERE r.role = 'user'
+       '{{' || {_core} || ',' || {_rec} || CASE WHEN r.k % 2 = 0 THEN {_ai} ELSE '' END || '}}' AS body
+FROM req r JOIN recd ON recd.review_id = r.request_id WHERE r.k < 8
 UNION ALL
 SELECT r.request_id, 400, '{{"error":"{MISSING_REVIEW}"}}' FROM req r
-WHERE r.role = 'system' OR (r.role = 'user' AND r.request_id NOT IN (SELECT review_id FROM recd))
+WHERE r.k = 8 OR (r.k = 11 AND r.n = 0) OR (r.k < 8 AND r.request_id NOT IN (SELECT review_id FROM recd))
+UNION ALL
+SELECT r.request_id, 500, '{{"error":"Malformed request"}}' FROM req r
+WHERE r.k IN (9, 10) OR (r.k = 11 AND r.n > 0)
 """
 
 DOC_SRC = "SELECT doc_id AS review_id, text FROM documents"
@@ -750,7 +762,7 @@ tf AS (SELECT review_id, term, count(*) AS tf FROM tm GROUP BY ALL),
 stt AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term)"""
 
 
-ORACLE["q47_tfidf"] = f"""WITH {vec_terms_cte("lang = 'en'")},
+ORACLE["q47_tfidf"] = f"""WITH {vec_terms_cte()},
 v AS (SELECT term, df FROM stt, nd WHERE df >= 3 AND df <= floor(n * 0.95) ORDER BY total DESC, term ASC LIMIT 5000),
 w AS (SELECT tf.review_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w
       FROM tf JOIN v ON v.term = tf.term, nd)
@@ -788,3 +800,83 @@ FROM s
 """
 
 ORACLE["q53_stream_score"] = ORACLE["q45_prediction_log"]
+
+
+# serving and derived inputs ----------------------------------------------------------
+_LOGIT = ("-0.2 + 1.5 * s.compound + 0.8 * s.pos - 1.1 * s.neg - 0.01 * f.exclamation_count + 0.5 * f.uppercase_ratio"
+          " + 0.0001 * f.word_count")
+ORACLE["q54_model_serving"] = f"""WITH {_ALL},
+{FEAT},
+{REC_CTE},
+p AS (SELECT s.review_id, s.compound, 1 / (1 + exp(-({_LOGIT}))) AS p1, {topic_case('d.text')} AS topic
+      FROM scores s JOIN feat f ON f.doc_id = s.review_id JOIN documents d ON d.doc_id = s.review_id)
+SELECT p.review_id, CASE WHEN p1 >= 0.5 THEN 'Satisfied' ELSE 'Not Satisfied' END AS predicted_satisfaction,
+       round_even(CASE WHEN p1 >= 0.5 THEN p1 ELSE 1 - p1 END, 4) AS confidence, p.topic,
+       {escalate_sql("coalesce(rec.priority, 'MEDIUM')", 'p.compound')} AS priority
+FROM p LEFT JOIN rec ON rec.topic = p.topic
+"""
+
+ORACLE["q55_confusion_row_pct"] = f"""WITH {RULE_PRED},
+gq AS (SELECT a AS quality, b AS pred FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+nq AS (SELECT gq.quality, gq.pred, count(rp.review_id) AS n FROM gq LEFT JOIN rp ON rp.quality = gq.quality AND rp.pred = gq.pred GROUP BY ALL)
+SELECT quality::INTEGER AS quality, pred::INTEGER AS pred, n::BIGINT AS n,
+       round(n * 100.0 / nullif(sum(n) OVER (PARTITION BY quality), 0), 2) AS row_pct FROM nq
+"""
+
+
+def name_case(x: str) -> str:
+    whens = " ".join("WHEN " + " OR ".join(f"contains({x}, {sql_str(k)})" for k in key.split()) + f" THEN {sql_str(name)}"
+                     for key, name in dims.TOPIC_NAME_RULES)
+    return f"CASE {whens} ELSE 'Unnamed' END"
+
+
+ORACLE["q56_topic_names"] = f"""
+WITH t AS (SELECT source, unnest([t for t in {split_ws(clean_letters('text'))} if length(t) >= 3]) AS term FROM documents
+           WHERE source IS NOT NULL),
+c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c),
+w AS (SELECT source, string_agg(term, ' ' ORDER BY rank) AS top_words FROM r WHERE rank <= 40 GROUP BY source),
+d AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT {name_case('w.top_words')} AS Business_Name, sum(d.n)::BIGINT AS total FROM w JOIN d ON d.source = w.source GROUP BY 1
+"""
+
+CLEANED = f"""cl AS (SELECT doc_id AS review_id, {tokenize(nlp_clean('text'))} AS toks FROM documents),
+cs AS (SELECT review_id, [t for t in toks if NOT list_contains({sql_list(NLP_STOP)}, t)] AS toks FROM cl)"""
+ORACLE["q57_top_cleaned_words"] = f"""WITH {CLEANED},
+l AS (SELECT unnest([x for x in [{dict_lemma('t')} for t in toks] if regexp_full_match(x, '\\p{{L}}+') AND length(x) > 1]) AS word FROM cs)
+SELECT word, count(*)::BIGINT AS n FROM l GROUP BY word ORDER BY n DESC, word LIMIT 20
+"""
+
+ORACLE["q58_head_and_rows"] = f"""
+SELECT 'head' AS part, review_id, title FROM (SELECT doc_id AS review_id, {FIRST_LINE} AS title FROM documents ORDER BY doc_id LIMIT 5)
+UNION ALL SELECT 'picked', doc_id, {FIRST_LINE} FROM documents WHERE doc_id IN (0, 42, 150)
+"""
+
+ORACLE["q59_tfidf_min2"] = f"""WITH {vec_terms_cte()},
+v AS (SELECT term, df FROM stt, nd WHERE df >= 2 AND df <= n ORDER BY total DESC, term ASC LIMIT 5000),
+w AS (SELECT tf.review_id, tf.term, (1 + ln(tf.tf)) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w
+      FROM tf JOIN v ON v.term = tf.term, nd)
+SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS tfidf FROM w
+"""
+
+ORACLE["q60_top_features"] = f"""WITH {vec_terms_cte()}
+SELECT tf.term AS feature, 'term' AS kind, abs(sum(CASE WHEN l.quality = 1 THEN 1 ELSE -1 END))::DOUBLE AS importance
+FROM tf JOIN labels l ON l.doc_id = tf.review_id GROUP BY tf.term ORDER BY importance DESC, feature LIMIT 25
+"""
+
+ORACLE["q62_tfidf_vectors"] = ORACLE["q47_tfidf"]
+
+ORACLE["q63_long_dictionary"] = f"""WITH {CLEANED},
+d AS (SELECT token, substr(token, 1, 4) AS lemma FROM (SELECT unnest(toks) AS token FROM cl) WHERE length(token) > 4
+      GROUP BY token HAVING count(*) >= 20),
+e AS (SELECT review_id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS token FROM cs),
+m AS (SELECT e.review_id, e.pos, coalesce(d.lemma, {lemma_case('e.token')}) AS lemma FROM e LEFT JOIN d ON d.token = e.token),
+o AS (SELECT review_id, string_agg(lemma, ' ' ORDER BY pos) AS t FROM m
+      WHERE regexp_full_match(lemma, '\\p{{L}}+') AND length(lemma) > 1 GROUP BY review_id)
+SELECT cl.review_id, md5(coalesce(o.t, '')) AS cleaned_md5 FROM cl LEFT JOIN o ON o.review_id = cl.review_id
+"""
+
+ORACLE["q61_disagreement_sample"] = _TWO + """
+SELECT review_id, lexicon_label, lexicon_score, model_label, model_score FROM two2
+WHERE lexicon_label <> model_label ORDER BY md5(review_id::VARCHAR || '|42') LIMIT 8
+"""

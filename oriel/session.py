@@ -10,14 +10,11 @@ folder is configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sizes that decide between broadcast and shuffle plans.  A dimension is only
-# broadcast when its row count is below this bound (checked, not assumed).
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "oriel") -> SparkSession:
     builder = (
@@ -40,9 +37,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ori
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set a scratch one only where none is configured."""
+    """The shared checkpoint folder.  Where none is configured, a local master
+    gets a scratch folder and a cluster an error: a machine-local folder there
+    would not be seen by other executors."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="oriel-ckpt-", dir=os.environ.get("ORIEL_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -55,26 +56,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after the row count is proven below ``limit``.
-
-    Dimension tables here are tiny (stopwords, keywords, rules); a user may
-    pass a bigger one, in which case the hint is dropped and Catalyst/AQE pick
-    a shuffle join instead.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions
-    than the cluster can use (CPU-heavy per-row text work on a small or
-    single-row-group file would otherwise run in one task).  On big inputs
-    the scan already has many more partitions and this is a no-op: nothing
-    extra is shuffled.  Partitioning by the id also lines up later joins and
-    aggregations on that id."""
-    n = min_partitions or int(df.sparkSession.conf.get(
-        "oriel.text.minPartitions", str(2 * df.sparkSession.sparkContext.defaultParallelism)))
-    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+def on_request(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table by ``key`` into ``oriel.text.partitions``
+    partitions, where the session asks for it (a single-file input on one
+    machine); else the scan's own partitions stay."""
+    n = df.sparkSession.conf.get("oriel.text.partitions", None)
+    return df.repartition(int(n), key) if n else df

@@ -2,7 +2,7 @@
 
 Rows carry a deterministic ``prediction_id`` (md5 of id and text, T22) so a
 replayed micro-batch rewrites the same rows; the time is a real timestamp
-and the numbers stay doubles (string forms only in ``export_view``).
+and the numbers stay doubles.
 Batches are written as their own ``batch_id=N`` partition with dynamic
 partition overwrite, after an anti-join against ids already logged — so a
 retried batch replaces itself and a review is never logged twice.
@@ -29,28 +29,37 @@ def log_rows(scored: DataFrame, ts=None) -> DataFrame:
     ).withColumn("log_date", F.to_date("ts"))
 
 
-def append_log(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append new predictions; with ``batch_id`` the write is idempotent."""
+def _logged(spark, path: str) -> DataFrame | None:
+    """The log so far; None where the path does not exist yet.  Any other
+    failure to read it is an error."""
     from pyspark.errors import AnalysisException
-    spark = rows.sparkSession
+
     try:
-        seen = spark.read.parquet(path)
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_log(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Append new predictions, each id once; with ``batch_id`` the write is
+    idempotent.  The log is partitioned by the id's first hex digit, so small
+    batches read few partitions of it."""
+    spark = rows.sparkSession
+    bucket = F.substring("prediction_id", 1, 1)
+    new = rows.dropDuplicates(["prediction_id"]).withColumn("id_bucket", bucket)
+    seen = _logged(spark, path)
+    if seen is not None:
         if batch_id is not None and "batch_id" in seen.columns:
             seen = seen.where(F.col("batch_id") != batch_id)
-        # ids already logged by other batches: a shuffle join on the id
-        new = rows.join(seen.select("prediction_id"), "prediction_id", "left_anti")
-    except AnalysisException:   # first write: nothing logged yet
-        new = rows
+        # only the buckets this batch touches are read (at most 16 values)
+        touched = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]
+        seen = seen.where(F.col("id_bucket").cast("string").isin(touched))
+        new = new.join(seen.select("prediction_id"), "prediction_id", "left_anti")
     if batch_id is None:
-        new.write.mode("append").partitionBy("log_date").parquet(path)
+        new.write.mode("append").partitionBy("id_bucket").parquet(path)
     else:
         (new.withColumn("batch_id", F.lit(batch_id)).write
          .option("partitionOverwriteMode", "dynamic").mode("overwrite")
-         .partitionBy("batch_id").parquet(path))
-
-
-def export_view(log: DataFrame) -> DataFrame:
-    """Key-value export form: numbers and time as text."""
-    return log.select("prediction_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-                      "review_snippet", "sentiment_label", F.col("sentiment_score").cast("string"),
-                      "predicted_satisfaction", F.col("confidence").cast("string"), "detected_topic", "priority")
+         .partitionBy("batch_id", "id_bucket").parquet(path))

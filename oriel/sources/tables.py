@@ -26,15 +26,15 @@ RAW_REVIEW_SCHEMA = T.StructType([
 ])
 
 
-# text tables carry CPU-heavy per-row work: spread them by id when the scan is narrow
+# text tables, and the key by which they are dealt out where the session asks for it
 TEXT_TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if name in TEXT_TABLE_KEYS:
-        from ..session import spread
-        df = spread(df, TEXT_TABLE_KEYS[name])
+        from ..session import on_request
+        df = on_request(df, TEXT_TABLE_KEYS[name])
     return df
 
 
@@ -49,15 +49,6 @@ def reviews(spark: SparkSession, sf_dir: str, title_chars: int | None = None) ->
     )
 
 
-def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents ⋈ labels (quality -> satisfied); labels is the smaller side,
-    both are keyed by doc_id so the join is an equi-join Catalyst can plan as
-    broadcast (small labels) or sort-merge (large)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("satisfied"))
-    return d.join(lab, "doc_id")
-
-
 # S1 -------------------------------------------------------------------------
 def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEW_SCHEMA) -> DataFrame:
     return (spark.read.schema(schema)

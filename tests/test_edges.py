@@ -10,15 +10,24 @@ from oriel.sources import predlog, requests
 
 def test_request_parse_and_respond(spark):
     payloads = [
-        (1, json.dumps({"body": json.dumps({"review": "The crew were rude and the flight was delayed 3 hours."})})),
-        (2, json.dumps({"review": "  Lovely view, good food.  ", "include_genai": False})),
+        (1, json.dumps({"body": json.dumps({"review": "Staff kept us in a queue and dinner was late."})})),
+        (2, json.dumps({"review": "  Sunny deck, good soup.  ", "include_genai": False})),
         (3, json.dumps({"review": "   "})),
         (4, json.dumps({})),
+        (5, json.dumps({"body": "{bad"})),
+        (6, "not json"),
+        (7, json.dumps({"body": {"review": "inside an object"}})),
+        (8, json.dumps({"review": 123})),
+        (9, json.dumps({"body": "[1]"})),
+        (10, json.dumps({"body": None, "review": "body is null"})),
+        (11, json.dumps({"review": None})),
+        (12, None),
     ]
     df = spark.createDataFrame(payloads, "id long, payload string")
     out = {r["id"]: r for r in requests.respond(df, "id", "payload", Scoring(spark)).collect()}
     assert out[3]["status_code"] == 400 and json.loads(out[3]["body"]) == {"error": requests.MISSING_REVIEW}
-    assert out[4]["status_code"] == 400
+    codes = {i: r["status_code"] for i, r in out.items()}
+    assert codes == {1: 200, 2: 200, 3: 400, 4: 400, 5: 500, 6: 500, 7: 400, 8: 500, 9: 500, 10: 200, 11: 400, 12: 500}
     b1 = json.loads(out[1]["body"])
     assert out[1]["status_code"] == 200 and b1["detected_topic"] == "Flight Delays & Punctuality"
     assert b1["genai_source"] == "fallback" and set(b1["recommendation"]) == {"action", "priority", "owner", "kpi"}
@@ -38,6 +47,34 @@ def test_log_replay_is_idempotent(spark):
     assert log.select(F.countDistinct("prediction_id")).first()[0] == 2
 
 
+def test_log_append_and_unreadable_log(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "good food"), (1, "good food"), (2, "late")], "review_id long, text string")
+    rows = predlog.log_rows(score_reviews(df, "review_id", "text", Scoring(spark)))
+    path = os.path.join(tempfile.mkdtemp(prefix="oriel-log-"), "log")
+    predlog.append_log(rows, path)
+    predlog.append_log(rows, path)
+    assert spark.read.parquet(path).count() == 2
+    broken = os.path.join(tempfile.mkdtemp(prefix="oriel-log-"), "log")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        predlog.append_log(rows, broken)
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from oriel import session
+
+    class Other:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Other())
+
+
 def test_trend_stream_equals_batch(spark, sf):
     from oriel.plans.catalog import _query_scoring
     from oriel.sources.tables import table
@@ -75,7 +112,10 @@ def test_score_with_fitted_model(spark):
         .withColumn("label", F.col("label").cast("double"))
     fm = feature_pipeline("text_processed", MODEL_NUMERIC, vocab_size=100, min_df=1.0, max_df=1.0).fit(train)
     lr = LogisticRegression(maxIter=20).fit(fm.transform(train))
-    cfg.model = PipelineModel(stages=fm.stages + [lr])
+    path = os.path.join(tempfile.mkdtemp(prefix="oriel-model-"), "best")
+    PipelineModel(stages=fm.stages + [lr]).write().overwrite().save(path)
+    from oriel.operators.score import load_model
+    cfg.model = load_model(path)
     out = score_reviews(df.select("review_id", "text"), "review_id", "text", cfg).collect()
     assert len(out) == len(rows)
     assert all(r["confidence"] >= 0.5 for r in out)

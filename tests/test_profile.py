@@ -17,6 +17,19 @@ def test_kde_integrates_to_one(spark):
     assert 0.95 < area < 1.01
 
 
+def test_describe_uses_the_raw_values(spark):
+    df = spark.createDataFrame([(i * 1e-6,) for i in range(1, 101)], "v double")
+    r = pr.describe(df, ["v"], dp=7).first()
+    assert (r["q25"], r["q50"], r["q75"]) == (2.58e-05, 5.05e-05, 7.53e-05)
+
+
+def test_kde_exact_and_binned_are_close(spark):
+    rows = [(0, float(x)) for x in [1, 2, 2, 3, 7, 8, 8, 9]]
+    df = spark.createDataFrame(rows, "g int, v double")
+    a, b = ({r["i"]: r["density_e6"] for r in pr.kde(df, "v", "g", points=50, bins=n).collect()} for n in (None, 1024))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 0.01 * max(a.values())
+
+
 def test_value_counts_fill_zero(spark):
     df = spark.createDataFrame([(1,), (1,), (1,)], "c int")
     cats = spark.createDataFrame([(0,), (1,)], "c int")

@@ -7,30 +7,30 @@ from oriel.functions import text as tx
 
 
 def test_lower(spark):
-    assert one(spark, tx.lower(F.col("x")), "British Airways CANCELLED my Flight!") == \
-        "british airways cancelled my flight!"
+    assert one(spark, tx.lower(F.col("x")), "Our FERRY was Moved TWICE!") == \
+        "our ferry was moved twice!"
 
 
 def test_urls_and_emails_keep_double_spaces(spark):
-    s = "Check their site at https://www.ba.com or email help@ba.com for info"
+    s = "Look at https://ferry.example.org or write to desk@ferry.example.org for times"
     x = tx.remove_emails(tx.remove_urls(F.col("x"), "strict"), "dotted")
-    assert one(spark, x, s) == "Check their site at  or email  for info"
+    assert one(spark, x, s) == "Look at  or write to  for times"
 
 
 def test_normalize_quotes_each_end_on_its_own(spark):
-    assert one(spark, tx.normalize_quotes(F.col("x")), "“Great” crew  \n‘nice’") == "Great\" crew 'nice"
+    assert one(spark, tx.normalize_quotes(F.col("x")), "“Calm” sea  \n‘blue’") == "Calm\" sea 'blue"
 
 
 def test_serving_cleaner(spark):
-    assert one(spark, lm.serving_clean(F.col("x")), "The crew were rude and the flight was delayed 3 hours.") == \
-        "crew rude delay hour"
+    assert one(spark, lm.serving_clean(F.col("x")), "The waiters were hasty and our soups arrived in 2 bowls.") == \
+        "waiter hasty soup arriv bowl"
 
 
 def test_suffix_lemmas(spark):
-    words = ["seriously", "disorganised", "cancellations", "happiness", "awful", "rating", "bag", "'s"]
+    words = ["curiously", "organised", "consultations", "kindness", "lawful", "hating", "cup", "'s"]
     df = spark.createDataFrame([(w,) for w in words], "x string")
     got = [r[0] for r in df.select(lm.suffix_lemma(F.col("x"))).collect()]
-    assert got == ["serious", "disorganise", "cancellate", "happi", "awful", "rat", "bag", "'s"]
+    assert got == ["curious", "organise", "consultate", "kind", "law", "hat", "cup", "'s"]
 
 
 def test_empty_text_features(spark):
@@ -72,8 +72,8 @@ def test_sql_functions_match_columns(spark):
     from oriel.operators import recommend as rc
     from oriel.operators import topics as tp
     register_sql_functions(spark)
-    rows = [("MEDIUM", -0.85, "The crew were rude and the flight was delayed", "cancellations"),
-            ("HIGH", -0.7, "Lovely view", "seriously"), ("LOW", 0.3, "my bag", "rating"), ("x", 0.05, "", "awful")]
+    rows = [("MEDIUM", -0.85, "Staff kept us in a queue and dinner was late", "consultations"),
+            ("HIGH", -0.7, "Sunny deck", "curiously"), ("LOW", 0.3, "one bag", "hating"), ("x", 0.05, "", "lawful")]
     df = spark.createDataFrame(rows, "p string, s double, t string, w string")
     df.createOrReplaceTempView("sqlfn_cases")
     a = spark.sql("SELECT oriel_escalate(p, s), oriel_three_class(s), oriel_satisfied(s), oriel_detect_topic(t), "
