@@ -19,6 +19,8 @@ HEADLINE = [
     "q03_clean_letters", "q13_dict_lemma_pipeline", "q14_top_bigrams_by_class", "q17_describe",
     "q21_kde", "q28_lexicon_sentiment", "q34_detect_topic", "q36_recommend", "q40_stratified_split",
     "q43_roc_auc", "q45_prediction_log", "q47_tfidf",
+    "q29_sentiment_labels", "q30_model_agreement", "q31_disagreement_crosstab", "q32_accuracy_coverage",
+    "q33_label_mix_by_class", "q53_stream_score", "q54_model_serving", "q62_tfidf_vectors",
 ]
 
 
@@ -30,6 +32,8 @@ def main():
 
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus) if cpus.isdigit() else 16),
                           app="oriel-bench")
+    # the documents are one file here: deal them out over the cores before text work
+    spark.conf.set("oriel.text.partitions", str(2 * int(cpus) if cpus.isdigit() else 16))
     # warm-up (JVM, codegen caches) on the smallest tables, not timed
     QUERIES["q01_text_lengths"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 

@@ -41,6 +41,11 @@ def definitions() -> dict[str, str]:
         "oriel_three_class": (f"(score DOUBLE) RETURNS STRING RETURN CASE WHEN score >= {pos} THEN 'Positive' "
                               f"WHEN score <= {neg} THEN 'Negative' ELSE 'Neutral' END"),
         "oriel_satisfaction_text": "(s INT) RETURNS STRING RETURN CASE WHEN s = 1 THEN 'Satisfied' ELSE 'Not Satisfied' END",
+        "oriel_label_to_binary": ("(label STRING) RETURNS INT RETURN CASE label WHEN 'Positive' THEN 1 "
+                                  "WHEN 'Negative' THEN 0 ELSE -1 END"),
+        "oriel_score_to_percent": "(score DOUBLE) RETURNS DOUBLE RETURN (score + 1.0) / 2.0 * 100.0",
+        "oriel_word_count": "(text STRING) RETURNS INT RETURN size(regexp_extract_all(text, '(?U)\\\\S+', 0))",
+        "oriel_count_char": "(text STRING, c STRING) RETURNS INT RETURN char_length(text) - char_length(replace(text, c, ''))",
         "oriel_escalate": (f"(priority STRING, score DOUBLE) RETURNS STRING RETURN "
                            f"CASE WHEN score < {cr} AND (CASE WHEN score < {hi} AND priority = 'MEDIUM' THEN 'HIGH' "
                            f"ELSE priority END) = 'HIGH' THEN 'CRITICAL' "

@@ -21,14 +21,15 @@ def _q(c, p, exact=True, accuracy=10000) -> Column:
 
 # A1 / A25 -------------------------------------------------------------------
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_name, null_count, null_pct, total_rows) in one aggregate pass."""
+    """(column_name, data_type, null_count, null_pct, total_rows) in one aggregate pass."""
     cols = cols or df.columns
+    types = dict(df.dtypes)
     agg = df.agg(F.count("*").alias("__total"),
                  *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    long = agg.selectExpr("__total", f"stack({len(cols)}, {stack}) as (column_name, null_count)")
+    stack = ", ".join(f"'{c}', '{types[c]}', `{c}`" for c in cols)
+    long = agg.selectExpr("__total", f"stack({len(cols)}, {stack}) as (column_name, data_type, null_count)")
     return long.select(
-        "column_name",
+        "column_name", "data_type",
         F.col("null_count").cast("bigint").alias("null_count"),
         F.round(F.col("null_count") * 100.0 / F.col("__total"), 2).alias("null_pct"),
         F.col("__total").cast("bigint").alias("total_rows"),
@@ -155,10 +156,18 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
 
 
 # A11 / A12 --------------------------------------------------------------------
+def corr(a: str, b: str) -> Column:
+    """Pearson correlation over the rows where both are known; null for a constant column."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def corr_pairs(df: DataFrame, cols: list[str], dp: int = 6) -> DataFrame:
     """Pearson correlation of every pair (lower triangle) in one aggregate pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     long = wide.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, corr)")
     return long.select("col_a", "col_b", F.round("corr", dp).alias("corr"))

@@ -296,8 +296,22 @@ def _features(spark, sf, labelled: bool = False):
 
 
 DESCRIBE_COLS = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio", "n_chars"]
-CORR_COLS = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio",
-             "n_chars", "satisfied", "toxic"]
+CORR_COLS = ["review_length", "review_word_count", "title_length", "neg", "neu", "pos", "compound", "satisfied",
+             "char_count", "word_count", "avg_word_length", "exclamation_count", "question_count", "uppercase_ratio"]
+
+
+def _corr_features(spark, sf):
+    """Length, lexicon and text features of the labelled reviews."""
+    from ..operators.features import review_features
+    from ..operators.sentiment import lexicon_scores
+    lab = _labels(spark, sf).select("doc_id", F.col("quality").alias("satisfied"))
+    d = _docs(spark, sf).select("doc_id", "text").join(lab, "doc_id")
+    d = d.select("*", F.length("text").alias("review_length"), tx.word_count("text").alias("review_word_count"),
+                 F.length(tx.first_line("text")).alias("title_length"))
+    f = review_features(d, "text", ["doc_id", "satisfied", "review_length", "review_word_count", "title_length"])
+    s = lexicon_scores(d, "doc_id", "text", dims.lexicon_df(spark, QUERY_LEXICON), dims.booster_df(spark, QUERY_BOOSTERS),
+                       QUERY_NEGATIONS, QUERY_CONTRAST)
+    return f.join(s, "doc_id")
 
 
 # q17 A2 ---------------------------------------------------------------------
@@ -358,21 +372,22 @@ def q22(spark, sf):
 @query("q23_corr_matrix")
 def q23(spark, sf):
     from ..operators.profile import corr_pairs
-    return corr_pairs(_features(spark, sf, labelled=True), CORR_COLS)
+    return corr_pairs(_corr_features(spark, sf), CORR_COLS)
 
 
 # q24 A12 O1 -----------------------------------------------------------------
 @query("q24_target_corr")
 def q24(spark, sf):
     from pyspark.sql import Window
-    f = _features(spark, sf, labelled=True)
+    f = _corr_features(spark, sf)
     cols = [c for c in CORR_COLS if c != "satisfied"]
-    wide = f.agg(*[F.corr(F.col(c).cast("double"), F.col("satisfied").cast("double")).alias(c) for c in cols])
+    from ..operators.profile import corr
+    wide = f.agg(*[corr(c, "satisfied").alias(c) for c in cols])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = wide.selectExpr(f"stack({len(cols)}, {stack}) as (feature, corr)")
     long = long.select("feature", F.round("corr", 6).alias("corr"))
-    # 7 rows: a global ordering window is fine here
-    return long.withColumn("rank", F.row_number().over(Window.orderBy("corr", "feature")).cast("bigint"))
+    # 13 rows: a global ordering window is fine here
+    return long.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("corr"), "feature")).cast("bigint"))
 
 
 # q25 A15 --------------------------------------------------------------------
@@ -636,8 +651,8 @@ def q37(spark, sf):
 def q38(spark, sf):
     from ..operators.recommend import prompt_text
     d = _reviews(spark, sf, ("prompt_review",))
-    return d.select("review_id", prompt_text("prompt_review", "sentiment_label", "sentiment_score", "predicted_satisfaction",
-                                             "detected_topic", "confidence").alias("prompt"))
+    cols = ("prompt_review", "sentiment_label", "sentiment_score", "predicted_satisfaction", "detected_topic", "confidence")
+    return d.select("review_id", prompt_text(*cols).alias("prompt"), prompt_text(*cols, form="short").alias("short_prompt"))
 
 
 @query("q39_canned_reply")

@@ -99,13 +99,14 @@ FROM f
 """
 
 _NP_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+_NP_TYPES = {"doc_id": "bigint", "n_chars": "bigint", "quality": "int", "toxic": "int"}
 ORACLE["q06_null_profile"] = """
 WITH t AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 a AS (SELECT count(*) AS total, """ + ", ".join(
     f"count(*) FILTER (WHERE {c} IS NULL) AS n_{c}" for c in _NP_COLS) + """ FROM t)
 """ + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, n_{c}::BIGINT AS null_count, round(n_{c} * 100.0 / total, 2) AS null_pct, total::BIGINT AS total_rows FROM a"
+    f"SELECT '{c}' AS column_name, '{_NP_TYPES.get(c, 'string')}' AS data_type, n_{c}::BIGINT AS null_count, round(n_{c} * 100.0 / total, 2) AS null_pct, total::BIGINT AS total_rows FROM a"
     for c in _NP_COLS)
 
 ORACLE["q07_label_rules"] = f"""
@@ -341,19 +342,8 @@ SELECT t.satisfied, round(q1, 3) AS q1, round(median, 3) AS median, round(q3, 3)
 FROM t JOIN q2 ON t.satisfied = q2.satisfied GROUP BY t.satisfied, q1, median, q3, iqr
 """
 
-_CORR = ["char_count", "word_count", "avg_word_length", "exclamation_count", "uppercase_ratio",
-         "n_chars", "satisfied", "toxic"]
 FEAT_L = f"""{FEAT},
 featl AS (SELECT f.*, l.quality AS satisfied, l.toxic FROM feat f JOIN labels l ON f.doc_id = l.doc_id)"""
-ORACLE["q23_corr_matrix"] = f"WITH {FEAT_L}\n" + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS corr FROM featl"
-    for i, a in enumerate(_CORR) for b in _CORR[:i])
-
-ORACLE["q24_target_corr"] = f"WITH {FEAT_L},\nc AS (" + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS feature, round(corr({a}::DOUBLE, satisfied::DOUBLE), 6) AS corr FROM featl"
-    for a in _CORR if a != "satisfied") + """)
-SELECT feature, corr, row_number() OVER (ORDER BY corr, feature)::BIGINT AS rank FROM c
-"""
 
 _NLP_CTE = f"""d0 AS (SELECT doc_id AS review_id, text, {tokenize(nlp_clean('text'))} AS toks FROM documents),
 s0 AS (SELECT review_id, [t for t in toks if NOT list_contains({sql_list(NLP_STOP)}, t)] AS toks FROM d0),
@@ -553,7 +543,7 @@ FROM f
 
 
 # topics / recommendations -------------------------------------------------------
-from ..operators.recommend import PROMPT_TEMPLATE  # noqa: E402
+from ..operators.recommend import PROMPT_TEMPLATE, SHORT_PROMPT_TEMPLATE  # noqa: E402
 
 
 def topic_case(x: str, variant: str = "lambda") -> str:
@@ -621,7 +611,10 @@ _PT = PROMPT_TEMPLATE.replace("'", "''")
 ORACLE["q38_prompt_table"] = f"""WITH {SCORED_TOPICS}
 SELECT review_id, printf('{_PT}', substr(text, 1, 1000),
        CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative' ELSE 'Neutral' END,
-       sentiment_score, predicted_satisfaction, topic, abs(sentiment_score) * 100) AS prompt
+       sentiment_score, predicted_satisfaction, topic, abs(sentiment_score) * 100) AS prompt,
+       printf('{SHORT_PROMPT_TEMPLATE}', substr(text, 1, 800),
+       CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative' ELSE 'Neutral' END,
+       sentiment_score, predicted_satisfaction, topic, abs(sentiment_score) * 100) AS short_prompt
 FROM recd
 """
 
@@ -880,3 +873,27 @@ ORACLE["q61_disagreement_sample"] = _TWO + """
 SELECT review_id, lexicon_label, lexicon_score, model_label, model_score FROM two2
 WHERE lexicon_label <> model_label ORDER BY md5(review_id::VARCHAR || '|42') LIMIT 8
 """
+
+# correlations: length, lexicon and text features of the labelled reviews
+_CORR = ["review_length", "review_word_count", "title_length", "neg", "neu", "pos", "compound", "satisfied",
+         "char_count", "word_count", "avg_word_length", "exclamation_count", "question_count", "uppercase_ratio"]
+def _corr_sql(a: str, b: str) -> str:
+    both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return (f"covar_pop({a}::DOUBLE, {b}::DOUBLE) / nullif(stddev_pop({a}::DOUBLE) {both} * stddev_pop({b}::DOUBLE) {both}, 0)")
+
+
+FEAT_C = f"""{_ALL},
+{FEAT},
+featl AS (SELECT f.*, l.quality AS satisfied, length(d.text) AS review_length, {words('d.text')} AS review_word_count,
+                 length(split_part(d.text, chr(10), 1)) AS title_length, s.neg, s.neu, s.pos, s.compound
+          FROM feat f JOIN labels l ON f.doc_id = l.doc_id JOIN documents d ON d.doc_id = f.doc_id
+          JOIN scores s ON s.review_id = f.doc_id)"""
+ORACLE["q23_corr_matrix"] = f"WITH {FEAT_C}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({_corr_sql(a, b)}, 6) AS corr FROM featl"
+    for i, a in enumerate(_CORR) for b in _CORR[:i])
+
+ORACLE["q24_target_corr"] = f"WITH {FEAT_C},\ncx AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature, round({_corr_sql(a, 'satisfied')}, 6) AS corr FROM featl"
+    for a in _CORR if a != "satisfied") + """)
+SELECT feature, corr, row_number() OVER (ORDER BY corr NULLS LAST, feature)::BIGINT AS rank FROM cx
+"""

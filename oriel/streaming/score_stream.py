@@ -25,7 +25,7 @@ REVIEW_STREAM_SCHEMA = T.StructType([
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, log_path: str, checkpoint: str, cfg: Scoring,
-                         files_per_trigger: int = 1, available_now: bool = True, schema=REVIEW_STREAM_SCHEMA):
+                         files_per_trigger: int = 1000, available_now: bool = True, schema=REVIEW_STREAM_SCHEMA):
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(source_dir))
 

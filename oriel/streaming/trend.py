@@ -1,10 +1,9 @@
 """Daily counts and mean score per topic and priority, batch and stream.
 
 The batch form is a plain ``groupBy(window(ts, '1 day'), ...)``.  The
-stream form adds a watermark so the state of closed days is dropped;
-rows at or behind the watermark are dropped by Spark (reported in the
-query progress as ``numRowsDroppedByWatermark``), so files must arrive
-roughly in time order or the watermark delay must cover the disorder.
+stream form keeps one state row per (day, topic, priority), a bounded number
+whatever the review volume, in complete mode: late rows count, and every
+micro-batch writes the whole small table as a new version.
 """
 
 from __future__ import annotations
@@ -13,32 +12,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def daily_trend(scored: DataFrame, ts_col: str = "ts", watermark: str | None = None) -> DataFrame:
-    df = scored.withWatermark(ts_col, watermark) if watermark else scored
+def daily_trend(scored: DataFrame, ts_col: str = "ts") -> DataFrame:
     # scores have 4 decimals: an exact decimal sum divided once gives the same
     # double in any engine (rounding a computed mean can split ties)
-    g = df.groupBy(F.window(ts_col, "1 day").alias("w"), "detected_topic", "priority").agg(
+    g = scored.groupBy(F.window(ts_col, "1 day").alias("w"), "detected_topic", "priority").agg(
         F.count("*").alias("n"), F.sum(F.col("sentiment_score").cast("decimal(18,4)")).alias("s"))
     return g.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "detected_topic", "priority",
                     F.col("n").cast("bigint").alias("n"), (F.col("s").cast("double") / F.col("n")).alias("mean_score"))
 
 
 def start_trend_stream(spark, log_path: str, out_path: str, checkpoint: str, schema, ts_col: str = "ts",
-                       watermark: str = "1 day", available_now: bool = True):
+                       available_now: bool = True):
     """Stream form of X3 over the prediction log files.
 
     The aggregation state is one row per (day, topic, priority): bounded by
     days x 11 x 4 whatever the review volume, so the query runs in complete
-    mode and each micro-batch rewrites the (small) trend table.  The
-    watermark still bounds how late a row may arrive and is reported in the
-    progress (``numRowsDroppedByWatermark``)."""
+    mode and each micro-batch writes the (small) trend table as a version of
+    its own; readers take the last complete one (``read_trend``)."""
     src = spark.readStream.schema(schema).parquet(log_path)
-    agg = daily_trend(src, ts_col, watermark)
+    agg = daily_trend(src, ts_col)
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
 
     w = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def read_trend(spark, out_path: str) -> DataFrame:
+    """The last version whose write was completed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(d.getPath().getName().partition("=")[2]) for d in fs.listStatus(path)
+            if d.getPath().getName().startswith("version=")
+            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{out_path}/version={max(done)}")

@@ -76,6 +76,9 @@ def test_sql_functions_match_columns(spark):
             ("HIGH", -0.7, "Sunny deck", "curiously"), ("LOW", 0.3, "one bag", "hating"), ("x", 0.05, "", "lawful")]
     df = spark.createDataFrame(rows, "p string, s double, t string, w string")
     df.createOrReplaceTempView("sqlfn_cases")
+    extra = spark.sql("SELECT oriel_label_to_binary('Positive'), oriel_score_to_percent(0.5), oriel_word_count('a  b c'), "
+                      "oriel_count_char('a!b!', '!')").first()
+    assert tuple(extra) == (1, 75.0, 3, 2)
     a = spark.sql("SELECT oriel_escalate(p, s), oriel_three_class(s), oriel_satisfied(s), oriel_detect_topic(t), "
                   "oriel_suffix_lemma(w), oriel_priority_rank(p) FROM sqlfn_cases").collect()
     b = df.select(rc.escalate("p", "s"), lb.three_class("s"), lb.satisfied_from_compound("s"),
