@@ -1,6 +1,6 @@
 """Personal data: keyed, type-consistent surrogates.
 
-Detected entities (e-mail, phone, card, IBAN, social security number, IPv4,
+Detected entities (e-mail, phone, card, IBAN, social security number, IPv4, IPv6,
 person names after a title or a greeting) are replaced by surrogates derived
 from a secret key.  A surrogate keeps type and format: lengths, punctuation,
 letter case, country code, valid check digits, script (Latin, Cyrillic, Greek)
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from oriel.llm.common import materialize, read_table
 
-KINDS = ["email", "iban", "card", "ssn", "ipv4", "phone", "name"]
+KINDS = ["email", "iban", "card", "ssn", "ipv4", "ipv6", "phone", "name"]
 WIDEN_AFTER = 12
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")
@@ -43,6 +44,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 DIGITS = re.compile(r"(?<![\w.+-])\(?\+?\(?\d(?:[ ().-]{0,2}\d){6,18}(?![\w-]|\.\d)")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 NANP = re.compile(r"\(?\+?1?[ .-]?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Madam", "Госпожа", "Κυρία"]
@@ -86,6 +88,13 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(s).packed != b"\0" * 16
+    except ValueError:
+        return False
+
+
 def _number_kind(s: str) -> str | None:
     digits = re.sub(r"\D", "", s)
     if SSN.fullmatch(s):
@@ -109,6 +118,11 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             hits.append((m.start(), m.end(), "iban", code))
     for m in IPV4.finditer(text):
         hits.append((m.start(), m.end(), "ipv4", m.group()))
+    if "::" in text or text.count(":") > 6:
+        for m in IPV6.finditer(text):
+            # short ones without a digit are more likely code or prose
+            if ("::" in m.group() or m.group().count(":") == 7) and len(m.group()) > 6 and re.search(r"\d", m.group()) and _is_ipv6(m.group()):
+                hits.append((m.start(), m.end(), "ipv6", m.group().lower()))
     at = 0
     while m := DIGITS.search(text, at):
         if us := NANP.match(text, m.start()):
@@ -179,6 +193,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body):02d}{body}"
     if kind == "ipv4":
         return ".".join(str(1 + next(draw) % 254) for _ in range(4 + wide))
+    if kind == "ipv6":
+        digits = (f"{next(draw) % 15 + 1:x}" for _ in iter(int, 1))
+        return "".join(next(digits) if c != ":" else c for c in value) + "".join(next(digits) for _ in range(wide))
     if kind == "phone":
         head = re.match(r"\+1|\+\d\d|\+?", value).group()
         rest = _like(value[len(head):] + "0" * wide, draw)
@@ -196,7 +213,7 @@ def render(kind: str, surface: str, new: str) -> str:
         return new
     if kind.startswith("name:"):
         return new.upper() if surface.isupper() else new[0].upper() + new[1:]
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return "".join(n.upper() if s.isupper() else n for s, n in zip(surface, new, strict=False)) + new[len(surface):]
     chars, out = iter(new.lstrip("+")), []
     for c in surface:
