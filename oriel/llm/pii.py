@@ -52,6 +52,8 @@ NEUTRAL = ["Dr", "Prof", "Professor", "Dear", "Mx"]
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω](?:[\w'’]|-(?=\w)){1,30}"
 NAME = re.compile(rf"\b({'|'.join(map(re.escape, sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)))})\b\.?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,2}})")
 
+# Words after a greeting that name nobody.
+GENERIC = "sir madam all team customer customers colleague colleagues friend friends reader readers guest guests".split()
 # Given names from which gender is read where no title tells it.
 GIVEN_MALE = "james john robert michael william david richard joseph thomas charles peter paul hans karl jean pierre jose juan carlos luis иван дмитрий сергей".split()
 GIVEN_FEMALE = "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen anna maria marie sophie julia laura carmen ana elena анна мария ольга".split()
@@ -138,6 +140,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         at = m.start() + max(1, len(s))
     for m in NAME.finditer(text):
         title, words = m.group(1), list(re.finditer(r"\S+", m.group(2)))
+        if words[0].group().casefold() in GENERIC:
+            continue
         gender = "m" if title in MALE else "f" if title in FEMALE else None
         for i, w in enumerate(words):
             word = w.group().casefold()
