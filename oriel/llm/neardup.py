@@ -12,10 +12,15 @@ Equal texts are grouped first (128-bit text hash).  Signatures are cut into
 bands; equal bands make candidates.  In each band bucket members are compared
 with a pivot, never all with all, so a bucket costs its size; the similarity
 of the full sets (at least ``threshold``) decides.  Further rounds take new
-pivots for buckets whose members still are in different groups, until none is
-left, so no link between different groups is lost.  Groups are the connected
-components of the links, computed by alternating large-star and small-star
-steps on tables.
+pivots, members of the smallest groups first and more of them each round, for
+buckets whose members still are in different groups, until none is left: no
+link between different groups is lost.  From round 2 on, texts and pairs are
+left out that provably cannot be similar, because too many of their elements
+are in no other open text.  Pairs whose signatures agree in so few coordinates
+that they cannot be similar (six standard deviations) are left out before the
+sets are compared.  Groups are the connected components of the
+links, computed by alternating large-star and small-star steps on tables; each
+round works on the groups of the round before.
 
 Defined cases: a null text counts as an empty one; texts without words form a
 group only with equal texts; texts of fewer than five words are one element;
@@ -31,7 +36,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oriel.llm.common import materialize, read_table
@@ -39,7 +44,7 @@ from oriel.llm.common import materialize, read_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-PIVOTS = 8
+PIVOTS = (64, 512)
 WORD = re.compile(r"\w+")
 CHUNK_ELEMENTS = 500_000
 
@@ -156,12 +161,14 @@ def _signer(bands: int, rows: int, weighted: bool):
                 doc = np.repeat(np.arange(len(els)), [len(h) for h in els])
                 el = np.concatenate(els)
                 w = np.concatenate(ns).astype(np.float64) if weighted else np.ones(len(el))
-                keys = band_hashes(dart_signatures(el, w, doc, len(els), bands * rows), bands).astype(np.int64)
+                sig = dart_signatures(el, w, doc, len(els), bands * rows)
+                keys, low = band_hashes(sig, bands).astype(np.int64), sig.astype(np.uint8)
                 has = [len(h) > 0 for h in els]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(nodes, pa.binary()),
-                     pa.array([keys[i].tolist() if has[i] else [] for i in range(len(els))], pa.list_(pa.int64()))],
-                    names=["did", "node", "keys"])
+                     pa.array([keys[i].tolist() if has[i] else [] for i in range(len(els))], pa.list_(pa.int64())),
+                     pa.array([low[i].tobytes() for i in range(len(els))], pa.binary())],
+                    names=["did", "node", "keys", "sig"])
                 lo = hi
 
     return run
@@ -186,8 +193,8 @@ def _comparer(threshold: float):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of ``edges`` (a, b): comp is the component's
-    smallest node.  Alternates large-star and small-star until both leave the
-    edges as they are."""
+    smallest node.  Alternates large-star and small-star until every edge
+    joins a node to the smallest of its component."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -203,27 +210,37 @@ def components(edges: DataFrame) -> DataFrame:
                    .union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))))
         return out.where(F.col("a") != F.col("b")).distinct()
 
-    def mark(e: DataFrame):
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
-        return tuple(r)
+    def done(e: DataFrame) -> bool:
+        """Edges go from the smaller node a to b.  If no b has two and none is
+        an a of other edges, they are stars around their smallest nodes."""
+        ends = e.select(F.col("b").alias("node"), F.lit(1).alias("as_b"), F.lit(0).alias("as_a")).union(
+            e.select("a", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("as_b").alias("n"), F.max("as_a").alias("m")).where("n > 1 OR (n = 1 AND m = 1)").isEmpty()
 
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                     .where(F.col("a") != F.col("b")).distinct(), "edges")
-    was = mark(e)
-    while True:
+    while not done(e):
         e = materialize(star(star(e, True), False), "edges")
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    # every edge now joins a node to the smallest of its component
     return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(
         e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, threshold: float, pivots: int = PIVOTS):
-    """(edges, labels): verified links (a, b) between text nodes and the
-    components' labels (node, comp)."""
+def _siever(least: int):
+    """Keeps pairs whose signatures agree in at least ``least`` coordinates."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(b), -1) for c in (b.column(2), b.column(3)))
+                b = b.filter(pa.array((x == y).sum(axis=1) >= least))
+            yield b.select(["a", "b"])
+
+    return run
+
+
+def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, coordinates: int,
+          pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+    """(node, comp): the group of every text node that shares a bucket."""
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     # buckets of at least two texts
     sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
@@ -233,37 +250,89 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, thresho
     texts = (docs.select(text_node.alias("node"), F.col(f"`{text_col}`").alias("text"))
              .join(candidates, "node", "left_semi").dropDuplicates(["node"]))
     elements = materialize(texts.mapInArrow(_packer, "node binary, elements binary"), "elements", codec="uncompressed")
+    signatures = materialize(nodes.select("node", "sig").join(candidates, "node", "left_semi"), "candidate-signatures")
+    least = int(coordinates * threshold - 6 * np.sqrt(coordinates * threshold * (1 - threshold)))
+
+    def beside(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        return (pairs.join(table.select(F.col("node").alias("b"), F.col(col).alias("y")), "b")
+                .join(table.select(F.col("node").alias("a"), F.col(col).alias("x")), "a").select("a", "b", "x", "y"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-                .join(elements.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a"))
-        return materialize(both.select("a", "b", "ea", "eb").mapInArrow(_comparer(threshold), "a binary, b binary, linked boolean"),
-                           "tested")
-
-    tested = verify(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    # the first pivot has met all; buckets of two are done
-    open_ = members.where("n > 2 AND node != pivot").select("band", "key", "node")
-    labels = components(tested.where("linked").select("a", "b"))
+        near = beside(pairs, signatures, "sig").mapInArrow(_siever(least), "a binary, b binary")
+        return materialize(beside(near, elements, "elements").mapInArrow(
+            _comparer(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b"), "links")
+
+    def relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """Groups after ``found`` links are added to those of ``labels``."""
+        ends = (found.join(labels.withColumnsRenamed({"node": "a", "comp": "ca"}), "a")
+                .join(labels.withColumnsRenamed({"node": "b", "comp": "cb"}), "b").where("ca != cb"))
+        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+            F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return materialize(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+
+    def between(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members (with comp and the size of their group in the bucket) of
+        buckets in which several groups meet."""
+        named = members.join(labels, "node")
+        groups = named.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        mixed = groups.groupBy("band", "key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("band", "key")
+        return materialize(named.join(groups.join(mixed, ["band", "key"]), ["band", "key", "comp"]), "open-members")
+
+    # round 1: every member with its bucket's smallest node
+    labels = candidates.select("node", F.col("node").alias("comp"))
+    found = verify(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    if not found.isEmpty():
+        labels = relabel(labels, found)
+    # buckets of two are done, and so is the first pivot
+    met = between(members.where("n > 2 AND node != pivot").select("band", "key", "node"), labels)
+    if met.isEmpty():
+        return labels
+    # Elements that no other open text has are in no intersection, so at most
+    # min(total - lone) are common to two texts, and a similarity of t needs
+    # common >= t / (1 + t) * (both totals).  The smallest possible partner of a
+    # text is its common part itself: lone may be at most (1 - t) of the total.
+    own = lone_elements(elements.join(met.select("node").distinct(), "node", "left_semi"))
+    share = F.lit(threshold / (1 + threshold) - 1e-9)
+    able = own.where(F.col("lone") <= F.col("total") * (1 - threshold + 1e-9))
+    open_, tested, turn = met.select("band", "key", "node").join(able, "node"), None, 0
     while True:
-        named = open_.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        stars = (named.groupBy("band", "key")
-                 .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                      *[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("node"), F.col("comp").alias("comp")))
-                        .alias(f"p{i}") for i in range(pivots)])
-                 .where("lo != hi")
-                 .select("band", "key", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.node").alias("node"), F.col(f"p{i}.comp").alias("comp"))
-                                                                  for i in range(pivots)])).alias("ps")))
-        met = materialize(named.join(stars, ["band", "key"]), "open-members")
+        met = between(open_, labels)
         if met.isEmpty():
-            return tested.where("linked").select("a", "b"), labels
-        pairs = (met.select("node", "comp", F.explode("ps").alias("p")).where(F.col("p.comp") != F.col("comp"))
-                 .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-                 .join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        more = verify(pairs)
-        tested = tested.unionByName(more)
-        if not more.where("linked").isEmpty():
-            labels = components(tested.where("linked").select("a", "b"))
-        open_ = met.where(~F.exists("ps", lambda p: p["node"] == F.col("node"))).select("band", "key", "node")
+            return labels
+        order = Window.partitionBy("band", "key").orderBy("size", "comp", "node")
+        chosen = materialize(
+            met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)])
+            .select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("node").alias("p"), F.col("comp").alias("pc"),
+                    F.col("lone").alias("plone"), F.col("total").alias("ptotal")), "pivots")
+        common = F.least(F.col("total") - F.col("lone"), F.col("ptotal") - F.col("plone"))
+        pairs = (met.join(chosen, (F.col("band") == F.col("pband")) & (F.col("key") == F.col("pkey")) & (F.col("comp") != F.col("pc"))
+                          & (common >= (F.col("total") + F.col("ptotal")) * share))
+                 .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verify(pairs)
+        if not found.isEmpty():
+            labels = relabel(labels, found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        open_ = met.select("band", "key", "node", "lone", "total").join(
+            chosen.select(F.col("pband").alias("band"), F.col("pkey").alias("key"), F.col("p").alias("node")),
+            ["band", "key", "node"], "left_anti")
+        turn += 1
+
+
+def _unpacker(batches):
+    for b in batches:
+        for node, elements in zip(b.column(0), b.column(1), strict=True):
+            h = _unpack(elements.as_py()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(h), pa.binary()), pa.array(h)], names=["node", "h"])
+
+
+def lone_elements(elements: DataFrame) -> DataFrame:
+    """(node, lone, total): how many of a text's elements no other text has, of how many."""
+    each = elements.select("node", "elements").mapInArrow(_unpacker, "node binary, h bigint")
+    lone = (each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+            .groupBy("node").agg(F.count(F.lit(1)).alias("lone")))
+    total = elements.select("node", (F.octet_length("elements") / 6).cast("long").alias("total"))
+    return materialize(total.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), "total"), "lone")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -275,13 +344,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialize(
         docs.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").alias("text"))
-        .mapInArrow(_signer(bands, rows, weighted), f"did {kind}, node binary, keys array<bigint>"), "signatures", codec="uncompressed")
-    per_id = signed.groupBy("node", "did").agg(F.count(F.lit(1)).alias("same"), F.first("keys").alias("keys"))
+        .mapInArrow(_signer(bands, rows, weighted), f"did {kind}, node binary, keys array<bigint>, sig binary"),
+        "signatures", codec="uncompressed")
+    per_id = signed.groupBy("node", "did").agg(F.count(F.lit(1)).alias("same"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     first = F.min(F.struct(F.col("did").isNull().alias("none"), F.col("did").alias("did"), F.col("same").alias("same")))
-    nodes = materialize(per_id.groupBy("node").agg(first.alias("first"), F.sum("same").alias("copies"), F.first("keys").alias("keys")),
-                        "text-nodes", codec="uncompressed")
-    _, labels = links(docs, nodes, id_col, text_col, threshold)
-    named = nodes.drop("keys").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = materialize(per_id.groupBy("node").agg(first.alias("first"), F.sum("same").alias("copies"), F.first("keys").alias("keys"),
+                                                   F.first("sig").alias("sig")), "text-nodes", codec="uncompressed")
+    labels = links(docs, nodes, text_col, threshold, bands * rows)
+    named = nodes.drop("keys", "sig").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named, "classes")
     best = F.min(F.struct(F.col("first.none").alias("none"), F.col("first.did").alias("did"), F.col("node").alias("node"),
                           F.col("first.same").alias("same")))
