@@ -46,14 +46,14 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 PIVOTS = (64, 512)
 WORD = re.compile(r"\w+")
-CHUNK_ELEMENTS = 500_000
+CHUNK_ELEMENTS = 150_000
 
 
 class _Hashes(dict):
     """64-bit hashes of words; forgets all when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode())
         return h
