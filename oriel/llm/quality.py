@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import crc_mod, read_table
+from oriel.llm.common import crc_mod, hash_cut, id_hash, read_table
 
 BITS3 = 17
 DIM = 256 + 65536 + (1 << BITS3)
@@ -149,8 +149,11 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, max_per_clas
     usable = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")))
     n = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}  # two rows
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = usable.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_per_class)
+    # only the hashes that can be among the smallest reach the ranking
+    cut = F.when(F.col("label") == 1, F.lit(hash_cut(max_per_class, n.get(1, 0)))).otherwise(F.lit(hash_cut(max_per_class, n.get(0, 0))))
+    rank = Window.partitionBy("label").orderBy("h", "id")
+    sample = (usable.withColumn("h", id_hash("id")).where(F.col("h") < cut)
+              .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_per_class))
     return sample.select("id", "label"), (n.get(0, 0), n.get(1, 0))
 
 
