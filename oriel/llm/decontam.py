@@ -5,10 +5,15 @@ into blocks of ``BLOCK`` items with the largest impact of each block.  Every
 training passage (a window of 2L words, every L words, L the longest item) is
 a query against it.
 
+A part (question or answer) is in a passage if at least ``overlap`` of its
+five-word shingles are, or if its words are there in order with at most
+``granted`` words changed, left out or put in.  An item is confirmed if both
+parts are.  Where the item has one text only, its cut into parts means nothing,
+so it is also confirmed if the whole text passes as one part.
+
 Impacts are scaled so that an item qualifies at a sum of 1.  An item's scale
-is its BM25 score for itself, less what passing the later check could lack: if
-at least ``overlap`` of the shingles of question and answer are in the
-passage, at most a known number of words can be missing, and the largest
+is its BM25 score for itself, less what passing that check could lack: by
+either rule at most a known number of words can be missing, and the largest
 impacts of that many words are granted.  So the search loses nothing that the
 check would confirm.
 
@@ -16,14 +21,14 @@ All passages of a batch are first bounded together: for every block of items
 the block maxima of the passage's rare terms, plus the most that the common
 terms can add to an item of the block.  Passages with a block that can reach 1
 go through the block-max WAND loop, which returns every item with a sum of at
-least 1.  The check then compares five-word shingles of question and answer.
+least 1.  The check then compares them with the passage.
 
 The index is bounded (``MAX_INDEX_CHARS`` of item text).  More items are dealt
 into shards by a hash of the item, each shard searched in the same way.
 
 Defined cases: null or empty texts contain nothing; items without words match
 nothing; rows of equal items all match; a question or answer of fewer than five
-words is one shingle, a missing answer is taken as contained; null ids pass
+words is one shingle and granted no edit, a missing answer is taken as contained; null ids pass
 through; repeated documents match alike; other columns pass through, whatever
 their names; empty tables give no match.
 """
@@ -73,17 +78,47 @@ def shingle_set(words: list, size: int = SHINGLE) -> set:
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def granted(n: int) -> int:
+    """Words of n that may be changed, left out or put in: a tenth, and one
+    from the length of a shingle on."""
+    return max(1, n // 10) if n >= SHINGLE else 0
+
+
+def edits(part: tuple, codes: list[int]) -> int:
+    """Least number of words to change, leave out or put in to make the part a
+    run of ``codes`` (bit-parallel, a column of the table per word)."""
+    at: dict[int, int] = {}
+    for i, c in enumerate(part):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, now = full, 0, len(part)
+    best = now
+    for c in codes:
+        eq = at.get(c, 0)
+        x = eq | down
+        y = ((eq & up) + up ^ up) | eq
+        p, m = down | ~(y | up) & full, up & y
+        now += bool(p & top) - bool(m & top)
+        p, m = p << 1 & full, m << 1 & full
+        up, down = m | ~(x | p) & full, p & x
+        best = min(best, now)
+    return best
+
+
 class Index:
-    """Block-max inverted index of (item_id, question, answer) rows."""
+    """Block-max inverted index of (item_id, question, answer) rows; a true
+    fourth field marks the cut of one text."""
 
     def __init__(self, items, overlap: float = OVERLAP):
-        self.items = []
-        for item_id, question, answer in items:
+        rows = []
+        for item_id, question, answer, *one_text in items:
             q, a = words_of(question), words_of(answer)
             if q or a:
-                self.items.append((item_id, q, a))
+                rows.append((item_id, q, a, any(one_text)))
         # neighbours in item order share blocks: like lengths give tight block maxima
-        self.items.sort(key=lambda x: (len(x[1]) + len(x[2]), x[1], x[2], str(x[0])))
+        rows.sort(key=lambda x: (len(x[1]) + len(x[2]), x[1], x[2], str(x[0])))
+        self.items = [x[:3] for x in rows]
+        self.one_text = [x[3] for x in rows]
         self.overlap = overlap
         n = len(self.items)
         df = Counter(t for _, q, a in self.items for t in {*q, *a})
@@ -98,11 +133,12 @@ class Index:
             tf = Counter(q + a)
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1)
                    / (c + K1 * (1 - B + B * (len(q) + len(a)) / mean)) for t, c in tf.items()}
-            parts = [p for p in (shingle_set(q), shingle_set(a)) if p]
-            lack = sum(int((1 - overlap) * len(p) + 1e-9) for p in parts)
+            lack = self._lack(q) + self._lack(a)
+            if self.one_text[i]:
+                lack = max(lack, self._lack(q + a))
             need = sum(raw.values()) - sum(sorted(raw.values())[len(raw) - min(lack, len(raw)):])
             need = max(need * (1 - 1e-9), 1e-9)
-            self.parts.append([frozenset(tuple(self.vocab[t] for t in s) for s in p) for p in (shingle_set(q), shingle_set(a))])
+            self.parts.append([tuple(self.vocab[t] for t in p) for p in (q, a)])
             took = 0.0
             for t in sorted(raw, key=lambda t: (-raw[t], t)):
                 postings[self.vocab[t]].append((i, raw[t] / need))
@@ -132,6 +168,10 @@ class Index:
             first.append(len(at))
         self.rare_first, self.rare_block, self.rare_value = np.array(first), np.array(at, np.int64), np.array(val)
 
+    def _lack(self, part: list) -> int:
+        """Most distinct words that a passage holding the part can lack."""
+        return max(int((1 - self.overlap) * len(shingle_set(part)) + 1e-9), granted(len(part)))
+
     def wand(self, terms) -> list[tuple[int, float]]:
         """Items whose impacts over ``terms`` sum to at least 1."""
         found = []
@@ -172,16 +212,29 @@ class Index:
         return found
 
     def check(self, item: int, codes: list[int]) -> tuple[float, float]:
-        """Shares of the question's and the answer's shingles in the passage."""
-        got = []
-        for part in self.parts[item]:
-            if part:
-                n = len(next(iter(part)))
-                have = {tuple(codes[i:i + n]) for i in range(len(codes) - n + 1)}
-                got.append(len(part & have) / len(part))
-            else:
-                got.append(1.0)
-        return got[0], got[1]
+        """Shares of the question and the answer in the passage: of shingles
+        or, with no more edits than granted, of words.  The whole of one text
+        counts for both if it passes.  Confirmed if both reach ``overlap``."""
+        have: dict[int, set] = {}
+        words = set(codes)
+
+        def share(part: tuple) -> float:
+            if not part:
+                return 1.0
+            n = min(SHINGLE, len(part))
+            if n not in have:
+                have[n] = shingle_set(codes, n) if len(codes) >= n else set()
+            mine = shingle_set(part, n)
+            got = len(mine & have[n]) / len(mine)
+            if got < 1 and (most := granted(len(part))) and len({*part} - words) <= most and (e := edits(part, codes)) <= most:
+                got = max(got, 1 - e / len(part))
+            return got
+
+        q, a = self.parts[item]
+        shares = share(q), share(a)
+        if self.one_text[item] and min(shares) < self.overlap and (whole := share(q + a)) >= self.overlap:
+            shares = max(shares[0], whole), max(shares[1], whole)
+        return shares
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text, confirmed matches (item_id, score, question share, answer share)."""
@@ -259,7 +312,7 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str
     for s in range(shards):
         rows = numbered.where(F.col("shard") == s).collect()  # bounded by MAX_INDEX_CHARS
         index = spark.sparkContext.broadcast(Index(
-            [(r["item_id"], *((r["question"], r["answer"]) if r["text"] is None else split_item(r["text"]))) for r in rows], overlap))
+            [(r["item_id"], *((r["question"], r["answer"]) if r["text"] is None else split_item(r["text"])), r["text"] is not None) for r in rows], overlap))
         src = row.select("row", "found", F.col("row").getField(text_col).alias("text"))
         row = src.mapInArrow(_searcher(index), T.StructType([row.schema["row"], T.StructField("found", MATCH)]))
     return row.select(*[F.col("row").getField(c).alias(c) for c in cols if c != out], F.col("found").alias(out))

@@ -93,3 +93,54 @@ def test_planted_items_on_the_tables(spark, sf):
     for d, i in got - want:
         mine = decontam.shingle_set(dict(items)[i].split())
         assert len(mine & sets[d]) / len(mine) > 0.6
+
+
+def plain_edits(part, codes):
+    """Edit distance to the nearest run of words, by the full table."""
+    row = [0] * (len(codes) + 1)
+    for i, c in enumerate(part, 1):
+        new = [i]
+        for j, d in enumerate(codes, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_edits_equal_the_full_table():
+    rng = random.Random(7)
+    for _ in range(300):
+        part, codes = (tuple(rng.randrange(4) for _ in range(rng.randint(low, 12))) for low in (1, 0))
+        assert decontam.edits(part, list(codes)) == plain_edits(part, codes)
+
+
+def test_every_item_edited_once_is_found(spark, sf):
+    """Every word of every item changed, left out or doubled: found; documents without test items: not."""
+    rng = random.Random(2)
+    rows = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index = decontam.Index([(i, *decontam.split_item(t), True) for i, t in rows])
+    vocab = sorted(index.vocab)
+    clean = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    assert not any(index.search(clean))
+    around = [f"before {' '.join(rng.choice(vocab) for _ in range(rng.randint(0, 90)))}" for _ in range(20)]
+    cases = []
+    for i, t in rows:
+        w = decontam.words_of(t)
+        for k in range(len(w)):
+            for new in ([], ["changed"], [w[k], "added"]):
+                cases.append((i, " ".join([rng.choice(around), *w[:k], *new, *w[k + 1:], rng.choice(around)])))
+    found = index.search([t for _, t in cases])
+    assert len(cases) > 1000
+    assert not [c for c, f in zip(cases, found, strict=True) if c[0] not in {m[0] for m in f}]
+    sample = rng.sample(range(len(cases)), 100)
+    for k, want in zip(sample, brute(index, [cases[k][1] for k in sample]), strict=True):
+        assert {m[0] for m in found[k]} == {m[0] for m in want}
+
+
+def test_short_answers_and_other_answers():
+    q, a = "what is the tallest tower ever built in this old town", "it is the red one near the river bank"
+    index = decontam.Index([(1, q, a), (2, q, "yes")])
+    hits = lambda t: [m[0] for m in index.search([t])[0]]
+    assert hits(f"{q} {a.replace('river', 'harbour')}") == [1]
+    assert hits(f"{q.replace('built', 'seen')} {a.replace('red ', '')}") == [1]
+    assert hits(f"{q} no") == [] and hits(f"{q} yes") == [2]
+    assert hits(f"{q} it was a blue thing by some lake") == []
