@@ -6,11 +6,14 @@ from a secret key.  A surrogate keeps type and format: lengths, punctuation,
 letter case, country code, valid check digits, script (Latin, Cyrillic, Greek)
 and, for names, gender.  The same entity gets the same surrogate everywhere,
 however it is written; a name's words are entities of their own, so "Mr. John
-Smith" and "Mr. Smith" stay related.
+Smith", "Dr. Smith" and "Dear Smith" stay related.  What a word is (surname,
+male, female or other given name) is settled once, by most of its sightings;
+those that tell nothing, after a neutral title or a greeting, count only where
+there are no others.
 
 Surrogates are assigned once per distinct entity, on a table.  Collision checks
-follow in rounds: of entities of one kind with the same surrogate the smallest
-keeps it, the rest, and all whose surrogate is a real entity, try the next
+follow in rounds: of entities of one kind (all names are one) with the same
+surrogate the smallest keeps it, the rest, and all whose surrogate is a real entity, try the next
 one, until no collision is left.  After ``WIDEN_AFTER`` tries a surrogate may
 grow by a character, so small spaces end too.
 
@@ -30,7 +33,7 @@ import ipaddress
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,7 +182,7 @@ def _like(value: str, draw) -> str:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """Surrogate of a canonical value."""
-    draw = _stream(key, kind, value, attempt)
+    draw = _stream(key, kind.split(":")[0], value, attempt)  # a name's word has one stem, whatever it is taken for
     wide = max(0, attempt - WIDEN_AFTER)
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -244,24 +247,37 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(_finder, T.StructType([*src.schema.fields, T.StructField("found", ENTITY)]))
 
 
+def space() -> Column:
+    """Kind within which an entity is one: that of all names is "name"."""
+    return F.split("kind", ":")[0]
+
+
+def settle(sightings: DataFrame) -> DataFrame:
+    """Distinct (kind, value) of rows (kind, value): one kind per name's word,
+    the most frequent one; name:n only where no sighting tells more."""
+    counted = sightings.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    vote = F.struct(F.col("kind") != "name:n", F.col("n"), F.col("kind"))
+    return counted.groupBy(space().alias("space"), "value").agg(F.max_by("kind", vote).alias("kind")).select("kind", "value")
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, new) for distinct (kind, value): unique surrogates, none
-    of them a real value of its kind."""
+    of them a real value of its kind; a name's word has one kind (``settle``)."""
     make = F.pandas_udf(lambda k, v, a: _series(key, k, v, a), "string")
-    todo = entities.select("kind", "value").withColumn("attempt", F.lit(0))
+    todo = entities.select("kind", "value", space().alias("space")).withColumn("attempt", F.lit(0))
     done = None
     while True:
         tried = materialize(todo.withColumn("new", make("kind", "value", "attempt")), "surrogates")
-        taken = entities.select("kind", F.col("value").alias("new"))
+        taken = entities.select(space().alias("space"), F.col("value").alias("new"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "new")).distinct()
-        best = tried.groupBy("kind", "new").agg(F.min("value").alias("best"))
-        judged = (tried.join(best, ["kind", "new"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "new"], "left")
+            taken = taken.unionByName(done.select(space().alias("space"), "new")).distinct()
+        best = tried.groupBy("space", "new").agg(F.min("value").alias("best"))
+        judged = (tried.join(best, ["space", "new"]).join(taken.withColumn("taken", F.lit(True)), ["space", "new"], "left")
                   .withColumn("ok", (F.col("value") == F.col("best")) & F.col("taken").isNull()))
-        judged = materialize(judged.select("kind", "value", "attempt", "new", "ok"), "judged")
+        judged = materialize(judged.select("kind", "value", "space", "attempt", "new", "ok"), "judged")
         good = judged.where("ok").select("kind", "value", "new")
         done = good if done is None else done.unionByName(good)
-        todo = judged.where("NOT ok").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        todo = judged.where("NOT ok").select("kind", "value", "space", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
             return done
 
@@ -290,9 +306,9 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", out: str =
     found = detect(docs, text_col)
     dirty = materialize(found.where(F.size("found") > 0).withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
     each = dirty.select("rid", F.posexplode("found").alias("i", "e")).select("rid", "i", "e.kind", "e.value")
-    new = assign(materialize(each.select("kind", "value").distinct(), "entities"), key)
+    new = assign(materialize(settle(each), "entities"), key).select(space().alias("space"), "value", "new")
     # an entity of very many rows: the table of surrogates has one row of it, so its join is split by adaptive execution
-    named = each.join(new, ["kind", "value"]).groupBy("rid").agg(F.collect_list(F.struct("i", "new")).alias("news"))
+    named = each.withColumn("space", space()).join(new, ["space", "value"]).groupBy("rid").agg(F.collect_list(F.struct("i", "new")).alias("news"))
     schema = T.StructType([dirty.schema["row"], dirty.schema["text"], dirty.schema["found"]])
     changed = dirty.join(named, "rid").select("row", "text", "found", "news").mapInArrow(_writer, schema)
     both = changed.unionByName(found.where(F.size("found") == 0).select("row", "text", "found"))
