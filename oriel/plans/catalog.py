@@ -825,7 +825,7 @@ def _model_data(spark, sf):
 def q50(spark, sf):
     from ..operators.train import train_compare
     save = os.path.join(ensure_checkpoint_dir(spark), f"models-{uuid.uuid4().hex}")
-    comp, _, _ = train_compare(_model_data(spark, sf), "text_processed", MODEL_NUMERIC, size="small",
+    comp, _, _ = train_compare(_model_data(spark, sf), "text_processed", MODEL_NUMERIC, size="full",
                                k_folds=5, vocab_size=5000, min_df=3.0, max_df=0.95, save_dir=save)
     return comp
 
