@@ -17,6 +17,12 @@ surrogate the smallest keeps it, the rest, and all whose surrogate is a real ent
 one, until no collision is left.  After ``WIDEN_AFTER`` tries a surrogate may
 grow by a character, so small spaces end too.
 
+Phone numbers are found with a leading +, in the North American 3-3-4 form and
+grouped with a leading 0 or 00 ("030 12345678", "06 12 34 56 78", "0049 30
+1234567"; "0049" and "+49" are the same entity).  Numbers without any of these,
+such as "912 345 678" or "03012345678", cannot be told from other numbers and
+stay.
+
 Only rows with entities are shuffled; rows without pass through.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows are
@@ -47,6 +53,10 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 DIGITS = re.compile(r"(?<![\w.+-])\(?\+?\(?\d(?:[ ().-]{0,2}\d){6,18}(?![\w-]|\.\d)")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 NANP = re.compile(r"\(?\+?1?[ .-]?\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)")
+# after 00 and country code; five pairs; area code of two digits (not a date); longer area code
+NATIONAL = re.compile(r"(?<![\w.,:+/-])\(?(?:00 ?[1-9]\d{0,2}(?:[ .-]?\(\d{1,5}\)[ .-]?\d+|[ ./-]\d+)(?:[ ./-]\d+){0,6}"
+                      r"|0[1-9](?:[ .-]\d\d){4}|0[1-9]\)?(?:[ /-]\d{6,8}|[ -]\d{3,4}[ -]\d{3,4})"
+                      r"|0[1-9]\d{1,4}\)?(?: ?[/-] ?|[ .])\d{2,8}(?:[ .-]\d{2,6}){0,3})(?![\w/-]|[.,:]\d)")
 IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "Господин", "Κύριος"]
@@ -128,8 +138,18 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             # short ones without a digit are more likely code or prose
             if ("::" in m.group() or m.group().count(":") == 7) and len(m.group()) > 6 and re.search(r"\d", m.group()) and _is_ipv6(m.group()):
                 hits.append((m.start(), m.end(), "ipv6", m.group().lower()))
+    national = {}
+    for m in NATIONAL.finditer(text):
+        code = re.sub(r"\D", "", m.group())
+        code = "+" + code[2:] if code.startswith("00") else code
+        if 8 <= len(code.lstrip("+")) <= 15 and not SSN.fullmatch(m.group()):
+            national[m.start()] = m.end()
+            hits.append((m.start(), m.end(), "phone", code))
     at = 0
     while m := DIGITS.search(text, at):
+        if m.start() in national:
+            at = national[m.start()]
+            continue
         if us := NANP.match(text, m.start()):
             hits.append((us.start(), us.end(), "phone", ("+" if "+" in us.group() else "") + re.sub(r"\D", "", us.group())))
             at = us.end()
@@ -206,6 +226,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "phone":
         head = re.match(r"\+1|\+\d\d|\+?", value).group()
         rest = _like(value[len(head):] + "0" * wide, draw)
+        if not head and len(rest) > 1 and value[0] == "0" != value[1]:
+            return f"0{1 + int(rest[1]) % 9}{rest[2:]}"
         return head + (str(2 + int(rest[0]) % 8) + rest[1:] if rest and value[len(head)] != "0" else "0" + rest[1:])
     if kind.startswith("name:"):
         onset, vowel, ends = SYLLABLES[script_of(value)]
@@ -222,7 +244,8 @@ def render(kind: str, surface: str, new: str) -> str:
         return new.upper() if surface.isupper() else new[0].upper() + new[1:]
     if kind in ("email", "ipv6"):
         return "".join(n.upper() if s.isupper() else n for s, n in zip(surface, new, strict=False)) + new[len(surface):]
-    chars, out = iter(new.lstrip("+")), []
+    # an international number may be written with 00 for +
+    chars, out = iter("00" + new[1:] if new[0] == "+" and "+" not in surface else new.lstrip("+")), []
     for c in surface:
         out.append(next(chars) if c.isalnum() else c)
     return "".join(out) + "".join(chars)

@@ -82,3 +82,16 @@ def test_titles_settle_what_a_word_is(spark):
     seen = [("name:n", "smith")] * 5 + [("name:s", "smith")] + [("name:m", "kim")] + [("name:f", "kim")] * 2 + [("name:n", "lee"), ("ssn", "1")]
     got = pii.settle(spark.createDataFrame(seen, "kind string, value string")).collect()
     assert sorted(map(tuple, got)) == [("name:f", "kim"), ("name:n", "lee"), ("name:s", "smith"), ("ssn", "1")]
+
+
+def test_national_phone_numbers(spark, docs):
+    for number in ["030 12345678", "06 12 34 56 78", "06.12.34.56.78", "0049 30 1234567", "00 33 6 12 34 56 78", "0034 912 345 678",
+                   "(089) 123 4567", "0171-1234567", "030/1234567", "020 7946 0958", "01632 960001", "02 1234 5678", "0049 (0)30 1234567"]:
+        text = f"call {number}, or write"
+        assert [(text[a:b], k) for a, b, k, _ in pii.find(text)] == [(number, "phone")], number
+    for clean in ["01.02.2024", "01 02 2024", "01-02-2024", "0.5 0.25 0.125", "0.12345678", "00:12:34 05:06:07", "007", "0012", "0123456789", "1,012 345678"]:
+        assert pii.find(f"at {clean} we") == [], clean
+    rows = [(1, "call 0049 30 1234567 now"), (2, "call +49 30 1234567 now"), (3, "call 030 12345678 now")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs(rows), KEY).collect()}
+    assert got[1][5:9] == "0049" and got[2] == got[1].replace("0049", "+49") and "1234567" not in "".join(got.values())
+    assert got[3][5] == "0" != got[3][6] and [len(w) for w in got[3].split()] == [4, 3, 8, 3]
