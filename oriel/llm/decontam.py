@@ -2,8 +2,9 @@
 
 The index holds the test items: per term a posting list in item order, cut
 into blocks of ``BLOCK`` items with the largest impact of each block.  Every
-training passage (a window of 2L words, every L words, L the longest item) is
-a query against it.
+training passage is a query against it: a window every L words, L the longest
+item, of 2L words and the most insertions granted to an item, so that every
+copy lies wholly in a window, however it was edited within the rule below.
 
 A part (question or answer) is in a passage if at least ``overlap`` of its
 five-word shingles are, or if its words are there in order with at most
@@ -124,6 +125,8 @@ class Index:
         df = Counter(t for _, q, a in self.items for t in {*q, *a})
         self.vocab = {t: i for i, t in enumerate(sorted(df))}
         self.longest = max((len(q) + len(a) for _, q, a in self.items), default=1)
+        # insertions granted to an item: of its parts, or of the whole if that is more
+        self.room = max((max(granted(len(q)) + granted(len(a)), granted(len(q) + len(a))) for _, q, a in self.items), default=0)
         mean = sum(len(q) + len(a) for _, q, a in self.items) / max(1, n)
         postings = defaultdict(list)  # term -> [(item, impact)]
         self.common = np.zeros(n)  # most that an item's common terms add
@@ -254,14 +257,14 @@ class Index:
         flat, doc, pos = flat[known], doc[known], pos[known]
         count = self.rare_first[flat + 1] - self.rare_first[flat]
         hit = count > 0
-        flat, doc, step, count = flat[hit], doc[hit], pos[hit] // span, count[hit]
+        flat, doc, pos, count = flat[hit], doc[hit], pos[hit], count[hit]
         at = np.repeat(self.rare_first[flat] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         block, value = self.rare_block[at], self.rare_value[at]
-        doc, step = np.repeat(doc, count), np.repeat(step, count)
+        doc, pos = np.repeat(doc, count), np.repeat(pos, count)
         keys, values = [], []
-        for back in (0, 1):  # a word lies in the window that begins in its step and in the one before
-            w = step - back
-            ok = (w >= 0) & (w < wins[doc])
+        for back in range(-(-(2 * span + self.room) // span)):  # a word lies in the window that begins in its step and in those before
+            w = pos // span - back
+            ok = (w >= 0) & (w < wins[doc]) & (pos < w * span + 2 * span + self.room)
             keys.append((base[doc[ok]] + w[ok]) * self.blocks + block[ok])
             values.append(value[ok])
         key, value = np.concatenate(keys), np.concatenate(values)
@@ -273,7 +276,7 @@ class Index:
         for w in np.unique(key[bound + self.block_common[key % self.blocks] >= 1 - 1e-6] // self.blocks).tolist():
             d = int(np.searchsorted(base, w, "right")) - 1
             lo = (w - int(base[d])) * span
-            passage = codes[d][lo:lo + 2 * span].tolist()
+            passage = codes[d][lo:lo + 2 * span + self.room].tolist()
             for item, score in self.wand({c for c in passage if c >= 0}):
                 q, a = self.check(item, passage)
                 if q >= self.overlap and a >= self.overlap:

@@ -144,3 +144,15 @@ def test_short_answers_and_other_answers():
     assert hits(f"{q.replace('built', 'seen')} {a.replace('red ', '')}") == [1]
     assert hits(f"{q} no") == [] and hits(f"{q} yes") == [2]
     assert hits(f"{q} it was a blue thing by some lake") == []
+
+
+def test_grown_copies_of_the_longest_item_anywhere():
+    """A copy with the granted insertions is found wherever the windows fall."""
+    q = [f"w{i}" for i in range(40)]
+    for a in ([], [f"a{i}" for i in range(20)]):
+        index = decontam.Index([(1, " ".join(q), " ".join(a))])
+        grown = lambda part: [x for i, w in enumerate(part) for x in ((w, "new") if i % 10 == 4 else (w,))]
+        copy = grown(q) + grown(a)
+        assert len(copy) == index.longest + index.room
+        texts = [" ".join(["x"] * before + copy + ["x"] * 300) for before in range(3 * index.longest)]
+        assert [[m[0] for m in f] for f in index.search(texts)] == [[1]] * len(texts)
