@@ -74,13 +74,12 @@ def base_values(text: Column) -> Column:
 
 
 def samples_from_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Labelled samples (value, random) of all rows."""
+    """Labelled samples (value, random) of all rows, one of each occurrence."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     two = docs.select(base_values(text).alias("hits"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    none = F.array().cast("array<string>")
     both = F.array(F.struct(F.lit(True).alias("random"), F.col("hits").alias("vs")),
                    F.struct(F.lit(False).alias("random"),
-                            F.when(F.size("tokens") > 0, F.array_except("tokens", "hits")).otherwise(none).alias("vs")))
+                            F.filter("tokens", lambda t: ~F.array_contains("hits", t)).alias("vs")))
     return (two.select(F.explode(both).alias("x")).select("x.random", F.explode("x.vs").alias("value"))
             .select("value", "random"))
 

@@ -65,3 +65,10 @@ def test_query_and_defined_cases(spark, docs, table_dir):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in want) for j in range(3)]
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
     assert secrets.op6_secrets(spark, table_dir(documents=docs([]))).count() == 0
+
+
+def test_samples_count_every_occurrence(spark, docs):
+    hidden, plain = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "ordinary_identifier"
+    rows = [(1, f"{plain} {hidden} {plain} {hidden} {plain}"), (2, None), (3, ""), (4, plain), (5, "short words only")]
+    got = secrets.samples_from_rules(docs(rows)).collect()
+    assert sorted(map(tuple, got)) == [(hidden, True)] * 2 + [(plain, False)] * 4
