@@ -18,8 +18,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def one(spark, expr, value, schema="x string"):
-    """Evaluate a Column expression on a one-row DataFrame with column x."""
-    return spark.createDataFrame([(value,)], schema).select(expr.alias("r")).first()["r"]

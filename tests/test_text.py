@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one
+from expr_cases import one
 from oriel.functions import labels as lb
 from oriel.functions import lemma as lm
 from oriel.functions import text as tx
