@@ -12,6 +12,7 @@ from oriel.llm.pii import op3_pii
 from oriel.llm.quality import op2_quality
 from oriel.llm.secrets import op6_secrets
 from oriel.llm.sharding import op8_sharding
+from oriel.llm.spelling import op13_spelling
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ann": op9_ann,
     "op10_minhash": op10_minhash,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
