@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oriel.llm.ann import op9_ann
 from oriel.llm.bpe import op1_bpe
+from oriel.llm.convrepair import op11_conversations
 from oriel.llm.decontam import op5_decontam
 from oriel.llm.langid import op7_language
 from oriel.llm.linededup import OP4_SQL, op4_line_dedup
@@ -13,6 +14,7 @@ from oriel.llm.quality import op2_quality
 from oriel.llm.secrets import op6_secrets
 from oriel.llm.sharding import op8_sharding
 from oriel.llm.spelling import op13_spelling
+from oriel.llm.toxicity import op12_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ann": op9_ann,
     "op10_minhash": op10_minhash,
+    "op11_conversations": op11_conversations,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling": op13_spelling,
 }
 
