@@ -1,55 +1,247 @@
-"""LDA complaint topics with Spark ML.
+"""Complaint topics by batch variational LDA.
 
-Bag of words (M4: stopwords before bigrams, vocabulary cap, min_df) → LDA
-(k topics, seed) → document topic = argmax of topicDistribution (first on
-ties) → counts per topic (zeros kept), top words per topic from
-``describeTopics`` mapped through the vocabulary (a broadcast join on the
-term index), business name by the ordered name rules, sorted by count.
+Bag of words (M4: stopwords before bigrams, vocabulary cap, min_df) as
+(document, term, count) rows, written once with a document's counts in one
+row.  A pass is one Spark job over all of them: every task runs the
+coordinate-ascent E-step of its documents in Arrow batches against the
+broadcast topic-term matrix (``k`` x vocabulary) and adds up the expected
+topic-term counts and its part of the evidence lower bound; the tasks' sums
+meet in one aggregation.  Every text is in every pass.  Documents start each
+E-step from the same point, so partitioning and order change a result by
+rounding only.
+
+Document topic = the largest weight (first on ties), counts per topic (zeros
+kept), top words per topic, business name by the ordered name rules, sorted by count.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import text as tx
+from ..session import cut_lineage
+from . import tokens as tk
+from .features import term_frequencies, vocabulary
 from .topics import name_topic
-from .train import count_vectorizer
+
+BAG = "row long, ids array<int>, counts array<double>"
+#: Entries of an E-step block: bounds a task's memory whatever the documents.
+BLOCK_ENTRIES = 200_000
+
+
+# special functions of positive arguments: recurrence up to 6, then the asymptotic series
+def digamma(x: np.ndarray) -> np.ndarray:
+    x, out = np.array(x, dtype=float), 0.0
+    for _ in range(6):
+        out = out - 1.0 / x
+        x = x + 1.0
+    f = 1.0 / (x * x)
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    x, out = np.array(x, dtype=float), 0.0
+    for _ in range(6):
+        out = out - np.log(x)
+        x = x + 1.0
+    f = 1.0 / (x * x)
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
+
+
+def expected_log(dirichlet: np.ndarray) -> np.ndarray:
+    return digamma(dirichlet) - digamma(dirichlet.sum(axis=-1, keepdims=True))
+
+
+def e_step(ptr: np.ndarray, ids: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: float,
+           iterations: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' topic weights and the likelihood's normaliser per entry.
+    Document d holds the entries ptr[d]..ptr[d+1]; ``beta``: exp E[log topic],
+    (vocabulary, k).  A document leaves the iteration when its weights move by
+    less than ``tol`` on average."""
+    size = np.diff(ptr)
+    gamma = np.ones((len(size), beta.shape[1]))
+    gamma[size == 0] = alpha
+    live = np.flatnonzero(size > 0)
+    pick = np.ones(len(ids), bool)
+    for _ in range(iterations):
+        if not len(live):
+            break
+        n, b = counts[pick], beta[ids[pick]]
+        at = np.repeat(np.arange(len(live)), size[live])
+        theta = np.exp(expected_log(gamma[live]))
+        norm = np.einsum("ij,ij->i", theta[at], b) + 1e-100
+        begin = np.concatenate([[0], np.cumsum(size[live])[:-1]])
+        new = alpha + theta * np.add.reduceat((n / norm)[:, None] * b, begin, axis=0)
+        moving = np.abs(new - gamma[live]).mean(axis=1) >= tol
+        gamma[live] = new
+        if not moving.all():
+            keep = np.zeros(len(size), bool)
+            keep[live[moving]] = True
+            live = live[moving]
+            pick = np.repeat(keep, size)
+    theta = np.exp(expected_log(gamma))
+    norm = np.einsum("ij,ij->i", theta[np.repeat(np.arange(len(size)), size)], beta[ids]) + 1e-100
+    return gamma, norm
+
+
+def blocks(batches):
+    """(row numbers, ptr, ids, counts) of bounded numbers of entries."""
+    for batch in batches:
+        rows, lists, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        begin = 0
+        while begin < len(rows):
+            held = np.cumsum(size[begin:])
+            end = begin + max(1, int(np.searchsorted(held, BLOCK_ENTRIES, "right")))
+            part = slice(begin, end)
+            ids = lists[part].flatten().to_numpy(zero_copy_only=False)
+            counts = n[part].flatten().to_numpy(zero_copy_only=False)
+            yield rows[part], np.concatenate([[0], np.cumsum(size[part])]), ids, counts
+            begin = end
+
+
+def document_bound(gamma: np.ndarray, counts: np.ndarray, norm: np.ndarray, alpha: float) -> float:
+    k = gamma.shape[1]
+    log_theta = expected_log(gamma)
+    return float((counts * np.log(norm)).sum() + ((alpha - gamma) * log_theta).sum() + lgamma(gamma).sum()
+                 - lgamma(gamma.sum(axis=1)).sum() + len(gamma) * (lgamma(np.array(alpha * k)) - k * lgamma(np.array(alpha))))
+
+
+def topic_bound(lam: np.ndarray, eta: float) -> float:
+    log_beta, (k, v) = expected_log(lam), lam.shape
+    return float(((eta - lam) * log_beta).sum() + lgamma(lam).sum() - lgamma(lam.sum(axis=1)).sum()
+                 + k * (lgamma(np.array(eta * v)) - v * lgamma(np.array(eta))))
+
+
+def one_pass(bags: DataFrame, lam: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Expected topic-term counts over all documents, and the documents' part of the bound."""
+    k, v = lam.shape
+    shared = bags.sparkSession.sparkContext.broadcast(np.exp(expected_log(lam)).T)
+
+    def run(batches):
+        beta = shared.value
+        stats, bound = np.zeros((v, k)), 0.0
+        for _, ptr, ids, counts in blocks(batches):
+            gamma, norm = e_step(ptr, ids, counts, beta, alpha)
+            theta = np.exp(expected_log(gamma))
+            np.add.at(stats, ids, theta[np.repeat(np.arange(len(gamma)), np.diff(ptr))] * (counts / norm)[:, None])
+            bound += document_bound(gamma, counts, norm, alpha)
+        stats *= beta
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(range(k + 1)), pa.int32()), pa.array([*stats.T.tolist(), [bound]], pa.list_(pa.float64()))], names=["topic", "stat"])
+
+    parts = bags.mapInArrow(run, "topic int, stat array<double>")
+    sums = (parts.select("topic", F.posexplode("stat").alias("term", "x")).groupBy("topic", "term")
+            .agg(F.sum("x").alias("x")).toPandas())      # k x vocabulary numbers and the bound
+    shared.unpersist()
+    out, mine = np.zeros((k, v)), sums["topic"].to_numpy() < k
+    out[sums["topic"][mine], sums["term"][mine]] = sums["x"][mine]
+    return out, float(sums["x"][~mine].sum())
+
+
+@dataclass
+class TopicModel:
+    vocab: list[str]
+    lam: np.ndarray          # (k, vocabulary): Dirichlet parameters of the topics
+    alpha: float
+    eta: float
+    bounds: list[float] = field(default_factory=list)
+
+    def top_words(self, n: int = 8) -> list[str]:
+        """The words of the largest weights, ties by term."""
+        return [" ".join(self.vocab[i] for i in sorted(range(len(self.vocab)), key=lambda i: (-row[i], self.vocab[i]))[:n])
+                for row in self.lam]
+
+    def save(self, spark, path: str) -> None:
+        """A row per term with its weights, and the priors, as Parquet."""
+        rows = [(i, t, self.lam[:, i].tolist()) for i, t in enumerate(self.vocab)]
+        spark.createDataFrame(rows, "idx int, term string, weights array<double>").write.mode("overwrite").parquet(f"{path}/topics")
+        spark.createDataFrame([(self.alpha, self.eta, [float(b) for b in self.bounds])],
+                              "alpha double, eta double, bounds array<double>").write.mode("overwrite").parquet(f"{path}/priors")
+
+    @classmethod
+    def load(cls, spark, path: str) -> TopicModel:
+        rows = sorted(spark.read.parquet(f"{path}/topics").collect())     # vocabulary rows
+        p = spark.read.parquet(f"{path}/priors").first()
+        return cls([r["term"] for r in rows], np.array([r["weights"] for r in rows]).T, p["alpha"], p["eta"], list(p["bounds"]))
+
+
+def document_terms(text: Column, stop: list[str]) -> Column:
+    """M4: words of two or more characters without stopwords, then their bigrams."""
+    toks = tx.drop_stopwords(tk.vectorizer_tokens(text), stop)
+    return F.concat(toks, tk.ngrams(toks, 2))
+
+
+def bags_of(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(row, ids, counts): a document's vocabulary terms in one row, in term order."""
+    e = tf.join(vocab, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("idx", "tf"))).alias("e"))
+    return e.select("row", F.transform("e", lambda x: x["idx"]).alias("ids"), F.transform("e", lambda x: x["tf"].cast("double")).alias("counts"))
+
+
+def fit_topics(bags: DataFrame, vocab: list[str], k: int = 10, max_iter: int = 30, seed: int = 42) -> TopicModel:
+    """Batch variational Bayes, both priors 1 / k; ``bags`` (row, ids, counts)
+    is read in every pass, so give a materialised frame."""
+    alpha = eta = 1.0 / k
+    lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(vocab)))
+    bounds = []
+    for _ in range(max_iter):
+        stats, bound = one_pass(bags, lam, alpha)
+        bounds.append(bound + topic_bound(lam, eta))
+        lam = eta + stats
+    return TopicModel(vocab, lam, alpha, eta, bounds)
+
+
+def assign_topics(bags: DataFrame, model: TopicModel) -> DataFrame:
+    """(row, Topic, weights): each document's largest topic, the first on ties."""
+    shared = bags.sparkSession.sparkContext.broadcast((np.exp(expected_log(model.lam)).T, model.alpha))
+
+    def run(batches):
+        beta, alpha = shared.value
+        for rows, ptr, ids, counts in blocks(batches):
+            gamma, _ = e_step(ptr, ids, counts, beta, alpha)
+            share = gamma / gamma.sum(axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(share.argmax(axis=1), pa.int32()),
+                                              pa.array(share.tolist(), pa.list_(pa.float64()))], names=["row", "Topic", "weights"])
+
+    return bags.mapInArrow(run, "row long, Topic int, weights array<double>")
+
+
+def numbered_terms(docs: DataFrame, text_col: str, stop: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(row, term, tf) over all documents and their row numbers, written once."""
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
+    tf = term_frequencies(rows.select("row", document_terms(F.col("text"), stop).alias("terms")), "row", F.col("terms"))
+    return cut_lineage(tf), rows.select("row")
 
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 10, max_iter: int = 30, vocab_size: int = 3000,
-               min_df: float = 3.0, n_top: int = 8, seed: int = 42, stop: list[str] | None = None,
-               optimizer: str = "online", save_dir: str | None = None) -> DataFrame:
-    stop = stop if stop is not None else dims.stopwords("general")
-    bow = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="__tok", outputCol="__tok_s", stopWords=stop),
-        NGram(n=2, inputCol="__tok_s", outputCol="__bi"),
-        SQLTransformer(statement="SELECT *, concat(__tok_s, __bi) AS __terms FROM __THIS__"),
-        count_vectorizer("__terms", "features", vocab_size, min_df, 1.0),
-    ]).fit(docs)
-    dtm = bow.transform(docs).select("features").persist()
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features").fit(dtm)
-    dist = lda.transform(dtm).select(vector_to_array("topicDistribution").alias("d"))
-    doc_topic = dist.select((F.array_position("d", F.array_max("d")) - 1).cast("int").alias("Topic"))
-    counts = doc_topic.groupBy("Topic").agg(F.count("*").alias("n"))
+               min_df: int = 3, n_top: int = 8, seed: int = 42, stop: list[str] | None = None,
+               save_dir: str | None = None) -> DataFrame:
+    """L2: Topic, Count, Business_Name, Top_Words over all documents; those
+    without a vocabulary term go to the first topic, as a tie does."""
     spark = docs.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(bow.stages[-1].vocabulary)), "term_index int, term string")
-    topw = (lda.describeTopics(n_top)
-            .select(F.col("topic").cast("int").alias("Topic"), F.posexplode("termIndices").alias("rank", "term_index"))
-            .join(F.broadcast(vocab), "term_index")
-            .groupBy("Topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("w"))
-            .select("Topic", F.array_join(F.transform("w", lambda s: s["term"]), " ").alias("Top_Words")))
-    all_topics = spark.range(k).select(F.col("id").cast("int").alias("Topic"))
-    out = (all_topics.join(counts, "Topic", "left").join(topw, "Topic", "left")
-           .select("Topic", F.coalesce("n", F.lit(0)).cast("bigint").alias("Count"),
-                   F.coalesce(name_topic(F.col("Top_Words")), F.concat(F.lit("Topic "), F.col("Topic").cast("string")))
-                   .alias("Business_Name"), "Top_Words"))
+    stop = stop if stop is not None else dims.stopwords("general")
+    tf, rows = numbered_terms(docs, text_col, stop)
+    voc = vocabulary(tf, "row", rows.agg(F.count("*")).scalar(), vocab_size, min_df=min_df)
+    words = sorted(r["term"] for r in voc.select("term").collect())          # <= vocab_size
+    if not words:
+        raise ValueError("no term is in enough documents")
+    bags = bags_of(tf, dims.local_table(spark, [(i, t) for i, t in enumerate(words)], "idx int, term string"))
+    empty = F.array().cast("array<int>"), F.array().cast("array<double>")
+    bags = cut_lineage(rows.join(bags, "row", "left").select("row", F.coalesce("ids", empty[0]).alias("ids"), F.coalesce("counts", empty[1]).alias("counts")))
+    model = fit_topics(bags, words, k, max_iter, seed)
     if save_dir:                                                          # L5
-        lda.write().overwrite().save(f"{save_dir}/lda")
-        bow.write().overwrite().save(f"{save_dir}/bow")
-    return out.orderBy(F.desc("Count"), "Topic")
+        model.save(spark, f"{save_dir}/lda")
+    counts = assign_topics(bags, model).groupBy("Topic").agg(F.count("*").alias("n"))
+    topics = dims.local_table(spark, list(enumerate(model.top_words(n_top))), "Topic int, Top_Words string")
+    return (topics.join(counts, "Topic", "left")
+            .select("Topic", F.coalesce("n", F.lit(0)).cast("bigint").alias("Count"),
+                    F.coalesce(name_topic(F.col("Top_Words")), F.concat(F.lit("Topic "), F.col("Topic").cast("string")))
+                    .alias("Business_Name"), "Top_Words")
+            .orderBy(F.desc("Count"), "Topic"))
