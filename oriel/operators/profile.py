@@ -2,9 +2,9 @@
 
 Every statistic is a built-in aggregate so Catalyst plans partial (map-side)
 plus final aggregation; many statistics share one pass over the data.
-Exact medians/quartiles use ``percentile`` whose buffer is a map of distinct
-values → counts (bounded for integer-valued lengths); pass ``exact=False`` for
-``percentile_approx`` on high-cardinality doubles at scale.
+Exact medians and quartiles are selected in range partitions of the distinct
+values (``quantiles``), so no task holds all of them; ``exact=False`` asks for
+``percentile_approx`` instead.
 """
 
 from __future__ import annotations
@@ -13,10 +13,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-
-
-def _q(c, p, exact=True, accuracy=10000) -> Column:
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p, accuracy)
+from ..session import cut_lineage
+
+
+def quantiles(values: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation between neighbouring ranks) of any
+    number of doubles: one row per group with the columns of ``probs``.
+
+    Equal values are counted first.  The distinct ones are range partitioned by
+    (group, value); running counts inside each partition plus the counts of the
+    partitions before it (a table of partitions x groups rows) give every
+    value its ranks, and the wanted ranks are picked by one aggregation."""
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = values.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    # written once: partitions and their counts must belong together
+    g = cut_lineage(g.repartitionByRange(n, *groups, "__v").withColumn("__pid", F.spark_partition_id()))
+    per = g.groupBy("__pid", *groups).agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__pid", *groups, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"),
+                     F.sum("__s").over(Window.partitionBy(*groups)).alias("__n"))
+    same = F.col("a.__pid") == F.col("b.__pid")
+    for c in groups:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    inside = Window.partitionBy("__pid", *groups).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    j = g.withColumn("__cum", F.sum("__c").over(inside)).alias("a").join(F.broadcast(per.alias("b")), same)
+    end = F.col("__off") + F.col("__cum")          # ranks end - c .. end - 1 (from 0) hold this value
+    aggs, out = [F.first("__n").alias("__n")], []
+    for name, p in probs.items():
+        at = F.lit(p) * (F.col("__n") - 1)
+        for k, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((rank >= end - F.col("__c")) & (rank < end), F.col("__v"))).alias(f"{name}__{k}"))
+        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return j.groupBy(*[F.col(f"a.{c}") for c in groups]).agg(*aggs).select(*groups, *out)
+
+
+def long_form(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
+    """(keep..., column_name, value): one row per cell."""
+    cells = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    return df.selectExpr(*[f"`{c}`" for c in keep], f"stack({len(cols)}, {cells}) as (column_name, value)")
 
 
 # A1 / A25 -------------------------------------------------------------------
@@ -43,26 +78,22 @@ def null_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # A2 -------------------------------------------------------------------------
-def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per column; one row per column.
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
-    Exact quartiles keep one buffer entry per distinct value;
-    ``exact=False`` asks for percentile_approx instead."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _q(x, 0.25, exact).alias(f"{c}__q25"), _q(x, 0.5, exact).alias(f"{c}__q50"),
-                 _q(x, 0.75, exact).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    # one aggregate pass, unpivoted with stack (a union of selects would
-    # plan the whole aggregation once per column)
-    cells = ", ".join(f"'{c}', " + ", ".join(f"CAST(`{c}__{st}` AS DOUBLE)" for st in stats) for c in cols)
-    long = wide.selectExpr(f"stack({len(cols)}, {cells}) as (column_name, {', '.join(stats)})")
-    return long.select("column_name", F.col("count").cast("bigint").alias("count"),
-                       *[F.round(st, dp).alias(st) for st in stats[1:]])
+
+def describe(df: DataFrame, cols: list[str], dp: int = 3, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """count, mean, std (n-1), min, 25/50/75 %, max per column; one row per
+    column.  ``exact=False`` takes the quartiles from ``percentile_approx``."""
+    cells = long_form(df, [], cols)
+    aggs = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max")]
+    if exact:
+        q = quantiles(cells, ["column_name"], "value", QUARTILES)
+        out = cells.groupBy("column_name").agg(*aggs).join(q, "column_name", "left")
+    else:
+        out = cells.groupBy("column_name").agg(*aggs, *[F.percentile_approx("value", p, accuracy).alias(k) for k, p in QUARTILES.items()])
+    return out.select("column_name", F.col("count").cast("bigint").alias("count"),
+                      *[F.round(st, dp).alias(st) for st in ("mean", "std", "min", *QUARTILES, "max")])
 
 
 # A4 / A5 / W7 ---------------------------------------------------------------
@@ -81,14 +112,20 @@ def value_counts_filled(df: DataFrame, col: str, categories: DataFrame) -> DataF
 
 
 # A6 / A10 -------------------------------------------------------------------
-def group_stats(df: DataFrame, by: str, cols: list[str], dp: int = 1, exact: bool = True) -> DataFrame:
+def group_stats(df: DataFrame, by: str, cols: list[str], dp: int = 1, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.round(F.avg(x), dp).alias(f"{c}_mean"), F.round(_q(x, 0.5, exact), dp).alias(f"{c}_median"),
-                 F.round(F.stddev_samp(x), dp).alias(f"{c}_std"), F.round(F.min(x), dp).alias(f"{c}_min"),
-                 F.round(F.max(x), dp).alias(f"{c}_max")]
-    return df.groupBy(by).agg(F.count("*").alias("n"), *aggs)
+        aggs += [F.round(F.avg(x), dp).alias(f"{c}_mean"), F.round(F.stddev_samp(x), dp).alias(f"{c}_std"),
+                 F.round(F.min(x), dp).alias(f"{c}_min"), F.round(F.max(x), dp).alias(f"{c}_max")]
+        if not exact:
+            aggs.append(F.round(F.percentile_approx(x, 0.5, accuracy), dp).alias(f"{c}_median"))
+    out = df.groupBy(by).agg(F.count("*").alias("n"), *aggs)
+    if exact:
+        q = quantiles(long_form(df, [by], cols), [by, "column_name"], "value", {"median": 0.5})
+        wide = q.groupBy(F.col(by).alias("__by")).agg(*[F.round(F.max(F.when(F.col("column_name") == c, F.col("median"))), dp).alias(f"{c}_median") for c in cols])
+        out = out.join(wide, F.col(by).eqNullSafe(F.col("__by")), "left")   # a row per group on both sides
+    return out.select(by, "n", *[f"{c}_{k}" for c in cols for k in ("mean", "median", "std", "min", "max")])
 
 
 # A7 -------------------------------------------------------------------------
@@ -141,8 +178,7 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme values inside the fences)
     and outlier counts per group."""
     x = F.col(col).cast("double")
-    q = df.groupBy(by).agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"),
-                           F.percentile(x, 0.75).alias("q3"))
+    q = quantiles(df.select(by, x.alias("v")), [by], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")

@@ -830,6 +830,22 @@ def q50(spark, sf):
     return comp
 
 
+@query("q64_trained_serving")
+def q64(spark, sf):
+    """A model trained on the labelled documents, published, loaded again and
+    served over all documents (S4, M9, E1)."""
+    from ..operators import registry
+    from ..operators.score import score_reviews
+    from ..operators.train import train_compare
+    root = os.path.join(ensure_checkpoint_dir(spark), f"registry-{uuid.uuid4().hex}")
+    train_compare(_model_data(spark, sf), "text_processed", MODEL_NUMERIC, size="small", k_folds=2, save_dir=root)
+    cfg = _query_scoring(spark)
+    cfg.model = registry.load(spark, f"{root}/registry")
+    d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    return score_reviews(d, "review_id", "text", cfg).select(
+        "review_id", "predicted_satisfaction", "confidence", F.col("detected_topic").alias("topic"), "priority")
+
+
 @query("q51_lda_topics")
 def q51(spark, sf):
     from ..operators.lda import lda_topics

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from oriel.operators import profile as pr
@@ -54,3 +56,24 @@ def test_box_stats(spark):
     df = spark.createDataFrame([(0, float(v)) for v in [1, 2, 3, 4, 100]], "g int, v double")
     r = pr.box_stats(df, "v", "g").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_hi"], r["n_outliers"]) == (2.0, 3.0, 4.0, 4.0, 1)
+
+
+def test_quantiles_equal_percentile(spark):
+    """Ties, one-row groups, nulls and null groups; many more values than partitions."""
+    from oriel.operators.profile import quantiles
+    rng = random.Random(2)
+    rows = [(g, rng.choice([None, 0.0, 0.0, round(rng.gauss(0, 5), 3)])) for g in ("a", "b", "b", None) for _ in range(400)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p9": 0.9, "hi": 1.0}
+    got = {r["g"]: tuple(r[k] for k in probs) for r in quantiles(df, ["g"], "v", probs).collect()}
+    want = {r["g"]: tuple(r[k] for k in probs) for r in df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()]).collect()}
+    assert want.pop("none") == (None,) * 5
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_no_task_holds_all_values(spark):
+    """The plan of exact quartiles has no percentile buffer."""
+    from oriel.operators.profile import describe
+    df = spark.range(1000).select((F.rand(1) * 100).alias("x"))
+    plan = describe(df, ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "ObjectHashAggregate" not in plan
