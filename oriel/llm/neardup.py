@@ -12,17 +12,22 @@ Equal texts are grouped first (128-bit text hash).  Signatures are cut into
 bands; equal bands make candidates.  In each band bucket members are compared
 with a pivot, never all with all, so a bucket costs its size; the similarity
 of the full sets (at least ``threshold``) decides.  Further rounds take new
-pivots, members of the smallest groups first and more of them each round, for
-buckets whose members still are in different groups, until none is left: no
-link between different groups is lost.  From round 2 on, texts and pairs are
-left out that provably cannot be similar, because too many of their elements
-are in no other open text.  Pairs whose signatures agree in so few coordinates
-that they cannot be similar (six standard deviations) are left out before the
-sets are compared.  Groups are the connected components of the
+pivots for buckets whose members still are in different groups, until none is
+left: no link between different groups is lost.  First come the members with
+the smallest share of elements that no other open text has: of a text and its
+edited copies that is the one most others are near to, so few pivots join the
+group.  Texts and pairs are then left out that provably cannot be similar,
+because too many of their elements are in no other open text.  With ``sieve``
+pairs whose signatures agree in so few coordinates that a similarity of the
+threshold is six standard deviations away are left out before the sets are
+compared; without it every pair is compared.  With ``weighted`` an element
+counts as often as it occurs, in the signatures and in the comparison (the
+sum of the smaller counts over that of the larger).  Groups are the connected components of the
 links, computed by alternating large-star and small-star steps on tables; each
 round works on the groups of the round before.
 
-Defined cases: a null text counts as an empty one; texts without words form a
+Defined cases: a null text counts as an empty one; very long texts are taken
+whole; texts without words form a
 group only with equal texts; texts of fewer than five words are one element;
 ids may be null (they sort after all others) and repeated rows are copies; other
 columns are not touched; an empty table gives an empty table.
@@ -39,21 +44,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oriel.llm.common import materialize, read_table
+from oriel.llm.common import batch_bytes, materialize, read_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-PIVOTS = (64, 512)
+PIVOTS = (2, 8, 64, 512)
 WORD = re.compile(r"\w+")
-CHUNK_ELEMENTS = 150_000
+CHUNK_ELEMENTS = 60_000
+#: Bytes of an Arrow batch: a batch of pairs holds the elements of both texts.
+BATCH_BYTES = 8 << 20
 
 
 class _Hashes(dict):
     """64-bit hashes of words; forgets all when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode())
         return h
@@ -174,11 +181,25 @@ def _signer(bands: int, rows: int, weighted: bool):
     return run
 
 
-def _packer(batches):
-    hashes = _Hashes()
-    for b in batches:
-        got = [_pack(np.sort(shingles(t.as_py(), hashes)[0] & np.uint64((1 << 48) - 1))) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "elements"])
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """An element per occurrence: sets of them have the weighted similarity of
+    the elements with their counts."""
+    c = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _mix(np.repeat(elements, counts) + c.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+
+
+def _packer(weighted: bool):
+    def run(batches):
+        hashes = _Hashes()
+        for b in batches:
+            got = []
+            for t in b.column(1):
+                el, n = shingles(t.as_py(), hashes)
+                el = occurrences(el, n) if weighted and len(el) else el
+                got.append(_pack(np.sort(el & np.uint64((1 << 48) - 1))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "elements"])
+
+    return run
 
 
 def _comparer(threshold: float):
@@ -239,7 +260,7 @@ def _siever(least: int):
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, coordinates: int,
-          pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+          pivots: tuple[int, ...] = PIVOTS, weighted: bool = False, sieve: bool = True) -> DataFrame:
     """(node, comp): the group of every text node that shares a bucket."""
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     # buckets of at least two texts
@@ -249,7 +270,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
     candidates = members.select("node").distinct()
     texts = (docs.select(text_node.alias("node"), F.col(f"`{text_col}`").alias("text"))
              .join(candidates, "node", "left_semi").dropDuplicates(["node"]))
-    elements = materialize(texts.mapInArrow(_packer, "node binary, elements binary"), "elements", codec="uncompressed")
+    elements = materialize(texts.mapInArrow(_packer(weighted), "node binary, elements binary"), "elements", codec="uncompressed")
     signatures = materialize(nodes.select("node", "sig").join(candidates, "node", "left_semi"), "candidate-signatures")
     least = int(coordinates * threshold - 6 * np.sqrt(coordinates * threshold * (1 - threshold)))
 
@@ -258,9 +279,10 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
                 .join(table.select(F.col("node").alias("a"), F.col(col).alias("x")), "a").select("a", "b", "x", "y"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = beside(pairs, signatures, "sig").mapInArrow(_siever(least), "a binary, b binary")
-        return materialize(beside(near, elements, "elements").mapInArrow(
-            _comparer(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b"), "links")
+        near = beside(pairs, signatures, "sig").mapInArrow(_siever(least), "a binary, b binary") if sieve else pairs
+        with batch_bytes(docs.sparkSession, BATCH_BYTES):
+            return materialize(beside(near, elements, "elements").mapInArrow(
+                _comparer(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b"), "links")
 
     def relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
         """Groups after ``found`` links are added to those of ``labels``."""
@@ -299,7 +321,8 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
         met = between(open_, labels)
         if met.isEmpty():
             return labels
-        order = Window.partitionBy("band", "key").orderBy("size", "comp", "node")
+        # the most central texts first
+        order = Window.partitionBy("band", "key").orderBy(F.col("lone") / F.col("total"), "size", "comp", "node")
         chosen = materialize(
             met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)])
             .select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("node").alias("p"), F.col("comp").alias("pc"),
@@ -336,7 +359,7 @@ def lone_elements(elements: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                    bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+                    bands: int = BANDS, rows: int = ROWS, weighted: bool = False, sieve: bool = True) -> tuple[DataFrame, DataFrame]:
     """(classes, kept).  classes: one row per row of ``docs``: id, node (text
     hash), comp (class, as the smallest text hash), class_id (smallest id of
     the class), class_rows.  kept: one row per class: node, id of the row that
@@ -350,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("did").isNull().alias("none"), F.col("did").alias("did"), F.col("same").alias("same")))
     nodes = materialize(per_id.groupBy("node").agg(first.alias("first"), F.sum("same").alias("copies"), F.first("keys").alias("keys"),
                                                    F.first("sig").alias("sig")), "text-nodes", codec="uncompressed")
-    labels = links(docs, nodes, text_col, threshold, bands * rows)
+    labels = links(docs, nodes, text_col, threshold, bands * rows, weighted=weighted, sieve=sieve)
     named = nodes.drop("keys", "sig").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named, "classes")
     best = F.min(F.struct(F.col("first.none").alias("none"), F.col("first.did").alias("did"), F.col("node").alias("node"),
