@@ -1,10 +1,13 @@
 """Personal data: keyed, type-consistent surrogates.
 
 Detected entities (e-mail, phone, card, IBAN, social security number, IPv4, IPv6,
-person names after a title or a greeting) are replaced by surrogates derived
-from a secret key.  A surrogate keeps type and format: lengths, punctuation,
-letter case, country code, valid check digits, script (Latin, Cyrillic, Greek)
-and, for names, gender.  The same entity gets the same surrogate everywhere,
+person names) are replaced by surrogates derived from a secret key.  A name is
+found after one or more titles or greetings ("Dear Mr. Smith"), as a known
+given name with a capitalised word after it, and, once a document has it,
+wherever its words stand in that document again.  A possessive 's is not part of it.
+A surrogate keeps type and format: lengths, punctuation,
+letter case, country code, valid check digits, script (Latin, Cyrillic, Greek,
+Han) and, for names, gender.  The same entity gets the same surrogate everywhere,
 however it is written; a name's words are entities of their own, so "Mr. John
 Smith", "Dr. Smith" and "Dear Smith" stay related.  What a word is (surname,
 male, female or other given name) is settled once, by most of its sightings;
@@ -25,7 +28,8 @@ stay.
 
 Only rows with entities are shuffled; rows without pass through.
 
-Defined cases: a null text stays null, an empty one empty; repeated rows are
+Defined cases: a null text stays null, an empty one empty; very long texts are
+searched whole; repeated rows are
 treated alike; overlapping finds go to the leftmost, then to the kind listed
 first; other columns pass through inside one struct, whatever their names; an
 empty table gives an empty table.
@@ -59,18 +63,29 @@ NATIONAL = re.compile(r"(?<![\w.,:+/-])\(?(?:00 ?[1-9]\d{0,2}(?:[ .-]?\(\d{1,5}\
                       r"|0[1-9]\d{1,4}\)?(?: ?[/-] ?|[ .])\d{2,8}(?:[ .-]\d{2,6}){0,3})(?![\w/-]|[.,:]\d)")
 IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "Господин", "Κύριος"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Madam", "Госпожа", "Κυρία"]
+MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Sir", "Господин", "Κύριος"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Signora", "Madam", "Госпожа", "Κυρία"]
 NEUTRAL = ["Dr", "Prof", "Professor", "Dear", "Mx"]
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω](?:[\w'’]|-(?=\w)){1,30}"
-NAME = re.compile(rf"\b({'|'.join(map(re.escape, sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)))})\b\.?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,2}})")
-
+TITLES = {t: g for names, g in ((MALE, "m"), (FEMALE, "f"), (NEUTRAL, None)) for n in names for t in (n, n.upper())}
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω"
+_HAN = "\u4e00-\u9fff"
+_WORD = rf"(?:[{_UPPER}](?:\w|['’](?!s\b|S\b)|-(?=\w)){{1,30}}|[{_HAN}]{{1,4}})"
+CAPITAL = re.compile(rf"(?<!\w)[{_UPPER}]\w+")
+TITLE = re.compile(r"(\w+)\.?[ \t]+")
+NAME = re.compile(rf"{_WORD}(?:[ \t]+{_WORD}){{0,2}}")
+
+# Capitalised words that may follow a name and are no part of it.
+NO_NAME = ("yesterday today tomorrow now then later soon monday tuesday wednesday thursday friday saturday sunday january february march april "
+           "june july august september october november december i we you he she it they the a an and or but if when please thank thanks hello "
+           "gestern heute morgen hier aujourd ayer hoy").split()
 # Words after a greeting that name nobody.
 GENERIC = "sir madam all team customer customers colleague colleagues friend friends reader readers guest guests".split()
 # Given names from which gender is read where no title tells it.
 GIVEN_MALE = "james john robert michael william david richard joseph thomas charles peter paul hans karl jean pierre jose juan carlos luis иван дмитрий сергей".split()
 GIVEN_FEMALE = "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen anna maria marie sophie julia laura carmen ana elena анна мария ольга".split()
 
+GIVEN = {w: g for words, g in ((GIVEN_MALE, "m"), (GIVEN_FEMALE, "f")) for w in words}
+
 # Surrogate names are built from syllables; the ending tells the gender.
 SYLLABLES = {
     "latin": (["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "br", "dr", "kl", "st", "tr"], ["a", "e", "i", "o", "u"],
@@ -79,6 +94,8 @@ SYLLABLES = {
                  {"m": ["н", "р", "м", "с"], "f": ["а", "ия", "ина"], "s": ["ов", "ев", "ин", "ский"], "n": ["ль", "й"]}),
     "greek": (["β", "γ", "δ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ"], ["α", "ε", "ι", "ο", "υ"],
               {"m": ["ος", "ης", "ας"], "f": ["α", "η", "ια"], "s": ["ιδης", "ακης", "ου"], "n": ["ι", "ω"]}),
+    "han": (list("山川林森石松竹梅金北南東西高中大小上"), list("田村本原井野沢島崎口"),
+            {"m": ["郎", "夫", "男"], "f": ["子", "美", "恵"], "s": ["", "木", "川"], "n": ["真", "光"]}),
 }
 
 
@@ -88,6 +105,8 @@ def script_of(word: str) -> str:
             return "cyrillic"
         if "Ͱ" <= c <= "Ͽ":
             return "greek"
+        if "\u4e00" <= c <= "\u9fff":
+            return "han"
     return "latin"
 
 
@@ -119,6 +138,44 @@ def _number_kind(s: str) -> str | None:
     return "phone" if 8 <= len(digits) <= 15 and s.lstrip("(").startswith("+") else None
 
 
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names word by word: after titles, or a known given name and a word; then
+    all other places of the words found."""
+    hits, at, known = [], 0, {}
+    for m in CAPITAL.finditer(text):
+        if m.start() < at:
+            continue
+        start, gender, titled = m.start(), None, False
+        while (t := TITLE.match(text, start)) and t.group(1) in TITLES:
+            following = NAME.match(text, t.end())
+            if not following or (following.group().split()[0].casefold() in GENERIC):
+                break
+            start, gender, titled = t.end(), TITLES[t.group(1)] or gender, True
+        if not titled and m.group().casefold() not in GIVEN:
+            continue
+        if not (name := NAME.match(text, start)):
+            continue
+        words = list(re.finditer(r"\S+", name.group()))
+        for i in range(1, len(words)):          # a later word that is none, and all after it
+            if words[i].group().casefold() in NO_NAME or words[i].group() in TITLES:
+                words = words[:i]
+                break
+        if words[0].group().casefold() in GENERIC or words[0].group() in TITLES or not titled and len(words) < 2:
+            continue
+        for i, w in enumerate(words):
+            word = w.group().casefold()
+            last = i == len(words) - 1 and (len(words) > 1 or gender)
+            kind = "s" if last else gender or GIVEN.get(word, "n")
+            hits.append((start + w.start(), start + w.end(), f"name:{kind}", word))
+            known.setdefault(w.group(), f"name:{kind}")
+        at = start + words[-1].end()
+    if known:
+        taken = {h[0] for h in hits}
+        again = re.compile(rf"(?<![\w])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w])")
+        hits += [(m.start(), m.end(), known[m.group()], m.group().casefold()) for m in again.finditer(text) if m.start() not in taken]
+    return hits
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), not overlapping, by position.  Names
     come word by word with the kinds name:m, name:f, name:n (given) and name:s."""
@@ -161,16 +218,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         if kind:
             hits.append((m.start(), m.start() + len(s), kind, ("+" if "+" in s else "") + re.sub(r"\D", "", s)))
         at = m.start() + max(1, len(s))
-    for m in NAME.finditer(text):
-        title, words = m.group(1), list(re.finditer(r"\S+", m.group(2)))
-        if words[0].group().casefold() in GENERIC:
-            continue
-        gender = "m" if title in MALE else "f" if title in FEMALE else None
-        for i, w in enumerate(words):
-            word = w.group().casefold()
-            kind = "s" if i == len(words) - 1 and (len(words) > 1 or gender) else gender or (
-                "m" if word in GIVEN_MALE else "f" if word in GIVEN_FEMALE else "n")
-            hits.append((m.start(2) + w.start(), m.start(2) + w.end(), f"name:{kind}", word))
+    hits += names(text)
     out, end = [], 0
     for h in sorted(hits, key=lambda h: (h[0], KINDS.index(h[2].split(":")[0]))):
         if h[0] >= end:
@@ -219,7 +267,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         body = _like(value[4:] + "0" * wide, draw)
         return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body):02d}{body}"
     if kind == "ipv4":
-        return ".".join(str(1 + next(draw) % 254) for _ in range(4 + wide))
+        return ".".join(str(1 + next(draw) % 254) for _ in range(4))   # 4e9 of them: another try always helps
     if kind == "ipv6":
         digits = (f"{next(draw) % 15 + 1:x}" for _ in iter(int, 1))
         return "".join(next(digits) if c != ":" else c for c in value) + "".join(next(digits) for _ in range(wide))
@@ -232,7 +280,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind.startswith("name:"):
         onset, vowel, ends = SYLLABLES[script_of(value)]
         pick = lambda xs: xs[next(draw) % len(xs)]
-        return "".join(pick(onset) + pick(vowel) for _ in range(2 + wide)) + pick(ends[kind[-1]])
+        return "".join(pick(onset) + pick(vowel) for _ in range((1 if script_of(value) == "han" else 2) + wide)) + pick(ends[kind[-1]])
     return _like(value + "0" * wide, draw)
 
 

@@ -95,3 +95,57 @@ def test_national_phone_numbers(spark, docs):
     got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs(rows), KEY).collect()}
     assert got[1][5:9] == "0049" and got[2] == got[1].replace("0049", "+49") and "1234567" not in "".join(got.values())
     assert got[3][5] == "0" != got[3][6] and [len(w) for w in got[3].split()] == [4, 3, 8, 3]
+
+
+def spans(text):
+    return [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+
+
+def test_names_in_running_text():
+    assert spans("Dear Mr. Smith, hi") == [("Smith", "name:s")]
+    assert spans("Prof. Dr. Ada Byron spoke") == [("Ada", "name:n"), ("Byron", "name:s")]
+    assert spans("Mr. Smith's car met Mr. Smith.") == [("Smith", "name:s")] * 2
+    assert spans("Mr. John Smith called. Then John Smith left; Smith’s bag stayed.") == [
+        ("John", "name:m"), ("Smith", "name:s"), ("John", "name:m"), ("Smith", "name:s"), ("Smith", "name:s")]
+    assert spans("Contact Maria Gonzalez today") == [("Maria", "name:f"), ("Gonzalez", "name:s")]
+    assert [w for w, _ in spans("Dr. Smith Yesterday said")] == ["Smith"]
+    assert spans("MR. SMITH left") == [("SMITH", "name:s")]
+    assert spans("Mme Dupont et Ms. 山田") == [("Dupont", "name:s"), ("山田", "name:s")]
+    assert spans("Mr. O'Brien and Mrs. Smith-Jones") == [("O'Brien", "name:s"), ("Smith-Jones", "name:s")]
+    for clean in ("Dear Sir or Madam", "Dear Mr", "Maria was here", "the mr smith", "Smithsonian", "Dear Customers, Dear Team"):
+        assert spans(clean) == [], clean
+
+
+def test_mentions_of_a_person_stay_one_person(spark, docs):
+    """Brute force: whatever the sentence, each word of a name has one surrogate in all rows, different words different ones."""
+    import itertools
+
+    people = [("John", "Smith"), ("Anna", "Kovacs"), ("Paul", "Okafor")]
+    forms = ["Dear Mr. {1}, hello", "we saw Dr. {0} {1} and {1}'s dog", "ask {0} {1} now", "PROF. {1} spoke to Mx. {0} {1}", "Mrs. {0} {1} met {0}"]
+    rows = [(i, f.format(*p)) for i, (p, f) in enumerate(itertools.product(people, forms))]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs(rows), KEY).collect()}
+    new = {}
+    for i, old in rows:
+        found = pii.find(old)
+        at, now = 0, got[i]
+        pos = 0
+        for a, b, _, word in found:
+            keep = old[at:a]
+            assert now.startswith(keep, pos)
+            pos += len(keep)
+            end = pos
+            while end < len(now) and now[end].isalpha():
+                end += 1
+            new.setdefault(word, set()).add(now[pos:end].casefold())
+            at, pos = b, end
+        assert now[pos:] == old[at:]
+    assert all(len(v) == 1 for v in new.values()) and len(set.union(*new.values())) == len(new) == 6
+
+
+def test_addresses_keep_four_parts():
+    assert all(pii.surrogate(KEY, "ipv4", "10.0.0.1", n).count(".") == 3 for n in range(40))
+
+
+def test_very_long_text():
+    text = "plain words here " * 20_000
+    assert spans(text + "Mr. Smith " + text + "Smith") == [("Smith", "name:s")] * 2
