@@ -53,9 +53,9 @@ def spread_lines(occ: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with the text cut and the columns n_lines and n_removed (long)
-    added (existing columns of these names are replaced)."""
+                       min_sites: int = MIN_SITES, lines_out: str = "n_lines", removed_out: str = "n_removed") -> DataFrame:
+    """``docs`` with the text cut and the numbers of lines and of removed ones
+    (long) added under the given names, which replace columns of these names."""
     from oriel.llm.common import materialize
 
     occ = line_occurrences(docs, id_col, text_col, site_col)
@@ -72,11 +72,11 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = src.join(gone, F.col("id").eqNullSafe(F.col("did")) & (F.xxhash64("text") == F.col("t")), "left")
     out = joined.withColumn("lines", lines).select(
         *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == text_col
-          else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+          else F.col("row").getField(c).alias(c) for c in docs.columns if c not in (lines_out, removed_out)],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(lines_out),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(removed_out))
     # size(null) is -1 in legacy settings
-    return out.withColumns({c: F.greatest(F.col(c), F.lit(0).cast("long")) for c in ("n_lines", "n_removed")})
+    return out.withColumns({c: F.greatest(F.col(c), F.lit(0).cast("long")) for c in (lines_out, removed_out)})
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ Defined cases: a null text counts as empty and is scored like one (no n-grams:
 the model's bias decides); labels other than 0 and 1, or null, are not used;
 of several labels for one id the largest counts; with no usable label every
 score is 0.5, with one class only the score is that class; repeated rows are
-scored alike; other columns pass through inside one struct, whatever their
-names; an empty table gives an empty table.
+scored alike; very long texts are read whole; other columns pass through inside
+one struct, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -182,9 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus ``out``."""
+    """All columns of ``docs`` plus ``out``, which replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row"),
+    kept = [c for c in docs.columns if c != out]
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col] or [F.lit(0).alias("none")]).alias("row"),
                       F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([*src.schema.fields, T.StructField("out", T.DoubleType())])
 
@@ -196,7 +197,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 names=["row", "text", "out"])
 
     got = src.mapInArrow(run, schema)
-    return got.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns],
+    return got.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in kept],
                       F.col("out").alias(out))
 
 
@@ -204,10 +205,10 @@ def held_out() -> F.Column:
     return crc_mod(F.col("doc_id"), 3) == 1
 
 
-def scored_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, out: str = "score") -> DataFrame:
     """``docs`` with a score learnt from the labels of rows that are not held out."""
     labels = read_table(spark, sf_dir, "labels").where(~held_out())
-    return score(docs, train(docs, labels))
+    return score(docs, train(docs, labels), out=out)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

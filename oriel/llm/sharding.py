@@ -4,7 +4,10 @@ A row's slot is a hash of its key modulo ``slots`` (thousands); it never
 changes.  Bytes are aggregated per slot and a versioned map, a small Parquet
 table, says which shard holds which slot.  Rebalancing edits the map: it moves
 single slots from the fullest to the emptiest shard and stores the result as
-the next version; rows are never rehashed.
+the next version; rows are never rehashed.  A later run over the same map folder
+starts from its newest version: known slots stay where they are, new ones are
+dealt round, sizes are renewed, more shards start empty, and the edits are
+stored as one more version.
 
 A slot that holds more than ``1 / (HOT * shards)`` of the bytes or rows (one
 repeated or null key) is split into sub-slots by row number, so no shard and
@@ -13,7 +16,10 @@ no window group has to take a hot key whole.  The map has at most
 
 Law ``bytes``: the shards' byte sums are near equal.
 
-Defined cases: a null text has size 1 (no bytes plus 1) and crc 0, as an empty
+A split slot keeps its number of sub-slots in later versions, but its rows are
+dealt to them by row number, so they may change places between runs.
+
+Defined cases: very long texts count by their bytes alone; a null text has size 1 (no bytes plus 1) and crc 0, as an empty
 one has; null keys hash like any other key; repeated rows are separate rows
 with positions of their own; an empty table gives an empty table and a map in
 which every shard is empty; other columns are not touched.
@@ -25,6 +31,7 @@ from bisect import bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from oriel.llm.common import materialize, read_table, scratch_path
 
@@ -64,12 +71,34 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
     return sizes.withColumn("shard", F.pmod(F.col("slot") + F.col("sub"), F.lit(shards)).cast("int"))
 
 
-def store_map(slot_map: DataFrame, path: str, version: int) -> None:
-    slot_map.select(*[c.split()[0] for c in MAP_SCHEMA.split(", ")]).coalesce(1).write.parquet(f"{path}/version={version}")
+def store_map(slot_map: DataFrame, path: str, version: int, shards: int) -> None:
+    """One more version; a row of slot -1 holds the number of shards."""
+    head = slot_map.sparkSession.createDataFrame([(-1, 0, 1, 0, 0, shards)], MAP_SCHEMA)
+    slot_map.select(*[c.split()[0] for c in MAP_SCHEMA.split(", ")]).unionByName(head).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}").where("slot >= 0")
+
+
+def newest_version(spark: SparkSession, path: str) -> int:
+    """0 where no map is stored."""
+    try:
+        maps = spark.read.schema(f"{MAP_SCHEMA}, version int").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+    return maps.agg(F.max("version")).first()[0] or 0
+
+
+def next_map(sizes: DataFrame, stored: DataFrame, shards: int) -> DataFrame:
+    """The stored map with new sizes; slots that it lacks are dealt round."""
+    old = stored.select("slot", "sub", F.col("splits").alias("s"), F.col("shard").alias("held"))
+    both = sizes.join(old, ["slot", "sub"], "full")
+    return both.select("slot", "sub", F.coalesce("splits", "s").alias("splits"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+                       F.coalesce("rows", F.lit(0)).alias("rows"),
+                       F.coalesce(F.when(F.col("held") < shards, F.col("held")), F.pmod(F.col("slot") + F.col("sub"), F.lit(shards))).cast("int").alias("shard"))
 
 
 def rebalance(spark: SparkSession, slot_map: DataFrame, shards: int) -> tuple[DataFrame, int]:
@@ -131,17 +160,28 @@ def shard(df: DataFrame, key: str, size: str, shards: int, slots: int = SLOTS,
     sized = materialize(
         with_slot(df, key, slots).withColumn("size", F.col(size)).withColumn("row_no", F.monotonically_increasing_id()),
         "sized")
+    version = newest_version(spark, map_path)
     hot = split_slots(sized, shards)
-    placed = (sized.join(F.broadcast(hot), "virtual_slot", "left")  # at most 2 * HOT * shards rows
+    if version:     # stored numbers of sub-slots stay
+        kept = load_map(spark, map_path, version).groupBy(F.col("slot").alias("virtual_slot")).agg(F.max("splits").alias("stored"))
+        hot = (hot.join(kept, "virtual_slot", "full").select("virtual_slot", F.coalesce("stored", "splits").alias("splits"))
+               .where("splits > 1"))
+    placed = (sized.join(F.broadcast(hot), "virtual_slot", "left")  # at most 2 * HOT * shards rows a version
               .withColumn("splits", F.coalesce("splits", F.lit(1)))
               .withColumn("sub", F.pmod(F.xxhash64("row_no"), F.col("splits")).cast("int")))
     sizes = slot_sizes(placed)
-    store_map(first_map(sizes, shards), map_path, 1)
-    edited, _ = rebalance(spark, load_map(spark, map_path, 1), shards)
-    store_map(edited, map_path, 2)
+    if not version:
+        version = 1
+        store_map(first_map(sizes, shards), map_path, version, shards)
+        base = load_map(spark, map_path, version)
+    else:
+        base = next_map(sizes, load_map(spark, map_path, version), shards)
+    edited, _ = rebalance(spark, base, shards)
+    version += 1
+    store_map(edited, map_path, version, shards)
     # windows over the bounded map: where each (slot, sub) begins within its shard
     before = Window.partitionBy("shard").orderBy("slot", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = load_map(spark, map_path, 2).select(
+    offsets = load_map(spark, map_path, version).select(
         F.col("slot").alias("virtual_slot"), "sub", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("at"))
     within = Window.partitionBy("virtual_slot", "sub").orderBy("row_no")
     return (placed.join(F.broadcast(offsets), ["virtual_slot", "sub"])  # bounded by the map

@@ -57,5 +57,19 @@ def test_run_and_names(spark, docs, table_dir):
     assert cp.run(spark, empty).count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, docs, table_dir):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one text that stays here for good"), (2, "another text with words of its own in it"), (3, None)]
+    d = table_dir(documents=docs(rows), labels=spark.createDataFrame([], "doc_id long, quality int"),
+                  benchmark=spark.createDataFrame([], "item_id long, text string"))
+    odd = docs(rows).select("*", *[F.lit(77).alias(c) for c in ("score", "quality_score", "n_lines", "n_removed", "benchmark_matches", "row", "node", "id", "lines", "out")])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, d)
+        assert out.columns == odd.columns, name
+        got = out.collect()
+        assert len(got) == 3 and all(r[c] == 77 for r in got for c in odd.columns[5:]), name
+
+
 def test_modules_used():
     assert {decontam, neardup, linededup, bpe}

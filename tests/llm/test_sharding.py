@@ -47,3 +47,56 @@ def test_hot_key_is_split(spark, docs):
 
 def test_empty_table(spark, docs, table_dir):
     assert sharding.op8_sharding(spark, table_dir(documents=docs([]))).count() == 0
+
+
+def test_stored_map_is_edited_by_later_runs(spark, docs, tmp_path):
+    """The same folder again: with more rows, with one more shard, with nothing new."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "map")
+
+    def run(n, shards):
+        df = docs([(i, "x" * (i % 50)) for i in range(n)]).select("doc_id", sharding.size_of(F.col("text")).alias("size"))
+        return sharding.shard(df, "doc_id", "size", shards, slots=256, map_path=path)[0].collect()
+
+    def stored():
+        v = sharding.newest_version(spark, path)
+        return v, {(r["slot"], r["sub"]): r["shard"] for r in sharding.load_map(spark, path, v).collect()}
+
+    assert sharding.newest_version(spark, path) == 0
+    run(3000, 4)
+    v2, a = stored()
+    run(3000, 4)
+    v3, b = stored()
+    assert (v2, v3) == (2, 3) and a == b
+    run(3600, 4)
+    v4, c = stored()
+    assert v4 == 4 and sum(c[k] != b[k] for k in b) < len(b) / 4
+    rows = run(3600, 5)
+    v5, d = stored()
+    moved = [k for k in c if c[k] != d[k]]
+    load = Counter({s: 0 for s in range(5)})
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        assert d[r["virtual_slot"], r["sub"]] == r["shard"]
+    assert v5 == 5 and 0.1 < len(moved) / len(d) < 0.35 and max(load.values()) - min(load.values()) <= 100
+    assert [sharding.load_map(spark, path, v).count() for v in (1, 2, 3)] == [len(a)] * 3
+    run(0, 5)
+    assert stored()[0] == 6
+
+
+def test_positions_equal_a_plain_count(spark, docs):
+    """Brute force from the map: every shard's rows are numbered 0 .. n - 1 and lie where their slot is stored."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rows = [(i, "y" * (i % 31)) for i in range(500)]
+    df = docs(rows).select("doc_id", sharding.size_of(F.col("text")).alias("size"))
+    got = sharding.shard(df, "doc_id", "size", 3, slots=64)[0].collect()
+    slot = {i: (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)) for i, _ in rows}
+    signed = {i: h - (1 << 64) if h >> 63 else h for i, h in slot.items()}
+    assert all(r["virtual_slot"] == signed[r["doc_id"]] % 64 for r in got)
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in per.values()) and sum(map(len, per.values())) == 500
