@@ -1017,3 +1017,17 @@ def q63(spark, sf):
     lemmas = words.select(F.col("term").alias("token"), F.substring("term", 1, 4).alias("lemma"))
     out = tk.nlp_pipeline(d, "review_id", "text", lemmas, tk.stopword_table(spark, ("general", "nlp_domain")))
     return out.select("review_id", F.md5("cleaned_review").alias("cleaned_md5"))
+
+
+# q65 J4 with thousands of keywords -----------------------------------------------------
+@query("q65_keyword_automaton")
+def q65(spark, sf):
+    from ..operators.topics import detect_topic_table
+    d = _docs(spark, sf).select("text")
+    # the frequent words of the documents are keywords, in the order of a hash, searched in the conversations
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)
+    common = d.select(F.explode_outer(words).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 3 AND keyword IS NOT NULL")
+    keys = common.select(F.conv(F.substring(F.md5("keyword"), 1, 8), 16, 10).cast("long").alias("ord"),
+                         F.concat(F.lit("topic "), F.substring("keyword", 1, 3)).alias("topic"), "keyword")
+    c = tb.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    return detect_topic_table(c, "request_id", "text", keys).select("request_id", "topic")

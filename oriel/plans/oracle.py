@@ -897,3 +897,12 @@ ORACLE["q24_target_corr"] = f"WITH {FEAT_C},\ncx AS (" + "\nUNION ALL\n".join(
     for a in _CORR if a != "satisfied") + """)
 SELECT feature, corr, row_number() OVER (ORDER BY corr NULLS LAST, feature)::BIGINT AS rank FROM cx
 """
+
+
+ORACLE["q65_keyword_automaton"] = """WITH k AS (
+  SELECT keyword, ('0x' || substr(md5(keyword), 1, 8))::BIGINT AS ord, 'topic ' || substr(keyword, 1, 3) AS topic
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS keyword FROM documents)
+  GROUP BY keyword HAVING count(*) >= 3)
+SELECT c.conv_id * 1000 + c.turn AS request_id, coalesce(arg_min(k.topic, (k.ord, k.topic)), 'General Service Issue') AS topic
+FROM conversations c LEFT JOIN k ON contains(lower(c.text), k.keyword)
+GROUP BY c.conv_id, c.turn"""

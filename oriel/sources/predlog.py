@@ -60,6 +60,12 @@ def append_log(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
     if batch_id is None:
         new.write.mode("append").partitionBy("id_bucket").parquet(path)
     else:
-        (new.withColumn("batch_id", F.lit(batch_id)).write
-         .option("partitionOverwriteMode", "dynamic").mode("overwrite")
-         .partitionBy("batch_id", "id_bucket").parquet(path))
+        write_batch(new, path, batch_id)
+
+
+def write_batch(new: DataFrame, path: str, batch_id: int) -> None:
+    """Rows whose ids are known to be new, as the batch's own partition: a
+    retried batch replaces it."""
+    (new.withColumn("id_bucket", F.substring("prediction_id", 1, 1)).withColumn("batch_id", F.lit(batch_id)).write
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite")
+     .partitionBy("batch_id", "id_bucket").parquet(path))

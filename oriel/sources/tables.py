@@ -51,12 +51,9 @@ def reviews(spark: SparkSession, sf_dir: str, title_chars: int | None = None) ->
 
 # S1 -------------------------------------------------------------------------
 def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEW_SCHEMA) -> DataFrame:
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("mode", "FAILFAST")
-            .csv(path))
+    """Quoted multi-line bodies; files are split over tasks (see ``csvsplit``)."""
+    from .csvsplit import read_csv_split
+    return read_csv_split(spark, path, schema)
 
 
 # S2 -------------------------------------------------------------------------

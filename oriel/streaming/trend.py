@@ -1,9 +1,10 @@
 """Daily counts and mean score per topic and priority, batch and stream.
 
-The batch form is a plain ``groupBy(window(ts, '1 day'), ...)``.  The
-stream form keeps one state row per (day, topic, priority), a bounded number
-whatever the review volume, in complete mode: late rows count, and every
-micro-batch writes the whole small table as a new version.
+The batch form is a plain ``groupBy(window(ts, '1 day'), ...)``.  The stream
+form keeps one state row per (day, topic, priority) until the watermark has
+passed the day, in update mode: a micro-batch writes the groups it changed, and
+nothing else, under its own number.  Rows up to ``late`` behind the latest
+change their group; later ones are dropped with the day's state.
 """
 
 from __future__ import annotations
@@ -22,30 +23,29 @@ def daily_trend(scored: DataFrame, ts_col: str = "ts") -> DataFrame:
 
 
 def start_trend_stream(spark, log_path: str, out_path: str, checkpoint: str, schema, ts_col: str = "ts",
-                       available_now: bool = True):
-    """Stream form of X3 over the prediction log files.
-
-    The aggregation state is one row per (day, topic, priority): bounded by
-    days x 11 x 4 whatever the review volume, so the query runs in complete
-    mode and each micro-batch writes the (small) trend table as a version of
-    its own; readers take the last complete one (``read_trend``)."""
-    src = spark.readStream.schema(schema).parquet(log_path)
+                       late: str = "1 day", available_now: bool = True, files_per_trigger: int = 1000):
+    """Stream form of X3 over the prediction log files.  Each micro-batch
+    overwrites its own ``batch`` partition of changed groups, so a replay writes
+    the same rows; ``read_trend`` gives the table."""
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(log_path)
+           .withWatermark(ts_col, late))
     agg = daily_trend(src, ts_col)
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    w = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    w = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+TREND = "day string, detected_topic string, priority string, n bigint, mean_score double, batch long"
+
+
 def read_trend(spark, out_path: str) -> DataFrame:
-    """The last version whose write was completed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(d.getPath().getName().partition("=")[2]) for d in fs.listStatus(path)
-            if d.getPath().getName().startswith("version=")
-            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{out_path}/version={max(done)}")
+    """The trend table: each group as its last batch wrote it."""
+    changes = spark.read.schema(TREND).parquet(out_path)
+    last = changes.groupBy("day", "detected_topic", "priority").agg(F.max_by(F.struct("n", "mean_score"), "batch").alias("v"))
+    return last.select("day", "detected_topic", "priority", "v.n", "v.mean_score")
+

@@ -44,5 +44,5 @@ def test_every_query_is_registered_with_an_oracle_or_rows_only():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     own = {k for k in q if k.startswith("q")}
-    assert len(own) == 64 and set(o) <= set(q)
+    assert len(own) == 65 and set(o) <= set(q)
     assert own - set(o) == {"q50_train_compare", "q51_lda_topics", "q64_trained_serving"}
