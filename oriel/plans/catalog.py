@@ -479,12 +479,18 @@ def q28(spark, sf):
 def _two_scorers(spark, sf):
     """Scorer A: lexicon on the review text; scorer B (a stand-in for a batch
     classifier, P8): label and confidence from the lexicon on title + review."""
-    a = _scored(spark, sf)
-    b = _scored(spark, sf, tx.combine_title_review(tx.first_line("text"), F.col("text")))
-    b = b.select("review_id",
-                 F.when(F.col("compound") >= 0, "POSITIVE").otherwise("NEGATIVE").alias("raw_label"),
-                 F.abs("compound").alias("confidence"))
-    j = a.join(b, "review_id")
+    from ..operators.sentiment import lexicon_scores
+    # both texts of a row go through one scoring; its row number brings them together again, so rows stay rows
+    texts = F.array(F.struct(F.lit("a").alias("which"), F.col("text").alias("t")),
+                    F.struct(F.lit("b").alias("which"), tx.combine_title_review(tx.first_line("text"), F.col("text")).alias("t")))
+    # numbered before the explode: in one select the number would be made after it
+    d = _docs(spark, sf).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("review_id"), texts.alias("texts"))
+    d = d.select("row", "review_id", F.explode("texts").alias("x"))
+    s = lexicon_scores(d.select("row", "review_id", "x.which", "x.t"), "row", "t", dims.lexicon_df(spark, QUERY_LEXICON),
+                       dims.booster_df(spark, QUERY_BOOSTERS), QUERY_NEGATIONS, QUERY_CONTRAST, carry=["review_id", "which"])
+    j = s.groupBy("row", "review_id").agg(*[F.max(F.when(F.col("which") == w, F.col("compound"))).alias(n) for w, n in (("a", "compound"), ("b", "other"))])
+    j = j.select("review_id", "compound", F.when(F.col("other") >= 0, "POSITIVE").otherwise("NEGATIVE").alias("raw_label"),
+                 F.abs("other").alias("confidence"))
     return j.select(
         "review_id",
         lb.three_class("compound").alias("lexicon_label"),            # P7
@@ -554,13 +560,19 @@ def q32(spark, sf):
     long = j.select("quality", F.expr("stack(2, 'lexicon', lexicon_label, 'model', model_label) as (scorer, label)"))
     long = long.withColumn("b", lb.label_to_binary("label"))
     covered = F.col("b") != -1
-    base = long.groupBy("scorer").agg(
-        F.count("*").cast("bigint").alias("n"),
-        F.count_if(covered).cast("bigint").alias("covered"),
-        F.round(F.avg(F.when(covered, (F.col("b") == F.col("quality")).cast("double"))), 4).alias("accuracy"),
-        F.round(F.avg(covered.cast("double")) * 100, 2).alias("coverage_pct"))
-    # Support-weighted F1 on covered rows, from the confusion cells
-    cells = long.where(covered).groupBy("scorer", "quality", "b").agg(F.count("*").alias("c"))
+    # all figures come from the confusion cells (a few rows, written once)
+    from ..session import cut_lineage
+    every = cut_lineage(long.groupBy("scorer", "quality", "b").agg(F.count("*").alias("c")))
+    n_covered = F.sum(F.when(covered, F.col("c")).otherwise(0))
+    known = covered & F.col("quality").isNotNull()
+    right = F.sum(F.when(known & (F.col("b") == F.col("quality")), F.col("c")).otherwise(0)).cast("double")
+    base = every.groupBy("scorer").agg(
+        F.sum("c").cast("bigint").alias("n"),
+        n_covered.cast("bigint").alias("covered"),
+        F.round(F.try_divide(right, F.sum(F.when(known, F.col("c")))), 4).alias("accuracy"),
+        F.round(n_covered.cast("double") / F.sum("c") * 100, 2).alias("coverage_pct"))
+    # Support-weighted F1 on covered rows
+    cells = every.where(covered)
     by_actual = cells.groupBy("scorer", F.col("quality").alias("cls")).agg(
         F.sum("c").alias("support"), F.sum(F.when(F.col("quality") == F.col("b"), F.col("c")).otherwise(0)).alias("tp"))
     by_pred = cells.groupBy("scorer", F.col("b").alias("cls")).agg(F.sum("c").alias("npred"))
@@ -582,9 +594,9 @@ def q32(spark, sf):
 def q33(spark, sf):
     j = _two_scorers(spark, sf).join(_labels(spark, sf).select(F.col("doc_id").alias("review_id"), "quality"),
                                      "review_id")
-    a = j.select(F.lit("lexicon").alias("scorer"), F.col("quality").alias("actual"), F.col("lexicon_label").alias("label"))
-    b = j.select(F.lit("model").alias("scorer"), F.col("quality").alias("actual"), F.col("model_label").alias("label"))
-    counts = a.unionByName(b).groupBy("scorer", "actual", "label").agg(F.count("*").alias("n"))   # U2
+    # One row per scorer, without scoring twice for a union
+    both = j.select(F.col("quality").alias("actual"), F.expr("stack(2, 'lexicon', lexicon_label, 'model', model_label) as (scorer, label)"))
+    counts = both.groupBy("scorer", "actual", "label").agg(F.count("*").alias("n"))
     grid = dims.local_table(spark, [(s, c, lab) for s in ("lexicon", "model") for c in (0, 1) for lab in LABEL_ORDER],
                             "scorer string, actual int, label string")
     full = grid.join(counts, ["scorer", "actual", "label"], "left") \
@@ -997,13 +1009,14 @@ def q61(spark, sf):
 # q62 M2 as vectors ----------------------------------------------------------------
 @query("q62_tfidf_vectors")
 def q62(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     from ..operators.train import feature_pipeline
+    from ..operators.trees import sparse_rows
     d = _docs(spark, sf).select(F.col("doc_id").alias("review_id"), tx.clean_letters("text").alias("t"))
     model = feature_pipeline("t", [], vocab_size=5000, min_df=3.0, max_df=0.95).fit(d)
     vocab = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
     terms = dims.local_table(spark, list(enumerate(vocab)), "i int, term string")
-    cells = model.transform(d).select("review_id", F.posexplode(vector_to_array("text_vec")).alias("i", "x")).where("x <> 0")
+    stored = sparse_rows(model.transform(d), "text_vec", "review_id long")      # the stored entries only
+    cells = stored.select("review_id", F.explode(F.arrays_zip("ids", "xs")).alias("c")).select("review_id", F.col("c.ids").alias("i"), F.col("c.xs").alias("x"))
     return cells.join(terms, "i").select("review_id", "term", F.round("x", 6).alias("tfidf"))
 
 
