@@ -13,11 +13,12 @@ bands; equal bands make candidates.  In each band bucket members are compared
 with a pivot, never all with all, so a bucket costs its size; the similarity
 of the full sets (at least ``threshold``) decides.  Further rounds take new
 pivots for buckets whose members still are in different groups, until none is
-left: no link between different groups is lost.  First come the members with
-the smallest share of elements that no other open text has: of a text and its
-edited copies that is the one most others are near to, so few pivots join the
-group.  Texts and pairs are then left out that provably cannot be similar,
-because too many of their elements are in no other open text.  With ``sieve``
+left: no link between different groups is lost.  Before that a bucket's most central
+member (the smallest share of elements that no other open text has: of a text
+and its edited copies the one most others are near to) is compared with all
+others.  The elements that two members share with it, and those outside it that
+other open texts have, bound what the two can have in common, and pairs whose
+bound is too small for the threshold are never written.  With ``sieve``
 pairs whose signatures agree in so few coordinates that a similarity of the
 threshold is six standard deviations away are left out before the sets are
 compared; without it every pair is compared.  With ``weighted`` an element
@@ -49,7 +50,7 @@ from oriel.llm.common import batch_bytes, materialize, read_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-PIVOTS = (2, 8, 64, 512)
+PIVOTS = (64, 4096)
 WORD = re.compile(r"\w+")
 CHUNK_ELEMENTS = 60_000
 #: Bytes of an Arrow batch: a batch of pairs holds the elements of both texts.
@@ -202,6 +203,13 @@ def _packer(weighted: bool):
     return run
 
 
+def _measurer(batches):
+    """How many elements the two texts of a pair have in common."""
+    for b in batches:
+        n = [len(np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["a", "b", "common"])
+
+
 def _comparer(threshold: float):
     def run(batches):
         for b in batches:
@@ -309,25 +317,39 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
     met = between(members.where("n > 2 AND node != pivot").select("band", "key", "node"), labels)
     if met.isEmpty():
         return labels
-    # Elements that no other open text has are in no intersection, so at most
-    # min(total - lone) are common to two texts, and a similarity of t needs
-    # common >= t / (1 + t) * (both totals).  The smallest possible partner of a
-    # text is its common part itself: lone may be at most (1 - t) of the total.
+    # Elements that no other open text has are in no intersection.  Of two texts
+    # x and y and a third one p of their bucket, |x & y| is at most
+    # min(|x & p|, |y & p|) + min(others of x, others of y), "others" being the
+    # elements outside p that some other open text has.  A similarity of t needs
+    # |x & y| >= t / (1 + t) * (|x| + |y|), and |x & y| >= t * |x|.
     own = lone_elements(elements.join(met.select("node").distinct(), "node", "left_semi"))
+    stat = met.select("band", "key", "node").join(own, "node")
+    central = stat.groupBy("band", "key").agg(F.min(F.struct((F.col("lone") / F.col("total")).alias("share"), F.col("node").alias("ref"))).alias("m"))
+    stat = materialize(stat.join(central.select("band", "key", F.col("m.ref").alias("ref")), ["band", "key"]).where("node != ref"), "bucket-refs")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        measured = materialize(beside(stat.select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct(), elements, "elements")
+                               .mapInArrow(_measurer, "a binary, b binary, common long"), "measured")
+    sizes_of = own.select(F.col("node").alias("a"), F.col("total").alias("ta"))
+    near = (measured.join(sizes_of, "a").join(sizes_of.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
+            .where(F.col("common") >= threshold * (F.col("ta") + F.col("tb") - F.col("common"))).select("a", "b"))
+    if not near.isEmpty():
+        labels = relabel(labels, near)
     share = F.lit(threshold / (1 + threshold) - 1e-9)
-    able = own.where(F.col("lone") <= F.col("total") * (1 - threshold + 1e-9))
-    open_, tested, turn = met.select("band", "key", "node").join(able, "node"), None, 0
+    open_ = materialize(
+        stat.join(measured.withColumnsRenamed({"a": "ref", "b": "node"}), ["ref", "node"])
+        .where(F.col("lone") <= F.col("total") * (1 - threshold + 1e-9))
+        .select("band", "key", "node", "total", "common", (F.col("total") - F.col("lone") - F.col("common")).alias("others")), "open")
+    tested, turn = None, 0
     while True:
         met = between(open_, labels)
         if met.isEmpty():
             return labels
-        # the most central texts first
-        order = Window.partitionBy("band", "key").orderBy(F.col("lone") / F.col("total"), "size", "comp", "node")
+        order = Window.partitionBy("band", "key").orderBy("size", "comp", "node")
         chosen = materialize(
             met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)])
             .select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("node").alias("p"), F.col("comp").alias("pc"),
-                    F.col("lone").alias("plone"), F.col("total").alias("ptotal")), "pivots")
-        common = F.least(F.col("total") - F.col("lone"), F.col("ptotal") - F.col("plone"))
+                    F.col("common").alias("pcommon"), F.col("others").alias("pothers"), F.col("total").alias("ptotal")), "pivots")
+        common = F.least("common", "pcommon") + F.least("others", "pothers")
         pairs = (met.join(chosen, (F.col("band") == F.col("pband")) & (F.col("key") == F.col("pkey")) & (F.col("comp") != F.col("pc"))
                           & (common >= (F.col("total") + F.col("ptotal")) * share))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
@@ -336,7 +358,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
         if not found.isEmpty():
             labels = relabel(labels, found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        open_ = met.select("band", "key", "node", "lone", "total").join(
+        open_ = met.select("band", "key", "node", "total", "common", "others").join(
             chosen.select(F.col("pband").alias("band"), F.col("pkey").alias("key"), F.col("p").alias("node")),
             ["band", "key", "node"], "left_anti")
         turn += 1
