@@ -1016,7 +1016,7 @@ def q62(spark, sf):
     vocab = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
     terms = dims.local_table(spark, list(enumerate(vocab)), "i int, term string")
     stored = sparse_rows(model.transform(d), "text_vec", "review_id long")      # the stored entries only
-    cells = stored.select("review_id", F.explode(F.arrays_zip("ids", "xs")).alias("c")).select("review_id", F.col("c.ids").alias("i"), F.col("c.xs").alias("x"))
+    cells = stored.select("review_id", F.explode(F.arrays_zip("ids", "xs")).alias("c")).select("review_id", F.col("c.ids").alias("i"), F.col("c.xs").alias("x")).where("x <> 0")
     return cells.join(terms, "i").select("review_id", "term", F.round("x", 6).alias("tfidf"))
 
 

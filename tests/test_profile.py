@@ -77,3 +77,15 @@ def test_no_task_holds_all_values(spark):
     df = spark.range(1000).select((F.rand(1) * 100).alias("x"))
     plan = describe(df, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_box_expansion_equals_direct_sums(spark):
+    """Clusters, ties, an outlier far beyond the reach, a constant and a one-row group."""
+    rng = random.Random(8)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(300)] + [("a", 5.0)] * 40 + [("b", rng.expovariate(0.01)) for _ in range(200)] + [("b", 90000.0)]
+    rows += [("flat", 2.0)] * 5 + [("one", 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    fast = {(r["g"], r["i"]): (r["x"], r["density_e6"]) for r in pr.kde(df, "v", "g", points=200).collect()}
+    plain = {(r["g"], r["i"]): (r["x"], r["density_e6"]) for r in pr.kde(df, "v", "g", points=200, direct=True).collect()}
+    assert fast.keys() == plain.keys() and {g for g, _ in fast} == {"a", "b"} and len(fast) == 400
+    assert all(fast[k][0] == plain[k][0] and abs(fast[k][1] - plain[k][1]) <= 1.01e-4 for k in fast)

@@ -65,3 +65,15 @@ def test_published_switched_and_served(spark, sf, trained):
 def test_no_model_yet(spark, tmp_path):
     with pytest.raises(ValueError):
         registry.load(spark, str(tmp_path))
+
+
+def test_population_deviation(spark):
+    from oriel.operators.train import feature_pipeline
+    rows = [(f"word other {i % 3}", float(v), float(v * v)) for i, v in enumerate([1, 2, 4, 7])]
+    df = spark.createDataFrame(rows, "t string, a double, b double")
+    for population, ddof in ((False, 1), (True, 0)):
+        m = feature_pipeline("t", ["a", "b"], min_df=1.0, max_df=1.0, population=population).fit(df)
+        got = [r["num_vec"].toArray().tolist() for r in m.transform(df).collect()]
+        import numpy as np
+        x = np.array([r[1:] for r in rows])
+        assert np.allclose(got, (x - x.mean(axis=0)) / x.std(axis=0, ddof=ddof))
