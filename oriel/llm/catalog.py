@@ -13,7 +13,7 @@ from oriel.llm.pii import op3_pii
 from oriel.llm.quality import op2_quality
 from oriel.llm.secrets import op6_secrets
 from oriel.llm.sharding import op8_sharding
-from oriel.llm.spelling import op13_spelling
+from oriel.llm.spelling import OP13_SQL, op13_spelling
 from oriel.llm.toxicity import op12_toxicity
 
 QUERIES = {
@@ -34,4 +34,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op13_spelling": OP13_SQL,
 }

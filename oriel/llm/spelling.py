@@ -121,3 +121,39 @@ def variants(words: DataFrame, factor: int = 5) -> DataFrame:
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return variants(materialize(word_counts(docs), "spelling-words"))
+
+
+#: crc32 by bits: a byte is added by xor, then eight shifts (-1) follow it.
+OP13_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, c, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(k, ''), lambda ch:
+      CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+      ELSE [192 + (unicode(ch) >> 6)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(ch) & 63)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] END)),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS h FROM runs),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less, substr(word, 1, i) || chr(1) || substr(word, i + 2) AS other
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS x, b.n AS xn FROM cuts a JOIN cuts b ON a.other = b.other AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min({{'neg': -xn, 'x': x}}) AS b FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN -b.b.neg >= 5 * w.n THEN b.b.x END AS form,
+         CASE WHEN -b.b.neg >= 5 * w.n THEN (-b.b.neg)::BIGINT END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (
+  SELECT word, word AS here, 0 AS d FROM forms
+  UNION ALL SELECT k.word, f.form, d + 1 FROM walk k JOIN forms f ON k.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(here, d) AS root FROM walk GROUP BY word) r ON f.word = r.word
+"""
