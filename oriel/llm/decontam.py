@@ -27,7 +27,8 @@ least 1.  The check then compares them with the passage.
 The index is bounded (``MAX_INDEX_CHARS`` of item text).  More items are dealt
 into shards by a hash of the item, each shard searched in the same way.
 
-Defined cases: null or empty texts contain nothing; items without words match
+Defined cases: very long texts are searched whole, in overlapping windows; null
+or empty texts contain nothing; items without words match
 nothing; rows of equal items all match; a question or answer of fewer than five
 words is one shingle and granted no edit, a missing answer is taken as contained; null ids pass
 through; repeated documents match alike; other columns pass through, whatever

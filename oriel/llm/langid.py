@@ -14,7 +14,8 @@ and its rate there is at least ``RHO`` times its largest rate in any language.
 Filters are fitted on a bounded sample: ``max_per_lang`` labelled documents of
 each language, the smallest hashes of doc_id first.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; so
+Defined cases: very long texts are read whole; a null text or one without a
+letter is ``und`` with score 0; so
 is every text if there is no labelled row; very short texts are padded with
 spaces; repeated rows are predicted alike; other columns pass through inside
 one struct, whatever their names; an empty table gives an empty table.

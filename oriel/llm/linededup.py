@@ -8,7 +8,8 @@ errors of the estimate, get an exact distinct count.  Every occurrence of a
 boilerplate line goes but the first (smallest id, then position), so content
 that was copied over many sites stays in the corpus once.
 
-Defined cases: lines are compared without surrounding spaces; blank lines are
+Defined cases: very long texts and lines are taken whole; lines are compared
+without surrounding spaces; blank lines are
 never removed; a null site is one site of its own; a null text has no lines
 and stays null; rows with the same id and text count as one document and are
 treated alike; other columns are not touched; an empty table gives an empty

@@ -12,7 +12,8 @@ them alternate, so running sums of their lengths (a window over the row's own
 matches) give every start and end.  One shuffle of the matches by row number
 serves the windows and the regrouping; texts are never shuffled.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned
+Defined cases: very long texts are scanned whole; a null or empty text has no
+spans; repeated rows are scanned
 alike and stay repeated; a found token that overlaps a base span is not
 reported again; without any labelled sample both models are uniform and add
 nothing; other columns are not touched; an empty table gives an empty table.
