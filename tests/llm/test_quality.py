@@ -64,3 +64,29 @@ def test_defined_cases(spark, docs):
     odd = spark.createDataFrame([(1, "a b", "r")], "row long, text string, out string")
     assert quality.score(odd, quality.Model(np.zeros(quality.DIM), np.zeros(quality.DIM), 0, 0, 0, 0.25)).first().asDict() == {
         "row": 1, "text": "a b", "out": "r", "score": 0.25}
+
+
+def test_scores_equal_a_plain_sum_over_ngrams(spark, sf):
+    """The query's rows against sets of byte n-grams, one text at a time."""
+    import math
+    import zlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~quality.held_out())
+    model = quality.train(docs, labels)
+
+    def plain(text):
+        raw = (text or "").encode()
+        ids = set(raw) | {256 + raw[i] * 256 + raw[i + 1] for i in range(len(raw) - 1)}
+        ids |= {256 + 65536 + (((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2 ** 32) >> (32 - quality.BITS3)) for i in range(len(raw) - 2)}
+        norm = math.sqrt(sum(model.ratio[i] ** 2 for i in ids))
+        margin = (sum(model.weights[i] for i in ids) / norm if norm else 0.0) + model.bias
+        return 1 / (1 + math.exp(-min(30, max(-30, model.a * margin + model.b))))
+
+    got = {r["doc_id"]: r for r in quality.op2_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert abs(g["score"] - plain(r["text"])) < 1e-9 and g["predicted"] == int(g["score"] >= 0.5)
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
