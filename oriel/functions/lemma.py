@@ -23,6 +23,17 @@ def suffix_lemma(w: Column, rules=dims.LEMMA_RULES) -> Column:
     return expr.otherwise(w)
 
 
+def suffix_lemma_word(w: str, rules=dims.LEMMA_RULES) -> str:
+    """``suffix_lemma`` of one word (a test holds both equal)."""
+    if len(w) <= 4:
+        return w
+    for suffix, repl in rules:
+        keep = len(w) - len(suffix)
+        if keep + len(repl) >= 3 and w.endswith(suffix):
+            return w[:keep] + repl
+    return w
+
+
 def lemmatize_array(tokens: Column, rules=dims.LEMMA_RULES) -> Column:
     return F.transform(tokens, lambda w: suffix_lemma(w, rules))
 

@@ -11,6 +11,9 @@ document's tokens in one partition, the shuffle carries one row per document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,20 +103,65 @@ def lemma_dictionary_df(spark, rows=None) -> DataFrame:
     return dims.local_table(spark, rows if rows is not None else LEMMA_DICTIONARY, "token string, lemma string")
 
 
+#: Listed words that a task holds as one dictionary; longer lists are joined.
+MAX_LISTED = 200_000
+
+
 def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
                  stop: DataFrame) -> DataFrame:
     """Lower → URLs/e-mails → punctuation → alphabetic tokens (2+) →
     stopwords → dictionary lemmas (fallback suffix rules) → joined string.
 
-    One form for lists of any size: the exploded tokens meet one table of
-    listed words (stopwords and lemmas), and every row is put together again
-    by a row number made before the explode.  Rows stay rows: those without
-    tokens, those that lose all tokens, and those with repeated ids."""
+    Up to ``MAX_LISTED`` listed words (stopwords and lemmas) are sent to the
+    tasks, which answer for each distinct token once: no shuffle, no sort.
+    Longer lists are joined with the exploded tokens (``_nlp_by_join``).  Rows
+    stay rows: those without tokens, those that lose all tokens, and those
+    with repeated ids."""
     toks = tx.tokenize(tx.nlp_clean_string(text_col))
-    cleaned = df.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("__id"), toks.alias("__toks"))
+    cleaned = df.select(F.col(id_col).alias("__id"), toks.alias("__toks"))
+    acts = word_actions(lemma_dict, stop)
+    listed = acts.limit(MAX_LISTED + 1).collect()
+    if len(listed) > MAX_LISTED:
+        return _nlp_by_join(cleaned, id_col, acts)
+    shared = df.sparkSession.sparkContext.broadcast({r["token"]: None if r["is_stop"] else r["lemma"] for r in listed
+                                                     if r["is_stop"] or r["lemma"] is not None})
+
+    @F.pandas_udf("string")
+    def lemmas(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = LemmaWords(shared.value)
+        for part in parts:
+            yield pd.Series([" ".join(x for x in map(words.__getitem__, t.split(" ")) if x) for t in part], dtype=object)
+
+    # tokens hold no space, so the joined string is the list
+    joined = F.coalesce(F.array_join("__toks", " "), F.lit(""))
+    return cleaned.select(F.col("__id").alias(id_col), lemmas(joined).alias("cleaned_review"))
+
+
+class LemmaWords(dict):
+    """token -> what the pipeline keeps of it ('' for nothing), made at the
+    first look-up; emptied when it holds ``most`` tokens."""
+
+    def __init__(self, listed: dict, most: int = MAX_LISTED):
+        super().__init__()
+        self.listed, self.most = listed, most
+
+    def __missing__(self, token: str) -> str:
+        lemma = self.listed[token] if token in self.listed else lm.suffix_lemma_word(token)
+        if lemma is None or len(lemma) < 2 or not lemma.isalpha():
+            lemma = ""
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = lemma
+        return lemma
+
+
+def _nlp_by_join(cleaned: DataFrame, id_col: str, actions: DataFrame) -> DataFrame:
+    """``nlp_pipeline`` for lists of any length: the exploded tokens meet one
+    table of listed words, and every row is put together again by a row number
+    made before the explode."""
+    cleaned = cleaned.select(F.monotonically_increasing_id().alias("__rid"), "__id", "__toks")
     ex = cleaned.select("__rid", "__id", F.posexplode_outer("__toks").alias("__pos", "__token"))
-    acts = word_actions(lemma_dict, stop).select(F.col("token").alias("__token"), F.col("lemma").alias("__lemma"),
-                                                 F.col("is_stop").alias("__stop"))
+    acts = actions.select(F.col("token").alias("__token"), F.col("lemma").alias("__lemma"), F.col("is_stop").alias("__stop"))
     j = ex.join(acts, "__token", "left").withColumn(
         "__lemma", F.when(F.col("__stop").isNull() | ~F.col("__stop"),
                           F.coalesce("__lemma", lm.suffix_lemma(F.col("__token")))))
