@@ -17,6 +17,7 @@ kept), top words per topic, business name by the ordered name rules, sorted by c
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +30,17 @@ from .. import dims
 from ..functions import text as tx
 from ..session import cut_lineage
 from . import tokens as tk
-from .features import term_frequencies, vocabulary
+from .features import counted_vocabulary, term_frequencies
+from .sums import added
 from .topics import name_topic
 
 BAG = "row long, ids array<int>, counts array<double>"
 #: Entries of an E-step block: bounds a task's memory whatever the documents.
 BLOCK_ENTRIES = 200_000
+#: Entries that iterate together: their weights (x k numbers) stay in a core's cache.
+GROUP_ENTRIES = 32_000
+#: Tasks of a pass per core, at most.
+PASS_TASKS = 2
 
 
 # special functions of positive arguments: recurrence up to 6, then the asymptotic series
@@ -60,35 +66,48 @@ def expected_log(dirichlet: np.ndarray) -> np.ndarray:
     return digamma(dirichlet) - digamma(dirichlet.sum(axis=-1, keepdims=True))
 
 
+def alike(size: np.ndarray):
+    """Document numbers in groups of like sizes (the largest at most a fifth
+    above the smallest) and of at most GROUP_ENTRIES padded entries, or one document."""
+    docs = np.flatnonzero(size > 0)
+    kind = np.ceil(np.log(size[docs]) / math.log(1.2)).astype(int)
+    docs = docs[np.argsort(kind, kind="stable")]
+    for part in np.split(docs, np.flatnonzero(np.diff(np.sort(kind))) + 1) if len(docs) else ():
+        step = max(1, GROUP_ENTRIES // int(size[part].max()))
+        for i in range(0, len(part), step):
+            yield part[i:i + step]
+
+
 def e_step(ptr: np.ndarray, ids: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: float,
            iterations: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Documents' topic weights and the likelihood's normaliser per entry.
     Document d holds the entries ptr[d]..ptr[d+1]; ``beta``: exp E[log topic],
     (vocabulary, k).  A document leaves the iteration when its weights move by
-    less than ``tol`` on average."""
+    less than ``tol`` on average.  Documents of like sizes iterate together,
+    padded by entries of count 0."""
     size = np.diff(ptr)
-    gamma = np.ones((len(size), beta.shape[1]))
+    gamma, norm = np.ones((len(size), beta.shape[1])), np.empty(len(ids))
     gamma[size == 0] = alpha
-    live = np.flatnonzero(size > 0)
-    pick = np.ones(len(ids), bool)
-    for _ in range(iterations):
-        if not len(live):
-            break
-        n, b = counts[pick], beta[ids[pick]]
-        at = np.repeat(np.arange(len(live)), size[live])
-        theta = np.exp(expected_log(gamma[live]))
-        norm = np.einsum("ij,ij->i", theta[at], b) + 1e-100
-        begin = np.concatenate([[0], np.cumsum(size[live])[:-1]])
-        new = alpha + theta * np.add.reduceat((n / norm)[:, None] * b, begin, axis=0)
-        moving = np.abs(new - gamma[live]).mean(axis=1) >= tol
-        gamma[live] = new
-        if not moving.all():
-            keep = np.zeros(len(size), bool)
-            keep[live[moving]] = True
-            live = live[moving]
-            pick = np.repeat(keep, size)
-    theta = np.exp(expected_log(gamma))
-    norm = np.einsum("ij,ij->i", theta[np.repeat(np.arange(len(size)), size)], beta[ids]) + 1e-100
+    for docs in alike(size):
+        place = np.arange(size[docs].max())
+        held = place < size[docs][:, None]
+        at = ptr[docs][:, None] + np.where(held, place, 0)
+        all_n, all_b = np.where(held, counts[at], 0.0), beta[ids[at]]
+        n, b, mine, live = all_n, all_b, docs, np.ones(len(docs), bool)
+        for _ in range(iterations):
+            old = gamma[mine]
+            theta = np.exp(expected_log(old))
+            share = n / ((b @ theta[:, :, None])[:, :, 0] + 1e-100)
+            new = alpha + theta * (share[:, None, :] @ b)[:, 0]
+            gamma[mine[live]] = new[live]
+            live &= np.abs(new - old).mean(axis=1) >= tol
+            left = np.count_nonzero(live)
+            if not left:
+                break
+            if left < 0.75 * len(live):           # those that stand still are dropped now and then: it copies the rest
+                n, b, mine, live = n[live], b[live], mine[live], np.ones(left, bool)
+        theta = np.exp(expected_log(gamma[docs]))
+        norm[at[held]] = (all_b @ theta[:, :, None])[:, :, 0][held] + 1e-100
     return gamma, norm
 
 
@@ -132,19 +151,20 @@ def one_pass(bags: DataFrame, lam: np.ndarray, alpha: float) -> tuple[np.ndarray
         for _, ptr, ids, counts in blocks(batches):
             gamma, norm = e_step(ptr, ids, counts, beta, alpha)
             theta = np.exp(expected_log(gamma))
-            np.add.at(stats, ids, theta[np.repeat(np.arange(len(gamma)), np.diff(ptr))] * (counts / norm)[:, None])
+            at, share = np.repeat(np.arange(len(gamma)), np.diff(ptr)), counts / norm
+            for j in range(k):
+                stats[:, j] += np.bincount(ids, weights=theta[at, j] * share, minlength=v)
             bound += document_bound(gamma, counts, norm, alpha)
         stats *= beta
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(range(k + 1)), pa.int32()), pa.array([*stats.T.tolist(), [bound]], pa.list_(pa.float64()))], names=["topic", "stat"])
 
-    parts = bags.mapInArrow(run, "topic int, stat array<double>")
-    sums = (parts.select("topic", F.posexplode("stat").alias("term", "x")).groupBy("topic", "term")
-            .agg(F.sum("x").alias("x")).toPandas())      # k x vocabulary numbers and the bound
+    # a task adds up k x vocabulary numbers: a few tasks a core, not one per partition of the bags
+    tasks = PASS_TASKS * bags.sparkSession.sparkContext.defaultParallelism
+    parts = bags.coalesce(tasks).mapInArrow(run, "topic int, stat array<double>")
+    sums = added(parts)                                  # k x vocabulary numbers and the bound
     shared.unpersist()
-    out, mine = np.zeros((k, v)), sums["topic"].to_numpy() < k
-    out[sums["topic"][mine], sums["term"][mine]] = sums["x"][mine]
-    return out, float(sums["x"][~mine].sum())
+    return np.array([sums[j] for j in range(k)]), float(sums[k][0])
 
 
 @dataclass
@@ -214,9 +234,33 @@ def assign_topics(bags: DataFrame, model: TopicModel) -> DataFrame:
     return bags.mapInArrow(run, "row long, Topic int, weights array<double>")
 
 
+def counted_bags(terms: DataFrame, words: list[str]) -> DataFrame:
+    """(row, ids, counts) of (row, terms): a row's vocabulary terms counted
+    inside the task, in term order; a row without any has empty lists."""
+    shared = terms.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(words)})
+    most = 256                                    # rows of an output batch
+
+    def run(batches):
+        place = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, most):
+                part = batch.slice(begin, most)
+                held = [sorted(Counter(place[t] for t in x.as_py() or () if t in place).items()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())),
+                                                  pa.array([[float(n) for _, n in h] for h in held], pa.list_(pa.float64()))],
+                                                 names=["row", "ids", "counts"])
+
+    return terms.select("row", "terms").mapInArrow(run, BAG)
+
+
+def numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text), written once."""
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
+
+
 def numbered_terms(docs: DataFrame, text_col: str, stop: list[str]) -> tuple[DataFrame, DataFrame]:
     """(row, term, tf) over all documents and their row numbers, written once."""
-    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
+    rows = numbered(docs, text_col)
     tf = term_frequencies(rows.select("row", document_terms(F.col("text"), stop).alias("terms")), "row", F.col("terms"))
     return cut_lineage(tf), rows.select("row")
 
@@ -228,14 +272,13 @@ def lda_topics(docs: DataFrame, text_col: str, k: int = 10, max_iter: int = 30,
     without a vocabulary term go to the first topic, as a tie does."""
     spark = docs.sparkSession
     stop = stop if stop is not None else dims.stopwords("general")
-    tf, rows = numbered_terms(docs, text_col, stop)
-    voc = vocabulary(tf, "row", rows.agg(F.count("*")).scalar(), vocab_size, min_df=min_df)
+    terms = numbered(docs, text_col).select("row", document_terms(F.col("text"), stop).alias("terms"))
+    voc = counted_vocabulary(terms, "row", F.col("terms"), terms.agg(F.count("*")).scalar(), vocab_size, min_df=min_df, unique=True)
     words = sorted(r["term"] for r in voc.select("term").collect())          # <= vocab_size
     if not words:
         raise ValueError("no term is in enough documents")
-    bags = bags_of(tf, dims.local_table(spark, [(i, t) for i, t in enumerate(words)], "idx int, term string"))
-    empty = F.array().cast("array<int>"), F.array().cast("array<double>")
-    bags = cut_lineage(rows.join(bags, "row", "left").select("row", F.coalesce("ids", empty[0]).alias("ids"), F.coalesce("counts", empty[1]).alias("counts")))
+    # small rows, so few files: dealt out again, that every core has a part of each pass
+    bags = cut_lineage(counted_bags(terms, words).repartition(PASS_TASKS * spark.sparkContext.defaultParallelism, "row"))
     model = fit_topics(bags, words, k, max_iter, seed)
     if save_dir:                                                          # L5
         model.save(spark, f"{save_dir}/lda")

@@ -94,3 +94,32 @@ def test_topic_table_counts_every_document(spark, tmp_path):
     model = lda.TopicModel.load(spark, f"{tmp_path}/lda")
     by = {r["Topic"]: r["Top_Words"] for r in out}
     assert model.top_words(8) == [by[t] for t in range(3)] and len(model.bounds) == 5
+
+
+def test_counted_bags_equal_the_relational_ones(spark):
+    docs = spark.createDataFrame([*corpus(40), (98, ""), (99, None), (99, "zz")], "id long, text string")
+    tf, _ = lda.numbered_terms(docs, "text", [])
+    words = sorted(r[0] for r in tf.select("term").distinct().collect())[::2]
+    want = lda.bags_of(tf, spark.createDataFrame(list(enumerate(words)), "idx int, term string")).collect()
+    terms = lda.numbered(docs, "text").select("row", lda.document_terms(F.col("text"), []).alias("terms"))
+    got = lda.counted_bags(terms, words).collect()
+    key = lambda rows: sorted((tuple(r["ids"]), tuple(r["counts"])) for r in rows if r["ids"])
+    assert key(got) == key(want) and len(got) == 43
+
+
+def test_every_core_has_a_part_of_a_pass(spark, monkeypatch):
+    """Bags are small, so they are dealt out again; many partitions meet in a few tasks, and the sums do not depend on it."""
+    seen = {}
+    fit = lda.fit_topics
+    monkeypatch.setattr(lda, "fit_topics", lambda bags, *a: seen.update(parts=bags.rdd.getNumPartitions()) or fit(bags, *a))
+    docs = spark.createDataFrame(corpus(60), "id long, text string").coalesce(1)
+    lda.lda_topics(docs, "text", k=3, max_iter=2)
+    assert seen["parts"] == lda.PASS_TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_groups_hold_every_document_once_and_stay_small(monkeypatch):
+    monkeypatch.setattr(lda, "GROUP_ENTRIES", 100)
+    size = np.array([0, 1, 5, 5, 6, 30, 31, 33, 0, 400, 2, 1, 90])
+    groups = list(lda.alike(size))
+    assert sorted(np.concatenate(groups).tolist()) == np.flatnonzero(size).tolist()
+    assert all(len(g) == 1 or size[g].max() * len(g) <= 100 and size[g].max() <= 1.2 * size[g].min() + 1e-9 for g in groups)
