@@ -53,7 +53,7 @@ BANDS, ROWS = 24, 4
 PIVOTS = (64, 4096)
 WORD = re.compile(r"\w+")
 CHUNK_ELEMENTS = 60_000
-#: Bytes of an Arrow batch: a batch of pairs holds the elements of both texts.
+#: Bytes of an Arrow batch: of texts, elements, or pairs with the elements of both texts.
 BATCH_BYTES = 8 << 20
 
 
@@ -278,7 +278,8 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
     candidates = members.select("node").distinct()
     texts = (docs.select(text_node.alias("node"), F.col(f"`{text_col}`").alias("text"))
              .join(candidates, "node", "left_semi").dropDuplicates(["node"]))
-    elements = materialize(texts.mapInArrow(_packer(weighted), "node binary, elements binary"), "elements", codec="uncompressed")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        elements = materialize(texts.mapInArrow(_packer(weighted), "node binary, elements binary"), "elements", codec="uncompressed")
     signatures = materialize(nodes.select("node", "sig").join(candidates, "node", "left_semi"), "candidate-signatures")
     least = int(coordinates * threshold - 6 * np.sqrt(coordinates * threshold * (1 - threshold)))
 
@@ -377,7 +378,8 @@ def lone_elements(elements: DataFrame) -> DataFrame:
     lone = (each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
             .groupBy("node").agg(F.count(F.lit(1)).alias("lone")))
     total = elements.select("node", (F.octet_length("elements") / 6).cast("long").alias("total"))
-    return materialize(total.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), "total"), "lone")
+    with batch_bytes(elements.sparkSession, BATCH_BYTES):
+        return materialize(total.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), "total"), "lone")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -387,10 +389,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the class), class_rows.  kept: one row per class: node, id of the row that
     stays, rows (how many rows of that text have that id)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = materialize(
-        docs.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").alias("text"))
-        .mapInArrow(_signer(bands, rows, weighted), f"did {kind}, node binary, keys array<bigint>, sig binary"),
-        "signatures", codec="uncompressed")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        signed = materialize(
+            docs.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").alias("text"))
+            .mapInArrow(_signer(bands, rows, weighted), f"did {kind}, node binary, keys array<bigint>, sig binary"),
+            "signatures", codec="uncompressed")
     per_id = signed.groupBy("node", "did").agg(F.count(F.lit(1)).alias("same"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     first = F.min(F.struct(F.col("did").isNull().alias("none"), F.col("did").alias("did"), F.col("same").alias("same")))
     nodes = materialize(per_id.groupBy("node").agg(first.alias("first"), F.sum("same").alias("copies"), F.first("keys").alias("keys"),

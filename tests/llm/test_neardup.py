@@ -185,3 +185,15 @@ def test_without_the_sieve(spark, docs):
     rows = _corpus(4)
     classes, _ = neardup.near_duplicates(docs(rows), sieve=False)
     assert _classes(classes) == dict(enumerate(brute(rows)))
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    """Every step that sends texts or elements to Python, not the comparisons alone."""
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, **kw: seen.update({name: spark.conf.get(key)}) or write(df, name, **kw))
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:30], f"x{i}", f"y{i}"])) for i in range(4)]
+    before = spark.conf.get(key)
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    neardup.lone_elements(spark.createDataFrame([(b"a", b"123456"), (b"b", b"123456abcdef")], "node binary, elements binary"))
+    assert {seen[n] for n in ("signatures", "elements", "lone")} == {str(neardup.BATCH_BYTES)} and spark.conf.get(key) == before
