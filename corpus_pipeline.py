@@ -58,9 +58,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, decoded again: doc_id, n_tokens and digests."""
+    """Token ids of every document, decoded again: doc_id, n_tokens and digests.
+    The ids are written between: a task that encodes and decodes at once would
+    keep two Python workers on each core."""
     ranks, pattern = bpe.default_ranks()
-    full = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
+    ids = materialize(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), "pipeline-ids")
+    full = bpe.decode(ids, ranks)
     return full.select("doc_id", *bpe.digest(full))
 
 

@@ -40,9 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import shuffle_partitions
+from oriel.llm.common import give_back, giving_back, shuffle_partitions
 
 BLOCK_CHARS = 12_000_000
+#: Ids that are decoded at once (a longer document alone).
+CHUNK_IDS = 500_000
 #: Vocabularies above this size are refused for the map-side join.
 MAX_VOCAB = 2_000_000
 
@@ -89,15 +91,17 @@ def _pretokenizer(pattern: str, parts: int, block_chars: int):
             block = f"{task}-{next(seq)}"
             words = list(number)
             codes = [c for _, c in rows]
-            counts = np.bincount(np.concatenate(codes), minlength=len(words)) if words else np.zeros(0, np.int64)
+            counts = np.zeros(len(words), np.int64)
+            for c in codes:
+                seen, n = np.unique(c, return_counts=True)
+                counts[seen] += n
             # small numbers for frequent words: the byte planes compress better
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             by_part = defaultdict(list)
             for r, i in enumerate(order.tolist()):
-                raw = words[i].encode()
-                by_part[zlib.crc32(raw) % parts].append((raw, r))
+                by_part[zlib.crc32(words[i].encode()) % parts].append(r)
             for lo in range(0, len(rows), 2000):
                 some = rows[lo:lo + 2000]
                 n = len(some)
@@ -107,7 +111,7 @@ def _pretokenizer(pattern: str, parts: int, block_chars: int):
             zc = zstandard.ZstdCompressor(level=6)
             out = defaultdict(list)
             for part in sorted(by_part):
-                own = sorted(by_part[part])
+                own = sorted((words[order[r]].encode(), r) for r in by_part.pop(part))
                 lens = np.array([len(w) for w, _ in own], dtype="<u4")
                 out["target"].append(f"part {part}")
                 out["codes"].append(_planes(np.array([r for _, r in own], dtype="<u4")))
@@ -130,13 +134,13 @@ def _pretokenizer(pattern: str, parts: int, block_chars: int):
                 if chars and chars + len(text) > block_chars:
                     yield from flush(rows, number)
                     rows, number, chars = fresh()
-                code = np.fromiter(map(number.__getitem__, find(text)), dtype=np.int64)
+                code = np.fromiter(map(number.__getitem__, find(text)), dtype=np.uint32)
                 rows.append((carry.slice(i, 1), code))
                 chars += len(text)
         if rows:
             yield from flush(rows, number)
 
-    return run
+    return giving_back(run)
 
 
 #: target: a block (positions) or a part (words, with the block they answer to)
@@ -171,7 +175,7 @@ def _merger(ranks_b, pattern: str):
                 [batch.column(1), batch.column(3), pa.array(n_out, pa.binary()), pa.array(ids_out, pa.binary())],
                 names=["target", "codes", "counts", "ids"])
 
-    return run
+    return giving_back(run)
 
 
 def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
@@ -223,11 +227,39 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     ranks_b = spark.sparkContext.broadcast(ranks)
     back = dealt.mapInArrow(_merger(ranks_b, pattern), "target string, codes binary, counts binary, ids binary")
     result = T.StructType([T.StructField("carry", carry_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    joined = dealt.groupBy("target").cogroup(back.groupBy("target")).applyInArrow(
-        lambda left, right: _reassemble(left, right), result)
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        done = _reassemble(left, right)
+        if len(done):  # a block
+            give_back()
+        return done
+
+    joined = dealt.groupBy("target").cogroup(back.groupBy("target")).applyInArrow(whole, result)
     return joined.select(*[F.col("carry").getField(c).alias(c) for c in others], F.col("ids").alias(out))
 
 
+def decoder(table: dict[int, bytes], at: int):
+    """mapInArrow body: rows whose field ``at`` holds the ids, with their bytes."""
+
+    def run(batches):
+        for batch in batches:
+            row, lo = batch.column(0), 0
+            lists = row.field(at)
+            while lo < len(batch):
+                got, n = [], 0
+                while lo + len(got) < len(batch) and (not got or n < CHUNK_IDS):
+                    ids = lists[lo + len(got)]
+                    try:
+                        got.append(b"".join([table[i] for i in ids.values.to_numpy().tolist()]) if ids.is_valid else None)
+                    except KeyError:
+                        got.append(None)
+                    n += len(ids.values) if ids.is_valid else 0
+                yield pa.RecordBatch.from_arrays([row.slice(lo, len(got)), pa.array(got, pa.binary())], names=["row", "out"])
+                lo += len(got)
+
+    return run
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``df`` plus ``out`` (binary): the token bytes of the ids,
     joined on the map side with the token-byte table."""
@@ -238,19 +270,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: st
     at = df.columns.index(ids_col)
 
     def run(batches):
-        table = token_bytes.value
-        for batch in batches:
-            row = batch.column(0)
-            lists = row.field(at)
-            got = []
-            for ids in lists:
-                try:
-                    got.append(b"".join([table[i] for i in ids.values.to_numpy().tolist()]) if ids.is_valid else None)
-                except KeyError:
-                    got.append(None)
-            yield pa.RecordBatch.from_arrays([row, pa.array(got, pa.binary())], names=["row", "out"])
-
-    decoded = src.mapInArrow(run, schema)
+        yield from decoder(token_bytes.value, at)(batches)
+
+    decoded = src.mapInArrow(giving_back(run), schema)
     return decoded.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("out").alias(out))
 
 

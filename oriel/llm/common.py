@@ -7,9 +7,11 @@ re-read, not a recomputation of the lineage.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,27 @@ def batch_bytes(spark: SparkSession, most: int):
         spark.conf.set(key, old)
 
 
+def give_back() -> None:
+    """Returns memory that this Python worker has freed to the system.  Workers
+    are used again, task by task: else each one stays as large as its largest task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """A mapInArrow body like ``run`` whose worker is small again after a task."""
+
+    def body(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return body
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

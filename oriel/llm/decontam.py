@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import read_table
+from oriel.llm.common import giving_back, read_table
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -337,7 +337,7 @@ def _searcher(index):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, b.schema.field(1).type)], names=["row", "found"])
                 lo += len(texts)
 
-    return run
+    return giving_back(run)
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oriel.llm.common import batch_bytes, materialize, read_table
+from oriel.llm.common import batch_bytes, giving_back, materialize, read_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -179,7 +179,7 @@ def _signer(bands: int, rows: int, weighted: bool):
                     names=["did", "node", "keys", "sig"])
                 lo = hi
 
-    return run
+    return giving_back(run)
 
 
 def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def _packer(weighted: bool):
                 got.append(_pack(np.sort(el & np.uint64((1 << 48) - 1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "elements"])
 
-    return run
+    return giving_back(run)
 
 
 def _measurer(batches):
@@ -217,7 +217,7 @@ def _comparer(threshold: float):
                             pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keep], names=["a", "b", "linked"])
 
-    return run
+    return giving_back(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _siever(least: int):
                 b = b.filter(pa.array((x == y).sum(axis=1) >= least))
             yield b.select(["a", "b"])
 
-    return run
+    return giving_back(run)
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, coordinates: int,
@@ -329,7 +329,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, threshold: float, co
     stat = materialize(stat.join(central.select("band", "key", F.col("m.ref").alias("ref")), ["band", "key"]).where("node != ref"), "bucket-refs")
     with batch_bytes(docs.sparkSession, BATCH_BYTES):
         measured = materialize(beside(stat.select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct(), elements, "elements")
-                               .mapInArrow(_measurer, "a binary, b binary, common long"), "measured")
+                               .mapInArrow(giving_back(_measurer), "a binary, b binary, common long"), "measured")
     sizes_of = own.select(F.col("node").alias("a"), F.col("total").alias("ta"))
     near = (measured.join(sizes_of, "a").join(sizes_of.withColumnsRenamed({"a": "b", "ta": "tb"}), "b")
             .where(F.col("common") >= threshold * (F.col("ta") + F.col("tb") - F.col("common"))).select("a", "b"))
@@ -374,7 +374,7 @@ def _unpacker(batches):
 
 def lone_elements(elements: DataFrame) -> DataFrame:
     """(node, lone, total): how many of a text's elements no other text has, of how many."""
-    each = elements.select("node", "elements").mapInArrow(_unpacker, "node binary, h bigint")
+    each = elements.select("node", "elements").mapInArrow(giving_back(_unpacker), "node binary, h bigint")
     lone = (each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
             .groupBy("node").agg(F.count(F.lit(1)).alias("lone")))
     total = elements.select("node", (F.octet_length("elements") / 6).cast("long").alias("total"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oriel.llm.common import crc_mod, hash_cut, id_hash, read_table
+from oriel.llm.common import crc_mod, giving_back, hash_cut, id_hash, read_table
 
 BITS3 = 17
 DIM = 256 + 65536 + (1 << BITS3)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = {f.name: f.dataType for f in picked.schema}
     schema = T.StructType([T.StructField("id", kind["id"]), T.StructField("label", kind["label"]),
                            T.StructField("ids", T.BinaryType())])
-    got = picked.select("id", "text", "label").mapInArrow(run, schema)
+    got = picked.select("id", "text", "label").mapInArrow(giving_back(run), schema)
     # ids that name several documents would let the sample grow: keep the bound per class
     rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("ids"))
     got = got.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_per_class)
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 [b.column(0), b.column(1), pa.array([m.score(t.as_py()) for t in b.column(1)], pa.float64())],
                 names=["row", "text", "out"])
 
-    got = src.mapInArrow(run, schema)
+    got = src.mapInArrow(giving_back(run), schema)
     return got.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in kept],
                       F.col("out").alias(out))
 

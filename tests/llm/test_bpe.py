@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -58,3 +59,15 @@ def test_ranks_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCAB", 10)
     with pytest.raises(ValueError):
         bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_decoding_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_IDS", 3)
+    rows = [(1, whole("alpha beta gamma delta")), (2, None), (3, []), (4, [99_999_999]), (5, whole("x y")), (5, whole("x y")), (None, whole("é"))]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    got = [(r["doc_id"], r["ids"], None if r["decoded"] is None else bytes(r["decoded"])) for r in bpe.decode(df, RANKS).collect()]
+    want = [b"alpha beta gamma delta", None, b"", None, b"x y", b"x y", "é".encode()]
+    assert got == [(i, ids, w) for (i, ids), w in zip(rows, want, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"ids": i} for _, i in rows], pa.struct([("ids", pa.list_(pa.int32()))]))], names=["row"])
+    parts = list(bpe.decoder({i: b for b, i in RANKS.items()}, 0)([batch]))
+    assert len(parts) > 2 and [x for b in parts for x in b.column(1).to_pylist()] == want

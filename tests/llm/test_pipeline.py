@@ -71,5 +71,14 @@ def test_stages_keep_clashing_columns(spark, docs, table_dir):
         assert len(got) == 3 and all(r[c] == 77 for r in got for c in odd.columns[5:]), name
 
 
+def test_no_task_keeps_two_python_workers(spark, docs):
+    """Encoding and decoding in one task would."""
+    out = cp.tokenize(spark, docs([(1, "alpha beta"), (2, None), (2, None)]), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CoGroups" not in plan
+    n = len(bpe._encoding(*bpe.default_ranks()).encode_ordinary("alpha beta"))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out.collect()) == [(1, n), (2, 0), (2, 0)]
+
+
 def test_modules_used():
     assert {decontam, neardup, linededup, bpe}
