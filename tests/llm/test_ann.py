@@ -53,6 +53,30 @@ def test_visits_fewer_leaves_than_there_are():
     assert set(leaf) <= set(range(tree.leaves))
 
 
+def test_order_of_all_leaves_is_that_of_the_walk():
+    x = np.array([v for _, v in _vectors(4000)], np.float64)
+    tree = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), 4000, leaf_rows=64)
+    held = np.bincount(tree.assign(x), minlength=tree.leaves)
+    bits = np.unpackbits(ann.visited(tree, x[:100], 3, held, 200), axis=1)
+    for q, order, on in zip(x[:100], tree.order(x[:100]), bits, strict=True):
+        walk = list(tree.visit(q))
+        assert order.tolist() == walk
+        seen = np.cumsum(held[walk]) - held[walk]
+        assert set(np.flatnonzero(on)) == {leaf for n, leaf in enumerate(walk) if n < 3 or seen[n] < 200}
+
+
+def test_a_query_is_stored_once_however_many_leaves_it_visits(spark, monkeypatch):
+    stored, old = {}, ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda df, name, *a, **b: stored.setdefault(name, old(df, name, *a, **b)))
+    monkeypatch.setattr(ann, "PART_BYTES", 4000)                  # 100 queries in several parts
+    rows = _vectors(2000)
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 10, recall=1.0, leaf_rows=16, max_sample=1000).collect()
+    assert stored["ann-visits"].count() == 100                    # was a row with the vector for each leaf
+    assert len(got) == 1000
+    exact = {(q, v): s for q, _, v, s in brute(rows, 10, 20)}
+    assert np.mean([(r["query_id"], r["vec_id"]) in exact for r in got]) >= 0.95
+
+
 def test_hot_vector_ties_and_defined_cases(spark, monkeypatch):
     monkeypatch.setattr(ann, "V_BLOCK", 50)
     monkeypatch.setattr(ann, "Q_BLOCK", 7)
