@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import lemma as lm
 from ..functions import text as tx
+from ..session import cut_lineage
 
 
 def explode_tokens(df: DataFrame, id_col: str, tokens: Column, keep: list[str] | None = None,
@@ -107,8 +108,13 @@ def lemma_dictionary_df(spark, rows=None) -> DataFrame:
 MAX_LISTED = 200_000
 
 
+def token_text(text_col: str) -> Column:
+    """The cleaned tokens of a text, joined by spaces (they hold none)."""
+    return F.array_join(tx.tokenize(tx.nlp_clean_string(text_col)), " ")
+
+
 def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
-                 stop: DataFrame) -> DataFrame:
+                 stop: DataFrame, cleaned_col: str | None = None) -> DataFrame:
     """Lower → URLs/e-mails → punctuation → alphabetic tokens (2+) →
     stopwords → dictionary lemmas (fallback suffix rules) → joined string.
 
@@ -116,13 +122,13 @@ def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFram
     tasks, which answer for each distinct token once: no shuffle, no sort.
     Longer lists are joined with the exploded tokens (``_nlp_by_join``).  Rows
     stay rows: those without tokens, those that lose all tokens, and those
-    with repeated ids."""
-    toks = tx.tokenize(tx.nlp_clean_string(text_col))
-    cleaned = df.select(F.col(id_col).alias("__id"), toks.alias("__toks"))
-    acts = word_actions(lemma_dict, stop)
+    with repeated ids.  ``cleaned_col`` holds ``token_text`` of the texts, where
+    a caller has it already."""
+    cleaned = df.select(F.col(id_col).alias("__id"), (F.col(cleaned_col) if cleaned_col else token_text(text_col)).alias("__text"))
+    acts = cut_lineage(word_actions(lemma_dict, stop))   # a list made from the texts is made once, for the join too
     listed = acts.limit(MAX_LISTED + 1).collect()
     if len(listed) > MAX_LISTED:
-        return _nlp_by_join(cleaned, id_col, acts)
+        return _nlp_by_join(cleaned.select("__id", F.filter(F.split("__text", " "), lambda t: t != "").alias("__toks")), id_col, acts)
     shared = df.sparkSession.sparkContext.broadcast({r["token"]: None if r["is_stop"] else r["lemma"] for r in listed
                                                      if r["is_stop"] or r["lemma"] is not None})
 
@@ -132,9 +138,7 @@ def nlp_pipeline(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFram
         for part in parts:
             yield pd.Series([" ".join(x for x in map(words.__getitem__, t.split(" ")) if x) for t in part], dtype=object)
 
-    # tokens hold no space, so the joined string is the list
-    joined = F.coalesce(F.array_join("__toks", " "), F.lit(""))
-    return cleaned.select(F.col("__id").alias(id_col), lemmas(joined).alias("cleaned_review"))
+    return cleaned.select(F.col("__id").alias(id_col), lemmas(F.coalesce("__text", F.lit(""))).alias("cleaned_review"))
 
 
 class LemmaWords(dict):

@@ -93,3 +93,33 @@ def test_head_rows_and_rows_at(spark):
     assert sorted(r[0] for r in rows_at(df, "review_id", [7, 42]).collect()) == [7, 42]
     ids = df.select(tx.random_id().alias("u")).distinct().count()
     assert ids == 100
+
+
+def test_tokens_and_emails_in_one_scan_equal_the_two_step_forms(spark):
+    """Tokens were runs of non-space characters tested one by one, e-mails were sought from every character."""
+    texts = ["", " ", "a", "ab", " ab cd1 ef\u00a0gh\u2028ij \u00e9t\u00e9 x\ty\nzz 12 a-b caf\u00e9\u0301 \U0001d4d0\U0001d4d1 \U0001d4d0", "ab\x85cd\x1cef\u200bgh",
+             "me@a.b @a.b a@.b a@b. x@@y.z,q (me@a.b) a@b@c.d.e \u00e9@\u00fc.de", "www.a@b.c http://x@y.z xhttp://a@b.c @@b a@b@", None]
+    d = spark.createDataFrame([(x,) for x in texts], "t string")
+    for n in (1, 2, 3):
+        want = F.expr(f"filter(regexp_extract_all(t, r'{tx.NON_WS_RUN}', 0), x -> x RLIKE r'^\\p{{L}}+$' AND length(x) >= {n})")
+        assert all(r[0] == r[1] for r in d.select(tx.tokenize("t", n).alias("a"), want.alias("b")).collect())
+    for got, old in ((tx.remove_emails("t", "loose"), r"(?U)\S+@\S+"), (tx.remove_emails("t", "dotted"), r"(?U)\S+@\S+\.\S+"),
+                     (tx.remove_urls("t", "serving"), r"(?U)https?://\S+|www\.\S+|\S+@\S+")):
+        assert all(r[0] == r[1] for r in d.select(got.alias("a"), F.regexp_replace("t", old, "").alias("b")).collect())
+
+
+def test_long_dictionary_cleans_its_texts_once(spark, monkeypatch, tmp_path):
+    from oriel.operators import tokens as tk
+    from oriel.plans.catalog import QUERIES
+    texts = [("flights " * 3 + "delayed delayed x1 Me@a.b the") if i % 2 else "Delayed, passengers!" for i in range(30)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, old = [], tx.nlp_clean_string
+    monkeypatch.setattr(tx, "nlp_clean_string", lambda c: calls.append(c) or old(c))
+    got = {r[0]: r[1] for r in QUERIES["q63_long_dictionary"](spark, str(tmp_path)).collect()}
+    assert len(calls) == 1                                        # was 2: for the counts, and again in the pipeline
+    monkeypatch.setattr(tk, "MAX_LISTED", 3)
+    assert got == {r[0]: r[1] for r in QUERIES["q63_long_dictionary"](spark, str(tmp_path)).collect()}
+    d = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string")
+    words = spark.createDataFrame([("flights", "flig"), ("delayed", "dela")], "token string, lemma string")
+    want = tk.nlp_pipeline(d, "review_id", "text", words, tk.stopword_table(spark)).select("review_id", F.md5("cleaned_review")).collect()
+    assert got == {r[0]: r[1] for r in want}
